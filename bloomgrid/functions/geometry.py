@@ -87,6 +87,29 @@ def strictly_inside(minx: Column, miny: Column, maxx: Column, maxy: Column,
     return (lon > minx) & (lon < maxx) & (lat > miny) & (lat < maxy)
 
 
+def edges_meet(edge_list: Column, minx: Column, miny: Column, maxx: Column, maxy: Column,
+               ) -> Column:
+    """Whether any edge meets a closed rectangle: extents overlap and its corners do not all
+    lie on one side of the edge's line."""
+
+    def side(e: Column, x: Column, y: Column) -> Column:
+        return F.signum(
+            (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+        )
+
+    def meets(e: Column) -> Column:
+        corners = [side(e, x, y) for x in (minx, maxx) for y in (miny, maxy)]
+        return (
+            (F.least(e["x1"], e["x2"]) <= maxx)
+            & (F.greatest(e["x1"], e["x2"]) >= minx)
+            & (F.least(e["y1"], e["y2"]) <= maxy)
+            & (F.greatest(e["y1"], e["y2"]) >= miny)
+            & (F.abs(corners[0] + corners[1] + corners[2] + corners[3]) < 4.0)
+        )
+
+    return F.exists(edge_list, meets)
+
+
 def edges_contain(edge_list: Column, lon: Column, lat: Column) -> Column:
     """Even-odd test over all edges; a point on an edge is outside.
 

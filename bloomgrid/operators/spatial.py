@@ -13,21 +13,36 @@ from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions.values import click_key, squared_distance
+from bloomgrid.session import cut_lineage
 
 # Power-of-two cell sides divide without rounding, so a floor never lands one cell off.
 FINEST_SIDE = 2.0**-10
 COARSEST_LEVEL = 20
 PIN_RADIUS = 0.03
-MAX_CELL_STATIONS = 64
+MAX_CELL_ROWS = 64
 DEEPEST_SPLIT = 24
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 256
+EDGE_BYTES = 32
+
+
+def _sized(frame: DataFrame, counted_bytes: int) -> DataFrame:
+    """Broadcast what has been counted as small; sort-merge the rest, which AQE splits on skew.
+
+    The optimizer's own estimate does not see how far an index is unfolded, so it is not asked.
+    """
+    return F.broadcast(frame) if counted_bytes <= BROADCAST_BYTES else frame.hint("merge")
 
 
 # point in zone ----------------------------------------------------------------------------
 
 
+def _side(level: Column) -> Column:
+    return F.lit(FINEST_SIDE) * F.pow(F.lit(2.0), level)
+
+
 def _cell(value: Column, level: Column) -> Column:
-    side = F.lit(FINEST_SIDE) * F.pow(F.lit(2.0), level)
-    return F.floor(value / side).cast("bigint")
+    return F.floor(value / _side(level)).cast("bigint")
 
 
 def zone_cells(zones: DataFrame) -> DataFrame:
@@ -38,35 +53,87 @@ def zone_cells(zones: DataFrame) -> DataFrame:
     cell follows how many really overlap there and not how unequal their sizes are.
     """
     whole = F.struct("cell_id", "station_id", "station_name", "area_ha")
-    unique = (
-        zones.where(F.col("polys").isNotNull())
-        .groupBy("polys", "bbox")
-        .agg(F.min(whole).alias("zone"))
-    )
+    first = F.min(F.struct(whole.alias("zone"), F.col("bbox"))).alias("first")
+    unique = zones.where(F.col("polys").isNotNull()).groupBy("polys").agg(first)
     box = F.col("bbox")
     reach = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"], F.lit(FINEST_SIDE))
     level = F.least(F.ceil(F.log2(reach / F.lit(FINEST_SIDE))), F.lit(COARSEST_LEVEL)).cast("int")
-    spread = unique.select(
-        "zone", "bbox", G.edges(F.col("polys")).alias("edges"), level.alias("level")
+    spread = unique.select("first.*", G.edges(F.col("polys")).alias("edges")).withColumn(
+        "level", level
     )
-    along_x = F.sequence(
-        _cell(box["minx"], F.col("level")), _cell(box["maxx"], F.col("level"))
+
+    def along(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(_cell(low, F.col("level")), _cell(high, F.col("level"))))
+
+    return (
+        spread.withColumn("gx", along(box["minx"], box["maxx"]))
+        .withColumn("gy", along(box["miny"], box["maxy"]))
+        .withColumn("whole", F.lit(False))
     )
-    along_y = F.sequence(
-        _cell(box["miny"], F.col("level")), _cell(box["maxy"], F.col("level"))
+
+
+def _halved(crowded: DataFrame) -> DataFrame:
+    """Quarters of crowded cells, with only the zones that can still answer in them.
+
+    A zone whose edges miss a quarter either covers it whole or not at all. Of those that cover
+    it whole the lowest cell_id answers, so every zone behind it is left out there.
+    """
+    halves = F.array(F.lit(0), F.lit(1))
+    quarters = (
+        crowded.withColumn("level", F.col("level") - 1)
+        .withColumn("gx", F.col("gx") * 2 + F.explode(halves))
+        .withColumn("gy", F.col("gy") * 2 + F.explode(halves))
+    )
+    side = _side(F.col("level"))
+    x, y = F.col("gx") * side, F.col("gy") * side
+    cut = G.edges_meet(F.col("edges"), x, y, x + side, y + side)
+    holds = G.edges_contain(F.col("edges"), x + side / 2.0, y + side / 2.0)
+    cell = ["level", "gx", "gy"]
+    # A zone that covers the larger cell whole covers its quarters too.
+    tested = quarters.withColumn("cut", ~F.col("whole") & cut).withColumn(
+        "whole", F.col("whole") | (~F.col("cut") & holds)
+    ).where(F.col("cut") | F.col("whole"))
+    none = F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    slim = tested.withColumn("edges", F.when(F.col("whole"), none).otherwise(F.col("edges")))
+    cover = slim.where("whole").groupBy(*cell).agg(F.min("zone.cell_id").alias("cover"))
+    kept = slim.join(cover, cell, "left").where(
+        F.col("cover").isNull() | (F.col("zone.cell_id") <= F.col("cover"))
     )
-    return spread.withColumn("gx", F.explode(along_x)).withColumn("gy", F.explode(along_y))
+    return kept.select(*crowded.columns)
+
+
+def relieve_cells(cells: DataFrame, most: int = MAX_CELL_ROWS) -> DataFrame:
+    """Halve cells until none holds more than `most` zones, as far as halving helps.
+
+    Each round reads one yes or no to the driver. Layers that divide the land need no round.
+    """
+    cell = ["level", "gx", "gy"]
+    for _ in range(DEEPEST_SPLIT):
+        crowded = cells.groupBy(*cell).count().where(F.col("count") > most).select(*cell)
+        if crowded.isEmpty():
+            break
+        calm = cells.join(crowded, cell, "left_anti")
+        split = _halved(cells.join(crowded, cell, "left_semi").select(*cells.columns))
+        cells = cut_lineage(calm.select(*cells.columns).unionByName(split))
+    return cells
 
 
 def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id") -> DataFrame:
     """The containing zone with the lowest cell_id per point; points in no zone have no row.
 
-    `points`: key, lon, lat. A point is looked up once per grid level in use (a short list:
-    one per power of two of zone size), lies in exactly one cell of each, and so never meets a
-    zone twice.
+    `points`: key, lon, lat. A point is looked up once per grid level in use (a short list, one
+    per power of two of cell size), lies in exactly one cell of each, and so never meets a zone
+    twice.
     """
-    cells = zone_cells(zones)
-    levels = cells.agg(F.collect_set("level").alias("levels")).scalar()
+    cells = relieve_cells(zone_cells(zones))
+    # One small job on the zone side: which levels exist and how large the index is.
+    census = cells.agg(
+        F.array_sort(F.collect_set("level")).alias("levels"),
+        F.coalesce(
+            F.sum(F.lit(ROW_BYTES) + F.size("edges") * F.lit(EDGE_BYTES)), F.lit(0)
+        ).alias("bytes"),
+    ).first()
+    levels = F.array(*[F.lit(level) for level in census["levels"]]).cast("array<int>")
     probes = (
         points.select(key, "lon", "lat", F.explode(levels).alias("level"))
         .withColumn("gx", _cell(F.col("lon"), F.col("level")))
@@ -76,8 +143,10 @@ def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id")
         F.col("bbox.minx"), F.col("bbox.miny"), F.col("bbox.maxx"), F.col("bbox.maxy"),
         F.col("lon"), F.col("lat"),
     )
-    inside = F.when(near, G.edges_contain(F.col("edges"), F.col("lon"), F.col("lat")))
-    hits = probes.join(cells, ["level", "gx", "gy"]).where(inside)
+    inside = F.when(F.col("whole"), True).when(
+        near, G.edges_contain(F.col("edges"), F.col("lon"), F.col("lat"))
+    )
+    hits = probes.join(_sized(cells, census["bytes"]), ["level", "gx", "gy"]).where(inside)
     return hits.groupBy(key).agg(F.min("zone").alias("zone")).select(key, "zone.*")
 
 
@@ -98,33 +167,33 @@ def _first_per_place(stations: DataFrame) -> DataFrame:
     )
 
 
-def _split_depth(places: DataFrame, side: float) -> int:
-    """How often cells must be halved until none holds more than MAX_CELL_STATIONS places.
+def _fullest_cells(places: DataFrame, side: float, first: int, last: int) -> list[tuple[int, int]]:
+    """(places, places in the fullest cell) for each level from `first` to `last`."""
+    levels = places.select(
+        "slon", "slat", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("level")
+    )
+    size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
+    counts = levels.groupBy(
+        "level", F.floor(F.col("slon") / size).alias("gx"), F.floor(F.col("slat") / size).alias("gy")
+    ).count()
+    peaks = counts.groupBy("level").agg(F.sum("count").alias("all"), F.max("count").alias("peak"))
+    return [(row["all"], row["peak"]) for row in peaks.orderBy("level").collect()]
 
-    Reads one number per level back to the driver, and counts the finer levels only when the
-    first one is too full.
-    """
 
-    def fullest(first: int, last: int) -> list[int]:
-        levels = places.withColumn(
-            "level", F.explode(F.sequence(F.lit(first), F.lit(last)))
-        )
-        size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
-        counts = levels.groupBy(
-            "level",
-            F.floor(F.col("slon") / size).alias("gx"),
-            F.floor(F.col("slat") / size).alias("gy"),
-        ).count()
-        peaks = counts.groupBy("level").agg(F.max("count").alias("n")).orderBy("level")
-        return [row["n"] for row in peaks.collect()]
-
-    top = fullest(0, 0)
-    if not top or top[0] <= MAX_CELL_STATIONS:
-        return 0
-    for depth, n in enumerate(fullest(1, DEEPEST_SPLIT), start=1):
-        if n <= MAX_CELL_STATIONS:
-            return depth
-    return DEEPEST_SPLIT
+def _census(places: DataFrame, side: float, most: int) -> tuple[int, int]:
+    """Number of places, and how often cells must be halved until none holds more than `most`.
+
+    Reads two numbers per level to the driver; finer levels only when the first is too full.
+    """
+    top = _fullest_cells(places, side, 0, 0)
+    if not top:
+        return 0, 0
+    total, peak = top[0]
+    if peak <= most:
+        return total, 0
+    finer = _fullest_cells(places, side, 1, DEEPEST_SPLIT)
+    calm = [depth for depth, (_, n) in enumerate(finer, start=1) if n <= most]
+    return total, min(calm, default=DEEPEST_SPLIT)
 
 
 def _neighbours(column: str) -> Column:
@@ -167,7 +236,7 @@ def _narrow(candidates: DataFrame, extents: DataFrame, key: str, reach: float) -
 
 
 def nearest_stations(points: DataFrame, stations: DataFrame, key: str = "point_id",
-                     radius: float = PIN_RADIUS) -> DataFrame:
+                     radius: float = PIN_RADIUS, most: int = MAX_CELL_ROWS) -> DataFrame:
     """Nearest station nearer than `radius` degrees per point; the first in file order wins ties.
 
     `points`: key (unique), lon, lat. `stations`: station_id, station_name, lon, lat, position.
@@ -178,7 +247,7 @@ def nearest_stations(points: DataFrame, stations: DataFrame, key: str = "point_i
     reach = radius * radius
     side = 2.0 ** math.ceil(math.log2(radius))
     places = _first_per_place(stations)
-    depth = _split_depth(places, side)
+    total, depth = _census(places, side, most)
 
     probes = (
         points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
@@ -194,23 +263,24 @@ def nearest_stations(points: DataFrame, stations: DataFrame, key: str = "point_i
             .withColumn("gx", _neighbours("gx"))
             .withColumn("gy", _neighbours("gy"))
         )
-        pairs = probes.join(held, ["gx", "gy"])
+        pairs = probes.join(_sized(held, 9 * total * ROW_BYTES), ["gx", "gy"])
     else:
+        small = total * ROW_BYTES
         candidates = probes.withColumn("gx", _neighbours("gx")).withColumn(
             "gy", _neighbours("gy")
         )
-        candidates = _narrow(candidates, _extents(places, side), key, reach)
+        candidates = _narrow(candidates, _sized(_extents(places, side), small), key, reach)
+        halves = F.array(F.lit(0), F.lit(1))
         for _ in range(depth):
             side /= 2.0
-            halves = F.array(F.lit(0), F.lit(1))
-            candidates = candidates.withColumn(
+            quarters = candidates.withColumn(
                 "gx", F.col("gx") * 2 + F.explode(halves)
             ).withColumn("gy", F.col("gy") * 2 + F.explode(halves))
-            candidates = _narrow(candidates, _extents(places, side), key, reach)
+            candidates = _narrow(quarters, _sized(_extents(places, side), small), key, reach)
         held = places.withColumn("gx", _grid(F.col("slon"), side)).withColumn(
             "gy", _grid(F.col("slat"), side)
         )
-        pairs = candidates.join(held, ["gx", "gy"])
+        pairs = candidates.join(_sized(held, small), ["gx", "gy"])
 
     distance = squared_distance(F.col("slon"), F.col("slat"), F.col("lon"), F.col("lat"))
     best = F.min(F.struct(F.col("distance"), F.col("station"))).alias("best")

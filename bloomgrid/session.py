@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,10 +37,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="bloomgrid-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """The frame, written to the checkpoint folder the cluster names.
+
+    A scratch folder is set only where the session has none, as in local tests.
+    """
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bloomgrid-"))
+    return frame.checkpoint()
