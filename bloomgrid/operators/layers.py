@@ -137,25 +137,35 @@ def ring_simplifier(tolerance: float):
 
 
 def simplify(zones: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
-    """The layer with every ring simplified; each row is handled alone, batch by batch."""
+    """The layer with every ring simplified; each row is handled alone, batch by batch.
+
+    Rows without any point have nothing to simplify. They travel with a stand-in point, since
+    a batch of nothing but empty nested lists cannot be turned into pandas.
+    """
     others = [c for c in zones.columns if c not in ("polys", "bbox")]
-    carried = zones.select(*others, "polys")
+    points = F.size(F.flatten(F.flatten("polys")))
+    state = F.when(F.col("polys").isNull(), "none").when(points > 0, "full").otherwise("empty")
+    stand_in = F.array(F.array(F.array(F.array(F.lit(0.0), F.lit(0.0)))))
+    carried = zones.select(*others, state.alias("_state"), "polys").withColumn(
+        "polys", F.when(F.col("_state") == "full", F.col("polys")).otherwise(stand_in)
+    )
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in zones.select(*others).schema]
-        + [f"polys {POLYGONS}"]
+        + [f"_state STRING, polys {POLYGONS}"]
     )
-
     simplify_ring = ring_simplifier(tolerance)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["polys"] = [
-                None if polys is None
-                else [[simplify_ring(ring) for ring in poly] for poly in polys]
+                [[simplify_ring(ring) for ring in poly] for poly in polys]
                 for polys in batch["polys"]
             ]
             yield batch
 
     slim = carried.mapInPandas(run, schema)
+    restored = F.when(F.col("_state") == "full", F.col("polys")).when(
+        F.col("_state") == "empty", F.array().cast(POLYGONS)
+    )
     box = F.when(F.col("polys").isNotNull(), G.bbox_of(F.col("polys")).cast(BBOX))
-    return slim.withColumn("bbox", box)
+    return slim.withColumn("polys", restored).drop("_state").withColumn("bbox", box)

@@ -45,6 +45,10 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / _side(level)).cast("bigint")
 
 
+def _halves(column: str) -> Column:
+    return F.explode(F.array(F.col(column) * 2, F.col(column) * 2 + 1))
+
+
 def zone_cells(zones: DataFrame) -> DataFrame:
     """Zones spread over grid cells of about their own size: at most four cells each.
 
@@ -78,11 +82,10 @@ def _halved(crowded: DataFrame) -> DataFrame:
     A zone whose edges miss a quarter either covers it whole or not at all. Of those that cover
     it whole the lowest cell_id answers, so every zone behind it is left out there.
     """
-    halves = F.array(F.lit(0), F.lit(1))
     quarters = (
         crowded.withColumn("level", F.col("level") - 1)
-        .withColumn("gx", F.col("gx") * 2 + F.explode(halves))
-        .withColumn("gy", F.col("gy") * 2 + F.explode(halves))
+        .withColumn("gx", _halves("gx"))
+        .withColumn("gy", _halves("gy"))
     )
     side = _side(F.col("level"))
     x, y = F.col("gx") * side, F.col("gy") * side
@@ -270,12 +273,9 @@ def nearest_stations(points: DataFrame, stations: DataFrame, key: str = "point_i
             "gy", _neighbours("gy")
         )
         candidates = _narrow(candidates, _sized(_extents(places, side), small), key, reach)
-        halves = F.array(F.lit(0), F.lit(1))
         for _ in range(depth):
             side /= 2.0
-            quarters = candidates.withColumn(
-                "gx", F.col("gx") * 2 + F.explode(halves)
-            ).withColumn("gy", F.col("gy") * 2 + F.explode(halves))
+            quarters = candidates.withColumn("gx", _halves("gx")).withColumn("gy", _halves("gy"))
             candidates = _narrow(quarters, _sized(_extents(places, side), small), key, reach)
         held = places.withColumn("gx", _grid(F.col("slon"), side)).withColumn(
             "gy", _grid(F.col("slat"), side)
