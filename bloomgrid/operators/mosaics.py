@@ -10,6 +10,7 @@ from bloomgrid.sources.files import MAX_URLS_PER_REQUEST
 
 QUADKEY_ZOOM = 7
 MAX_ZOOM = 13
+SALTS = 16
 
 
 def url_set(urls: Column) -> Column:
@@ -24,18 +25,21 @@ def set_digest(urls: Column) -> Column:
 def valid_requests(request_urls: DataFrame) -> DataFrame:
     """Requests of 1 to 32 links as (request_id, urls), links distinct and ordered.
 
-    `request_urls`: request_id, url, one row per listed link. Repeated links combine before
-    the shuffle and count towards the size; larger requests are refused as a whole, before any
-    list is gathered.
+    `request_urls`: request_id, url, one row per listed link. Larger requests are refused as a
+    whole before anything is gathered per request: their rows are spread over SALTS keys for
+    the test, so that one huge request never lands in one task, and only lists of at most 32
+    links are built.
     """
-    listed = request_urls.where(F.col("url").isNotNull())
-    counted = listed.groupBy("request_id", "url").agg(F.count("*").alias("n"))
-    sizes = counted.groupBy("request_id").agg(F.sum("n").alias("total"))
-    accepted = sizes.where(F.col("total") <= MAX_URLS_PER_REQUEST).select("request_id")
+    listed = request_urls.where(F.col("url").isNotNull()).select("request_id", "url")
+    sizes = listed.groupBy("request_id").agg(F.count("*").alias("links"))
+    refused = sizes.where(F.col("links") > MAX_URLS_PER_REQUEST).select(
+        "request_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    )
+    salted = listed.withColumn("salt", F.pmod(F.hash("url"), F.lit(SALTS)))
     return (
-        counted.join(accepted, "request_id", "left_semi")
+        salted.join(refused, ["request_id", "salt"], "left_anti")
         .groupBy("request_id")
-        .agg(F.array_sort(F.collect_list("url")).alias("urls"))
+        .agg(F.array_sort(F.collect_set("url")).alias("urls"))
     )
 
 

@@ -62,7 +62,7 @@ def zone_features(zones: DataFrame) -> DataFrame:
         "bloom_tooltip",
     )
     return zones.select(
-        "cell_id",
+        "*",
         _feature(G.layer_geojson(F.col("geom_type"), F.col("polys")), properties).alias("feature"),
     )
 
@@ -71,14 +71,12 @@ def station_features(stations: DataFrame) -> DataFrame:
     """One GeoJSON point feature text per station."""
     geometry = F.to_json(G.point_geojson(F.col("lon"), F.col("lat")))
     properties = F.struct("station_id", "station_name", "station_type")
-    return stations.select("station_id", _feature(geometry, properties).alias("feature"))
+    return stations.select("*", _feature(geometry, properties).alias("feature"))
 
 
 def location_features(locations: DataFrame) -> DataFrame:
     geometry = F.to_json(G.point_geojson(F.col("lon"), F.col("lat")))
-    return locations.select(
-        "id", _feature(geometry, F.struct("name", "category")).alias("feature")
-    )
+    return locations.select("*", _feature(geometry, F.struct("name", "category")).alias("feature"))
 
 
 def _feature(geometry_text, properties):

@@ -263,15 +263,14 @@ def q11_bloom_status(v: Views) -> DataFrame:
 
 @query
 def q05_station_points(v: Views) -> DataFrame:
-    points = layers.station_points(v.zones())
-    return points.join(sinks.station_features(points), "station_id").drop("position")
+    return layer_plans.station_point_features(v.zones()).drop("position")
 
 
 @query
 def q06_zone_layer(v: Views) -> DataFrame:
     windows = weather_plans.bloom_windows(v.daily(), v.plants())
     zones = weather_plans.zones_with_bloom(v.zones(), windows, v.plants(), PLANT)
-    return layer_plans.zone_layer(zones)
+    return layer_plans.zone_layer(zones).select("cell_id", "feature")
 
 
 @query
@@ -283,7 +282,7 @@ def p16_zone_tips(v: Views) -> DataFrame:
 
 @query
 def q07_simplified_zone_layer(v: Views) -> DataFrame:
-    return layer_plans.simplified_zone_layer(v.outlines())
+    return layer_plans.simplified_zone_layer(v.outlines()).select("cell_id", "feature")
 
 
 @query
@@ -315,7 +314,7 @@ def q19_locations_by_id(v: Views) -> DataFrame:
 
 @query
 def q19_location_features(v: Views) -> DataFrame:
-    return sinks.location_features(v.locations())
+    return sinks.location_features(v.locations()).select("id", "feature")
 
 
 def _pins(v: Views) -> DataFrame:

@@ -180,20 +180,21 @@ class Views:
         )
         return shaped.withColumn("bbox", G.bbox_of(F.col("polys")))
 
-    def points(self) -> DataFrame:
-        """A point per customer; some lie on zone edges."""
+    def _placed_customers(self, *columns: str) -> DataFrame:
+        """Customers with a place each; some lie on zone edges."""
         return self.table("customer").selectExpr(
-            "c_custkey AS point_id",
+            *columns,
             "21.0D + (c_custkey * 37 % 1000) / 400.0D + 2.5D * (c_custkey DIV 1500 % 16) AS lon",
             "50.0D + (c_custkey * 53 % 1000) / 400.0D + 2.5D * (c_custkey DIV 24000 % 8) AS lat",
         )
 
+    def points(self) -> DataFrame:
+        return self._placed_customers("c_custkey AS point_id")
+
     def locations(self) -> DataFrame:
-        places = self.table("customer").selectExpr(
+        return self._placed_customers(
             "c_custkey AS id", "c_name AS name", "c_mktsegment AS category"
         )
-        xy = self.points().withColumnRenamed("point_id", "id")
-        return places.join(xy, "id")
 
     def clicks(self) -> DataFrame:
         """A click per event; every tenth of the value scale is one place."""
