@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
+from bloomgrid.operators.sizing import few_rows, placed
 from bloomgrid.sources.files import MAX_URLS_PER_REQUEST
 
 QUADKEY_ZOOM = 7
@@ -67,7 +68,8 @@ def new_manifests(candidates: DataFrame, stored: DataFrame) -> DataFrame:
 def placed_links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
     """(digest, links, url, bbox) rows; `footprints` has one row per link."""
     links = sets.select("digest", F.size("urls").alias("links"), F.explode("urls").alias("url"))
-    return links.join(footprints.select("url", "bbox"), "url")
+    boxes = footprints.select("url", "bbox")
+    return links.join(placed(boxes, few_rows(boxes)), "url")
 
 
 def quadkey_index(placed: DataFrame, zoom: int = QUADKEY_ZOOM) -> DataFrame:
@@ -97,9 +99,9 @@ def manifests(sets: DataFrame, footprints: DataFrame, zoom: int = QUADKEY_ZOOM,
     The placed links are shuffled by digest once; the tile lists, their map and the extent are
     all grouped inside that partitioning. A set with a link of unknown footprint has no manifest.
     """
-    placed = placed_links(sets, footprints).repartition("digest")
+    links = placed_links(sets, footprints).repartition("digest")
     box = F.col("bbox")
-    tiles = placed.select(
+    tiles = links.select(
         "digest", "links", "url", "bbox", F.explode(G.quadkeys(box, zoom)).alias("quadkey")
     )
     per_tile = tiles.groupBy("digest", "links", "quadkey").agg(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import scenes as S
-from bloomgrid.functions.values import iso_day, number_or_zero
+from bloomgrid.functions.values import iso_day
+from bloomgrid.operators.sizing import few_rows
 
 
 def _stamp(text: str) -> Column:
@@ -173,24 +174,28 @@ def items_per_collection(items: DataFrame) -> DataFrame:
 SALTS = 64
 
 
+def _without_collections(stored: DataFrame, names: DataFrame) -> DataFrame:
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = stored.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
+    return salted.join(
+        names.select("collection", salts).hint("merge"), ["collection", "salt"], "left_anti"
+    ).drop("salt")
+
+
 def replace_collections(stored: DataFrame, load: DataFrame,
                         collections: DataFrame | None = None, order: str = "position",
                         ) -> DataFrame:
     """Catalogue after a load: its collections' old items go, its items come, last id wins.
 
     `collections` names them when a load may hold no item of one. One collection can hold much
-    of the catalogue, so the test spreads each over SALTS keys by item id.
+    of the catalogue: few names are broadcast, so nothing moves, and many are tested over SALTS
+    keys per collection.
     """
     names = (load if collections is None else collections).select("collection").distinct()
-    salted_names = names.select(
-        "collection", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    salt = F.pmod(F.hash("id"), F.lit(SALTS))
-    kept = (
-        stored.withColumn("salt", salt)
-        .join(salted_names, ["collection", "salt"], "left_anti")
-        .drop("salt")
-    )
+    if few_rows(names):
+        kept = stored.join(F.broadcast(names), "collection", "left_anti")
+    else:
+        kept = _without_collections(stored, names)
     values = [c for c in stored.columns if c not in ("id", "collection")]
     last = load.groupBy("collection", "id").agg(
         F.max_by(F.struct(*values), F.col(order)).alias("v")

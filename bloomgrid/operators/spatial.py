@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions.values import click_key, squared_distance
+from bloomgrid.operators.sizing import BROADCAST_BYTES, placed
 from bloomgrid.session import cut_lineage
 
 # Power-of-two cell sides divide without rounding, so a floor never lands one cell off.
@@ -21,17 +22,12 @@ COARSEST_LEVEL = 20
 PIN_RADIUS = 0.03
 MAX_CELL_ROWS = 64
 DEEPEST_SPLIT = 24
-BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 256
 EDGE_BYTES = 32
 
 
 def _sized(frame: DataFrame, counted_bytes: int) -> DataFrame:
-    """Broadcast what has been counted as small; sort-merge the rest, which AQE splits on skew.
-
-    The optimizer's own estimate does not see how far an index is unfolded, so it is not asked.
-    """
-    return F.broadcast(frame) if counted_bytes <= BROADCAST_BYTES else frame.hint("merge")
+    return placed(frame, counted_bytes <= BROADCAST_BYTES)
 
 
 # point in zone ----------------------------------------------------------------------------

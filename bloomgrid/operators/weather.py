@@ -100,3 +100,12 @@ def monthly_precipitation(precipitation: DataFrame) -> DataFrame:
 def annual_precipitation(monthly: DataFrame) -> DataFrame:
     """Sum over every month present, whether or not readings exist for it."""
     return monthly.groupBy("station_id", "year").agg(F.sum("precip_mm").alias("precip_annual"))
+
+
+def precipitation_by_year(monthly: DataFrame) -> DataFrame:
+    """Annual sum and month -> mm map per station and year, at most twelve entries each."""
+    entries = F.collect_list(F.struct("month", "precip_mm"))
+    return monthly.groupBy("station_id", "year").agg(
+        F.sum("precip_mm").alias("precip_annual"),
+        F.map_from_entries(entries).alias("precip_by_month"),
+    )

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from bloomgrid.functions import labels as L
 from bloomgrid.operators import layers
 from bloomgrid.operators.gdd import monthly_totals, plant_terms
-from bloomgrid.operators.weather import annual_precipitation, monthly_precipitation
+from bloomgrid.operators.sizing import few_rows, placed
+from bloomgrid.operators.weather import monthly_precipitation, precipitation_by_year
 from bloomgrid.quality import FIRST_YEAR, LAST_YEAR, check_year
 
 
@@ -33,21 +34,31 @@ def _known_requests(requests: DataFrame, zones: DataFrame) -> DataFrame:
 def _days(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame) -> DataFrame:
     """Days of every request with the GDD of its plant where there is one.
 
-    The plant is part of the join key, so days without GDD stay.
+    The plant is part of the join key, so days without GDD stay. Few requests are broadcast
+    and cut both tables down where they are read; many are merged with both tables.
     """
+    few = few_rows(requests)
     wanted = _known_requests(requests, zones)
     # A stored table brings its partition column, which then prunes by the requests' years.
     dated = daily if "year" in daily.columns else daily.withColumn("year", F.year("date"))
-    asked = dated.join(wanted, ["station_id", "year"])
-    totals = gdd.select("station_id", "plant_id", "date", "gdd_daily", "gdd_cumulative")
-    return asked.join(totals, ["station_id", "plant_id", "date"], "left")
+    asked = dated.join(placed(wanted, few), ["station_id", "year"])
+    totals = gdd if "year" in gdd.columns else gdd.withColumn("year", F.year("date"))
+    totals = totals.select(
+        "station_id", "plant_id", "year", "date", "gdd_daily", "gdd_cumulative"
+    )
+    if few:
+        keys = ["station_id", "plant_id", "year"]
+        totals = totals.join(F.broadcast(wanted.select(*keys)), keys, "left_semi")
+    return asked.join(
+        totals.hint("merge"), ["station_id", "plant_id", "year", "date"], "left"
+    )
 
 
 def monthly_rows(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame,
-                 precipitation: DataFrame) -> DataFrame:
-    """One row per request and month with readings."""
+                 ) -> DataFrame:
+    """One row per request and month with readings; every day counts, also one without values."""
     days = _days(daily, gdd, requests, zones)
-    months = days.groupBy(
+    return days.groupBy(
         "station_id", "station_name", "year", "plant_id", F.month("date").alias("month")
     ).agg(
         F.avg("t_mean").alias("t_mean"),
@@ -57,27 +68,39 @@ def monthly_rows(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: D
         F.sum("t_mean").alias("t_sum"),
         F.count("t_mean").alias("t_days"),
     )
-    rain = monthly_precipitation(precipitation)
-    return months.join(rain, ["station_id", "year", "month"], "left")
 
 
 def monthly_summaries(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame,
                       precipitation: DataFrame) -> DataFrame:
     """Document per request: annual figures and its months in order.
 
-    Annual figures come from the twelve monthly rows, not from a second pass over the days.
-    Annual precipitation counts every month on file, also months without readings.
+    Annual figures come from the twelve monthly rows, not from a second pass over the days, and
+    one join brings the precipitation of a whole station-year. Annual precipitation counts every
+    month on file, also months without readings; a month without entries stays NULL.
     """
-    months = monthly_rows(daily, gdd, requests, zones, precipitation)
-    point = F.struct("month", "t_mean", "gdd_monthly", "gdd_cumulative", "precip_mm")
+    months = monthly_rows(daily, gdd, requests, zones)
     documents = months.groupBy("station_id", "station_name", "year", "plant_id").agg(
         F.sum("day_count").alias("day_count"),
         F.try_divide(F.sum("t_sum"), F.sum("t_days")).alias("t_mean_annual"),
         F.max("gdd_cumulative").alias("gdd_max"),
-        F.array_sort(F.collect_list(point)).alias("months"),
+        F.array_sort(F.collect_list(
+            F.struct("month", "t_mean", "gdd_monthly", "gdd_cumulative")
+        )).alias("months"),
+    )
+    rain = precipitation_by_year(monthly_precipitation(precipitation))
+    point = F.transform(
+        "months",
+        lambda m: F.struct(
+            m["month"].alias("month"), m["t_mean"].alias("t_mean"),
+            m["gdd_monthly"].alias("gdd_monthly"), m["gdd_cumulative"].alias("gdd_cumulative"),
+            F.try_element_at(F.col("precip_by_month"), m["month"]).alias("precip_mm"),
+        ),
+    )
+    return (
+        documents.join(rain, ["station_id", "year"], "left")
+        .withColumn("months", point)
+        .drop("precip_by_month")
     )
-    annual = annual_precipitation(monthly_precipitation(precipitation))
-    return documents.join(annual, ["station_id", "year"], "left")
 
 
 def summary_rows(summaries: DataFrame) -> DataFrame:
@@ -120,7 +143,8 @@ def bloom_status(gdd: DataFrame, plants: DataFrame, zones: DataFrame, requests:
     values = gdd.select(
         "station_id", "plant_id", "date", "gdd_cumulative", "bloom_day", "bloom_phase"
     )
-    found = values.join(wanted, ["station_id", "plant_id", "date"]).join(names, "plant_id")
+    keys = ["station_id", "plant_id", "date"]
+    found = values.join(placed(wanted, few_rows(requests)), keys).join(names, "plant_id")
     zone = layers.first_zone(zones).select("station_id", "station_name")
     return found.join(zone, "station_id", "left").select(
         "station_id", "station_name", "date", "plant_id", "plant_name", "gdd_cumulative",

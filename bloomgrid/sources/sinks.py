@@ -15,10 +15,11 @@ def write_csv(frame: DataFrame, path: str) -> None:
 
 
 def write_history_csv(daily: DataFrame, path: str) -> None:
-    """Daily table under the collector's column names."""
+    """Daily table under the collector's column names, in station and day order."""
     names = {"station_id": "stationId", "date": "data_dnia", "t_min": "T_min", "t_max": "T_max",
              "t_mean": "T_srednia"}
-    write_csv(daily.select(*[F.col(c).alias(n) for c, n in names.items()]), path)
+    ordered = daily.orderBy("station_id", "date")
+    write_csv(ordered.select(*[F.col(c).alias(n) for c, n in names.items()]), path)
 
 
 def refresh_daily_table(frame: DataFrame, path: str) -> None:

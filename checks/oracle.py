@@ -336,6 +336,16 @@ FINAL: dict[str, str] = {
     "q03_zone_bloom_windows": """
         SELECT cell_id, station_id, bloom_start_date, bloom_end_date, bloom_tooltip
         FROM zone_windows""",
+    "q03_stored_windows": "SELECT * FROM windows",
+    "j01_planted_stations": """
+        SELECT station_id, plant_id, date, gdd_cumulative, bloom_phase
+        FROM gdd JOIN (SELECT DISTINCT 'S' || l_suppkey AS station_id,
+                              'P' || (l_linenumber % 6) AS plant_id FROM lineitem)
+        USING (station_id, plant_id)""",
+    "p05_days_of_year": "SELECT * FROM daily WHERE year(date) = 2000",
+    "p08_bloom_rows": """
+        SELECT station_id, plant_id, date, t_mean, gdd_cumulative, bloom_day
+        FROM gdd WHERE bloom_day > 0""",
     "q22_animation_frames": """
         SELECT station_id, plant_id, date, gdd_cumulative,
                CASE WHEN gdd_cumulative < gdd_min THEN '1. Przed kwitnieniem (Uśpienie)'
@@ -512,6 +522,10 @@ FINAL: dict[str, str] = {
         SELECT id, cloud_cover, href FROM matching WHERE href IS NOT NULL""",
     "q13_scene_search": """
         SELECT id, cloud_cover, datetime, href FROM ranked WHERE href IS NOT NULL""",
+    "p12_linked_scenes": """
+        SELECT id, href FROM scenes WHERE collection = 'sentinel-2-l2a' AND href IS NOT NULL""",
+    "p13_region_scenes": """
+        SELECT id, tile FROM tiled WHERE tile IN (SELECT tile FROM region_tiles)""",
     "f15_scene_names": """
         SELECT id, tile, replace(tile, 'MGRS-', '') AS short, short_platform AS platform,
                datetime[1:10] AS day
@@ -580,6 +594,10 @@ FINAL: dict[str, str] = {
             SELECT digest, count(*)::INT AS tile_keys,
                    string_agg(quadkey || '=' || urls, ';' ORDER BY quadkey || '=' || urls) AS tiles
             FROM quadkeys GROUP BY ALL) q USING (digest)""",
+    "s10_listed_urls": """
+        SELECT request_id, 'u' || (k % 7) AS url
+        FROM (SELECT o_orderkey AS request_id, unnest(range(0, o_custkey % 40)) AS k
+              FROM orders WHERE o_custkey % 40 BETWEEN 1 AND 32)""",
     "a14_request_digests": """
         SELECT request_id, digest, len(urls)::INT AS tile_count FROM request_digests""",
     "a12_quadkey_index": "SELECT * FROM quadkeys",

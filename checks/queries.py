@@ -145,6 +145,31 @@ def q03_zone_bloom_windows(v: Views) -> DataFrame:
     )
 
 
+@query
+def q03_stored_windows(v: Views) -> DataFrame:
+    stored = gd.gdd_table(v.daily(), v.plants()).drop("t_min", "t_max", "t_mean")
+    return weather_plans.stored_windows(stored, v.plants())
+
+
+@query
+def j01_planted_stations(v: Views) -> DataFrame:
+    return gd.gdd_table(v.daily(), v.plants(), v.day_requests()).select(
+        "station_id", "plant_id", "date", "gdd_cumulative", "bloom_phase"
+    )
+
+
+@query
+def p05_days_of_year(v: Views) -> DataFrame:
+    return weather.days_of_year(v.daily(), 2000)
+
+
+@query
+def p08_bloom_rows(v: Views) -> DataFrame:
+    return gd.bloom_rows(gd.gdd_table(v.daily(), v.plants())).select(
+        "station_id", "plant_id", "date", "t_mean", "gdd_cumulative", "bloom_day"
+    )
+
+
 @query
 def q22_animation_frames(v: Views) -> DataFrame:
     table = gd.gdd_table(v.daily(), v.plants())
@@ -351,6 +376,16 @@ def q13_scene_search(v: Views) -> DataFrame:
     return sc.search_scenes(v.scenes(), *SEARCH).select("id", "cloud_cover", "datetime", "href")
 
 
+@query
+def p12_linked_scenes(v: Views) -> DataFrame:
+    return sc.with_links(v.scenes()).select("id", "href")
+
+
+@query
+def p13_region_scenes(v: Views) -> DataFrame:
+    return sc.in_region(sc.with_tile(v.scenes())).select("id", "tile")
+
+
 @query
 def f15_scene_names(v: Views) -> DataFrame:
     return sc.with_tile(v.scenes()).select(
@@ -453,6 +488,11 @@ def q16_mosaic_manifests(v: Views) -> DataFrame:
     )
 
 
+@query
+def s10_listed_urls(v: Views) -> DataFrame:
+    return files.request_urls(v.url_lists())
+
+
 @query
 def a14_request_digests(v: Views) -> DataFrame:
     return mosaics.request_digests(mosaics.valid_requests(v.request_urls()))

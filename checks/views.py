@@ -344,6 +344,14 @@ class Views:
             "l_orderkey AS request_id", "concat('https://images.example/', l_suppkey, '.tif') AS url"
         )
 
+    def url_lists(self) -> DataFrame:
+        """A list of links per order, from none to more than a request may hold."""
+        return self.table("orders").selectExpr(
+            "o_orderkey AS request_id",
+            "transform(slice(sequence(0, 39), 1, CAST(o_custkey % 40 AS INT)),"
+            " k -> concat('u', k % 7)) AS urls",
+        )
+
     def footprints(self) -> DataFrame:
         box = (
             "named_struct('minx', 14.0D + 0.37D * (s_suppkey % 40),"

@@ -100,6 +100,22 @@ def test_zone_edges_and_corners_belong_to_no_zone(spark):
     assert at_points(points, zones) == {2: 0, 3: 1}
 
 
+def test_no_zones_or_no_points(spark):
+    zones = zones_of(spark, [(0, 0, 0.25, 0.25)])
+    assert at_points(points_of(spark, [(0.1, 0.1)]), zones.where("cell_id > 5")) == {}
+    assert at_points(points_of(spark, []), zones) == {}
+
+
+def test_large_sides_are_merged_not_broadcast(spark):
+    zones = zones_of(spark, [(0, 0, 0.25, 0.25)])
+    points = points_of(spark, [(0.1, 0.1)])
+    small = spatial.zones_at_points(points, zones)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in small
+    large = points.join(spatial._sized(zones.withColumnRenamed("minx", "lon"), 10**12), "lon")
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_zones_of_very_unequal_size(spark):
     rng = random.Random(3)
     boxes = []
