@@ -577,7 +577,7 @@ FINAL: dict[str, str] = {
                    l_extendedprice AS size
             FROM lineitem
             ORDER BY l_orderkey, l_linestatus, l_linenumber DESC, l_partkey DESC, l_suppkey DESC,
-                     l_extendedprice DESC)""",
+                     l_extendedprice DESC, l_shipdate DESC)""",
     "v06_search_requests": """
         SELECT search_id, last, (last - first + 1)::INT AS days,
                first || '|' || last || '|' || max_cloud AS print

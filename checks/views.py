@@ -256,7 +256,8 @@ class Views:
         return self.table("lineitem").selectExpr(
             "concat('item', l_orderkey) AS id", "concat('c-', l_linestatus) AS collection",
             "to_date(l_shipdate) AS day", "l_extendedprice AS size",
-            "named_struct('a', l_linenumber, 'b', l_partkey, 'c', l_suppkey, 'd', l_extendedprice)"
+            "named_struct('a', l_linenumber, 'b', l_partkey, 'c', l_suppkey, 'd', l_extendedprice,"
+            " 'e', l_shipdate)"
             " AS position",
         )
 
