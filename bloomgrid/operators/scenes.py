@@ -201,3 +201,17 @@ def replace_collections(stored: DataFrame, load: DataFrame,
         F.max_by(F.struct(*values), F.col(order)).alias("v")
     )
     return kept.unionByName(last.select("id", "collection", *[f"v.{c}" for c in values]))
+
+
+def upsert_by_id(stored: DataFrame, load: DataFrame, order: str = "position") -> DataFrame:
+    """Collection documents after a load: a loaded id replaces the stored one, last wins.
+
+    One grouped pick over both sides, which combines before the shuffle.
+    """
+    values = [c for c in stored.columns if c != "id"]
+    rank = F.struct(F.lit(1).alias("loaded"), F.col(order).cast("bigint").alias("at"))
+    none = F.struct(F.lit(0).alias("loaded"), F.lit(0).cast("bigint").alias("at"))
+    both = stored.select("id", F.struct(*values).alias("v"), none.alias("rank")).unionByName(
+        load.select("id", F.struct(*values).alias("v"), rank.alias("rank"))
+    )
+    return both.groupBy("id").agg(F.max_by("v", "rank").alias("v")).select("id", "v.*")

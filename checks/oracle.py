@@ -578,6 +578,13 @@ FINAL: dict[str, str] = {
             FROM lineitem
             ORDER BY l_orderkey, l_linestatus, l_linenumber DESC, l_partkey DESC, l_suppkey DESC,
                      l_extendedprice DESC, l_shipdate DESC)""",
+    "k03_upserted_documents": """
+        SELECT 'd' || c_custkey AS id, c_name AS title, c_acctbal AS size FROM customer
+        WHERE c_custkey NOT IN (SELECT o_custkey + 100 FROM orders)
+        UNION ALL
+        SELECT * FROM (SELECT DISTINCT ON (o_custkey) 'd' || (o_custkey + 100) AS id,
+                              o_orderpriority AS title, o_totalprice AS size
+                       FROM orders ORDER BY o_custkey, o_orderkey DESC)""",
     "v06_search_requests": """
         SELECT search_id, last, (last - first + 1)::INT AS days,
                first || '|' || last || '|' || max_cloud AS print

@@ -461,6 +461,11 @@ def k03_replaced_catalogue(v: Views) -> DataFrame:
     return sc.replace_collections(v.stored_items(), v.loaded_items())
 
 
+@query
+def k03_upserted_documents(v: Views) -> DataFrame:
+    return sc.upsert_by_id(v.stored_documents(), v.loaded_documents())
+
+
 @query
 def v06_search_requests(v: Views) -> DataFrame:
     last = V.clamp_end(F.col("first"), F.col("last"))

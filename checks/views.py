@@ -261,6 +261,18 @@ class Views:
             " AS position",
         )
 
+    def stored_documents(self) -> DataFrame:
+        return self.table("customer").selectExpr(
+            "concat('d', c_custkey) AS id", "c_name AS title", "c_acctbal AS size"
+        )
+
+    def loaded_documents(self) -> DataFrame:
+        """Documents loaded again, most of them often, some for the first time."""
+        return self.table("orders").selectExpr(
+            "concat('d', o_custkey + 100) AS id", "o_orderpriority AS title",
+            "o_totalprice AS size", "o_orderkey AS position",
+        )
+
     def searches(self) -> DataFrame:
         """Scene searches, some with the end before the start."""
         return self.table("orders").selectExpr(

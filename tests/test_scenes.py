@@ -149,3 +149,21 @@ def test_items_per_collection(spark):
     frame = scenes(spark, scene("a"), scene("b"), scene("c", collection="other"))
     counts = {r["collection"]: r["items"] for r in sc.items_per_collection(frame).collect()}
     assert counts == {"sentinel-2-l2a": 2, "other": 1}
+
+
+def test_upserted_documents(spark):
+    stored = spark.createDataFrame([("a", "old"), ("b", "old")], "id STRING, title STRING")
+    load = spark.createDataFrame(
+        [("b", "first", 1), ("b", None, 2), ("c", "new", 0)],
+        "id STRING, title STRING, position INT")
+    rows = sorted(tuple(r) for r in sc.upsert_by_id(stored, load).collect())
+    assert rows == [("a", "old"), ("b", None), ("c", "new")]
+
+
+def test_many_collections_are_replaced_by_salted_merge(spark):
+    schema = "id STRING, collection STRING, v INT"
+    stored = spark.createDataFrame([(f"i{k}", "xy"[k % 2], k) for k in range(200)], schema)
+    names = spark.createDataFrame([("x",)], "collection STRING")
+    kept = sc._without_collections(stored, names)
+    assert {r["collection"] for r in kept.collect()} == {"y"} and kept.count() == 100
+    assert "SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()
