@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
@@ -104,7 +104,7 @@ def _halved(crowded: DataFrame) -> DataFrame:
 def relieve_cells(cells: DataFrame, most: int = MAX_CELL_ROWS) -> DataFrame:
     """Halve cells until none holds more than `most` zones, as far as halving helps.
 
-    Each round reads one yes or no to the driver. Layers that divide the land need no round.
+    Each round reads one yes or no to the driver.
     """
     cell = ["level", "gx", "gy"]
     for _ in range(DEEPEST_SPLIT):
@@ -117,6 +117,19 @@ def relieve_cells(cells: DataFrame, most: int = MAX_CELL_ROWS) -> DataFrame:
     return cells
 
 
+def _index_census(cells: DataFrame) -> Row:
+    """Levels in use, size in bytes and zones in the fullest cell, in one job on the zone side."""
+    size = F.lit(ROW_BYTES) + F.size("edges") * F.lit(EDGE_BYTES)
+    per_cell = cells.groupBy("level", "gx", "gy").agg(
+        F.count("*").alias("zones"), F.sum(size).alias("bytes")
+    )
+    return per_cell.agg(
+        F.array_sort(F.collect_set("level")).alias("levels"),
+        F.sum("bytes").alias("bytes"),
+        F.max("zones").alias("peak"),
+    ).first()
+
+
 def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id") -> DataFrame:
     """The containing zone with the lowest cell_id per point; points in no zone have no row.
 
@@ -124,14 +137,11 @@ def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id")
     per power of two of cell size), lies in exactly one cell of each, and so never meets a zone
     twice.
     """
-    cells = relieve_cells(zone_cells(zones))
-    # One small job on the zone side: which levels exist and how large the index is.
-    census = cells.agg(
-        F.array_sort(F.collect_set("level")).alias("levels"),
-        F.coalesce(
-            F.sum(F.lit(ROW_BYTES) + F.size("edges") * F.lit(EDGE_BYTES)), F.lit(0)
-        ).alias("bytes"),
-    ).first()
+    cells = zone_cells(zones)
+    census = _index_census(cells)
+    if (census["peak"] or 0) > MAX_CELL_ROWS:
+        cells = relieve_cells(cells)
+        census = _index_census(cells)
     levels = F.array(*[F.lit(level) for level in census["levels"]]).cast("array<int>")
     probes = (
         points.select(key, "lon", "lat", F.explode(levels).alias("level"))
@@ -145,7 +155,8 @@ def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id")
     inside = F.when(F.col("whole"), True).when(
         near, G.edges_contain(F.col("edges"), F.col("lon"), F.col("lat"))
     )
-    hits = probes.join(_sized(cells, census["bytes"]), ["level", "gx", "gy"]).where(inside)
+    held = _sized(cells, census["bytes"] or 0)
+    hits = probes.join(held, ["level", "gx", "gy"]).where(inside)
     return hits.groupBy(key).agg(F.min("zone").alias("zone")).select(key, "zone.*")
 
 
@@ -173,7 +184,9 @@ def _fullest_cells(places: DataFrame, side: float, first: int, last: int) -> lis
     )
     size = F.lit(side) / F.pow(F.lit(2.0), F.col("level"))
     counts = levels.groupBy(
-        "level", F.floor(F.col("slon") / size).alias("gx"), F.floor(F.col("slat") / size).alias("gy")
+        "level",
+        F.floor(F.col("slon") / size).alias("gx"),
+        F.floor(F.col("slat") / size).alias("gy"),
     ).count()
     peaks = counts.groupBy("level").agg(F.sum("count").alias("all"), F.max("count").alias("peak"))
     return [(row["all"], row["peak"]) for row in peaks.orderBy("level").collect()]

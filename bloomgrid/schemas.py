@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-READING = "station_id STRING, measured_at STRING, air_temperature DOUBLE"
-
 READING_PAGE = (
     "content ARRAY<STRUCT<stationId: STRING, measurementDate: STRING, airTemperature: DOUBLE>>"
 )
@@ -50,12 +48,6 @@ POLYGONS = "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
 POLYGON = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
 BBOX = "STRUCT<minx: DOUBLE, miny: DOUBLE, maxx: DOUBLE, maxy: DOUBLE>"
 
-ZONE = (
-    "cell_id INT, station_id STRING, station_name STRING, area_ha DOUBLE, "
-    "bloom_start_date DATE, bloom_end_date DATE, bloom_tooltip STRING, "
-    f"geom_type STRING, polys {POLYGONS}, bbox {BBOX}"
-)
-
 STAC_COLLECTION = (
     "id STRING, stac_version STRING, title STRING, description STRING, license STRING, "
     "extent STRUCT<spatial: STRUCT<bbox: ARRAY<ARRAY<DOUBLE>>>, "

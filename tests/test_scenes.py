@@ -10,9 +10,6 @@ from bloomgrid.functions import scenes as S
 from bloomgrid.operators import scenes as sc
 from bloomgrid.plans import scenes as plans
 
-FIELDS = ("id", "collection", "acquired_at", "datetime", "minx", "miny", "maxx", "maxy",
-          "grid_code", "cloud_cover", "nodata_pct", "platform", "assets")
-
 
 def scene(id, code="MGRS-34UEB", cloud=1.0, nodata=0.0, day="2024-08-28T10:00:00",
           href="h", collection="sentinel-2-l2a", box=(22.0, 51.0, 23.0, 52.0), platform=None):
