@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +25,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A one-process session for tests and the benchmark; clusters bring their own."""
+    """A one-process session for tests and the benchmark; clusters bring their own.
+
+    The heap is $BLOOMGRID_HEAP, 8 GB unless set.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("bloomgrid")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("BLOOMGRID_HEAP", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -37,13 +42,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """The frame, written to the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one in spark.checkpoint.dir.
 
-    A scratch folder is set only where the session has none, as in local tests.
+    Where none is named, a one-process session gets a scratch folder; a cluster is refused,
+    because a machine's own folder is not seen by the others.
     """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder all machines share")
+        folder = tempfile.mkdtemp(prefix="bloomgrid-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """The frame, written as a table to the shared folder and read again."""
     spark = frame.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bloomgrid-"))
-    return frame.checkpoint()
+    place = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(place)
+    return spark.read.schema(frame.schema).parquet(place)
