@@ -157,11 +157,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, n_links.
-
-    n_links counts the texts confirmed as linked with the row's own class on the way; equal
-    sets count once.
-    """
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     rows = cut_lineage(signatures(documents, width))
     classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     first = classes.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -188,10 +184,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .join(centres.alias("t"), "key")
         .where((F.col("s.id") != F.col("t.id")) & (_unlike("s", "t") <= UNLIKE_BITS))
         .groupBy(F.col("s.id").alias("u"))
-        .agg(F.min(F.struct(_unlike("s", "t").alias("unlike"), F.col("t.id").alias("v"))).alias("m"))
+        .agg(
+            F.min(F.struct(_unlike("s", "t").alias("unlike"), F.col("t.id").alias("v"))).alias("m")
+        )
         .select("u", F.col("m.v").alias("v"))
     )
-    pairs = cut_lineage(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    pairs = cut_lineage(
+        near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    )
     links = cut_lineage(confirmed(pairs, _sets_of(documents, pairs, width), percent))
     labels = components.connected(links)
 
@@ -218,23 +218,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     )
     pairs = cut_lineage(rest)
     more = cut_lineage(confirmed(pairs, _sets_of(documents, pairs, width), percent))
-    every = links.unionByName(more).distinct()
-    labels = components.connected(every)
-    degrees = (
-        every.select(F.explode(F.array("u", "v")).alias("rep"))
-        .groupBy("rep").agg(F.count("*").alias("n_links"))
-    )
-    named = first.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(
-        degrees, "rep", "left"
-    ).select(
-        "set_key", F.coalesce("label", "rep").alias("component"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    labels = components.connected(links.unionByName(more))
+    named = first.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "set_key", F.coalesce("label", "rep").alias("component")
     )
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
         component.eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
