@@ -44,12 +44,12 @@ WITH RECURSIVE words AS (
 ), links AS (
   SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
   WHERE 100 * shared >= 80 * (p.n + q.n - shared)
-), both AS (
+), edges AS (
   SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach AS (
   SELECT doc_id AS x, doc_id AS y FROM documents
   UNION
-  SELECT reach.x, both.y FROM reach JOIN both ON reach.y = both.x
+  SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x
 ), least AS (
   SELECT x, min(y) AS component_id FROM reach GROUP BY x
 )
