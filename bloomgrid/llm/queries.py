@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bloomgrid.llm import neardup
+from bloomgrid.llm import bpe, compression, language, neardup, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
@@ -57,3 +63,34 @@ SELECT words.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id,
        words.doc_id = component_id AS kept
 FROM words LEFT JOIN sizes USING (doc_id) JOIN least ON least.x = words.doc_id
 """
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"))
+
+
+@query
+def op4_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(bpe.encode_decode(table(spark, folder, "documents")))
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judged(table(spark, folder, "documents"))
+
+
+@query
+def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return compression.classified(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
