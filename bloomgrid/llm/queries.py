@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bloomgrid.llm import bpe, compression, language, neardup, quality_rules, token_counts
+from bloomgrid.llm import (
+    bpe,
+    compression,
+    language,
+    license_scan,
+    neardup,
+    quality_rules,
+    token_counts,
+    url_rules,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,6 +98,86 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
 
 
+@query
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judged(table(spark, folder, "pages"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SQL["op8_url_filters"] = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail
+  FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(regexp_extract(tail, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+), rules(verdict, rule_host, rule_path) AS (VALUES %s
+), fits AS (
+  SELECT DISTINCT host, path, verdict, rule_host || rule_path AS rule, rule_host
+  FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (
+  SELECT * FROM fits
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, length(rule_host) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN %s THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (host, path)
+""" % (
+    ", ".join(
+        f"({_sql_text(r.verdict)}, {_sql_text(r.host)}, {_sql_text(r.path)})" for r in url_rules.HOST_RULES
+    ),
+    " OR ".join(
+        f"regexp_matches(host || chr(10) || path, {_sql_text(r.pattern)})" for r in url_rules.PATTERN_RULES
+    ),
+)
+
+
+@query
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scanned(table(spark, folder, "documents"))
+
+
+SQL["op9_license_scan"] = r"""
+WITH templates(name, body) AS (VALUES %s
+), template_words AS (
+  SELECT name, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates
+), template_sets AS (
+  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  FROM template_words
+), texts AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents
+), units AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS place, parts[place] AS body FROM texts
+  UNION ALL SELECT doc_id, 0, text FROM texts
+), unit_words AS (
+  SELECT doc_id, place, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w
+  FROM units
+), unit_sets AS (
+  SELECT doc_id, place,
+    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  FROM unit_words WHERE len(w) > 1
+), alike AS (
+  SELECT doc_id, place, name,
+    2.0::DOUBLE * len(list_intersect(u.grams, t.grams)) / (len(u.grams) + len(t.grams)) AS dice
+  FROM unit_sets u JOIN template_sets t ON list_has_any(u.grams, t.grams)
+), hits AS (
+  SELECT * FROM alike WHERE dice >= 0.7
+), best AS (
+  SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice,
+    count(DISTINCT place) FILTER (WHERE place > 0) AS n
+  FROM hits GROUP BY doc_id
+)
+SELECT doc_id, license, dice, coalesce(n, 0)::BIGINT AS n_notices FROM documents LEFT JOIN best USING (doc_id)
+""" % ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in license_scan.TEMPLATES.items())
+
+
 @query
 def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return compression.classified(
