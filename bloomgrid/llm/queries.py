@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bloomgrid.llm import (
     bpe,
     compression,
+    decontaminate,
     language,
     license_scan,
     neardup,
@@ -98,6 +99,53 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
 
 
+@query
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ).drop("key")
+
+
+SQL["op7_benchmark_decontamination"] = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), item_starts AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS phrase, least(len(w), 10) AS size
+  FROM item_starts
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), doc_starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i, size
+  FROM doc_words CROSS JOIN (SELECT DISTINCT size FROM windows)
+), phrases AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM doc_starts WHERE i + size - 1 <= len(w)
+), hits AS (
+  SELECT doc_id, i, size, item_id FROM phrases JOIN windows USING (phrase, size)
+), hit_words AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS at FROM hits
+), hit_counts AS (
+  SELECT doc_id, count(*) AS n_hit FROM hit_words GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS digest
+  FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_counts USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 @query
 def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(table(spark, folder, "pages"))
