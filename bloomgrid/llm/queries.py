@@ -11,6 +11,7 @@ from bloomgrid.llm import (
     bpe,
     compression,
     decontaminate,
+    html_blocks,
     language,
     license_scan,
     neardup,
@@ -94,6 +95,12 @@ def digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_blocks.extracted(pages, html_blocks.train(pages))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
