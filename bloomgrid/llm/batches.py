@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at a time; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -41,7 +42,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def map_texts(
     frame: DataFrame,
-    schema: str,
+    schema: str | StructType,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     text: str = "text",
 ) -> DataFrame:

@@ -160,6 +160,23 @@ def scored(documents: DataFrame, model: Model | None) -> DataFrame:
     )
 
 
+def accepted(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The documents, all columns, whose score is at least 0.5; without a model, all of them."""
+    if model is None:
+        return documents
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, offsets = text_buffers(batch.column("text"))
+        content = raw.tobytes()
+        values = np.array([
+            measure(model.good, model.bad, content[a:b])
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True)
+        ])
+        return batch.filter(pa.array(model.scores(values, np.diff(offsets)) >= 0.5))
+
+    return map_texts(documents, documents.schema, run)
+
+
 def classified(
     documents: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, size: int = SAMPLE_TEXTS
 ) -> DataFrame:

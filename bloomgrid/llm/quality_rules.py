@@ -198,31 +198,41 @@ def known_languages(frame: DataFrame) -> list[tuple]:
     return found
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """Per row: doc_id, base statistics, base_failed, kept, class_distance, word_distance."""
-    known = known_languages(references(documents))
+class Judge:
+    """Judges slices of texts against the known languages."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw, offsets = text_buffers(batch.column("text"))
+    def __init__(self, known: list[tuple]):
+        self.known = known
+
+    def __call__(self, column: pa.Array) -> dict[str, pa.Array]:
+        raw, offsets = text_buffers(column)
         found = words.find(raw, offsets, words.SPACED, lower=True)
         facts = base_statistics(raw, offsets, found)
         failed = base_failed(facts["n_words"], facts["n_repeat_words"])
+        told = {name: pa.array(values, pa.int64()) for name, values in facts.items()}
+        none = pa.nulls(len(failed), pa.float64())
+        if not self.known:
+            return told | {
+                "base_failed": pa.array(failed), "kept": pa.array(~failed),
+                "class_distance": none, "word_distance": none,
+            }
         classes, slots = histograms(raw, offsets, found)
-        first, second = nearest_distances(classes, slots, found.borders, known)
-        unlike = known and (
-            ((classes.sum(axis=1) >= MIN_CHARS) & (first > CLASS_DISTANCE))
-            | ((facts["n_words"] >= MIN_WORDS) & (second > WORD_DISTANCE))
-        )
-        kept = ~failed & ~unlike if known else ~failed
-        return pa.record_batch(
-            [
-                batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in facts.values()),
-                pa.array(failed), pa.array(kept),
-                pa.array(first if known else [None] * len(first), pa.float64()),
-                pa.array(second if known else [None] * len(first), pa.float64()),
-            ],
-            names=["doc_id", *facts, "base_failed", "kept", "class_distance", "word_distance"],
-        )
+        first, second = nearest_distances(classes, slots, found.borders, self.known)
+        unlike = (classes.sum(axis=1) >= MIN_CHARS) & (first > CLASS_DISTANCE)
+        unlike |= (facts["n_words"] >= MIN_WORDS) & (second > WORD_DISTANCE)
+        return told | {
+            "base_failed": pa.array(failed), "kept": pa.array(~failed & ~unlike),
+            "class_distance": pa.array(first), "word_distance": pa.array(second),
+        }
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """Per row: doc_id, base statistics, base_failed, kept, class_distance, word_distance."""
+    judge = Judge(known_languages(references(documents)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        told = judge(batch.column("text"))
+        return pa.record_batch([batch.column("doc_id"), *told.values()], names=["doc_id", *told])
 
     return map_texts(
         documents.select("doc_id", "text"),
@@ -231,3 +241,13 @@ def judged(documents: DataFrame) -> DataFrame:
         "word_distance double",
         run,
     )
+
+
+def accepted(documents: DataFrame) -> DataFrame:
+    """The documents, all columns, that the rules keep."""
+    judge = Judge(known_languages(references(documents)))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(judge(batch.column("text"))["kept"])
+
+    return map_texts(documents, documents.schema, run)
