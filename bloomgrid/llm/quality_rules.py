@@ -118,7 +118,7 @@ def references(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, "text"):
                 raw, offsets = text_buffers(piece.column("text"))
-                found = words.find(raw, offsets, words.SPACED, lower=True)
+                found = words.find(raw, offsets, words.SPACED, lower=False)
                 facts = base_statistics(raw, offsets, found)
                 good = ~base_failed(facts["n_words"], facts["n_repeat_words"])
                 classes, slots = histograms(raw, offsets, found)
@@ -206,7 +206,7 @@ class Judge:
 
     def __call__(self, column: pa.Array) -> dict[str, pa.Array]:
         raw, offsets = text_buffers(column)
-        found = words.find(raw, offsets, words.SPACED, lower=True)
+        found = words.find(raw, offsets, words.SPACED, lower=False)
         facts = base_statistics(raw, offsets, found)
         failed = base_failed(facts["n_words"], facts["n_repeat_words"])
         told = {name: pa.array(values, pa.int64()) for name, values in facts.items()}
