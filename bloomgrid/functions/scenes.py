@@ -19,7 +19,6 @@ TILE_PREFIX = "MGRS-"
 PLATFORMS = {"sentinel-2a": "S2A", "sentinel-2b": "S2B", "sentinel-2c": "S2C"}
 SCENE_COLLECTION = "sentinel-2-l2a"
 REGION_BBOX = (21.5, 50.2, 24.2, 52.3)
-SCENE_LIMIT = 500
 PARTIAL_NODATA_PCT = 5.0
 
 

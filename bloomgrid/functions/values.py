@@ -34,8 +34,11 @@ def squared_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def reading_day(stamp: Column) -> Column:
-    """Calendar day of an ISO stamp as written, whatever the session's zone is."""
-    return F.to_date(stamp.try_cast("timestamp_ntz"))
+    """Calendar day of an ISO stamp as written, whatever the session's zone is.
+
+    Text that is no stamp fails the job.
+    """
+    return F.to_date(stamp.cast("timestamp_ntz"))
 
 
 def iso_day(stamp: Column) -> Column:
@@ -76,6 +79,39 @@ def search_fingerprint(start: Column, end: Column, max_cloud: Column) -> Column:
     )
 
 
+def five_decimals(value: Column) -> Column:
+    """The exact binary value (up to 180) as text with five decimals, ties to the even digit.
+
+    The value is taken apart in units so small that every double of its size is a whole number of
+    them, and rounded in decimal arithmetic; below 2^-23 all values round to zero. Spark's own
+    formatting rounds the shortest digits, which differs at ties.
+    """
+    size_of = F.abs(value)
+    scales = (55, 2.0**-3), (65, 2.0**-13), (75, 0.0)
+
+    def by_size(of) -> Column:
+        (first, least), (second, less), (third, _) = scales
+        return F.when(size_of >= least, of(first)).when(size_of >= less, of(second)).otherwise(of(third))
+
+    size = by_size(lambda bits: F.lit(str(2**bits)).cast("decimal(23,0)"))
+    scaled = size_of * by_size(lambda bits: F.lit(2.0**bits))
+    units = F.floor(scaled)
+    more = scaled > units
+    product = units.cast("decimal(38,0)") * F.lit(100_000).cast("decimal(6,0)")
+    whole = F.floor(product / size).cast("decimal(38,0)")
+    rest = (product - whole * size).cast("decimal(38,0)")
+    # a quotient that was rounded up to the next whole number is taken back
+    whole, rest = F.when(rest < 0, whole - 1).otherwise(whole), F.when(rest < 0, rest + size).otherwise(rest)
+    twice = rest * 2
+    up = (twice > size) | ((twice == size) & (more | (whole % 2 == 1)))
+    number = (whole + F.when(up, 1).otherwise(0)).cast("bigint")
+    minus = F.when((value < 0) | F.startswith(value.cast("string"), F.lit("-")), "-").otherwise("")
+    return F.concat(
+        minus, F.floor(number / 100_000).cast("bigint").cast("string"),
+        F.lit("."), F.lpad((number % 100_000).cast("string"), 5, "0"),
+    )
+
+
 def click_key(lon: Column, lat: Column) -> Column:
     """Place of a click, to five decimals."""
-    return F.format_string("%.5f,%.5f", lat, lon)
+    return F.concat(five_decimals(lat), F.lit(","), five_decimals(lon))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import labels as L
 from bloomgrid.functions.values import round2
 
-MAX_PLANTS = 1_000
+PLANTS_PER_BLOCK = 1_000
 
 
 def plant_terms(plants: DataFrame) -> DataFrame:
@@ -21,47 +21,48 @@ def plant_terms(plants: DataFrame) -> DataFrame:
     )
 
 
-def _plant_list(plants: DataFrame) -> Column:
-    """The dictionary as one array value; fails beyond MAX_PLANTS instead of growing."""
-    terms = plant_terms(plants)
-    n = terms.agg(F.count("*").alias("n")).select(
-        F.when(F.col("n") <= MAX_PLANTS, F.col("n")).otherwise(
-            F.raise_error(F.lit("plant dictionary too large; pass plantings instead"))
-        )
-    )
-    bounded = terms.where(F.lit(0) <= n.scalar())
-    return bounded.agg(F.collect_list(F.struct(*terms.columns)).alias("terms")).scalar()
-
-
 def with_plants(daily: DataFrame, plants: DataFrame, plantings: DataFrame | None = None,
                 ) -> DataFrame:
     """Daily rows once per plant.
 
-    Without `plantings` every plant of a bounded dictionary applies to every station: the
-    dictionary is one array value that each task unfolds, no join and no shuffle. With
-    `plantings` (station_id, plant_id) the pairs come from equality joins of any size.
+    Without `plantings` every plant of the dictionary applies to every station. The dictionary is
+    dealt to blocks of about PLANTS_PER_BLOCK, each day is unfolded per block, and an equality
+    join on the block brings the plants, so that a dictionary of any size is an ordinary side of
+    a join. With `plantings` (station_id, plant_id) the pairs come from equality joins.
     """
-    if plantings is None:
-        return daily.select("*", F.inline(_plant_list(plants)))
-    pairs = plantings.select("station_id", "plant_id").distinct()
-    return daily.join(pairs.join(plant_terms(plants), "plant_id"), "station_id")
+    terms = plant_terms(plants)
+    if plantings is not None:
+        pairs = plantings.select("station_id", "plant_id").distinct()
+        return daily.join(pairs.join(terms, "plant_id"), "station_id")
+    blocks = terms.agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(PLANTS_PER_BLOCK)), F.lit(1)).cast("int").alias("n")
+    ).scalar()
+    dealt = terms.withColumn("_block", F.pmod(F.hash("plant_id"), blocks))
+    unfolded = daily.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return unfolded.join(dealt, "_block").drop("_block")
 
 
 def growing_degree_days(daily: DataFrame, plants: DataFrame, plantings: DataFrame | None = None,
                         ) -> DataFrame:
     """Daily and cumulative GDD, bloom day and phase per station, plant and day.
 
-    The sum restarts every year and skips days without a mean, which keep a NULL total.
-    Bloom days count the rows with gdd_min < total <= gdd_max; the phase is `blooming` from
-    gdd_min on, both ends included. Daily rows are shuffled once, by station and year, before
-    they are unfolded per plant; the window groups lie inside that partitioning and hold at
-    most 366 rows each.
+    Daily rows are shuffled once, by station and year, before they are unfolded per plant; where
+    the plants are few enough to be sent to the tasks, the windows lie inside that partitioning.
     """
     by_year = daily.withColumn("year", F.year("date")).repartition("station_id", "year")
-    rows = with_plants(by_year, plants, plantings)
+    return degree_days(with_plants(by_year, plants, plantings))
+
 
+def degree_days(rows: DataFrame) -> DataFrame:
+    """GDD columns for daily rows that carry `year`, `plant_id` and the plant's terms.
+
+    The sum restarts every year and skips days without a mean, which keep a NULL total.
+    Bloom days count the rows with gdd_min < total <= gdd_max; the phase is `blooming` from
+    gdd_min on, both ends included. Rows without terms (an unknown plant) have NULL values. The
+    window groups hold at most 366 rows each.
+    """
     excess = F.when(
-        F.col("t_mean").isNotNull(),
+        F.col("t_mean").isNotNull() & F.col("base_temp_c").isNotNull(),
         round2(F.greatest(F.col("t_mean") - F.col("base_temp_c"), F.lit(0.0))),
     )
     upto = (
@@ -83,6 +84,18 @@ def growing_degree_days(daily: DataFrame, plants: DataFrame, plantings: DataFram
     )
 
 
+def requested_degree_days(daily: DataFrame, plants: DataFrame, requests: DataFrame) -> DataFrame:
+    """Degree days of the asked station-years and plants only.
+
+    `requests`: distinct station_id, year, plant_id (further columns come along). They cut the
+    daily rows before any sum is made, and one join brings request, day and terms together; the
+    windows lie inside its partitioning. Plants that the dictionary lacks have NULL values.
+    """
+    dated = daily if "year" in daily.columns else daily.withColumn("year", F.year("date"))
+    wanted = requests.join(plant_terms(plants), "plant_id", "left")
+    return degree_days(dated.join(wanted, ["station_id", "year"]))
+
+
 GDD_COLUMNS = (
     "station_id", "plant_id", "date", "t_min", "t_max", "t_mean",
     "gdd_daily", "gdd_cumulative", "bloom_day", "bloom_phase",

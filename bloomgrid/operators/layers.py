@@ -81,14 +81,16 @@ def with_windows(zones: DataFrame, windows: DataFrame, plants: DataFrame, plant_
     dates = windows.where(F.col("plant_id") == plant_id).select(
         "station_id", "bloom_start_date", "bloom_end_date"
     )
-    name = plants.where(F.col("id") == plant_id).select("name_pl").scalar()
+    named = plants.where(F.col("id") == plant_id).agg(F.max("name_pl").alias("name"))
+    unknown = F.raise_error(F.lit(f"no plant {plant_id}")).cast("string")
+    name = named.select(F.coalesce("name", unknown)).scalar()
     kept = [c for c in zones.columns if not c.startswith("bloom_")]
     joined = zones.select(*kept).join(dates, "station_id", "left")
     text = L.bloom_tooltip(name, F.col("bloom_start_date"), F.col("bloom_end_date"))
     return joined.withColumn("bloom_tooltip", F.coalesce(text, L.no_bloom_tooltip(name)))
 
 
-def first_features(zones: DataFrame, n: int = 5) -> DataFrame:
+def first_features(zones: DataFrame, n: int) -> DataFrame:
     """The first rows of the layer by cell_id, as listed in a preview."""
     return zones.orderBy("cell_id", "station_id").limit(n).select(
         "cell_id", "station_name", "station_id",

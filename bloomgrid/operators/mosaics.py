@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
-from bloomgrid.operators.sizing import few_rows, placed
-from bloomgrid.sources.files import MAX_URLS_PER_REQUEST
 
 QUADKEY_ZOOM = 7
 MAX_ZOOM = 13
-SALTS = 16
 
 
 def url_set(urls: Column) -> Column:
@@ -23,24 +20,17 @@ def set_digest(urls: Column) -> Column:
     return F.substring(F.sha2(F.array_join(url_set(urls), "|"), 256), 1, 16)
 
 
-def valid_requests(request_urls: DataFrame) -> DataFrame:
-    """Requests of 1 to 32 links as (request_id, urls), links distinct and ordered.
+def link_lists(request_urls: DataFrame) -> DataFrame:
+    """Requests as (request_id, urls), links distinct and ordered, however many there are.
 
-    `request_urls`: request_id, url, one row per listed link. Larger requests are refused as a
-    whole before anything is gathered per request: their rows are spread over SALTS keys for
-    the test, so that one huge request never lands in one task, and only lists of at most 32
-    links are built.
+    `request_urls`: request_id, url, one row per listed link. Repeated links of a request are
+    merged before the shuffle. Whoever wants to refuse a request for its number of links asks
+    `quality.refused_requests` first.
     """
     listed = request_urls.where(F.col("url").isNotNull()).select("request_id", "url")
-    sizes = listed.groupBy("request_id").agg(F.count("*").alias("links"))
-    refused = sizes.where(F.col("links") > MAX_URLS_PER_REQUEST).select(
-        "request_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    salted = listed.withColumn("salt", F.pmod(F.hash("url"), F.lit(SALTS)))
     return (
-        salted.join(refused, ["request_id", "salt"], "left_anti")
-        .groupBy("request_id")
-        .agg(F.array_sort(F.collect_set("url")).alias("urls"))
+        listed.distinct().groupBy("request_id")
+        .agg(F.array_sort(F.collect_list("url")).alias("urls"))
     )
 
 
@@ -65,15 +55,31 @@ def new_manifests(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return candidates.join(stored.select("digest"), "digest", "left_anti")
 
 
-def placed_links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
-    """(digest, links, url, bbox) rows; `footprints` has one row per link."""
+def _links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
     links = sets.select("digest", F.size("urls").alias("links"), F.explode("urls").alias("url"))
-    boxes = footprints.select("url", "bbox")
-    return links.join(placed(boxes, few_rows(boxes)), "url")
+    return links.join(footprints.select("url", "bbox"), "url", "left")
+
+
+def incomplete_sets(sets: DataFrame, footprints: DataFrame) -> DataFrame:
+    """Sets with links of unknown footprint, and these links in order."""
+    unknown = _links(sets, footprints).where(F.col("bbox").isNull())
+    return unknown.groupBy("digest", "links").agg(
+        F.array_sort(F.collect_list("url")).alias("missing")
+    )
+
+
+def placed_links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
+    """(digest, links, url, bbox) rows of complete sets; `footprints` has one row per link.
+
+    A set that lacks a footprint has no rows at all, so that neither its index nor its extent
+    is built from a part of it.
+    """
+    lacking = incomplete_sets(sets, footprints).select("digest")
+    return _links(sets.join(lacking, "digest", "left_anti"), footprints)
 
 
 def quadkey_index(placed: DataFrame, zoom: int = QUADKEY_ZOOM) -> DataFrame:
-    """Ordered links per set and quadkey; a set has at most 32 links, so a list has too."""
+    """Ordered links per set and quadkey; a list is at most as long as its set's."""
     tiles = placed.select("digest", "url", F.explode(G.quadkeys(F.col("bbox"), zoom)).alias("quadkey"))
     return tiles.groupBy("digest", "quadkey").agg(
         F.array_sort(F.collect_set("url")).alias("urls")
@@ -97,25 +103,25 @@ def manifests(sets: DataFrame, footprints: DataFrame, zoom: int = QUADKEY_ZOOM,
     """Full manifest per link set.
 
     The placed links are shuffled by digest once; the tile lists, their map and the extent are
-    all grouped inside that partitioning. A set with a link of unknown footprint has no manifest.
+    all grouped inside that partitioning. Sets with a link of unknown footprint are named by
+    `incomplete_sets` and have no manifest.
     """
     links = placed_links(sets, footprints).repartition("digest")
     box = F.col("bbox")
     tiles = links.select(
-        "digest", "links", "url", "bbox", F.explode(G.quadkeys(box, zoom)).alias("quadkey")
+        "digest", "url", "bbox", F.explode(G.quadkeys(box, zoom)).alias("quadkey")
     )
-    per_tile = tiles.groupBy("digest", "links", "quadkey").agg(
+    per_tile = tiles.groupBy("digest", "quadkey").agg(
         F.array_sort(F.collect_set("url")).alias("urls"),
         F.min(box["minx"]).alias("minx"), F.min(box["miny"]).alias("miny"),
         F.max(box["maxx"]).alias("maxx"), F.max(box["maxy"]).alias("maxy"),
     )
-    per_set = per_tile.groupBy("digest", "links").agg(
+    per_set = per_tile.groupBy("digest").agg(
         F.min("minx").alias("minx"), F.min("miny").alias("miny"),
         F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("quadkey", "urls")))).alias("tiles"),
     )
-    found = F.size(F.array_distinct(F.flatten(F.map_values("tiles"))))
-    return per_set.where(found == F.col("links")).select(
+    return per_set.select(
         "digest",
         F.lit(zoom).alias("minzoom"),
         F.lit(max_zoom).alias("maxzoom"),

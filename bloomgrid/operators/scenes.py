@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bloomgrid.functions import scenes as S
 from bloomgrid.functions.values import iso_day
-from bloomgrid.operators.sizing import few_rows
 
 
 def _stamp(text: str) -> Column:
@@ -36,12 +35,12 @@ def search_scenes(
     last: dt.date,
     max_cloud: float,
     bbox: tuple[float, float, float, float] = S.REGION_BBOX,
-    limit: int | None = S.SCENE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Ranked scenes: clearest first, at most `limit`, then only those with an image link.
+    """Scenes that match and have an image link; their rank is by (cloud_cover, id).
 
-    The limit comes before the link test, as the search result does. Every other filter is a
-    comparison on a stored column and reaches the scan. Rank is by (cloud_cover, id).
+    All of them, unless the caller asks for one page: then the `limit` clearest are taken before
+    the link test. Every other filter is a comparison on a stored column and reaches the scan.
     """
     if last < first:
         last = first
@@ -171,35 +170,21 @@ def items_per_collection(items: DataFrame) -> DataFrame:
     return items.groupBy("collection").agg(F.count("*").alias("items"))
 
 
-SALTS = 64
-
-
-def _without_collections(stored: DataFrame, names: DataFrame) -> DataFrame:
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = stored.withColumn("salt", F.pmod(F.hash("id"), F.lit(SALTS)))
-    return salted.join(
-        names.select("collection", salts).hint("merge"), ["collection", "salt"], "left_anti"
-    ).drop("salt")
-
-
 def replace_collections(stored: DataFrame, load: DataFrame,
                         collections: DataFrame | None = None, order: str = "position",
                         ) -> DataFrame:
     """Catalogue after a load: its collections' old items go, its items come, last id wins.
 
-    `collections` names them when a load may hold no item of one. One collection can hold much
-    of the catalogue: few names are broadcast, so nothing moves, and many are tested over SALTS
-    keys per collection.
+    `collections` names them when a load may hold no item of one; it is the catalogue's own list
+    of collections, or the load's. The planner sends a short list to the stored items, and splits
+    a long one's join where one collection holds much of the catalogue.
     """
-    names = (load if collections is None else collections).select("collection").distinct()
-    if few_rows(names):
-        kept = stored.join(F.broadcast(names), "collection", "left_anti")
-    else:
-        kept = _without_collections(stored, names)
     values = [c for c in stored.columns if c not in ("id", "collection")]
     last = load.groupBy("collection", "id").agg(
         F.max_by(F.struct(*values), F.col(order)).alias("v")
     )
+    names = (last if collections is None else collections).select("collection").distinct()
+    kept = stored.join(names, "collection", "left_anti")
     return kept.unionByName(last.select("id", "collection", *[f"v.{c}" for c in values]))
 
 
@@ -209,8 +194,10 @@ def upsert_by_id(stored: DataFrame, load: DataFrame, order: str = "position") ->
     One grouped pick over both sides, which combines before the shuffle.
     """
     values = [c for c in stored.columns if c != "id"]
-    rank = F.struct(F.lit(1).alias("loaded"), F.col(order).cast("bigint").alias("at"))
-    none = F.struct(F.lit(0).alias("loaded"), F.lit(0).cast("bigint").alias("at"))
+    rank = F.struct(F.lit(1).alias("loaded"), F.col(order).alias("at"))
+    none = F.struct(
+        F.lit(0).alias("loaded"), F.lit(None).cast(load.schema[order].dataType).alias("at")
+    )
     both = stored.select("id", F.struct(*values).alias("v"), none.alias("rank")).unionByName(
         load.select("id", F.struct(*values).alias("v"), rank.alias("rank"))
     )

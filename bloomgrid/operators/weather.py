@@ -56,15 +56,16 @@ def daily_extremes(readings: DataFrame) -> DataFrame:
 def keep_last(old: DataFrame, new: DataFrame, order: str = "position") -> DataFrame:
     """History and fresh rows; of rows with the same station and day the last one stays.
 
-    `order` numbers the old rows as they were stored. New rows (already one per key) come
-    after all of them. `max_by` combines before the shuffle, so repeated keys do not pile up.
+    `order` tells how the old rows were stored (any sortable column). New rows (already one per
+    key) come after all of them. `max_by` combines before the shuffle, so repeated keys do not
+    pile up.
     """
     values = ["t_min", "t_max", "t_mean"]
-    stored = old.select("station_id", "date", *values, F.col(order).cast("bigint").alias("_seq"))
-    fresh = new.select(
-        "station_id", "date", *values, F.lit(2**63 - 1).cast("bigint").alias("_seq")
-    )
-    both = stored.unionByName(fresh)
+    place = F.struct(F.lit(0).alias("fresh"), F.col(order).alias("at"))
+    stored = old.select("station_id", "date", *values, place.alias("_seq"))
+    kind = stored.schema["_seq"].dataType["at"].dataType
+    last = F.struct(F.lit(1).alias("fresh"), F.lit(None).cast(kind).alias("at"))
+    both = stored.unionByName(new.select("station_id", "date", *values, last.alias("_seq")))
     return both.groupBy("station_id", "date").agg(
         *[F.max_by(value, "_seq").alias(value) for value in values]
     )

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from bloomgrid.functions import labels as L
 from bloomgrid.operators import layers
-from bloomgrid.operators.gdd import monthly_totals, plant_terms
-from bloomgrid.operators.sizing import few_rows, placed
+from bloomgrid.operators.gdd import monthly_totals, plant_terms, requested_degree_days
 from bloomgrid.operators.weather import monthly_precipitation, precipitation_by_year
-from bloomgrid.quality import FIRST_YEAR, LAST_YEAR, check_year
+from bloomgrid.quality import check_year
 
 
 def year_request(spark: SparkSession, station_id: str, year: int, plant_id: str) -> DataFrame:
@@ -24,40 +23,38 @@ def year_request(spark: SparkSession, station_id: str, year: int, plant_id: str)
 
 
 def _known_requests(requests: DataFrame, zones: DataFrame) -> DataFrame:
-    """Distinct requests in range for stations that have a zone."""
-    wanted = requests.where(F.col("year").between(FIRST_YEAR, LAST_YEAR)).select(
-        "station_id", "year", "plant_id"
-    ).distinct()
+    """Distinct requests for stations that have a zone, of any year."""
+    wanted = requests.select("station_id", "year", "plant_id").distinct()
     return wanted.join(layers.first_zone(zones), "station_id").drop("cell_id", "area_ha")
 
 
-def _days(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame) -> DataFrame:
+def _days(daily: DataFrame, requests: DataFrame, zones: DataFrame, plants: DataFrame | None,
+          gdd: DataFrame | None) -> DataFrame:
     """Days of every request with the GDD of its plant where there is one.
 
-    The plant is part of the join key, so days without GDD stay. Few requests are broadcast
-    and cut both tables down where they are read; many are merged with both tables.
+    From the plant dictionary, GDD is computed for the asked station-years alone. From a stored
+    table it is joined; the plant is part of the join key, so days without GDD stay.
     """
-    few = few_rows(requests)
     wanted = _known_requests(requests, zones)
+    if gdd is None:
+        return requested_degree_days(daily, plants, wanted)
     # A stored table brings its partition column, which then prunes by the requests' years.
     dated = daily if "year" in daily.columns else daily.withColumn("year", F.year("date"))
-    asked = dated.join(placed(wanted, few), ["station_id", "year"])
     totals = gdd if "year" in gdd.columns else gdd.withColumn("year", F.year("date"))
     totals = totals.select(
         "station_id", "plant_id", "year", "date", "gdd_daily", "gdd_cumulative"
     )
-    if few:
-        keys = ["station_id", "plant_id", "year"]
-        totals = totals.join(F.broadcast(wanted.select(*keys)), keys, "left_semi")
-    return asked.join(
-        totals.hint("merge"), ["station_id", "plant_id", "year", "date"], "left"
-    )
+    asked = dated.join(wanted, ["station_id", "year"])
+    return asked.join(totals, ["station_id", "plant_id", "year", "date"], "left")
+
 
+def monthly_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame,
+                 plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
+    """One row per request and month with readings; every day counts, also one without values.
 
-def monthly_rows(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame,
-                 ) -> DataFrame:
-    """One row per request and month with readings; every day counts, also one without values."""
-    days = _days(daily, gdd, requests, zones)
+    GDD comes from a stored table `gdd` where one is given, else it is computed with `plants`.
+    """
+    days = _days(daily, requests, zones, plants, gdd)
     return days.groupBy(
         "station_id", "station_name", "year", "plant_id", F.month("date").alias("month")
     ).agg(
@@ -70,15 +67,16 @@ def monthly_rows(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: D
     )
 
 
-def monthly_summaries(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame,
-                      precipitation: DataFrame) -> DataFrame:
+def monthly_summaries(daily: DataFrame, requests: DataFrame, zones: DataFrame,
+                      precipitation: DataFrame, plants: DataFrame | None = None,
+                      gdd: DataFrame | None = None) -> DataFrame:
     """Document per request: annual figures and its months in order.
 
     Annual figures come from the twelve monthly rows, not from a second pass over the days, and
     one join brings the precipitation of a whole station-year. Annual precipitation counts every
     month on file, also months without readings; a month without entries stays NULL.
     """
-    months = monthly_rows(daily, gdd, requests, zones)
+    months = monthly_rows(daily, requests, zones, plants, gdd)
     documents = months.groupBy("station_id", "station_name", "year", "plant_id").agg(
         F.sum("day_count").alias("day_count"),
         F.try_divide(F.sum("t_sum"), F.sum("t_days")).alias("t_mean_annual"),
@@ -112,10 +110,10 @@ def summary_rows(summaries: DataFrame) -> DataFrame:
     )
 
 
-def daily_rows(daily: DataFrame, gdd: DataFrame, requests: DataFrame, zones: DataFrame,
-               precipitation: DataFrame) -> DataFrame:
+def daily_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame, precipitation: DataFrame,
+               plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
     """One row per request and day with readings; a day without precipitation entry has NULL."""
-    days = _days(daily, gdd, requests, zones)
+    days = _days(daily, requests, zones, plants, gdd)
     rain = precipitation.select("station_id", "date", "precip_mm")
     return days.join(rain, ["station_id", "date"], "left").select(
         "station_id", "station_name", "year", "plant_id", "date",
@@ -133,18 +131,23 @@ def daily_series(rows: DataFrame) -> DataFrame:
     )
 
 
-def bloom_status(gdd: DataFrame, plants: DataFrame, zones: DataFrame, requests: DataFrame,
-                 ) -> DataFrame:
-    """Phase on a day: requests (station_id, date, plant_id) that have GDD data."""
-    wanted = requests.select("station_id", "date", "plant_id").distinct()
+def bloom_status(plants: DataFrame, zones: DataFrame, requests: DataFrame,
+                 daily: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
+    """Phase on a day: requests (station_id, date, plant_id) that have GDD data.
+
+    From a stored table `gdd`, or computed from `daily` for the asked station-years and plants.
+    """
+    keys = ["station_id", "plant_id", "date"]
+    wanted = requests.select(*keys).distinct()
     names = plants.select(
         F.col("id").alias("plant_id"), F.col("name_pl").alias("plant_name"), "gdd_min", "gdd_max"
     )
-    values = gdd.select(
-        "station_id", "plant_id", "date", "gdd_cumulative", "bloom_day", "bloom_phase"
-    )
-    keys = ["station_id", "plant_id", "date"]
-    found = values.join(placed(wanted, few_rows(requests)), keys).join(names, "plant_id")
+    if gdd is None:
+        known = wanted.join(names.select("plant_id"), "plant_id", "left_semi")
+        years = known.select("station_id", F.year("date").alias("year"), "plant_id").distinct()
+        gdd = requested_degree_days(daily, plants, years)
+    values = gdd.select(*keys, "gdd_cumulative", "bloom_day", "bloom_phase")
+    found = values.join(wanted, keys).join(names, "plant_id")
     zone = layers.first_zone(zones).select("station_id", "station_name")
     return found.join(zone, "station_id", "left").select(
         "station_id", "station_name", "date", "plant_id", "plant_name", "gdd_cumulative",

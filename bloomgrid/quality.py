@@ -22,6 +22,7 @@ REQUIRED = {
     ),
 }
 FIRST_YEAR, LAST_YEAR = 2000, 2100
+MAX_URLS_PER_REQUEST = 32
 
 
 def duplicate_keys(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -75,3 +76,19 @@ def check_year(year: int) -> int:
     if not FIRST_YEAR <= year <= LAST_YEAR:
         raise ValueError(f"year must be {FIRST_YEAR} to {LAST_YEAR}")
     return year
+
+
+def refused_requests(requests: DataFrame) -> DataFrame:
+    """URL lists (request_id, urls) outside 1 to MAX_URLS_PER_REQUEST entries, with the reason."""
+    links = F.coalesce(F.size("urls"), F.lit(0))
+    reason = F.when(links < 1, "no links").when(links > MAX_URLS_PER_REQUEST, "too many links")
+    return requests.select("request_id", links.alias("links"), reason.alias("reason")).where(
+        F.col("reason").isNotNull()
+    )
+
+
+def refused_years(requests: DataFrame) -> DataFrame:
+    """Requests whose year a single request may not ask for (see check_year)."""
+    return requests.where(
+        F.col("year").isNull() | ~F.col("year").between(FIRST_YEAR, LAST_YEAR)
+    ).distinct()

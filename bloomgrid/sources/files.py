@@ -6,14 +6,15 @@ files, tables and queries alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid import schemas
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions.values import nan_to_null
 
-MAX_URLS_PER_REQUEST = 32
+#: A document that does not parse fails the job; `rejected_documents` finds it beforehand.
+STRICT = {"mode": "FAILFAST"}
 
 
 def _json(spark: SparkSession, path: str, schema: str, whole_file: bool = True) -> DataFrame:
@@ -21,16 +22,40 @@ def _json(spark: SparkSession, path: str, schema: str, whole_file: bool = True)
     return reader.option("multiLine", whole_file).json(path)
 
 
-def _csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
-    """CSV with header; columns are taken by name, so their order and extra ones do not matter."""
+def _csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]],
+         ordered: bool = False) -> DataFrame:
+    """CSV with header; columns are taken by name, so their order and extra ones do not matter.
+
+    `position` orders the rows as they stand in the files.
+    """
     raw = spark.read.csv(path, header=True, nullValue="", mode="FAILFAST")
-    picked = []
+    picked = [_file_order().alias("position")] if ordered else []
     for name, (source, kind) in columns.items():
         value = F.col(source).cast(kind)
         picked.append((nan_to_null(value) if kind == "double" else value).alias(name))
     return raw.select(*picked)
 
 
+def rejected_documents(documents: DataFrame, schema: str, text: str = "document") -> DataFrame:
+    """Documents of a text column that do not parse with the schema, so that a job can go on.
+
+    Rows without a document are no documents and not listed.
+    """
+    found = F.from_json(
+        text, f"{schema}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"}
+    )
+    return documents.where(F.col(text).isNotNull() & found["_broken"].isNotNull())
+
+
+def _file_order() -> Column:
+    """Where a row stands: its file, the block of the file, and its place in the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 # readings ---------------------------------------------------------------------------------
 
 
@@ -49,7 +74,7 @@ def read_reading_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_reading_pages(documents: DataFrame, text: str = "document") -> DataFrame:
     """As `read_reading_pages`, for pages held as a text column."""
-    pages = documents.select(F.from_json(text, schemas.READING_PAGE).alias("page"))
+    pages = documents.select(F.from_json(text, schemas.READING_PAGE, STRICT).alias("page"))
     return reading_rows(pages.select("page.content"))
 
 
@@ -61,7 +86,7 @@ def read_daily_history(spark: SparkSession, path: str) -> DataFrame:
         "t_min": ("T_min", "double"),
         "t_max": ("T_max", "double"),
         "t_mean": ("T_srednia", "double"),
-    })
+    }, ordered=True)
 
 
 def read_station_daily(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +112,7 @@ def read_plants(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_plants(documents: DataFrame, text: str = "document") -> DataFrame:
     """Plants of JSON arrays held as a text column."""
-    return documents.select(F.inline(F.from_json(text, f"ARRAY<STRUCT<{schemas.PLANT}>>")))
+    return documents.select(F.inline(F.from_json(text, f"ARRAY<STRUCT<{schemas.PLANT}>>", STRICT)))
 
 
 # layers -----------------------------------------------------------------------------------
@@ -106,22 +131,25 @@ def zone_rows(features: DataFrame) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Zones from FeatureCollection files; `position` is the place in the file."""
+    """Zones from FeatureCollection files; `position` is the file and the place in it."""
     collections = _json(spark, path, schemas.ZONE_COLLECTION)
-    return zone_rows(collections.select(F.posexplode("features").alias("position", "feature")))
+    rows = collections.select(
+        F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("at", "feature")
+    )
+    return zone_rows(rows.select(F.struct("file", "at").alias("position"), "feature"))
 
 
 def read_zone_lines(spark: SparkSession, path: str) -> DataFrame:
     """Zones from files with one feature per line, which split across tasks."""
     lines = _json(spark, path, schemas.ZONE_FEATURE, whole_file=False)
     return zone_rows(lines.select(
-        F.col("properties.cell_id").alias("position"),
+        _file_order().alias("position"),
         F.struct("type", "geometry", "properties").alias("feature"),
     ))
 
 
 def parse_zone_collections(documents: DataFrame, text: str = "document") -> DataFrame:
-    parsed = documents.select(F.from_json(text, schemas.ZONE_COLLECTION).alias("fc"))
+    parsed = documents.select(F.from_json(text, schemas.ZONE_COLLECTION, STRICT).alias("fc"))
     return zone_rows(parsed.select(F.posexplode("fc.features").alias("position", "feature")))
 
 
@@ -148,7 +176,7 @@ def read_boundary(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_boundaries(documents: DataFrame, text: str = "document") -> DataFrame:
     return boundary_rings(
-        documents.select(F.from_json(text, schemas.BOUNDARY).alias("b")).select("b.*")
+        documents.select(F.from_json(text, schemas.BOUNDARY, STRICT).alias("b")).select("b.*")
     )
 
 
@@ -170,13 +198,21 @@ def read_locations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def precipitation_rows(files: DataFrame) -> DataFrame:
-    """(file_name, document) rows, one per station and year -> one row per day."""
-    station = F.regexp_extract("file_name", r"^(.*)_(\d{4})\.json$", 1)
+    """(file_name, document) rows, one per station and year -> one row per station and day.
+
+    A name that is not `<station>_<year>.json` is refused. Where several files give a day of a
+    station, the last by name counts (of one name, the larger value).
+    """
+    name = r"^(.+)_(\d{4})\.json$"
+    station = F.when(F.regexp_like("file_name", F.lit(name)), F.regexp_extract("file_name", name, 1))
+    refused = F.raise_error(F.concat(F.lit("not a precipitation file: "), F.col("file_name")))
     days = files.select(
-        station.alias("station_id"),
-        F.explode(F.from_json("document", "MAP<STRING, DOUBLE>")).alias("day", "precip_mm"),
+        F.coalesce(station, refused.cast("string")).alias("station_id"), "file_name",
+        F.explode(F.from_json("document", "MAP<STRING, DOUBLE>", STRICT)).alias("day", "precip_mm"),
+    )
+    return days.groupBy("station_id", F.to_date("day").alias("date")).agg(
+        F.max(F.struct("file_name", "precip_mm"))["precip_mm"].alias("precip_mm")
     )
-    return days.select("station_id", F.to_date("day").alias("date"), "precip_mm")
 
 
 def read_precipitation(spark: SparkSession, path: str) -> DataFrame:
@@ -191,14 +227,18 @@ def read_precipitation(spark: SparkSession, path: str) -> DataFrame:
 # catalogue --------------------------------------------------------------------------------
 
 
-def scene_rows(items: DataFrame) -> DataFrame:
+def scene_rows(items: DataFrame, *others: str) -> DataFrame:
     """Flat scene table from STAC items, as it is stored and filtered."""
     props = F.col("properties")
     stamp = props["datetime"]
+    # stamps are kept in UTC, whatever their offset and the session's zone
+    utc = F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), stamp.try_cast("timestamp").cast("timestamp_ntz")
+    )
     return items.select(
         "id",
         "collection",
-        stamp.try_cast("timestamp_ntz").alias("acquired_at"),
+        utc.alias("acquired_at"),
         stamp.alias("datetime"),
         *[F.get("bbox", F.lit(i)).alias(n) for i, n in enumerate(("minx", "miny", "maxx", "maxy"))],
         props["grid:code"].alias("grid_code"),
@@ -206,31 +246,33 @@ def scene_rows(items: DataFrame) -> DataFrame:
         nan_to_null(props["s2:nodata_pixel_percentage"]).alias("nodata_pct"),
         props["platform"].alias("platform"),
         "assets",
+        *others,
     )
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
-    return scene_rows(_json(spark, path, schemas.STAC_ITEM))
+    """Scenes of item files; `position` orders them as they stand in the files."""
+    items = _json(spark, path, schemas.STAC_ITEM)
+    return scene_rows(items.withColumn("position", _file_order()), "position")
 
 
 def parse_scenes(documents: DataFrame, text: str = "document") -> DataFrame:
     """Scenes of JSON arrays of items held as a text column."""
-    parsed = documents.select(F.inline(F.from_json(text, f"ARRAY<STRUCT<{schemas.STAC_ITEM}>>")))
+    parsed = documents.select(F.inline(F.from_json(text, f"ARRAY<STRUCT<{schemas.STAC_ITEM}>>", STRICT)))
     return scene_rows(parsed)
 
 
 def read_stac_collections(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, schemas.STAC_COLLECTION)
+    """Collection documents; `position` orders them as they stand in the files."""
+    return _json(spark, path, schemas.STAC_COLLECTION).withColumn("position", _file_order())
 
 
 # requests ---------------------------------------------------------------------------------
 
 
 def request_urls(requests: DataFrame) -> DataFrame:
-    """Valid URL lists (1 to 32 entries) as (request_id, url) rows."""
-    return requests.where(F.size("urls").between(1, MAX_URLS_PER_REQUEST)).select(
-        "request_id", F.explode("urls").alias("url")
-    )
+    """URL lists of any length as (request_id, url) rows."""
+    return requests.select("request_id", F.explode("urls").alias("url"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

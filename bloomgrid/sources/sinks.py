@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
 
-MAX_COLLECTION_FEATURES = 10_000
-
 
 def write_csv(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").option("header", True).csv(path)
@@ -95,7 +94,7 @@ def write_feature_lines(features: DataFrame, path: str) -> None:
     features.select("feature").write.mode("overwrite").text(path)
 
 
-def feature_collection(features: DataFrame, limit: int = MAX_COLLECTION_FEATURES) -> DataFrame:
+def feature_collection(features: DataFrame, limit: int) -> DataFrame:
     """One FeatureCollection text for a small layer; fails, never cuts, beyond `limit`.
 
     The count is taken first, so a large layer stops before it is gathered.
@@ -119,8 +118,8 @@ def append_new_manifests(spark: SparkSession, manifests: DataFrame, path: str) -
 
     try:
         stored = spark.read.parquet(path).select("digest")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = spark.createDataFrame([], "digest STRING")
     new_manifests(manifests, stored).write.mode("append").parquet(path)

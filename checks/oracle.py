@@ -7,7 +7,8 @@ from __future__ import annotations
 VIEWS: dict[str, str] = {
     "readings": """
         SELECT 'S' || l_suppkey AS station_id, l_shipdate::DATE AS date,
-               (l_quantity - 10) / 2.0::DOUBLE AS air_temperature
+               CASE WHEN l_quantity NOT IN (7, 8) THEN (l_quantity - 10) / 2.0::DOUBLE END
+                   AS air_temperature
         FROM lineitem""",
     "readings_new": """
         SELECT 'U' || user_id AS station_id, ts::DATE AS date,
@@ -45,13 +46,14 @@ VIEWS: dict[str, str] = {
     "gdd_daily": """
         SELECT d.*, p.*, year(d.date)::INT AS year,
                round_even(CASE WHEN d.t_mean > p.base_temp_c THEN d.t_mean - p.base_temp_c
-                               ELSE 0::DOUBLE END * 100, 0) / 100 AS gdd_daily
+                               WHEN d.t_mean IS NOT NULL THEN 0::DOUBLE END * 100, 0) / 100
+                   AS gdd_daily
         FROM daily d CROSS JOIN (SELECT id AS plant_id, base_temp_c, gdd_min, gdd_max
                                  FROM plants) p""",
     "gdd_total": """
-        SELECT *, round_even(sum(gdd_daily) OVER (
+        SELECT *, CASE WHEN gdd_daily IS NOT NULL THEN round_even(sum(gdd_daily) OVER (
                    PARTITION BY station_id, plant_id, year ORDER BY date
-                   ROWS UNBOUNDED PRECEDING) * 100, 0) / 100 AS gdd_cumulative
+                   ROWS UNBOUNDED PRECEDING) * 100, 0) / 100 END AS gdd_cumulative
         FROM gdd_daily""",
     "gdd": """
         SELECT *,
@@ -65,15 +67,20 @@ VIEWS: dict[str, str] = {
                     WHEN gdd_cumulative <= gdd_max THEN 'blooming' ELSE 'after' END AS bloom_phase
         FROM gdd_total""",
     "yearly": """
-        SELECT station_id, year, plant_id,
-               min(date) FILTER (WHERE gdd_cumulative >= gdd_min) AS bloom_start_date,
-               min(date) FILTER (WHERE gdd_cumulative > gdd_max) AS bloom_end_date
-        FROM gdd GROUP BY ALL""",
+        SELECT y.station_id, y.year, y.plant_id, s.date AS bloom_start_date, e.date AS bloom_end_date
+        FROM (SELECT DISTINCT station_id, year, plant_id FROM gdd) y
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY station_id, year, plant_id
+                                                ORDER BY date) AS nth
+                   FROM gdd WHERE gdd_cumulative >= gdd_min) s
+          ON (s.station_id, s.year, s.plant_id, s.nth) = (y.station_id, y.year, y.plant_id, 1)
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY station_id, year, plant_id
+                                                ORDER BY date) AS nth
+                   FROM gdd WHERE gdd_cumulative > gdd_max) e
+          ON (e.station_id, e.year, e.plant_id, e.nth) = (y.station_id, y.year, y.plant_id, 1)""",
     "windows": """
-        SELECT DISTINCT ON (station_id, plant_id) station_id, plant_id, year,
-               bloom_start_date, bloom_end_date
+        SELECT station_id, plant_id, year, bloom_start_date, bloom_end_date
         FROM yearly WHERE bloom_start_date IS NOT NULL AND bloom_end_date IS NOT NULL
-        ORDER BY station_id, plant_id, year DESC""",
+        QUALIFY row_number() OVER (PARTITION BY station_id, plant_id ORDER BY year DESC) = 1""",
     "zones": """
         SELECT (s_suppkey * 2)::INT AS cell_id, 'S' || s_suppkey AS station_id,
                s_name AS station_name, s_acctbal AS area_ha, x, y,
@@ -125,10 +132,33 @@ VIEWS: dict[str, str] = {
         FROM customer JOIN points ON point_id = c_custkey""",
     "clicks": """
         SELECT event_id AS click_id, user_id AS session, ts,
-               21.0::DOUBLE + floor(value / 10) / 32.0::DOUBLE AS lon,
+               21.0::DOUBLE + floor(value / 10) / 64.0::DOUBLE AS lon,
                50.0::DOUBLE + (user_id % 50) / 20.0::DOUBLE AS lat,
                CASE WHEN event_type = 'purchase' THEN 'S' || user_id END AS station_id
         FROM events""",
+    "resolved": """
+        SELECT c.click_id,
+               coalesce(c.station_id, n.station_id, z.station_id) AS station_id,
+               CASE WHEN c.station_id IS NOT NULL THEN c.station_id
+                    WHEN n.station_id IS NOT NULL THEN n.station_name
+                    ELSE z.station_name END AS station_name
+        FROM clicks c
+        LEFT JOIN (SELECT DISTINCT ON (click_id) click_id, s.station_id, station_name
+                   FROM clicks k JOIN pins s
+                     ON s.lon BETWEEN k.lon - 0.04 AND k.lon + 0.04
+                    AND s.lat BETWEEN k.lat - 0.04 AND k.lat + 0.04
+                   WHERE (s.lon - k.lon) * (s.lon - k.lon) + (s.lat - k.lat) * (s.lat - k.lat)
+                         < 0.03::DOUBLE * 0.03::DOUBLE
+                   ORDER BY click_id, (s.lon - k.lon) * (s.lon - k.lon)
+                            + (s.lat - k.lat) * (s.lat - k.lat), position) n
+          ON n.click_id = c.click_id
+        LEFT JOIN (SELECT DISTINCT ON (click_id) click_id, s.station_id, station_name
+                   FROM clicks k JOIN zones s
+                     ON k.lon > x AND k.lon < x + 0.25::DOUBLE
+                    AND k.lat > y AND k.lat < y + 0.25::DOUBLE
+                   ORDER BY click_id, cell_id) z
+          ON z.click_id = c.click_id
+        WHERE coalesce(c.station_id, n.station_id, z.station_id) IS NOT NULL""",
     "precipitation": """
         SELECT 'S' || (o_custkey % (SELECT count(*) FROM supplier)) AS station_id,
                o_orderdate::DATE AS date, sum(floor(o_totalprice) % 40)::DOUBLE AS precip_mm
@@ -144,14 +174,25 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT 'S' || (o_custkey % (SELECT count(*) FROM supplier)) AS station_id,
                year(o_orderdate)::INT AS year, 'P' || (o_orderkey % 6) AS plant_id
         FROM orders""",
+    "statuses": """
+        SELECT g.station_id, z.station_name, g.date, g.plant_id, p.name_pl AS plant_name,
+               g.gdd_cumulative, g.bloom_day, g.bloom_phase,
+               CASE g.bloom_phase WHEN 'before' THEN 'Przed kwitnieniem'
+                    WHEN 'blooming' THEN 'Kwitnie' ELSE 'Po kwitnieniu' END AS bloom_phase_label,
+               p.gdd_min, p.gdd_max,
+               CASE WHEN g.bloom_day > 0 THEN g.bloom_day::VARCHAR ELSE '-' END AS bloom_day_text
+        FROM (SELECT DISTINCT 'S' || l_suppkey AS station_id, l_shipdate::DATE AS date,
+                     'P' || (l_linenumber % 6) AS plant_id FROM lineitem) r
+        JOIN gdd g USING (station_id, date, plant_id)
+        JOIN plants p ON p.id = g.plant_id
+        LEFT JOIN first_zone z ON z.station_id = g.station_id""",
     "asked": """
         SELECT d.station_id, z.station_name, r.year, r.plant_id, d.date, d.t_min, d.t_max,
                d.t_mean, g.gdd_daily, g.gdd_cumulative
         FROM requests r JOIN first_zone z USING (station_id)
         JOIN daily d ON d.station_id = r.station_id AND year(d.date) = r.year
         LEFT JOIN gdd g ON g.station_id = d.station_id AND g.date = d.date
-                       AND g.plant_id = r.plant_id
-        WHERE r.year BETWEEN 2000 AND 2100""",
+                       AND g.plant_id = r.plant_id""",
     "asked_months": """
         SELECT a.station_id, a.station_name, a.year, a.plant_id, month(a.date)::INT AS month,
                avg(t_mean) AS t_mean, sum(gdd_daily) AS gdd_monthly,
@@ -204,39 +245,31 @@ VIEWS: dict[str, str] = {
         WHERE collection = 'sentinel-2-l2a' AND cloud_cover < 60
           AND minx <= 24.2 AND maxx >= 21.5 AND miny <= 52.3 AND maxy >= 50.2
           AND acquired_at BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31 23:59:59'""",
-    "ranked": "SELECT * FROM matching ORDER BY cloud_cover, id LIMIT 500",
     "best": """
         SELECT DISTINCT ON (tile) *, coalesce(nodata_pct, 0) AS nodata,
                coalesce(cloud_cover, 0) AS cloud
-        FROM ranked WHERE href IS NOT NULL AND tile IN (SELECT tile FROM region_tiles)
-        ORDER BY tile, nodata, cloud, cloud_cover, id""",
-    "narrow_ranked": """
-        SELECT * FROM tiled
-        WHERE collection = 'sentinel-2-l2a' AND cloud_cover < 30
-          AND minx <= 24.2 AND maxx >= 21.5 AND miny <= 52.3 AND maxy >= 50.2
-          AND acquired_at BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-03-20 23:59:59'
-        ORDER BY cloud_cover, id LIMIT 500""",
-    "narrow_best": """
-        SELECT DISTINCT ON (tile) *, coalesce(nodata_pct, 0) AS nodata,
-               coalesce(cloud_cover, 0) AS cloud
-        FROM narrow_ranked
-        WHERE href IS NOT NULL AND tile IN (SELECT tile FROM region_tiles)
+        FROM matching WHERE href IS NOT NULL AND tile IN (SELECT tile FROM region_tiles)
         ORDER BY tile, nodata, cloud, cloud_cover, id""",
     "request_sets": """
         SELECT l_orderkey AS request_id,
                list_sort(list_distinct(list('https://images.example/' || l_suppkey || '.tif')))
                    AS urls
-        FROM lineitem GROUP BY l_orderkey HAVING count(*) BETWEEN 1 AND 32""",
+        FROM lineitem GROUP BY l_orderkey""",
     "request_digests": """
         SELECT request_id, urls, sha256(array_to_string(urls, '|'))[1:16] AS digest
         FROM request_sets""",
     "link_sets": "SELECT DISTINCT digest, urls FROM request_digests",
+    "unplaced": """
+        SELECT digest, url FROM (SELECT digest, unnest(urls) AS url FROM link_sets)
+        JOIN supplier ON url = 'https://images.example/' || s_suppkey || '.tif'
+        WHERE s_acctbal <= -850""",
     "placed": """
         SELECT digest, url, 14.0::DOUBLE + 0.37::DOUBLE * (s_suppkey % 40) AS minx,
                45.0::DOUBLE + 0.41::DOUBLE * (s_suppkey // 40 % 40) AS miny,
                15.5::DOUBLE + 0.37::DOUBLE * (s_suppkey % 40) AS maxx,
                46.0::DOUBLE + 0.41::DOUBLE * (s_suppkey // 40 % 40) AS maxy
-        FROM (SELECT digest, unnest(urls) AS url FROM link_sets)
+        FROM (SELECT digest, unnest(urls) AS url FROM link_sets
+              WHERE digest NOT IN (SELECT digest FROM unplaced))
         JOIN supplier ON url = 'https://images.example/' || s_suppkey || '.tif'""",
     "tile_ranges": """
         SELECT digest, url,
@@ -309,17 +342,18 @@ FINAL: dict[str, str] = {
                NULL::VARCHAR AS platform, 'h' || o_orderkey AS href, 2 AS roles
         FROM orders""",
     "s08_precipitation_files": """
-        SELECT 'ST_' || o_custkey AS station_id, o_orderdate::DATE AS date,
-               (floor(o_totalprice) % 40 + 0.5)::DOUBLE AS precip_mm
-        FROM orders
-        UNION ALL
-        SELECT 'ST_' || o_custkey, make_date(year(o_orderdate)::INT, 12, 31), 0.25 FROM orders""",
+        SELECT station_id, date, max(precip_mm) AS precip_mm FROM (
+            SELECT 'ST_' || o_custkey AS station_id, o_orderdate::DATE AS date,
+                   (floor(o_totalprice) % 40 + 0.5)::DOUBLE AS precip_mm
+            FROM orders
+            UNION ALL
+            SELECT 'ST_' || o_custkey, make_date(year(o_orderdate)::INT, 12, 31), 0.25 FROM orders)
+        GROUP BY ALL""",
     "q01_daily_temperatures": """
         SELECT DISTINCT ON (station_id, date) station_id, date, t_min, t_max, t_mean
         FROM (SELECT station_id, date, t_min, t_max, t_mean, 0 AS fresh, position FROM history
               UNION ALL
-              SELECT station_id, date, t_min, t_max, t_mean, 1, 0 FROM daily_new
-              WHERE date >= DATE '2024-01-16')
+              SELECT station_id, date, t_min, t_max, t_mean, 1, 0 FROM daily_new)
         ORDER BY station_id, date, fresh DESC, position DESC""",
     "a01_daily_extremes": "SELECT * FROM daily_new",
     "a02_history_profile": """
@@ -415,23 +449,16 @@ FINAL: dict[str, str] = {
         SELECT a.station_id, a.station_name, a.year, a.plant_id, a.date, a.t_min, a.t_max,
                a.t_mean, a.gdd_daily, a.gdd_cumulative, p.precip_mm
         FROM asked a LEFT JOIN precipitation p USING (station_id, date)""",
+    "j01_daily_with_stored_totals": """
+        SELECT a.station_id, a.station_name, a.year, a.plant_id, a.date, a.t_min, a.t_max,
+               a.t_mean, a.gdd_daily, a.gdd_cumulative, p.precip_mm
+        FROM asked a LEFT JOIN precipitation p USING (station_id, date)""",
     "k06_series_documents": """
         SELECT station_id, station_name, year, plant_id, count(*)::INT AS days,
-               min(date) AS first_day, max(date) AS last_day, arg_max(t_mean, date) AS last_t_mean,
+               min(date) AS first_day, max(date) AS last_day, (list(t_mean ORDER BY date))[-1] AS last_t_mean,
                sum(coalesce(gdd_daily, 0)) AS gdd_sum
         FROM asked GROUP BY ALL""",
-    "q11_bloom_status": """
-        SELECT g.station_id, z.station_name, g.date, g.plant_id, p.name_pl AS plant_name,
-               g.gdd_cumulative, g.bloom_day, g.bloom_phase,
-               CASE g.bloom_phase WHEN 'before' THEN 'Przed kwitnieniem'
-                    WHEN 'blooming' THEN 'Kwitnie' ELSE 'Po kwitnieniu' END AS bloom_phase_label,
-               p.gdd_min, p.gdd_max,
-               CASE WHEN g.bloom_day > 0 THEN g.bloom_day::VARCHAR ELSE '-' END AS bloom_day_text
-        FROM (SELECT DISTINCT 'S' || l_suppkey AS station_id, l_shipdate::DATE AS date,
-                     'P' || (l_linenumber % 6) AS plant_id FROM lineitem) r
-        JOIN gdd g USING (station_id, date, plant_id)
-        JOIN plants p ON p.id = g.plant_id
-        LEFT JOIN first_zone z ON z.station_id = g.station_id""",
+    "q11_bloom_status": "SELECT * FROM statuses",
     "q05_station_points": """
         SELECT station_id, station_name, station_type, lon, lat,
                '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat
@@ -490,29 +517,20 @@ FINAL: dict[str, str] = {
          AND s.lat BETWEEN p.lat - 0.04 AND p.lat + 0.04
         WHERE distance2 < 0.03::DOUBLE * 0.03::DOUBLE
         ORDER BY point_id, distance2, position""",
-    "q20_resolved_clicks": """
-        SELECT c.click_id,
-               coalesce(c.station_id, n.station_id, z.station_id) AS station_id,
-               CASE WHEN c.station_id IS NOT NULL THEN c.station_id
-                    WHEN n.station_id IS NOT NULL THEN n.station_name
-                    ELSE z.station_name END AS station_name
-        FROM clicks c
-        LEFT JOIN (SELECT DISTINCT ON (click_id) click_id, s.station_id, station_name
-                   FROM clicks k JOIN pins s
-                     ON s.lon BETWEEN k.lon - 0.04 AND k.lon + 0.04
-                    AND s.lat BETWEEN k.lat - 0.04 AND k.lat + 0.04
-                   WHERE (s.lon - k.lon) * (s.lon - k.lon) + (s.lat - k.lat) * (s.lat - k.lat)
-                         < 0.03::DOUBLE * 0.03::DOUBLE
-                   ORDER BY click_id, (s.lon - k.lon) * (s.lon - k.lon)
-                            + (s.lat - k.lat) * (s.lat - k.lat), position) n
-          ON n.click_id = c.click_id
-        LEFT JOIN (SELECT DISTINCT ON (click_id) click_id, s.station_id, station_name
-                   FROM clicks k JOIN zones s
-                     ON k.lon > x AND k.lon < x + 0.25::DOUBLE
-                    AND k.lat > y AND k.lat < y + 0.25::DOUBLE
-                   ORDER BY click_id, cell_id) z
-          ON z.click_id = c.click_id
-        WHERE coalesce(c.station_id, n.station_id, z.station_id) IS NOT NULL""",
+    "q20_resolved_clicks": "SELECT * FROM resolved",
+    "q20_selected_stations": """
+        SELECT click_id, station_id, place FROM (
+            SELECT *, dense_rank() OVER (PARTITION BY session ORDER BY ts, place) AS nth
+            FROM (SELECT c.click_id, c.session, c.ts, r.station_id,
+                         printf('%.5f,%.5f', c.lat, c.lon) AS place
+                  FROM clicks c JOIN resolved r ON r.click_id = c.click_id)) k
+        WHERE place IS DISTINCT FROM (
+            SELECT max(b.place) FROM (
+                SELECT DISTINCT c.session, c.ts, printf('%.5f,%.5f', c.lat, c.lon) AS place,
+                       dense_rank() OVER (PARTITION BY c.session
+                           ORDER BY c.ts, printf('%.5f,%.5f', c.lat, c.lon)) AS nth
+                FROM clicks c JOIN resolved r ON r.click_id = c.click_id) b
+            WHERE b.session = k.session AND b.nth = k.nth - 1)""",
     "w06_changed_clicks": """
         SELECT session, ts, place FROM (
             SELECT *, lag(place) OVER (PARTITION BY session ORDER BY ts, place) AS before
@@ -521,7 +539,7 @@ FINAL: dict[str, str] = {
     "p10_scene_filter": """
         SELECT id, cloud_cover, href FROM matching WHERE href IS NOT NULL""",
     "q13_scene_search": """
-        SELECT id, cloud_cover, datetime, href FROM ranked WHERE href IS NOT NULL""",
+        SELECT id, cloud_cover, datetime, href FROM matching WHERE href IS NOT NULL""",
     "p12_linked_scenes": """
         SELECT id, href FROM scenes WHERE collection = 'sentinel-2-l2a' AND href IS NOT NULL""",
     "p13_region_scenes": """
@@ -550,16 +568,16 @@ FINAL: dict[str, str] = {
     "o08_tile_details": """
         SELECT replace(tile, 'MGRS-', '') AS tile, datetime[1:10] AS day,
                short_platform AS platform, cloud, nodata
-        FROM narrow_best""",
+        FROM best""",
     "u05_missing_tiles": """
         SELECT replace(tile, 'MGRS-', '') AS tile FROM region_tiles
-        WHERE tile NOT IN (SELECT tile FROM narrow_best)""",
+        WHERE tile NOT IN (SELECT tile FROM best)""",
     "p17_partial_tiles": """
-        SELECT replace(tile, 'MGRS-', '') AS tile, nodata FROM narrow_best WHERE nodata > 5""",
+        SELECT replace(tile, 'MGRS-', '') AS tile, nodata FROM best WHERE nodata > 5""",
     "a15_region_mosaic_request": """
         SELECT sha256(string_agg(href, '|' ORDER BY href))[1:16] AS digest,
                count(*)::INT AS tile_count, string_agg(href, '|' ORDER BY href) AS urls
-        FROM narrow_best""",
+        FROM best""",
     "q17_catalogue_search": """
         SELECT id, minx, miny, maxx, maxy, datetime, 'thumbnail,visual' AS asset_keys
         FROM scenes
@@ -604,7 +622,7 @@ FINAL: dict[str, str] = {
     "s10_listed_urls": """
         SELECT request_id, 'u' || (k % 7) AS url
         FROM (SELECT o_orderkey AS request_id, unnest(range(0, o_custkey % 40)) AS k
-              FROM orders WHERE o_custkey % 40 BETWEEN 1 AND 32)""",
+              FROM orders)""",
     "a14_request_digests": """
         SELECT request_id, digest, len(urls)::INT AS tile_count FROM request_digests""",
     "a12_quadkey_index": "SELECT * FROM quadkeys",
@@ -615,6 +633,17 @@ FINAL: dict[str, str] = {
         WHERE digest NOT IN (
             SELECT digest FROM request_digests JOIN orders ON o_orderkey = request_id
             WHERE o_orderdate < TIMESTAMP '1998-01-01')""",
+    "k05_incomplete_sets": """
+        SELECT digest, len(urls)::INT AS links, string_agg(url, '|' ORDER BY url) AS missing
+        FROM unplaced JOIN link_sets USING (digest) GROUP BY ALL""",
+    "v05_refused_requests": """
+        SELECT o_orderkey AS request_id, (o_custkey % 40)::INT AS links,
+               CASE WHEN o_custkey % 40 = 0 THEN 'no links' ELSE 'too many links' END AS reason
+        FROM orders WHERE o_custkey % 40 NOT BETWEEN 1 AND 32""",
+    "v05_refused_years": "SELECT * FROM requests WHERE year NOT BETWEEN 2000 AND 2100",
+    "v07_rejected_documents": """
+        SELECT l_orderkey, l_linenumber, '{"content":[{"stationId":"S' || l_suppkey AS document
+        FROM lineitem WHERE l_returnflag = 'R'""",
     "v01_duplicate_keys": """
         SELECT station_id, date, count(*) AS rows FROM readings GROUP BY ALL HAVING count(*) > 1""",
     "v02_missing_values": """
@@ -630,10 +659,20 @@ FINAL: dict[str, str] = {
     "v03_rejected_features": """
         SELECT cell_id, 'station_id' AS lacking FROM zones WHERE station_id = ''""",
     "v04_bloom_status_contract": """
-        SELECT unnest(['station_id', 'date', 'plant_id', 'plant_name', 'gdd_cumulative',
-                       'bloom_day', 'bloom_phase', 'bloom_phase_label', 'gdd_min', 'gdd_max'])
-                   AS "column",
-               (SELECT count(*) FROM gdd WHERE gdd_cumulative IS NULL) AS missing""",
+        SELECT "column", missing FROM (
+            SELECT count(*) FILTER (WHERE station_id IS NULL) AS station_id,
+                   count(*) FILTER (WHERE date IS NULL) AS date,
+                   count(*) FILTER (WHERE plant_id IS NULL) AS plant_id,
+                   count(*) FILTER (WHERE plant_name IS NULL) AS plant_name,
+                   count(*) FILTER (WHERE gdd_cumulative IS NULL) AS gdd_cumulative,
+                   count(*) FILTER (WHERE bloom_day IS NULL) AS bloom_day,
+                   count(*) FILTER (WHERE bloom_phase IS NULL) AS bloom_phase,
+                   count(*) FILTER (WHERE bloom_phase_label IS NULL) AS bloom_phase_label,
+                   count(*) FILTER (WHERE gdd_min IS NULL) AS gdd_min,
+                   count(*) FILTER (WHERE gdd_max IS NULL) AS gdd_max
+            FROM statuses)
+        UNPIVOT (missing FOR "column" IN (station_id, date, plant_id, plant_name, gdd_cumulative,
+                 bloom_day, bloom_phase, bloom_phase_label, gdd_min, gdd_max))""",
     "d07_unknown_totals": """
         SELECT plant_id, count(*) FILTER (WHERE gdd_cumulative IS NULL) AS days_without_total,
                count(*) AS days

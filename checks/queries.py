@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bloomgrid import quality
+from bloomgrid import quality, schemas
 from bloomgrid.functions import labels as L
 from bloomgrid.functions import scenes as S
 from bloomgrid.functions import values as V
@@ -104,7 +104,7 @@ def s08_precipitation_files(v: Views) -> DataFrame:
 
 @query
 def q01_daily_temperatures(v: Views) -> DataFrame:
-    return weather_plans.daily_temperatures(v.readings_refetched(), v.history())
+    return weather_plans.daily_temperatures(v.readings_new(), v.history())
 
 
 @query
@@ -139,7 +139,7 @@ def w03_bloom_windows(v: Views) -> DataFrame:
 
 @query
 def q03_zone_bloom_windows(v: Views) -> DataFrame:
-    windows = weather_plans.bloom_windows(v.daily(), v.plants())
+    windows = weather_plans.bloom_windows(v.daily(), v.plants().where(F.col("id") == PLANT))
     return weather_plans.zones_with_bloom(v.zones(), windows, v.plants(), PLANT).select(
         "cell_id", "station_id", "bloom_start_date", "bloom_end_date", "bloom_tooltip"
     )
@@ -172,15 +172,15 @@ def p08_bloom_rows(v: Views) -> DataFrame:
 
 @query
 def q22_animation_frames(v: Views) -> DataFrame:
-    table = gd.gdd_table(v.daily(), v.plants())
-    return weather_plans.animation_frames(table, v.plants()).select(
+    rows = gd.growing_degree_days(v.daily(), v.plants())
+    return weather_plans.animation_frames(rows).select(
         "station_id", "plant_id", "date", "gdd_cumulative", "phase_label", "frame_date"
     )
 
 
 @query
 def o04_bloom_preview(v: Views) -> DataFrame:
-    return weather_plans.bloom_preview(gd.gdd_table(v.daily(), v.plants()))
+    return weather_plans.bloom_preview(gd.gdd_table(v.daily(), v.plants()), 20)
 
 
 @query
@@ -228,10 +228,8 @@ def a06_precipitation(v: Views) -> DataFrame:
 
 
 def _summaries(v: Views) -> DataFrame:
-    daily = v.daily()
-    table = gd.gdd_table(daily, v.plants())
     return station_plans.monthly_summaries(
-        daily, table, v.year_requests(), v.zones(), v.precipitation()
+        v.daily(), v.year_requests(), v.zones(), v.precipitation(), plants=v.plants()
     )
 
 
@@ -251,10 +249,8 @@ def w04_gdd_chart(v: Views) -> DataFrame:
 
 
 def _series(v: Views) -> DataFrame:
-    daily = v.daily()
-    table = gd.gdd_table(daily, v.plants())
     return station_plans.daily_rows(
-        daily, table, v.year_requests(), v.zones(), v.precipitation()
+        v.daily(), v.year_requests(), v.zones(), v.precipitation(), plants=v.plants()
     )
 
 
@@ -263,6 +259,16 @@ def q10_daily_series(v: Views) -> DataFrame:
     return _series(v)
 
 
+@query
+def j01_daily_with_stored_totals(v: Views) -> DataFrame:
+    """Days joined with a stored table, the plant inside the join key."""
+    daily = v.daily()
+    return station_plans.daily_rows(
+        daily, v.year_requests(), v.zones(), v.precipitation(),
+        gdd=gd.gdd_table(daily, v.plants()),
+    )
+
+
 @query
 def k06_series_documents(v: Views) -> DataFrame:
     total = F.aggregate(
@@ -279,8 +285,7 @@ def k06_series_documents(v: Views) -> DataFrame:
 
 @query
 def q11_bloom_status(v: Views) -> DataFrame:
-    table = gd.gdd_table(v.daily(), v.plants())
-    return station_plans.bloom_status(table, v.plants(), v.zones(), v.day_requests())
+    return station_plans.bloom_status(v.plants(), v.zones(), v.day_requests(), daily=v.daily())
 
 
 # layers and points ------------------------------------------------------------------------
@@ -293,14 +298,14 @@ def q05_station_points(v: Views) -> DataFrame:
 
 @query
 def q06_zone_layer(v: Views) -> DataFrame:
-    windows = weather_plans.bloom_windows(v.daily(), v.plants())
+    windows = weather_plans.bloom_windows(v.daily(), v.plants().where(F.col("id") == PLANT))
     zones = weather_plans.zones_with_bloom(v.zones(), windows, v.plants(), PLANT)
     return layer_plans.zone_layer(zones).select("cell_id", "feature")
 
 
 @query
 def p16_zone_tips(v: Views) -> DataFrame:
-    windows = weather_plans.bloom_windows(v.daily(), v.plants())
+    windows = weather_plans.bloom_windows(v.daily(), v.plants().where(F.col("id") == PLANT))
     zones = weather_plans.zones_with_bloom(v.zones(), windows, v.plants(), PLANT)
     return layer_plans.zone_tips(zones)
 
@@ -318,7 +323,7 @@ def g07_extents(v: Views) -> DataFrame:
 
 @query
 def o06_first_features(v: Views) -> DataFrame:
-    return layers.first_features(v.zones())
+    return layers.first_features(v.zones(), 5)
 
 
 @query
@@ -357,6 +362,21 @@ def q20_resolved_clicks(v: Views) -> DataFrame:
     return resolved.select("click_id", "station_id", "station_name")
 
 
+@query
+def q20_selected_stations(v: Views) -> DataFrame:
+    """Stations that clicks select: resolved first, then without repeated places. A click that
+    finds no station leaves the memory as it was."""
+    resolved = spatial.resolve_stations(v.clicks(), _pins(v), v.zones())
+    changed = spatial.changed_clicks(resolved)
+    places = resolved.select(
+        "click_id", "session", "ts", "station_id",
+        V.click_key(F.col("lon"), F.col("lat")).alias("place"),
+    )
+    return places.join(changed, ["session", "ts", "place"], "left_semi").select(
+        "click_id", "station_id", "place"
+    )
+
+
 @query
 def w06_changed_clicks(v: Views) -> DataFrame:
     return spatial.changed_clicks(v.clicks())
@@ -367,7 +387,7 @@ def w06_changed_clicks(v: Views) -> DataFrame:
 
 @query
 def p10_scene_filter(v: Views) -> DataFrame:
-    found = sc.search_scenes(v.scenes(), *SEARCH, limit=None)
+    found = sc.search_scenes(v.scenes(), *SEARCH)
     return found.select("id", "cloud_cover", "href")
 
 
@@ -416,28 +436,28 @@ def q15_coverage_report(v: Views) -> DataFrame:
     )
 
 
-def _narrow_search(v: Views) -> DataFrame:
-    return scene_plans.best_scenes(v.scenes(), dt.date(1997, 3, 1), dt.date(1997, 3, 20), 30.0)
+def _best(v: Views) -> DataFrame:
+    return scene_plans.best_scenes(v.scenes(), *SEARCH)
 
 
 @query
 def o08_tile_details(v: Views) -> DataFrame:
-    return sc.tile_details(_narrow_search(v))
+    return sc.tile_details(_best(v))
 
 
 @query
 def u05_missing_tiles(v: Views) -> DataFrame:
-    return sc.missing_tiles(_narrow_search(v))
+    return sc.missing_tiles(_best(v))
 
 
 @query
 def p17_partial_tiles(v: Views) -> DataFrame:
-    return sc.partial_tiles(_narrow_search(v))
+    return sc.partial_tiles(_best(v))
 
 
 @query
 def a15_region_mosaic_request(v: Views) -> DataFrame:
-    links = sc.ordered_links(_narrow_search(v))
+    links = sc.ordered_links(_best(v))
     return links.select(
         mosaics.set_digest(F.col("urls")).alias("digest"),
         F.size(mosaics.url_set(F.col("urls"))).alias("tile_count"),
@@ -500,11 +520,11 @@ def s10_listed_urls(v: Views) -> DataFrame:
 
 @query
 def a14_request_digests(v: Views) -> DataFrame:
-    return mosaics.request_digests(mosaics.valid_requests(v.request_urls()))
+    return mosaics.request_digests(mosaics.link_lists(v.request_urls()))
 
 
 def _sets(v: Views) -> DataFrame:
-    return mosaics.distinct_sets(mosaics.valid_requests(v.request_urls()))
+    return mosaics.distinct_sets(mosaics.link_lists(v.request_urls()))
 
 
 @query
@@ -524,15 +544,37 @@ def k05_new_manifests(v: Views) -> DataFrame:
         F.col("o_orderkey").alias("request_id")
     )
     stored = mosaics.distinct_sets(
-        mosaics.valid_requests(v.request_urls().join(earlier, "request_id", "left_semi"))
+        mosaics.link_lists(v.request_urls().join(earlier, "request_id", "left_semi"))
     )
     fresh = mosaics.new_manifests(_sets(v), stored)
     return fresh.select("digest", F.size("urls").alias("links"))
 
 
+@query
+def k05_incomplete_sets(v: Views) -> DataFrame:
+    found = mosaics.incomplete_sets(_sets(v), v.footprints())
+    return found.select("digest", "links", F.array_join("missing", "|").alias("missing"))
+
+
 # quality ----------------------------------------------------------------------------------
 
 
+@query
+def v05_refused_requests(v: Views) -> DataFrame:
+    return quality.refused_requests(v.url_lists())
+
+
+@query
+def v05_refused_years(v: Views) -> DataFrame:
+    return quality.refused_years(v.year_requests())
+
+
+@query
+def v07_rejected_documents(v: Views) -> DataFrame:
+    rejected = files.rejected_documents(v.landed_documents(), schemas.READING_PAGE)
+    return rejected.select("l_orderkey", "l_linenumber", "document")
+
+
 @query
 def v01_duplicate_keys(v: Views) -> DataFrame:
     return quality.duplicate_keys(v.readings(), quality.KEYS["station_daily"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
+from bloomgrid.functions import scenes as S
 from bloomgrid.operators.weather import daily_extremes
 
 
@@ -25,11 +26,12 @@ class Views:
     # weather ------------------------------------------------------------------------------
 
     def readings(self) -> DataFrame:
-        """One reading per line item: the supplier is the station."""
+        """One reading per line item: the supplier is the station. Some readings are missing."""
         return self.table("lineitem").selectExpr(
             "concat('S', l_suppkey) AS station_id",
             "to_date(l_shipdate) AS date",
-            "(l_quantity - 10) / 2.0D AS air_temperature",
+            "CASE WHEN l_quantity = 7 THEN NULL WHEN l_quantity = 8 THEN double('NaN')"
+            " ELSE (l_quantity - 10) / 2.0D END AS air_temperature",
         )
 
     def readings_new(self) -> DataFrame:
@@ -40,10 +42,6 @@ class Views:
             "value / 20.0D AS air_temperature",
         )
 
-    def readings_refetched(self) -> DataFrame:
-        """The later part of the period, fetched again."""
-        return self.readings_new().where("date >= DATE'2024-01-16'")
-
     def history(self) -> DataFrame:
         """Earlier daily rows, one per event type, so that keys repeat; `position` is file order."""
         return (
@@ -197,10 +195,11 @@ class Views:
         )
 
     def clicks(self) -> DataFrame:
-        """A click per event; every tenth of the value scale is one place."""
+        """A click per event; every tenth of the value scale is one place, half of which lie
+        exactly between two five-decimal keys."""
         return self.table("events").selectExpr(
             "event_id AS click_id", "user_id AS session", "ts",
-            "21.0D + floor(value / 10) / 32.0D AS lon",
+            "21.0D + floor(value / 10) / 64.0D AS lon",
             "50.0D + (user_id % 50) / 20.0D AS lat",
             "CASE WHEN event_type = 'purchase' THEN concat('S', user_id) END AS station_id",
             "CAST(NULL AS STRING) AS station_name",
@@ -210,14 +209,11 @@ class Views:
 
     def scenes(self) -> DataFrame:
         """A scene per order: sixteen known tiles, two old names, two unknown ones."""
-        # Tile codes in the order they are dealt out.
-        tiles = (
-            "34UEA 34UEB 34UEC 34UED 34UFA 34UFB 34UFC 34UFD 34UGA 34UGB "
-            "34UGC 34UGD 35ULR 35ULS 35ULT 35ULU 35UKR 35UKS 33UVR 36UWV"
-        )
+        tiles = (*S.REGION_TILES, *S.TILE_ALIASES, "MGRS-33UVR", "MGRS-36UWV")
+        codes = ", ".join(f"'{tile.removeprefix(S.TILE_PREFIX)}'" for tile in tiles)
         base = self.table("orders").selectExpr(
             "o_orderkey AS k",
-            f"split('{tiles}', ' ')[CAST(o_custkey % 20 AS INT)] AS code",
+            f"array({codes})[CAST(o_custkey % 20 AS INT)] AS code",
             "CAST(o_custkey % 20 AS INT) AS t",
             "o_orderdate AS at", "o_orderstatus AS st", "o_orderpriority AS pr",
             "floor(o_totalprice) AS price",
@@ -352,7 +348,7 @@ class Views:
     # mosaics ------------------------------------------------------------------------------
 
     def request_urls(self) -> DataFrame:
-        """The images of an order's suppliers; an order of many lines may list too many."""
+        """The images of an order's suppliers."""
         return self.table("lineitem").selectExpr(
             "l_orderkey AS request_id", "concat('https://images.example/', l_suppkey, '.tif') AS url"
         )
@@ -366,12 +362,21 @@ class Views:
         )
 
     def footprints(self) -> DataFrame:
+        """Footprints of most images; those of some suppliers are unknown."""
         box = (
             "named_struct('minx', 14.0D + 0.37D * (s_suppkey % 40),"
             " 'miny', 45.0D + 0.41D * (s_suppkey DIV 40 % 40),"
             " 'maxx', 15.5D + 0.37D * (s_suppkey % 40),"
             " 'maxy', 46.0D + 0.41D * (s_suppkey DIV 40 % 40)) AS bbox"
         )
-        return self.table("supplier").selectExpr(
+        return self.table("supplier").where("s_acctbal > -850").selectExpr(
             "concat('https://images.example/', s_suppkey, '.tif') AS url", box
         )
+
+    def landed_documents(self) -> DataFrame:
+        """Landed pages, some of which broke off."""
+        return self.table("lineitem").selectExpr(
+            "l_orderkey", "l_linenumber",
+            "CASE WHEN l_returnflag = 'R' THEN concat('{\"content\":[{\"stationId\":\"S', l_suppkey)"
+            " WHEN l_returnflag = 'A' THEN '{\"content\":[]}' END AS document",
+        )

@@ -1,6 +1,7 @@
 """Column expressions on hand-made values."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -37,12 +38,28 @@ def test_round2_equals_numpy(spark, values):
     ("2024-01-01T23:59:59Z", dt.date(2024, 1, 1)),
     ("2024-01-01T23:30:00+02:00", dt.date(2024, 1, 1)),
     ("2024-02-29", dt.date(2024, 2, 29)),
-    ("no date", None),
 ])
 def test_reading_day(spark, text, day):
     assert one(spark, V.reading_day(F.lit(text))) == day
 
 
+def test_a_bad_stamp_fails(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        one(spark, V.reading_day(F.lit("no date")))
+
+
+def test_five_decimals_round_the_exact_value(spark):
+    rng = random.Random(5)
+    values = [51.123455, 21.015625, 21.046875, -0.000004, -0.0, 0.0, 0.015625, 0.046875, 179.999995,
+              180.0, 1e-300, 0.1, 0.000005, 0.1000050]
+    values += [rng.randrange(-180 * 64, 180 * 64) / 64 for _ in range(200)]
+    values += [rng.uniform(-180, 180) for _ in range(200)]
+    values += [round(rng.uniform(-180, 180), 5) + 0.000005 for _ in range(300)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in frame.select(V.five_decimals(F.col("v"))).collect()]
+    assert got == [f"{v:.5f}" for v in values]
+
+
 def test_reading_day_ignores_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from bloomgrid import schemas
 from bloomgrid.operators import layers, weather
+from bloomgrid.operators import scenes as scenes_ops
 from bloomgrid.plans import layers as layer_plans
+from bloomgrid.plans import weather as weather_plans
 from bloomgrid.sources import files, sinks
 
 D = dt.date
@@ -48,8 +50,8 @@ def test_broken_json_fails(spark, tmp_path):
 def test_daily_csv_by_column_name(spark, tmp_path):
     path = put(tmp_path / "h.csv", "data_dnia,extra,stationId,T_max,T_min,T_srednia\n"
                                    "2024-01-01,x,A,2.5,1.5,2.0\n2024-01-02,x,A,,NaN,\n")
-    rows = files.read_daily_history(spark, path).orderBy("date").collect()
-    assert [tuple(r) for r in rows] == [
+    rows = files.read_daily_history(spark, path).orderBy("position").collect()
+    assert [tuple(r)[1:] for r in rows] == [
         ("A", D(2024, 1, 1), 1.5, 2.5, 2.0), ("A", D(2024, 1, 2), None, None, None)]
     bad = put(tmp_path / "bad.csv", "stationId,data_dnia,T_min,T_max,T_srednia\nA,x,1,1,1\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -63,7 +65,7 @@ def test_csv_round_trips(spark, tmp_path):
     sinks.write_history_csv(daily, str(tmp_path / "history"))
     sinks.write_csv(daily, str(tmp_path / "daily"))
     expected = sorted(map(tuple, daily.collect()))
-    for frame in (files.read_daily_history(spark, str(tmp_path / "history")),
+    for frame in (files.read_daily_history(spark, str(tmp_path / "history")).drop("position"),
                   files.read_station_daily(spark, str(tmp_path / "daily"))):
         assert sorted(map(tuple, frame.collect())) == expected
     gdd = spark.createDataFrame(
@@ -124,7 +126,7 @@ def test_layer_round_trip_as_lines_and_document(spark, tmp_path):
     columns = ["cell_id", "station_id", "geom_type", "polys", "bbox"]
     assert sorted(map(str, back.select(columns).collect())) == sorted(
         map(str, zones.select(columns).collect()))
-    document = json.loads(sinks.feature_collection(features).first()["document"])
+    document = json.loads(sinks.feature_collection(features, limit=10).first()["document"])
     assert document["type"] == "FeatureCollection" and len(document["features"]) == 5
     assert document["features"][0]["properties"].keys() == {
         "cell_id", "station_id", "station_name", "area_ha", "bloom_start_date",
@@ -217,3 +219,79 @@ def test_documents(spark, tmp_path):
     sinks.refresh_table(frame, str(tmp_path / "table"))
     assert spark.read.text(str(tmp_path / "docs")).first()[0] == '{"s":"A","m":[{"a":1,"b":null}]}'
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+DAILY_COLUMNS = ["station_id", "date", "t_min", "t_max", "t_mean"]
+
+
+def test_daily_job_runs_again_on_its_own_output(spark, tmp_path):
+    def readings(rows):
+        return spark.createDataFrame(rows, "station_id STRING, measured_at STRING, air_temperature DOUBLE")
+
+    first = weather_plans.daily_temperatures(readings([("A", "2024-01-01T10:00:00Z", 1.0),
+                                                       ("A", "2024-01-02T10:00:00Z", 2.0)]))
+    sinks.write_history_csv(first, str(tmp_path / "one"))
+    fresh = readings([("A", "2024-01-02T10:00:00Z", 5.0), ("B", "2024-01-02T10:00:00Z", 6.0)])
+    second = weather_plans.daily_temperatures(
+        fresh, files.read_daily_history(spark, str(tmp_path / "one")))
+    sinks.write_history_csv(second, str(tmp_path / "two"))
+    third = weather_plans.daily_temperatures(
+        readings([]), files.read_daily_history(spark, str(tmp_path / "two")))
+    got = sorted((r["station_id"], r["date"], r["t_mean"]) for r in third.collect())
+    assert got == [("A", D(2024, 1, 1), 1.0), ("A", D(2024, 1, 2), 5.0), ("B", D(2024, 1, 2), 6.0)]
+
+
+def test_last_row_of_the_history_files_counts(spark, tmp_path):
+    head = "stationId,data_dnia,T_min,T_max,T_srednia\n"
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "a.csv").write_text(head + "A,2024-01-01,1,1,1\nA,2024-01-01,2,2,2\n")
+    (tmp_path / "h" / "b.csv").write_text(head + "A,2024-01-02,3,3,3\nA,2024-01-01,4,4,4\n")
+    history = files.read_daily_history(spark, str(tmp_path / "h"))
+    none = spark.createDataFrame([], "station_id STRING, date DATE, t_min DOUBLE, t_max DOUBLE, t_mean DOUBLE")
+    rows = {r["date"]: r["t_mean"] for r in weather.keep_last(history, none).collect()}
+    assert rows == {D(2024, 1, 1): 4.0, D(2024, 1, 2): 3.0}
+
+
+def test_catalogue_load_from_files(spark, tmp_path):
+    def item(name, href, stamp="2024-01-01T10:00:00Z"):
+        return {"type": "Feature", "id": name, "collection": "c", "bbox": [0.0, 0.0, 1.0, 1.0],
+                "properties": {"datetime": stamp}, "assets": {"visual": {"href": href}}}
+
+    old = files.read_scenes(spark, put(tmp_path / "old.json", [item("gone", "x"), item("a", "y")]))
+    load = files.read_scenes(spark, put(tmp_path / "new.json", [
+        item("a", "first"), item("a", "last", "2024-01-01T23:30:00-03:00")]))
+    rows = scenes_ops.replace_collections(old.drop("position"), load).collect()
+    assert [(r["id"], r["assets"]["visual"]["href"]) for r in rows] == [("a", "last")]
+    assert str(rows[0]["acquired_at"]) == "2024-01-02 02:30:00"
+    documents = files.read_stac_collections(
+        spark, put(tmp_path / "c.json", {"id": "c", "title": "new"}))
+    stored = documents.drop("position").withColumn("title", F.lit("old"))
+    assert [r["title"] for r in scenes_ops.upsert_by_id(stored, documents).collect()] == ["new"]
+
+
+@pytest.mark.parametrize(("parse", "text"), [
+    (files.parse_reading_pages, '{"content": ['),
+    (files.parse_plants, '[{"id": '),
+    (files.parse_zone_collections, '{"features": [1'),
+    (files.parse_boundaries, "{"),
+    (files.parse_scenes, "[{"),
+])
+def test_broken_documents_fail_and_are_named(spark, parse, text):
+    documents = spark.createDataFrame([(text,)], "document STRING")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        parse(documents).collect()
+    good = '{"content": []}'
+    some = spark.createDataFrame([(1, text), (2, good), (3, None)], "k INT, document STRING")
+    assert [r["k"] for r in files.rejected_documents(some, schemas.READING_PAGE).collect()] == [1]
+
+
+def test_precipitation_of_overlapping_and_misnamed_files(spark):
+    schema = "file_name STRING, document STRING"
+    rows = spark.createDataFrame([
+        ("A_2023.json", '{"2024-01-01": 9.0}'), ("A_2024.json", '{"2024-01-01": 1.0, "2024-01-02": 2.0}'),
+    ], schema)
+    got = sorted(tuple(r) for r in files.precipitation_rows(rows).collect())
+    assert got == [("A", D(2024, 1, 1), 1.0), ("A", D(2024, 1, 2), 2.0)]
+    wrong = spark.createDataFrame([("rain.json", '{"2024-01-01": 9.0}')], schema)
+    with pytest.raises(Exception, match="not a precipitation file"):
+        files.precipitation_rows(wrong).collect()

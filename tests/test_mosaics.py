@@ -4,6 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from bloomgrid import quality
 from bloomgrid.operators import mosaics
 from bloomgrid.plans import scenes as plans
 from bloomgrid.sources import files, sinks
@@ -31,7 +32,7 @@ def test_known_manifest(spark):
     assert row["bounds"] == list(BOX)
     assert row["center"] == [(BOX[0] + BOX[2]) / 2, (BOX[1] + BOX[3]) / 2, 7.0]
     assert (row["minzoom"], row["maxzoom"], row["quadkey_zoom"]) == (7, 13, 7)
-    digests = mosaics.request_digests(mosaics.valid_requests(requests))
+    digests = mosaics.request_digests(mosaics.link_lists(requests))
     assert sorted(tuple(r) for r in digests.collect()) == [(1, DIGEST, 1), (2, DIGEST, 1)]
 
 
@@ -43,19 +44,26 @@ def test_lists_are_ordered_and_sets_with_unknown_links_left_out(spark):
     assert [r["digest"] for r in rows] == [hashlib.sha256(b"a|b").hexdigest()[:16]]
     assert list(rows[0]["tiles"].values()) == [["a", "b"]]
     index = mosaics.quadkey_index(mosaics.placed_links(
-        mosaics.distinct_sets(mosaics.valid_requests(requests)), footprints)).collect()
-    assert ["a", "b"] in [r["urls"] for r in index]
+        mosaics.distinct_sets(mosaics.link_lists(requests)), footprints)).collect()
+    assert all(r["urls"] == ["a", "b"] for r in index)
+    sets = mosaics.distinct_sets(mosaics.link_lists(requests))
+    lacking = mosaics.incomplete_sets(sets, footprints).collect()
+    assert [(r["links"], r["missing"]) for r in lacking] == [(2, ["gone"])]
 
 
 def test_request_sizes(spark):
     rows = [(1, f"u{i}") for i in range(32)] + [(2, f"u{i}") for i in range(33)]
     rows += [(3, "same")] * 33 + [(4, None)]
     frame = spark.createDataFrame(rows, URLS)
-    valid = mosaics.valid_requests(frame).collect()
-    assert [(r["request_id"], len(r["urls"])) for r in valid] == [(1, 32)]
+    lists = mosaics.link_lists(frame).collect()
+    assert sorted((r["request_id"], len(r["urls"])) for r in lists) == [(1, 32), (2, 33), (3, 1)]
     listed = spark.createDataFrame(
-        [(1, ["a", "b"]), (2, []), (3, ["x"] * 33)], "request_id INT, urls ARRAY<STRING>")
-    assert sorted(tuple(r) for r in files.request_urls(listed).collect()) == [(1, "a"), (1, "b")]
+        [(1, ["a", "b"]), (2, []), (3, ["x"] * 33), (4, None)],
+        "request_id INT, urls ARRAY<STRING>")
+    assert sorted(tuple(r) for r in files.request_urls(listed).distinct().collect()) == [
+        (1, "a"), (1, "b"), (3, "x")]
+    refused = quality.refused_requests(listed).collect()
+    assert sorted((r["request_id"], r["links"]) for r in refused) == [(2, 0), (3, 33), (4, 0)]
 
 
 def test_extent(spark):

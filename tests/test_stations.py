@@ -32,10 +32,37 @@ def data(spark):
             "gdd": gdd_table(daily, plants)}
 
 
-def summaries(spark, data, plant="p", station="A", year=2024):
+def summaries(spark, data, plant="p", station="A", year=2024, stored=False):
     requests = plans.year_request(spark, station, year, plant)
+    source = {"gdd": data["gdd"]} if stored else {"plants": data["plants"]}
     return plans.monthly_summaries(
-        data["daily"], data["gdd"], requests, data["zones"], data["rain"])
+        data["daily"], requests, data["zones"], data["rain"], **source)
+
+
+def test_stored_and_computed_totals_agree(spark, data):
+    for plant in ("p", "other"):
+        computed, stored = (summaries(spark, data, plant, stored=x).collect() for x in (False, True))
+        assert computed == stored
+
+
+def test_table_requests_answer_every_year(spark, data):
+    daily = spark.createDataFrame(
+        [("A", D(1999, 5, 1), 10.0, 20.0, 15.0)],
+        "station_id STRING, date DATE, t_min DOUBLE, t_max DOUBLE, t_mean DOUBLE")
+    requests = spark.createDataFrame([("A", 1999, "p")], "station_id STRING, year INT, plant_id STRING")
+    rows = plans.daily_rows(daily, requests, data["zones"], data["rain"], plants=data["plants"])
+    assert [r["date"] for r in rows.collect()] == [D(1999, 5, 1)]
+    assert quality.refused_years(requests).count() == 1
+
+
+def test_requests_cut_daily_rows_before_the_windows(spark, data):
+    requests = plans.year_request(spark, "A", 2024, "p")
+    rows = plans.daily_rows(
+        data["daily"], requests, data["zones"], data["rain"], plants=data["plants"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    window = max(i for i, line in enumerate(lines) if "Window" in line)
+    assert any("Join" in line for line in lines[window + 1:])
 
 
 def test_monthly_summary(spark, data):
@@ -67,7 +94,8 @@ def test_annual_status(spark, data):
 
 def test_daily_series(spark, data):
     requests = plans.year_request(spark, "A", 2024, "p")
-    rows = plans.daily_rows(data["daily"], data["gdd"], requests, data["zones"], data["rain"])
+    rows = plans.daily_rows(
+        data["daily"], requests, data["zones"], data["rain"], gdd=data["gdd"])
     points = plans.daily_series(rows).first()["points"]
     assert [p["date"] for p in points] == [
         D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3), D(2024, 3, 1)]
@@ -80,7 +108,9 @@ def test_bloom_status(spark, data):
         [("A", D(2024, 1, 2), "p"), ("A", D(2024, 1, 2), "p"), ("X", D(2024, 1, 1), "p"),
          ("A", D(2024, 1, 2), "q"), ("A", D(2030, 1, 1), "p")],
         "station_id STRING, date DATE, plant_id STRING")
-    rows = plans.bloom_status(data["gdd"], data["plants"], data["zones"], requests)
+    rows = plans.bloom_status(data["plants"], data["zones"], requests, gdd=data["gdd"])
+    computed = plans.bloom_status(data["plants"], data["zones"], requests, daily=data["daily"])
+    assert sorted(map(str, rows.collect())) == sorted(map(str, computed.collect()))
     got = {r["station_id"]: r for r in rows.collect()}
     assert sorted(got) == ["A", "X"] and rows.count() == 2
     assert (got["A"]["station_name"], got["A"]["bloom_phase_label"], got["A"]["bloom_day_text"]) == (

@@ -146,23 +146,24 @@ def test_plants_take_default_terms_and_plantings_limit_pairs(spark):
     assert some == {("A", "y"): 5.0, ("B", "x"): 10.0}
 
 
-def test_a_large_dictionary_is_refused_not_cut(spark, plants):
-    many = spark.range(gd.MAX_PLANTS + 1).select(
+def test_a_large_dictionary_is_answered(spark, plants, monkeypatch):
+    monkeypatch.setattr(gd, "PLANTS_PER_BLOCK", 7)
+    many = spark.range(50).select(
         F.concat(F.lit("p"), "id").alias("id"), F.lit("n").alias("name_pl"),
         F.lit("l").alias("name_latin"), F.lit(5.0).alias("base_temp_c"),
         F.lit(1.0).alias("gdd_min"), F.lit(2.0).alias("gdd_max"),
         F.lit(None).cast("string").alias("season"))
     daily = days(spark, [("A", D(2024, 1, 1), 15.0)])
-    with pytest.raises(Exception, match="too large"):
-        gd.gdd_table(daily, many).collect()
+    rows = gd.gdd_table(daily, many).collect()
+    assert len({r["plant_id"] for r in rows}) == len(rows) == 50
 
 
 def test_degree_days_shuffle_daily_rows_once_before_plants(spark, plants):
     daily = days(spark, run(D(2024, 3, 1), [60.0] * 8))
-    yearly = gd.yearly_windows(gd.growing_degree_days(daily, plants))
+    yearly = gd.yearly_windows(gd.growing_degree_days(daily, F.broadcast(plants)))
     plan = yearly._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning(station_id") == 1
+    assert "SortMergeJoin" not in plan
 
 
 def test_monthly_totals_fall_back_only_when_nothing_is_stored(spark):
