@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at a time; a longer single text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

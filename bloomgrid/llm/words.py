@@ -86,7 +86,7 @@ def find(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool) -
     ends = np.flatnonzero(inside & ~after) + 1
     borders = np.searchsorted(starts, offsets)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(borders))
-    room = 1 << max(20, int(size + 1).bit_length())
+    room = 1 << max(18, int(size + 1).bit_length())
     powers, inverse = _powers(room)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(BYTE_VALUES[raw] * powers[:size], out=sums[1:])
