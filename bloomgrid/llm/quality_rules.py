@@ -6,10 +6,11 @@ earlier line of the text; n_repeat_words, words inside 8-word windows found twic
 
 The method compares two histograms of a text with references of each language: shares of
 character classes, and shares of hashed word slots among the language's common ones. References
-are means over all documents with a language, base-failed ones left out, every document counting
-by its size. The Jensen-Shannon distances (base 2) to the nearest language decide; texts of fewer
-than MIN_CHARS characters or MIN_WORDS words are too short for the respective comparison and pass
-it.
+come from all documents with a language that pass the base rules. For words they are sums; for
+character classes geometric means over documents of MIN_CHARS and more, so that a minority of junk
+does not move them. The Jensen-Shannon distances (base 2) to the nearest language decide; texts
+of fewer than MIN_CHARS characters or MIN_WORDS words are too short for the respective comparison
+and pass it.
 
 NULL and empty texts have no words and fail the base rule. Rows with NULL doc_id or repeated rows
 are judged like any other. Without any reference (an empty table) only base rules decide.
@@ -30,8 +31,9 @@ from bloomgrid.llm.batches import map_texts, slices, text_buffers
 SLOTS = 4096
 COMMON = 64
 MIN_WORDS, MIN_CHARS = 100, 300
+LEAST_SHARE = 1e-4
 #: Largest distances of an accepted text to the nearest language's references.
-CLASS_DISTANCE, WORD_DISTANCE = 0.29, 0.40
+CLASS_DISTANCE, WORD_DISTANCE = 0.28, 0.40
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -103,12 +105,19 @@ def histograms(raw, offsets, found: words.Words) -> tuple[np.ndarray, np.ndarray
     return classes, (found.hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
+def log_shares(classes: np.ndarray) -> np.ndarray:
+    """Logarithms of class shares, in millionths; a class that is missing counts as LEAST_SHARE."""
+    shares = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1)
+    return np.rint(np.log(np.maximum(shares, LEAST_SHARE)) * 1e6).astype(np.int64)
+
+
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
     return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
 def references(documents: DataFrame) -> DataFrame:
-    """lang, kind ('class' or 'slot'), place, n: summed histograms per language.
+    """lang, kind, place, n: per language, sums of the log shares of the classes with the number of
+    documents as last place ('class'), and of word slots ('slot'). All are whole numbers.
 
     Tasks add up their own documents, so what is shuffled is bounded per task and language.
     """
@@ -122,11 +131,14 @@ def references(documents: DataFrame) -> DataFrame:
                 facts = base_statistics(raw, offsets, found)
                 good = ~base_failed(facts["n_words"], facts["n_repeat_words"])
                 classes, slots = histograms(raw, offsets, found)
+                logs = log_shares(classes)
                 for row, lang in enumerate(piece.column("lang").to_pylist()):
                     if lang is None or not good[row]:
                         continue
-                    a, b = sums.setdefault(lang, (np.zeros(CLASSES, int), np.zeros(SLOTS, int)))
-                    a += classes[row]
+                    a, b = sums.setdefault(lang, (np.zeros(CLASSES + 1, int), np.zeros(SLOTS, int)))
+                    if classes[row].sum() >= MIN_CHARS:
+                        a[:CLASSES] += logs[row]
+                        a[CLASSES] += 1
                     own = slots[found.borders[row] : found.borders[row + 1]]
                     b += np.bincount(own, minlength=SLOTS)
         for lang, (a, b) in sums.items():
@@ -134,8 +146,8 @@ def references(documents: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [
                     pa.array([lang] * len(both)),
-                    pa.array(["class"] * CLASSES + ["slot"] * SLOTS),
-                    pa.array([*range(CLASSES), *range(SLOTS)], pa.int32()),
+                    pa.array(["class"] * (CLASSES + 1) + ["slot"] * SLOTS),
+                    pa.array([*range(CLASSES + 1), *range(SLOTS)], pa.int32()),
                     pa.array(both, pa.int64()),
                 ],
                 names=["lang", "kind", "place", "n"],
@@ -143,7 +155,59 @@ def references(documents: DataFrame) -> DataFrame:
 
     known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     parts = known.mapInArrow(run, "lang string, kind string, place int, n long")
-    return parts.groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).where("n > 0")
+    return parts.groupBy("lang", "kind", "place").agg(F.sum("n").alias("n"))
+
+
+def nearest_distances(classes, slots, borders, known) -> tuple[np.ndarray, np.ndarray]:
+    """Jensen-Shannon distances to the language with the least sum of both."""
+    rows = len(classes)
+    best = np.full((2, rows), np.inf)
+    counted = np.zeros((rows, SLOTS))
+    for row in range(rows):
+        counted[row] = np.bincount(slots[borders[row] : borders[row + 1]], minlength=SLOTS)
+    for class_share, common, word_share in known:
+        first = distance(classes, class_share)
+        inside = counted[:, common]
+        rest = counted.sum(axis=1, keepdims=True) - inside.sum(axis=1, keepdims=True)
+        second = distance(np.concatenate((inside, rest), axis=1), word_share)
+        nearer = first + second < best.sum(axis=0)
+        best[0, nearer], best[1, nearer] = first[nearer], second[nearer]
+    return best[0], best[1]
+
+
+def distance(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (base 2) of each row's shares to the given ones."""
+    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    m = (p + share) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
+        right = np.where(share > 0, share * np.log2(share / m), 0).sum(axis=1)
+    return np.sqrt(np.maximum((left + right) / 2, 0))
+
+
+def known_languages(frame: DataFrame) -> list[tuple]:
+    """References as shares: classes, places of the COMMON most frequent slots, their shares.
+
+    Reads at most CLASSES + 1 + COMMON rows of each language.
+    """
+    top = F.slice(
+        F.sort_array(F.collect_list(F.struct("n", "place")), asc=False), 1,
+        F.when(F.first("kind") == "class", F.lit(CLASSES + 1)).otherwise(F.lit(COMMON)),
+    )
+    rows = frame.groupBy("lang", "kind").agg(top.alias("top"), F.sum("n").alias("n")).collect()
+    by = {(row.lang, row.kind): row for row in rows}
+    found = []
+    for lang in sorted({row.lang for row in rows}):
+        sums = {x.place: x.n for x in by[lang, "class"].top}
+        slots = by[lang, "slot"]
+        if not sums[CLASSES] or not slots.n:
+            continue
+        share = np.exp([sums[k] / sums[CLASSES] / 1e6 for k in range(CLASSES)])
+        common = np.array([x.place for x in slots.top])
+        counts = np.array([x.n for x in slots.top], float)
+        word_share = np.append(counts, slots.n - counts.sum()) / slots.n
+        found.append((share / share.sum(), common, word_share))
+    return found
 
 
 def nearest_distances(classes, slots, borders, known) -> tuple[np.ndarray, np.ndarray]:
