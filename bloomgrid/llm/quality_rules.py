@@ -210,58 +210,6 @@ def known_languages(frame: DataFrame) -> list[tuple]:
     return found
 
 
-def nearest_distances(classes, slots, borders, known) -> tuple[np.ndarray, np.ndarray]:
-    """Jensen-Shannon distances to the language with the least sum of both."""
-    rows = len(classes)
-    best = np.full((2, rows), np.inf)
-    counted = np.zeros((rows, SLOTS))
-    for row in range(rows):
-        counted[row] = np.bincount(slots[borders[row] : borders[row + 1]], minlength=SLOTS)
-    for class_share, common, word_share in known:
-        first = distance(classes, class_share)
-        inside = counted[:, common]
-        rest = counted.sum(axis=1, keepdims=True) - inside.sum(axis=1, keepdims=True)
-        second = distance(np.concatenate((inside, rest), axis=1), word_share)
-        nearer = first + second < best.sum(axis=0)
-        best[0, nearer], best[1, nearer] = first[nearer], second[nearer]
-    return best[0], best[1]
-
-
-def distance(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (base 2) of each row's shares to the given ones."""
-    p = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    m = (p + share) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
-        right = np.where(share > 0, share * np.log2(share / m), 0).sum(axis=1)
-    return np.sqrt(np.maximum((left + right) / 2, 0))
-
-
-def known_languages(frame: DataFrame) -> list[tuple]:
-    """References as shares: classes, places of the COMMON most frequent slots, their shares.
-
-    Reads at most CLASSES + COMMON rows of each language.
-    """
-    top = F.slice(
-        F.sort_array(F.collect_list(F.struct("n", "place")), asc=False), 1, F.when(
-            F.first("kind") == "class", F.lit(CLASSES)).otherwise(F.lit(COMMON))
-    )
-    rows = frame.groupBy("lang", "kind").agg(top.alias("top"), F.sum("n").alias("n")).collect()
-    by = {(row.lang, row.kind): row for row in rows}
-    found = []
-    for lang in sorted({row.lang for row in rows}):
-        classes, slots = by.get((lang, "class")), by.get((lang, "slot"))
-        if not classes or not slots:
-            continue
-        share = np.zeros(CLASSES)
-        share[[x.place for x in classes.top]] = [x.n for x in classes.top]
-        common = np.array([x.place for x in slots.top])
-        counts = np.array([x.n for x in slots.top], float)
-        word_share = np.append(counts, slots.n - counts.sum()) / slots.n
-        found.append((share / share.sum(), common, word_share))
-    return found
-
-
 class Judge:
     """Judges slices of texts against the known languages."""
 
