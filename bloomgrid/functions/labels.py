@@ -95,6 +95,15 @@ def zone_tip(name: Column, station_id: Column, start: Column, end: Column, tip:
     )
 
 
+def zone_popup(start: Column, end: Column, tip: Column) -> Column:
+    """Pop-up line: the window where a start date is known, else the tooltip or nothing."""
+    window = F.concat(
+        F.lit("Kwitnienie: "), start.cast("string"), F.lit(" – "),
+        F.coalesce(end.cast("string"), F.lit("")),
+    )
+    return F.coalesce(window, tip, F.lit(""))
+
+
 def zone_hover(name: Column, start: Column, end: Column) -> Column:
     """Vector-layer text: depends on the start date alone, a missing end prints as nothing."""
     window = F.concat(

@@ -27,13 +27,14 @@ def simplified_zone_layer(zones: DataFrame, tolerance: float = layers.SIMPLIFY_T
 
 
 def zone_tips(zones: DataFrame) -> DataFrame:
-    """Both texts a map shows for a zone."""
+    """The texts a map shows for a zone."""
     c = F.col
     dates = (c("bloom_start_date"), c("bloom_end_date"))
     return zones.select(
         "cell_id",
         L.zone_tip(c("station_name"), c("station_id"), *dates, c("bloom_tooltip")).alias("tip"),
         L.zone_hover(c("station_name"), *dates).alias("hover"),
+        L.zone_popup(*dates, c("bloom_tooltip")).alias("popup"),
     )
 
 

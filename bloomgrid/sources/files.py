@@ -267,6 +267,12 @@ def read_stac_collections(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, schemas.STAC_COLLECTION).withColumn("position", _file_order())
 
 
+def parse_stac_collections(documents: DataFrame, text: str = "document") -> DataFrame:
+    """As `read_stac_collections`, for documents held as a text column."""
+    parsed = documents.select(F.from_json(text, schemas.STAC_COLLECTION, STRICT).alias("c"))
+    return parsed.select("c.*")
+
+
 # requests ---------------------------------------------------------------------------------
 
 

@@ -327,6 +327,21 @@ FINAL: dict[str, str] = {
     "s04_boundary_files": """
         SELECT 4 AS points, c_custkey::DOUBLE AS first_lon, 1.0::DOUBLE AS first_lat
         FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""",
+    "s05_gdd_csv": """
+        SELECT station_id, plant_id, date, gdd_daily, gdd_cumulative, bloom_day, bloom_phase
+        FROM gdd""",
+    "k01_history_csv": "SELECT station_id, date, t_min, t_max, t_mean FROM daily",
+    "k02_refreshed_daily_table": """
+        SELECT station_id, date, t_min, t_max, t_mean, year(date)::INT AS year FROM daily""",
+    "k04_feature_document": """
+        SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat
+               || ']},"properties":{"station_id":"' || station_id || '","station_name":"'
+               || station_name || '","station_type":'
+               || coalesce('"' || station_type || '"', 'null') || '}}' AS feature
+        FROM pins""",
+    "s07_collection_files": """
+        SELECT 'c' || n_nationkey AS id, n_name AS title, n_regionkey::DOUBLE AS minx
+        FROM nation""",
     "s06_plant_files": """
         SELECT 'p' || p_partkey AS id, p_name AS name_pl, p_type AS name_latin,
                p_size::DOUBLE AS base_temp_c, 100.0::DOUBLE AS gdd_min,
@@ -484,8 +499,28 @@ FINAL: dict[str, str] = {
                     THEN station_name || ' · ' || bloom_start_date || ' – ' || bloom_end_date
                     ELSE bloom_tooltip END AS tip,
                station_name || CASE WHEN bloom_start_date IS NOT NULL
-                    THEN ' · ' || bloom_start_date || ' – ' || bloom_end_date ELSE '' END AS hover
+                    THEN ' · ' || bloom_start_date || ' – ' || bloom_end_date ELSE '' END AS hover,
+               CASE WHEN bloom_start_date IS NOT NULL
+                    THEN 'Kwitnienie: ' || bloom_start_date || ' – ' || bloom_end_date
+                    ELSE bloom_tooltip END AS popup
         FROM zone_windows""",
+    "q07_simplified_zone_layer": """
+        SELECT s_suppkey::INT AS cell_id,
+               '{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[['
+               || x || ',' || y || '],[' || x + 0.25::DOUBLE || ',' || y || '],['
+               || x + 0.25::DOUBLE || ',' || y + 0.25::DOUBLE || '],[' || x || ','
+               || y + 0.25::DOUBLE || '],[' || x || ',' || y || ']],[['
+               || x + 0.125::DOUBLE || ',' || y + 0.0625::DOUBLE || '],['
+               || x + 0.1875::DOUBLE || ',' || y + 0.125::DOUBLE || '],['
+               || x + 0.125::DOUBLE || ',' || y + 0.1875::DOUBLE || '],['
+               || x + 0.0625::DOUBLE || ',' || y + 0.125::DOUBLE || '],['
+               || x + 0.125::DOUBLE || ',' || y + 0.0625::DOUBLE
+               || ']]]},"properties":{"cell_id":' || s_suppkey
+               || ',"station_id":"S' || s_suppkey || '","station_name":"' || s_name
+               || '","area_ha":' || s_acctbal
+               || ',"bloom_start_date":null,"bloom_end_date":null,"bloom_tooltip":null}}' AS feature
+        FROM (SELECT *, 21.0::DOUBLE + 0.25::DOUBLE * (s_suppkey % 10) AS x,
+                     50.0::DOUBLE + 0.25::DOUBLE * (s_suppkey // 10) AS y FROM supplier)""",
     "g07_extents": """
         SELECT cell_id, station_id, x AS minx, y AS miny, x + 0.25::DOUBLE AS maxx,
                y + 0.25::DOUBLE AS maxy, 5 AS corners

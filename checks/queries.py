@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from bloomgrid.plans import layers as layer_plans
 from bloomgrid.plans import scenes as scene_plans
 from bloomgrid.plans import stations as station_plans
 from bloomgrid.plans import weather as weather_plans
+from bloomgrid.session import shared_folder
 from bloomgrid.sources import files, sinks
 from checks.views import Views
 
@@ -99,6 +101,47 @@ def s08_precipitation_files(v: Views) -> DataFrame:
     return files.precipitation_rows(v.precipitation_files())
 
 
+def _scratch(v: Views) -> str:
+    return f"{shared_folder(v.spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+
+
+@query
+def s05_gdd_csv(v: Views) -> DataFrame:
+    """Written as CSV and read again, numbers cast and missing ones kept."""
+    path = _scratch(v)
+    sinks.write_csv(gd.gdd_table(v.daily(), v.plants()), path)
+    return files.read_station_gdd(v.spark, path)
+
+
+@query
+def s07_collection_files(v: Views) -> DataFrame:
+    found = files.parse_stac_collections(v.collection_documents())
+    return found.select("id", "title", F.col("extent.spatial.bbox")[0][0].alias("minx"))
+
+
+@query
+def k01_history_csv(v: Views) -> DataFrame:
+    path = _scratch(v)
+    sinks.write_history_csv(v.daily(), path)
+    return files.read_daily_history(v.spark, path).drop("position")
+
+
+@query
+def k02_refreshed_daily_table(v: Views) -> DataFrame:
+    path = _scratch(v)
+    sinks.refresh_daily_table(v.daily(), path)
+    return files.read_table(v.spark, path)
+
+
+@query
+def k04_feature_document(v: Views) -> DataFrame:
+    """The document of a small layer, taken apart again."""
+    features = layer_plans.station_point_features(v.zones())
+    document = sinks.feature_collection(features, limit=1_000_000)
+    parsed = F.from_json("document", "features ARRAY<STRING>", files.STRICT)
+    return document.select(F.explode(parsed["features"]).alias("feature"))
+
+
 # weather ----------------------------------------------------------------------------------
 
 

@@ -157,24 +157,27 @@ class Views:
         ).drop("x", "y")
 
     def outlines(self) -> DataFrame:
-        """A many-cornered outline per supplier, with a hole."""
-        turn = "transform(sequence(0, 72), k -> radians(k * 5.0D % 360))"
-        ring = (
-            f"transform({turn}, (a, k) -> array("
-            "x + (0.1D + {r} * sin(a * (3 + i % 5))) * {s} * cos(a),"
-            "y + (0.1D + {r} * sin(a * (3 + i % 5))) * {s} * sin(a)))"
-        )
+        """A square per supplier with bent sides, and a slanted hole with points on its sides.
+
+        What simplification leaves of them is known: the corners.
+        """
+        bent = [(0, 0), (16, -1), (32, 0), (33, 16), (32, 32), (16, 33), (0, 32), (-1, 16), (0, 0)]
+        hole = [(16, 8), (20, 12), (24, 16), (20, 20), (16, 24), (12, 20), (8, 16), (12, 12), (16, 8)]
+
+        def ring(points) -> str:
+            places = (f"array(x + {dx / 128}D, y + {dy / 128}D)" for dx, dy in points)
+            return f"array({', '.join(places)})"
+
         rows = self.table("supplier").selectExpr(
             "s_suppkey AS i", "21.0D + 0.25D * (s_suppkey % 10) AS x",
             "50.0D + 0.25D * (s_suppkey DIV 10) AS y", "s_name", "s_acctbal",
         )
-        outer, hole = ring.format(r="0.015D", s="1.0D"), ring.format(r="0.0D", s="0.4D")
         shaped = rows.selectExpr(
             "CAST(i AS INT) AS cell_id", "concat('S', i) AS station_id",
             "s_name AS station_name", "s_acctbal AS area_ha",
             "CAST(NULL AS DATE) AS bloom_start_date", "CAST(NULL AS DATE) AS bloom_end_date",
             "CAST(NULL AS STRING) AS bloom_tooltip", "'Polygon' AS geom_type",
-            f"array(array({outer}, {hole})) AS polys",
+            f"array(array({ring(bent)}, {ring(hole)})) AS polys",
         )
         return shaped.withColumn("bbox", G.bbox_of(F.col("polys")))
 
@@ -337,6 +340,13 @@ class Views:
             " '\",\"roles\":[\"visual\",\"data\"]}}}]') AS document"
         )
 
+    def collection_documents(self) -> DataFrame:
+        """A collection document per nation."""
+        return self.table("nation").selectExpr(
+            "concat('{\"id\":\"c', n_nationkey, '\",\"title\":\"', n_name,"
+            " '\",\"extent\":{\"spatial\":{\"bbox\":[[', n_regionkey, ',1,2,3]]}}}') AS document"
+        )
+
     def precipitation_files(self) -> DataFrame:
         """A station-year file per order, two days each."""
         return self.table("orders").selectExpr(
