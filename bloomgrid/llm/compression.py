@@ -111,6 +111,8 @@ def train(documents: DataFrame, labels: DataFrame, size: int = SAMPLE_TEXTS) ->
     known = labels.where("quality IN (0, 1)").select(F.col("doc_id"), F.col("quality").alias("label"))
     many = {row.label: row.n for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = hashing.sample(known, "label", "doc_id", 2 * size)
+    # the sample is about 4 * size rows of two numbers, whatever the tables' sizes
+    chosen = F.broadcast(chosen)
     head = F.substring(F.col("text").cast("binary"), 1, TEXT_BYTES).alias("head")
     rows = (
         documents.where("text IS NOT NULL").select("doc_id", "text")
