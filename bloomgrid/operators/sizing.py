@@ -1,7 +1,7 @@
-"""Which side of a join may be broadcast: only one whose rows have been counted as few.
+"""Which side of a spatial join may be broadcast: only one whose bytes have been counted as few.
 
-The optimizer's estimate follows file sizes and does not see rows unfolded on the way (plants,
-grid cells, links), so joins whose sides unfold do not rely on it.
+The optimizer's estimate follows file sizes and does not see the grid cells that zones and points
+are unfolded to.
 """
 
 from __future__ import annotations
@@ -9,15 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEW_ROWS = 100_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def few_rows(frame: DataFrame, most: int = FEW_ROWS) -> bool:
-    """Whether the frame has at most `most` rows; counting stops just beyond that."""
-    return frame.limit(most + 1).count() <= most
-
-
 def placed(frame: DataFrame, small: bool) -> DataFrame:
     """Broadcast a side known as small; sort-merge otherwise, which AQE splits on skew."""
     return F.broadcast(frame) if small else frame.hint("merge")

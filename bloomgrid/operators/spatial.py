@@ -53,12 +53,16 @@ def zone_cells(zones: DataFrame) -> DataFrame:
     cell follows how many really overlap there and not how unequal their sizes are.
     """
     whole = F.struct("cell_id", "station_id", "station_name", "area_ha")
-    first = F.min(F.struct(whole.alias("zone"), F.col("bbox"))).alias("first")
-    unique = zones.where(F.col("polys").isNotNull()).groupBy("polys").agg(first)
+    # a digest stands for the geometry, so that no nested arrays are sorted
+    shape = F.sha2(F.to_json("polys"), 256).alias("shape")
+    unique = zones.where(F.col("polys").isNotNull()).groupBy(shape).agg(
+        F.min(whole).alias("zone"), F.any_value("bbox").alias("bbox"),
+        F.any_value("polys").alias("polys"),
+    )
     box = F.col("bbox")
     reach = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"], F.lit(FINEST_SIDE))
     level = F.least(F.ceil(F.log2(reach / F.lit(FINEST_SIDE))), F.lit(COARSEST_LEVEL)).cast("int")
-    spread = unique.select("first.*", G.edges(F.col("polys")).alias("edges")).withColumn(
+    spread = unique.select("zone", "bbox", G.edges(F.col("polys")).alias("edges")).withColumn(
         "level", level
     )
 
@@ -350,7 +354,7 @@ def within_bbox(points: DataFrame, minx: float, miny: float, maxx: float, maxy:
     return points.where(G.strictly_inside(*corners, F.col("lon"), F.col("lat")))
 
 
-def changed_clicks(clicks: DataFrame, part: str = "hour") -> DataFrame:
+def changed_clicks(clicks: DataFrame, part: str = "minute") -> DataFrame:
     """Clicks whose place differs from the one before in their session.
 
     `clicks`: session, ts, lon, lat. Equal clicks of one instant are one click, so they are
