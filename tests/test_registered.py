@@ -38,7 +38,9 @@ def test_entry(spark):
 
 
 def test_degree_day_properties(spark):
-    rows = queries()["q02_bloom_table"](spark, FOLDER).withColumn("year", F.year("date"))
+    # a day without a mean has no total and counts as `after`; it says nothing about the order
+    rows = queries()["q02_bloom_table"](spark, FOLDER).where("gdd_cumulative IS NOT NULL")
+    rows = rows.withColumn("year", F.year("date"))
     from pyspark.sql import Window
 
     upto = Window.partitionBy("station_id", "plant_id", "year").orderBy("date")
