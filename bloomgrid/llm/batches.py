@@ -10,13 +10,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Bytes of text that are worked on at a time; a longer single text is a slice of its own.
 SLICE_BYTES = 1 << 18
 
 
+#: Rows of an Arrow batch: with texts of some KB, a batch is a few MB on either side.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep_batches_small(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS where they are more or unbounded."""
+    rows = int(spark.conf.get(BATCH_SETTING))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its row borders; NULL rows are empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -55,4 +67,5 @@ def map_texts(
                 if result is not None and result.num_rows:
                     yield result
 
+    keep_batches_small(frame.sparkSession)
     return frame.mapInArrow(run, schema)

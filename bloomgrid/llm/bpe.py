@@ -30,8 +30,8 @@ from bloomgrid.llm.batches import map_texts, text_buffers
 WINDOW = 32
 #: A cut needs this many zero bits: chunks of about 512 bytes.
 ZERO_BITS = 9
-#: Bytes of chunks that a process keeps; when full, the store starts anew.
-KEPT_BYTES = 24 << 20
+#: Bytes of chunks that a process keeps, in each of two generations.
+KEPT_BYTES = 4 << 20
 SPACE = " \t\n\x0b\x0c\r"
 
 _rng = np.random.default_rng(496)
@@ -68,49 +68,38 @@ class Chunk:
 
 
 class Encoder:
-    """Encodes texts chunk by chunk; `made` and `reused` count chunks, `repaired` joins."""
+    """Encodes texts chunk by chunk; `made` and `asked` count chunks, `repaired` joins."""
 
     def __init__(self, path: str):
         self.path = path
         self.store = wordbpe.store(path)
-        self.chunks: dict[bytes, Chunk] = {}
-        self.kept = self.made = self.reused = self.repaired = 0
+        self.chunks = wordbpe.Kept(self.encoded, KEPT_BYTES, len)
+        self.made = self.asked = self.repaired = 0
 
     def words(self, text: str) -> bytes:
         """Packed ids of a text that no join cuts."""
         return b"".join(map(self.store.__getitem__, wordbpe.units(self.path, text)))
 
-    def chunk(self, content: bytes) -> Chunk:
-        found = self.chunks.get(content)
-        if found is not None:
-            self.reused += 1
-            return found
+    def encoded(self, content: bytes) -> Chunk:
+        self.made += 1
         text = content.decode("utf-8")
         borders = BORDERS.search(text)
         if not borders:
-            found = Chunk(text, None, b"", None, "", False)
-        else:
-            head = text[: borders.start()]
-            end = max(text.rfind(x) for x in SPACE) + 1
-            inner, tail = text[len(head) : end], text[end:]
-            first = PIECES.search(inner)
-            stripped = inner.rstrip(SPACE)
-            last = stripped[max(stripped.rfind(x) for x in SPACE) + 1 :]
-            found = Chunk(
-                head,
-                (first[0], self.words(first[0])) if first else None,
-                self.words(inner),
-                (last, self.words(last)) if last else None,
-                tail,
-                True,
-            )
-        if self.kept + len(content) > KEPT_BYTES:
-            self.chunks.clear()
-            self.kept = 0
-        self.chunks[content] = found
-        self.kept += len(content)
-        self.made += 1
-        return found
+            return Chunk(text, None, b"", None, "", False)
+        head = text[: borders.start()]
+        end = max(text.rfind(x) for x in SPACE) + 1
+        inner, tail = text[len(head) : end], text[end:]
+        first = PIECES.search(inner)
+        stripped = inner.rstrip(SPACE)
+        last = stripped[max(stripped.rfind(x) for x in SPACE) + 1 :]
+        return Chunk(
+            head,
+            (first[0], self.words(first[0])) if first else None,
+            self.words(inner),
+            (last, self.words(last)) if last else None,
+            tail,
+            True,
+        )
 
     def joined(self, word: str, left: Chunk | None, right: Chunk | None) -> bytes:
         """Ids of a word put together over a join, checked against its whole neighbours."""
@@ -129,7 +118,8 @@ class Encoder:
         ids: list[bytes] = []
         word, left = "", None
         for start, end in zip(borders, borders[1:], strict=False):
-            chunk = self.chunk(content[start:end])
+            self.asked += 1
+            chunk = self.chunks[content[start:end]]
             word += chunk.head
             if chunk.spaced:
                 if word:

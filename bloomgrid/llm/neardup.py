@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.llm import components, words
-from bloomgrid.llm.batches import map_texts, text_buffers
+from bloomgrid.llm.batches import keep_batches_small, map_texts, text_buffers
 from bloomgrid.session import cut_lineage
 
 BANDS, ROWS = 32, 6
@@ -168,6 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("u"), F.col("members").alias("x"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("members").alias("y"))
     both = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
+    keep_batches_small(pairs.sparkSession)
     return both.mapInArrow(run, "u long, v long")
 
 

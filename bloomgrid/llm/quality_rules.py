@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.llm import words
-from bloomgrid.llm.batches import map_texts, slices, text_buffers
+from bloomgrid.llm.batches import keep_batches_small, map_texts, slices, text_buffers
 
 SLOTS = 4096
 COMMON = 64
@@ -154,6 +154,7 @@ def references(documents: DataFrame) -> DataFrame:
             )
 
     known = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    keep_batches_small(documents.sparkSession)
     parts = known.mapInArrow(run, "lang string, kind string, place int, n long")
     return parts.groupBy("lang", "kind", "place").agg(F.sum("n").alias("n"))
 

@@ -27,17 +27,11 @@ class Counting:
     def __init__(self, path: str):
         self.path = path
         self.whole = wordbpe.whole_tokens(path)
-        self.merges: dict[str, int] = {}
+        self.merges = wordbpe.Kept(
+            lambda unit: len(wordbpe.merged(path, unit)), wordbpe.KEPT_UNITS
+        )
         self.shortcut = self.merged = 0
 
-    def merge(self, unit: str) -> int:
-        tokens = self.merges.get(unit)
-        if tokens is None:
-            if len(self.merges) >= wordbpe.KEPT_UNITS:
-                self.merges.clear()
-            tokens = self.merges[unit] = len(wordbpe.merged(self.path, unit))
-        return tokens
-
     def text(self, text: str | None) -> int:
         """Units that are whole tokens count one each, the others as the merges leave them."""
         units = Counter(wordbpe.units(self.path, text or ""))
@@ -46,7 +40,7 @@ class Counting:
         single = units.total() - merged
         self.merged += merged
         self.shortcut += single
-        return single + sum(self.merge(unit) * units[unit] for unit in rest)
+        return single + sum(self.merges[unit] * units[unit] for unit in rest)
 
 
 @lru_cache(maxsize=1)

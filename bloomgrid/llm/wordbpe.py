@@ -20,8 +20,8 @@ SIMPLE_UNITS = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]"
     r"|[^\t-\r a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
 )
-#: Encoded units that a process keeps; when full, the store starts anew.
-KEPT_UNITS = 500_000
+#: Encoded units that a process keeps, in each of two generations.
+KEPT_UNITS = 60_000
 
 
 def default_path() -> str:
@@ -83,24 +83,39 @@ def merged(path: str, unit: str) -> list[int]:
     return [token.id for token in tokenizer.model.tokenize(letters)]
 
 
-class Store(dict):
-    """Units encoded by this process: packed ids (32-bit integers), made when first asked for."""
+class Kept(dict):
+    """Results by key, made when first asked for and kept within a bound.
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
+    When a generation has reached `most` (in the weight of its keys), it becomes the older one
+    and the one before is let go; what is asked for again moves to the new one.
+    """
 
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= KEPT_UNITS:
+    def __init__(self, make, most: int, weigh=lambda key: 1):
+        super().__init__()
+        self.make, self.most, self.weigh = make, most, weigh
+        self.older: dict = {}
+        self.weight = 0
+
+    def __missing__(self, key):
+        found = self.older[key] if key in self.older else self.make(key)
+        if self.weight >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = merged(self.path, unit)
-        found = self[unit] = struct.pack(f"={len(ids)}i", *ids)
+            self.weight = 0
+        self[key] = found
+        self.weight += self.weigh(key)
         return found
 
 
 @lru_cache(maxsize=2)
-def store(path: str) -> Store:
-    return Store(path)
+def store(path: str) -> Kept:
+    """Packed ids (32-bit integers) of units."""
+
+    def packed(unit: str) -> bytes:
+        ids = merged(path, unit)
+        return struct.pack(f"={len(ids)}i", *ids)
+
+    return Kept(packed, KEPT_UNITS)
 
 
 @lru_cache(maxsize=2)

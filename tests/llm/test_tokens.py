@@ -61,7 +61,15 @@ def test_chunks_are_reused_and_joins_repaired(tokenizer):
     assert [x.tolist() for x in got] == [
         tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     encoder = bpe.encoder(path)
-    assert encoder.reused > 5 * encoder.made / 10 and encoder.repaired > 20
+    assert encoder.asked > 3 * encoder.made and encoder.repaired > 20
+
+
+def test_kept_results_stay_within_their_bound():
+    made = []
+    kept = wordbpe.Kept(lambda key: made.append(key) or key * 2, 10)
+    for k in [*range(30), *range(25, 30), 0]:
+        assert kept[k] == 2 * k and len(kept) + len(kept.older) <= 20
+    assert made == [*range(30), 0]
 
 
 def test_empty_table(nothing):
