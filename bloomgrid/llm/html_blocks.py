@@ -9,15 +9,19 @@ No page comes labelled, so the labeller learns from the pages whose own structur
 inside an article or main element, and not inside menus, headers, footers, sidebars, notices,
 adverts, forms or comments, are main text. To learn the context and the words of such containers
 beyond the templates at hand, training pages are varied: blocks of other pages are put in as
-boilerplate of all kinds, and article elements are renamed. The sample is bounded: about
-SAMPLE pages of at most SAMPLE_HTML characters.
+boilerplate of all kinds, and article elements are renamed. The tasks find such pages in the
+whole table, whatever their length and share, and the SAMPLE of them with the least hashes is
+taken; of a long page at most LEARNED_BLOCKS blocks and about LEARNED_CHARS characters are learned
+from. Fewer than SAMPLE such pages are filled up with invented ones, which have many kinds of
+containers; a table without any is labelled by what those alone teach.
 
-NULL and empty html have an empty text. If no page can be learned from, all texts are empty.
+NULL and empty html have an empty text. Without a model (None) all texts are empty.
 Page ids may be NULL or repeated; each row is worked on for itself. Other columns are not used.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from functools import lru_cache
@@ -27,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bloomgrid.llm import hashing, lstm, markup
+from bloomgrid.llm import lstm, markup
 from bloomgrid.llm.batches import map_texts
 
-SAMPLE, SAMPLE_HTML = 250, 32_768
+SAMPLE, LEARNED_BLOCKS, LEARNED_CHARS = 250, 300, 65_536
 PATH_SLOTS, WORD_SLOTS = 128, 24
 FEATURES = PATH_SLOTS + WORD_SLOTS + 5
 
@@ -44,6 +48,11 @@ AROUND_WORDS = (
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "warning", "widget",
 )
 AROUND = {*AROUND_NAMES, *(f".{word}" for word in AROUND_WORDS)}
+#: Containers of main text on invented pages, besides RENAMED.
+CONTAINERS = (
+    (), ("div",), ("section",), ("table", "tr", "td"), ("div", ".text"), ("div", ".story"), ("div", ".body"),
+    ("div", ".page"), ("div", ".post", ".body"), ("div", ".wrapper", "div"),
+)
 RENAMED = (("article",), ("main",), ("div", ".content"), ("section", ".post"), ("div", ".entry", ".content"))
 
 
@@ -104,8 +113,59 @@ def varied(blocks: list[markup.Block], others: list[markup.Block], rng: random.R
     return changed
 
 
-def fit(pages: list[str]) -> lstm.Model | None:
-    read = [markup.blocks(html) for html in pages]
+def learned(blocks: list[markup.Block]) -> list[markup.Block]:
+    """The part of a page that is learned from: its begin and end, or a run around main text."""
+    if len(blocks) > LEARNED_BLOCKS:
+        half = LEARNED_BLOCKS // 2
+        chosen = blocks[:half] + blocks[-half:]
+        if not any(map(told, chosen)):
+            first = next(i for i, block in enumerate(blocks) if told(block))
+            chosen = blocks[first - half : first + half]
+        blocks = chosen
+    if sum(len(block.text) for block in blocks) <= LEARNED_CHARS:
+        return blocks
+    room = LEARNED_CHARS // len(blocks)
+    return [
+        block if len(block.text) <= room
+        else markup.Block(block.text[: room - 1] + block.text[-1], block.path,
+                          round(block.linked * room / len(block.text)))
+        for block in blocks
+    ]
+
+
+def invented(rng: random.Random) -> list[tuple[bool, markup.Block]]:
+    """(is main text, block) of a page with main text in some container, and boilerplate around."""
+    name = rng.choice(RENAMED + CONTAINERS)
+    base = ("html", "body", *rng.choice(((), ("div",), ("div", ".container"))))
+
+    def words(n: int) -> str:
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 9))) for _ in range(n))
+
+    def boilerplate() -> list[tuple[bool, markup.Block]]:
+        around = (rng.choice(AROUND_NAMES[:-2]),) if rng.random() < 0.5 else (
+            rng.choice(("div", "section", "ul")), f".{rng.choice(AROUND_WORDS)}")
+        inner = rng.choice((("ul", "li", "a"), ("li",), ("p",), ("span",), ()))
+        texts = [words(rng.randint(1, 12)) for _ in range(rng.randint(1, 8))]
+        linked = "a" in inner or rng.random() < 0.3
+        return [(False, markup.Block(t, (*base, *around, *inner), len(t) * linked)) for t in texts]
+
+    page = [(False, markup.Block(words(rng.randint(2, 8)), ("html", "head", "title"), 0))]
+    for _ in range(rng.randint(0, 3)):
+        page += boilerplate()
+    if rng.random() < 0.7:
+        page.append((True, markup.Block(words(rng.randint(2, 10)), (*base, *name, rng.choice(("h1", "h2"))), 0)))
+    for _ in range(rng.randint(1, 12)):
+        own = rng.choice((("p",), ("p",), ("p",), ("ul", "li"), ("h2",), ("blockquote",), ()))
+        text = words(rng.randint(1, 80)) + rng.choice((".", ".", "!", "?", ""))
+        page.append((True, markup.Block(text, (*base, *name, *own), 0)))
+        if rng.random() < 0.1:
+            page += boilerplate()
+    for _ in range(rng.randint(0, 3)):
+        page += boilerplate()
+    return page
+
+
+def fit_blocks(read: list[list[markup.Block]]) -> lstm.Model | None:
     read = [page for page in read if any(map(told, page))]
     if not read:
         return None
@@ -119,14 +179,60 @@ def fit(pages: list[str]) -> lstm.Model | None:
             changed = varied(page, others, rng)
             x.append(vectors([b for _, b in changed]))
             y.append(np.array([main for main, _ in changed], np.float32))
+    for _ in range(SAMPLE - len(read)):  # few pages alone would be too few steps of training
+        page = invented(rng)
+        x.append(vectors([b for _, b in page]))
+        y.append(np.array([main for main, _ in page], np.float32))
     return lstm.train(x, y)
 
 
+def fit(pages: list[str]) -> lstm.Model | None:
+    return fit_blocks([markup.blocks(html) for html in pages])
+
+
 def train(pages: DataFrame, size: int = SAMPLE) -> lstm.Model | None:
-    usable = pages.where(F.length("html") <= SAMPLE_HTML).select("page_id", "html")
-    chosen = hashing.sample(usable.withColumn("one", F.lit(1)), "one", "page_id", size)
-    rows = [row.html for row in chosen.select("html").collect()]
-    return fit(sorted(rows))
+    """A model from the `size` pages of least hash among those that tell; None if none does."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, found = [], []
+        for place, html in zip(batch.column("place").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            blocks = markup.blocks(html)
+            if any(map(told, blocks)):
+                places.append(place)
+                found.append(json.dumps([(b.text, b.path, b.linked) for b in learned(blocks)]))
+        return pa.record_batch(
+            [pa.array(places, pa.int64()), pa.array(found, pa.string())], names=["place", "page"])
+
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("page_id"), F.col("html")), F.lit(1 << 30))
+    # tokens of MAIN are written as they stand, so other pages need not be read
+    able = pages.where(F.col("html").rlike("(?i)article|main")).select(place.alias("place"), "html")
+    share = min(1.0, 4 * size / max(pages.count(), 1))
+    while True:
+        part = able.where(F.col("place") < F.lit(share * (1 << 30)))
+        rows = map_texts(part, "place long, page string", run, text="html").orderBy(
+            "place", "page").limit(size).collect()
+        if len(rows) == size or share == 1:
+            break
+        share = min(1.0, 16 * share)
+    return fit_blocks([
+        [markup.Block(text, tuple(path), linked) for text, path, linked in json.loads(row.page)]
+        for row in rows
+    ])
+
+
+def fallback(size: int = SAMPLE) -> lstm.Model:
+    """A model learned on invented pages."""
+    rng = random.Random(13)
+    pages = [invented(rng) for _ in range(2 * size)]
+    return lstm.train(
+        [vectors([b for _, b in page]) for page in pages],
+        [np.array([main for main, _ in page], np.float32) for page in pages],
+    )
+
+
+def labeller(pages: DataFrame, size: int = SAMPLE) -> lstm.Model:
+    """The model of the table's own pages; that of invented pages if none of them tells."""
+    return train(pages, size) or fallback()
 
 
 def extracted(pages: DataFrame, model: lstm.Model | None) -> DataFrame:

@@ -98,7 +98,7 @@ def digests(encoded: DataFrame) -> DataFrame:
 @query
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
-    return html_blocks.extracted(pages, html_blocks.train(pages))
+    return html_blocks.extracted(pages, html_blocks.labeller(pages))
 
 
 @query

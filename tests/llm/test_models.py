@@ -175,6 +175,31 @@ def test_nothing_to_learn_from(spark):
     assert html_blocks.extracted(pages.limit(0), None).count() == 0
 
 
+def test_few_and_long_pages_that_tell_are_found(spark):
+    rng = random.Random(21)
+    made = [page(rng, "en", "<p>tail words here.</p>" * 1600) for _ in range(12)]
+    assert all(len(html) > 32_768 for html, _ in made)
+    schema = "page_id long, url string, html string"
+    longs = [(k, "u", html) for k, (html, _) in enumerate(made)]
+    found = html_blocks.extracted(
+        spark.createDataFrame(longs, schema), html_blocks.labeller(spark.createDataFrame(longs, schema))).collect()
+    good = sum(r.text == made[r.page_id][1] + "\ntail words here." * 1600 for r in found)
+    assert good == len(made)
+    # one page of 600 tells; the sample is 3
+    others = [(k, "u", f"<body><div>some text {k}</div></body>") for k in range(100, 699)]
+    assert html_blocks.train(spark.createDataFrame([*others, longs[0]], schema).repartition(4), 3) is not None
+
+
+def test_pages_that_do_not_tell_are_labelled(spark):
+    rng = random.Random(22)
+    made = [page(rng, "en") for _ in range(30)]
+    rows = [(k, "u", html.replace("article>", "div>")) for k, (html, _) in enumerate(made)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_blocks.train(pages) is None
+    found = html_blocks.extracted(pages, html_blocks.labeller(pages)).collect()
+    assert sum(r.text == made[r.page_id][1] for r in found) >= 27
+
+
 def test_blocks_of_broken_markup():
     html = "a<b>b</b> c<p><b>one<br><p>two &lt;x&gt; <i>t</i>hree<script>if (a<b) {}</script><li>x<li>y<td"
     assert [b.text for b in markup.blocks(html)] == ["ab c", "one", "two <x> three", "x", "y<td"]
