@@ -195,7 +195,7 @@ FROM parts LEFT JOIN best USING (host, path)
 
 @query
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan.scanned(table(spark, folder, "documents"))
+    return license_scan.licensed(table(spark, folder, "documents")).drop("passages")
 
 
 SQL["op9_license_scan"] = r"""

@@ -159,6 +159,27 @@ def test_licence_scan(spark, corpus):
     assert license_scan.scanned(frame.limit(0)).count() == 0
 
 
+def test_licences_inside_of_texts(spark):
+    texts = dict(license_scan.TEXTS)
+    around = "some words that say nothing about it " * 30
+    cases = {
+        "apache-2.0": "Copyright 2020 X. Licensed under the Apache License, Version 2.0. See LICENSE for details.",
+        "mit": f"MIT License\n\nCopyright (c) 2020 X\n\n{texts['mit']}",
+        "isc": f"{around}\nit is Released under\nthe ISC License. {around}",
+        "bsd-3-clause": f"Copyright 2020\nAll rights reserved.\n\n{texts['bsd-3-clause']}",
+        "bsd-2-clause": texts["bsd-2-clause"],
+        "gpl-2.0": "# " + dict(license_scan.TEXTS[::-1])["gpl-2.0"].replace(" is ", "\n# is ") + "\nimport os\n" + around,
+        "gpl-3.0": "/* " + dict(license_scan.TEXTS[::-1])["gpl-3.0"].replace(", ", ",\n * ") + " */" + around,
+        None: around,
+    }
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(cases.values())] + [(99, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in license_scan.licensed(frame).collect()}
+    assert [rows[k].license for k in range(len(cases))] == list(cases)
+    assert rows[0].dice == 1.0 and [(p.name, p.start) for p in rows[0].passages] == [("apache-2.0", 3)]
+    assert rows[2].dice == 1.0 and rows[99].license is None and rows[99].passages == []
+    assert "all-rights-reserved" in {p.name for p in rows[3].passages}
+
+
 def test_size_bounds_are_safe():
     for size in range(1, 30):
         low, high = license_scan.bounds(size, 0.7)
