@@ -11,8 +11,10 @@ words of an item; an item with fewer words (not none) is one window.
    is a possible begin, and the other terms' lists are intersected in turn, adjusted by their
    offsets. Windows with a term that occurs nowhere are not looked up.
 
-With `slack` above 0 the same lists give proximity matches: every term within that many words of
-its place. Distinct windows of the tests are worked off in blocks of at most BLOCK_WINDOWS, which
+With `slack` above 0 the same lists give proximity matches as well: every term within that many
+words of its place. Terms of such a match stand in a run with gaps of at most 1 + 2 x slack, and a
+term that a window repeats may stand only once, so runs are cut at larger gaps and kept from the
+least number of different terms on. The columns on exact matches stay the same. Distinct windows of the tests are worked off in blocks of at most BLOCK_WINDOWS, which
 bounds what is sent to tasks; every block meets all documents.
 
 NULL and empty texts have no words and no hits. Rows are told apart by doc_id and text, so NULL
@@ -78,17 +80,28 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
 
-def long_runs(member: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
-    """Which words lie in runs of members, within a row, of at least that length."""
+def long_runs(member: np.ndarray, rows: np.ndarray, least: int, gap: int = 1) -> np.ndarray:
+    """Which words are members in runs, within a row, of at least that many.
+
+    Neighbouring members of a run are at most `gap` words apart.
+    """
     if not len(member):
         return member
+    if gap > 1:
+        at = np.flatnonzero(member)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (np.diff(at) > gap) | (rows[at[1:]] != rows[at[:-1]])
+        run = np.cumsum(fresh) - 1
+        kept = np.zeros(len(member), bool)
+        kept[at[np.bincount(run)[run] >= least]] = True
+        return kept
     fresh = np.ones(len(member), bool)
     fresh[1:] = (rows[1:] != rows[:-1]) | (member[1:] != member[:-1])
     run = np.cumsum(fresh) - 1
     return member & (np.bincount(run)[run] >= least)
 
 
-def postings(documents: DataFrame, terms: list[str], least: int) -> DataFrame:
+def postings(documents: DataFrame, terms: list[str], least: int, slack: int = 0) -> DataFrame:
     """key, doc_id, n_words and the row's positions by term number, as a stored table."""
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(terms))
 
@@ -97,7 +110,7 @@ def postings(documents: DataFrame, terms: list[str], least: int) -> DataFrame:
         raw, offsets = text_buffers(batch.column("text"))
         found = words.find(raw, offsets, words.PLAIN, lower=True)
         numbers = vocabulary.numbers(found.hashes)
-        at = np.flatnonzero(long_runs(numbers >= 0, found.rows, least))
+        at = np.flatnonzero(long_runs(numbers >= 0, found.rows, least, 1 + 2 * slack))
         lower = words.LOWER[raw]
         same = [
             lower[found.starts[i] : found.ends[i]].tobytes() == vocabulary.terms[numbers[i]] for i in at
@@ -153,6 +166,9 @@ def matches(index: DataFrame, windows: DataFrame, slack: int = 0) -> DataFrame:
     )
     begins = F.transform(
         F.try_element_at("places", F.col("rarest")), lambda p: p - F.col("t")[0]["offset"])
+    if slack:  # the rarest term may be off its place as well
+        begins = F.array_distinct(F.flatten(F.transform(
+            begins, lambda b: F.sequence(b - F.lit(slack), b + F.lit(slack)))))
 
     def holds(begin: Column) -> Column:
         def stands(x: Column) -> Column:
@@ -181,41 +197,62 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add)["n"]
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key (of the row)."""
+def contaminated(
+    documents: DataFrame, benchmark: DataFrame, width: int = WINDOW, slack: int = 0
+) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, key (of the row).
+
+    With slack also n_near and near_items, the items with a proximity match (exact ones among
+    them): how many, and their ids as text, sorted.
+    """
     spark = documents.sparkSession
     windows = cut_lineage(item_windows(benchmark, width))
     distinct = cut_lineage(windows.select("terms").distinct())
     blocks = max(1, -(-distinct.count() // (BLOCK_WINDOWS // 2)))
     place = F.pmod(F.xxhash64("terms"), F.lit(blocks))
-    rows, hits = None, None
+    rows, hits, near = None, None, None
     for block in range(blocks):
         own = [row.terms for row in distinct.where(place == block).collect()]
         terms = sorted({term for window in own for term in window})
         number = {term: i for i, term in enumerate(terms)}
-        index = postings(documents, terms, min(map(len, own), default=width))
+        sizes = (len(set(window)) if slack else len(window) for window in own)
+        index = postings(documents, terms, min(sizes, default=width), slack)
         rows = rows or index.select("key", "doc_id", "n_words")
         numbered = spark.createDataFrame(
             ((i, [number[t] for t in window], window) for i, window in enumerate(own)),
             "window int, terms array<int>, spelled array<string>",
         )
+        spelled = F.broadcast(numbered.select("window", F.col("spelled").alias("terms")))
         found = matches(index, numbered.select("window", "terms")).join(
-            F.broadcast(numbered.select("window", F.col("spelled").alias("terms"))), "window"
-        ).select("key", "start", "size", "terms")
+            spelled, "window").select("key", "start", "size", "terms")
         hits = found if hits is None else hits.unionByName(found)
+        if slack:
+            close = matches(index, numbered.select("window", "terms"), slack).join(
+                spelled, "window").select("key", "terms")
+            near = close if near is None else near.unionByName(close)
     hits = cut_lineage(hits)
     spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("s"))
-    items = (
-        hits.select("key", "terms").distinct().join(windows, "terms")
-        .groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("i"))
-    )
+
+    def items_of(found: DataFrame) -> DataFrame:
+        return (
+            found.select("key", "terms").distinct().join(windows, "terms")
+            .groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("i"))
+        )
+
+    items = items_of(hits)
     known = spans.join(items, "key").select(
         "key", _covered(F.col("s")).alias("n_hit"), F.size("i").cast("long").alias("n_items"),
         F.sha2(F.array_join("i", ","), 256).alias("sha"),
     )
+    further = []
+    if slack:
+        none = F.array().cast("array<string>")
+        rows = rows.join(items_of(near).withColumnRenamed("i", "near"), "key", "left")
+        further = [F.size(F.coalesce("near", none)).cast("long").alias("n_near"),
+                   F.coalesce("near", none).alias("near_items")]
     return rows.join(known, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "key",
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "key", *further,
     )

@@ -153,6 +153,14 @@ FROM doc_words LEFT JOIN hit_counts USING (doc_id) LEFT JOIN hit_items USING (do
 """
 
 
+@query
+def op7_proximity_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """As op7_benchmark_decontamination, with the items whose words stand within one word of their place."""
+    return decontaminate.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), slack=1
+    ).drop("key")
+
+
 @query
 def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judged(table(spark, folder, "pages"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,49 @@ def test_proximity(spark):
     assert {doc[r["key"]] for r in decontaminate.matches(index, windows, slack=1).collect()} == {1, 2}
 
 
+def near(text, items, slack):
+    """Items with a window for which some begin has every term near its place."""
+    own, found = words(text), set()
+    places = {}
+    for at, word in enumerate(own):
+        places.setdefault(word, set()).add(at)
+    for item, wanted in items:
+        w = words(wanted)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            window = w[i : i + 10]
+            if any(all(any(b + k + d in places.get(term, ()) for d in range(-slack, slack + 1))
+                       for k, term in enumerate(window)) for b in range(-slack, len(own))):
+                found.add(str(item))
+    return found
+
+
+def test_proximity_of_whole_tables(spark, contaminated_corpus):
+    pairs, items = contaminated_corpus
+    long = [(i, t) for i, t in items if i < 50]  # no item of few words: runs are long
+    passage = words(long[2][1])
+    spread = " outside ".join(" ".join(passage[i : i + 9]) for i in range(0, len(passage), 9))
+    rows = [(9001, spread), (9002, " ".join(passage)), (9003, " ".join(passage[::-1])), (9004, None)]
+    frame = spark.createDataFrame([*rows, *pairs[:30], *[p for p in pairs if (p[0] or 0) >= 1000]], "doc_id long, text string")
+    texts = [r.text for r in frame.collect()]
+    got = decontaminate.contaminated(frame, spark.createDataFrame(long, "item_id long, text string"), slack=1).collect()
+    assert len(got) == len(texts)
+    want = sorted((str(r.doc_id), *hits(r.text, long)) for r in frame.collect())
+    assert sorted((str(r[0]), *r[1:6]) for r in got) == want
+    close = sorted((str(r.doc_id), sorted(near(r.text, long, 1))) for r in frame.collect())
+    assert sorted((str(r.doc_id), r.near_items) for r in got) == close
+    assert all(r.n_near == len(r.near_items) >= r.n_items for r in got)
+    one = {r.doc_id: r for r in got}
+    assert "2" in one[9001].near_items and not one[9001].contaminated
+    assert "2" in one[9002].near_items and one[9002].contaminated and one[9004].near_items == []
+
+
+def test_gaps_in_runs():
+    member = np.array([1, 0, 1, 1, 0, 0, 0, 1, 1, 1], bool)
+    rows = np.array([0, 0, 0, 0, 0, 0, 0, 0, 0, 1])
+    assert decontaminate.long_runs(member, rows, 3).sum() == 0
+    assert list(np.flatnonzero(decontaminate.long_runs(member, rows, 3, 3))) == [0, 2, 3]
+
+
 URLS = [
     "http://example.com/en/1", "https://a.b.example.com/en/x", "http://notexample.com/en/", "http://example.com/EN/",
     "http://www.example.com/en/", "http://x.www.example.com/en/y?z", "http://WWW.Example.COM/en/", "http://foo.net/es/1",
