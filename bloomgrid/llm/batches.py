@@ -38,15 +38,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in consecutive pieces of about SLICE_BYTES of the text column."""
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive pieces of about `size` bytes of the text column."""
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
     lengths = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(lengths.buffers()[1], np.int64)
     offsets = offsets[lengths.offset : lengths.offset + len(lengths) + 1]
-    group = (offsets[:-1] - offsets[0]) // SLICE_BYTES
+    group = (offsets[:-1] - offsets[0]) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for start, end in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(start, end - start)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid.llm import (
+    alignment,
     bpe,
     compression,
     decontaminate,
@@ -15,7 +16,9 @@ from bloomgrid.llm import (
     language,
     license_scan,
     neardup,
+    packing,
     quality_rules,
+    resampling,
     token_counts,
     url_rules,
 )
@@ -246,3 +249,30 @@ def op10_compression_quality(spark: SparkSession, folder: str) -> DataFrame:
     return compression.classified(
         table(spark, folder, "documents"), table(spark, folder, "labels")
     )
+
+
+@query
+def op11_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces with the checksum of their ids in place of the ids."""
+    pieces = packing.pack(table(spark, folder, "documents"), size=2048)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Figures and scores of each document, its groups as a digest."""
+
+    def digest(groups):
+        return F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+
+    scored = alignment.scored(table(spark, folder, "documents"), stored=digest)
+    return scored.withColumnRenamed("groups", "groups_sha256")
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resampled(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"),
+        percent=5, least_words=20, seed=42,
+    )
+    return drawn.drop("n_words")
