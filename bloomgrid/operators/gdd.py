@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import labels as L
 from bloomgrid.functions.values import round2
 
 PLANTS_PER_BLOCK = 1_000
+#: Steps of the binary search over the days of a year.
+SEARCH_STEPS = (256, 128, 64, 32, 16, 8, 4, 2, 1)
 
 
 def plant_terms(plants: DataFrame) -> DataFrame:
@@ -42,6 +46,14 @@ def with_plants(daily: DataFrame, plants: DataFrame, plantings: DataFrame | None
     return unfolded.join(dealt, "_block").drop("_block")
 
 
+def daily_excess() -> Column:
+    """Degrees of the day above the base, to two decimals; NULL without a mean or a base."""
+    return F.when(
+        F.col("t_mean").isNotNull() & F.col("base_temp_c").isNotNull(),
+        round2(F.greatest(F.col("t_mean") - F.col("base_temp_c"), F.lit(0.0))),
+    )
+
+
 def growing_degree_days(daily: DataFrame, plants: DataFrame, plantings: DataFrame | None = None,
                         ) -> DataFrame:
     """Daily and cumulative GDD, bloom day and phase per station, plant and day.
@@ -61,10 +73,6 @@ def degree_days(rows: DataFrame) -> DataFrame:
     gdd_min on, both ends included. Rows without terms (an unknown plant) have NULL values. The
     window groups hold at most 366 rows each.
     """
-    excess = F.when(
-        F.col("t_mean").isNotNull() & F.col("base_temp_c").isNotNull(),
-        round2(F.greatest(F.col("t_mean") - F.col("base_temp_c"), F.lit(0.0))),
-    )
     upto = (
         Window.partitionBy("station_id", "year", "plant_id")
         .orderBy("date")
@@ -77,7 +85,7 @@ def degree_days(rows: DataFrame) -> DataFrame:
     nth = F.sum(F.when(in_bloom, 1).otherwise(0)).over(upto)
     phase = L.bloom_phase(F.col("gdd_cumulative"), F.col("gdd_min"), F.col("gdd_max"))
     return (
-        rows.withColumn("gdd_daily", excess)
+        rows.withColumn("gdd_daily", daily_excess())
         .withColumn("gdd_cumulative", total)
         .withColumn("bloom_day", F.when(in_bloom, nth).otherwise(0).cast("int"))
         .withColumn("bloom_phase", phase)
@@ -138,6 +146,122 @@ def latest_windows(yearly: DataFrame) -> DataFrame:
     )
 
 
+# windows by search ------------------------------------------------------------------------
+
+
+def _wanted(plants: DataFrame, plantings: DataFrame | None) -> tuple[list[str], DataFrame]:
+    """Plants with their thresholds by base temperature, in lists of about PLANTS_PER_BLOCK.
+
+    With `plantings` the lists are kept by station, too.
+    """
+    terms, keys = plant_terms(plants), ["base_temp_c"]
+    blocks = terms.agg(
+        F.greatest(F.ceil(F.count("*") / F.lit(PLANTS_PER_BLOCK)), F.lit(1)).cast("int")
+    ).scalar()
+    if plantings is not None:
+        pairs = plantings.select("station_id", "plant_id").distinct()
+        terms, keys = pairs.join(terms, "plant_id"), ["station_id", "base_temp_c"]
+    listed = F.collect_list(F.struct("plant_id", "gdd_min", "gdd_max")).alias("plants")
+    block = F.pmod(F.hash("plant_id"), blocks).alias("_block")
+    return keys, terms.groupBy(*keys, block).agg(listed).drop("_block")
+
+
+def running_sums(daily: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Totals per station, year and base temperature: `days`, (total, date) in order of days.
+
+    A total depends on the base only, so plants with one base share it. Days without a mean are
+    left out; a year with no other days has an empty list. Daily rows shuffle once, by station,
+    and all that follows lies inside that partitioning. A list has 366 entries at most.
+    """
+    dated = daily.select(
+        "station_id", F.year("date").alias("year"), "date", "t_mean"
+    ).repartition("station_id")
+    bases = wanted.select(*keys).distinct()
+    if "station_id" in keys:
+        rows = dated.join(bases, "station_id")
+    else:
+        lists = bases.agg(F.sort_array(F.collect_set("base_temp_c"))).scalar()
+        rows = dated.withColumn("base_temp_c", F.explode(lists))
+    upto = (
+        Window.partitionBy("station_id", "year", "base_temp_c")
+        .orderBy("date")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = rows.withColumn("excess", daily_excess()).withColumn(
+        "total", round2(F.sum("excess").over(upto))
+    )
+    entry = F.when(F.col("excess").isNotNull(), F.struct("date", "total"))
+    return totals.groupBy("station_id", "year", "base_temp_c").agg(
+        F.sort_array(F.collect_list(entry)).alias("days")
+    )
+
+
+def _first_day(days: Column, reached: Callable[[Column], Column]) -> Column:
+    """Date of the first entry whose total has reached something, found by halving.
+
+    Totals never fall, so the entries that have not come first.
+    """
+
+    def step(before: Column, width: Column) -> Column:
+        entry = F.get(days, before + width - 1)
+        return F.when(entry.isNotNull() & ~reached(entry["total"]), before + width).otherwise(before)
+
+    steps = F.array(*map(F.lit, SEARCH_STEPS))
+    return F.get(days, F.aggregate(steps, F.lit(0), step))["date"]
+
+
+def _window(days: Column, plant: Column) -> tuple[Column, Column]:
+    return (
+        _first_day(days, lambda total: total >= plant["gdd_min"]).alias("bloom_start_date"),
+        _first_day(days, lambda total: total > plant["gdd_max"]).alias("bloom_end_date"),
+    )
+
+
+def searched_years(daily: DataFrame, plants: DataFrame, plantings: DataFrame | None = None,
+                   ) -> DataFrame:
+    """As `yearly_windows(growing_degree_days(...))`, without a row per day and plant.
+
+    Work is days x distinct bases for the sums, then two searches per station, year and plant.
+    """
+    keys, wanted = _wanted(plants, plantings)
+    sums = running_sums(daily, keys, wanted).join(wanted, keys)
+    found = F.transform("plants", lambda p: F.struct(
+        p["plant_id"].alias("plant_id"), *_window(F.col("days"), p)))
+    return sums.select("station_id", "year", F.inline(found)).select(
+        "station_id", "year", "plant_id", "bloom_start_date", "bloom_end_date"
+    )
+
+
+def searched_windows(daily: DataFrame, plants: DataFrame, plantings: DataFrame | None = None,
+                     ) -> DataFrame:
+    """As `latest_windows(yearly_windows(...))`, straight from daily temperatures.
+
+    A station's years lie side by side, newest first; a plant's year is the first whose last total
+    passes both thresholds, and only that one is searched.
+    """
+    keys, wanted = _wanted(plants, plantings)
+    years = F.sort_array(F.collect_list(F.struct("year", "days")), asc=False).alias("years")
+    stations = running_sums(daily, keys, wanted).where(F.size("days") > 0).groupBy(
+        "station_id", "base_temp_c"
+    ).agg(years)
+
+    def last_total(year: Column) -> Column:
+        return F.element_at(year["days"], -1)["total"]
+
+    def latest(p: Column) -> Column:
+        whole = F.filter("years", lambda y: (
+            (last_total(y) >= p["gdd_min"]) & (last_total(y) > p["gdd_max"])))
+        return F.struct(p.alias("plant"), F.get(whole, F.lit(0)).alias("at"))
+
+    picked = stations.join(wanted, keys).select(
+        "station_id", F.inline(F.transform("plants", latest))
+    ).where(F.col("at").isNotNull())
+    return picked.select(
+        "station_id", F.col("plant.plant_id").alias("plant_id"), F.col("at.year").alias("year"),
+        *_window(F.col("at.days"), F.col("plant")),
+    )
+
+
 def bloom_rows(gdd: DataFrame) -> DataFrame:
     return gdd.where(F.col("bloom_day") > 0)
 

@@ -81,6 +81,17 @@ VIEWS: dict[str, str] = {
         SELECT station_id, plant_id, year, bloom_start_date, bloom_end_date
         FROM yearly WHERE bloom_start_date IS NOT NULL AND bloom_end_date IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY station_id, plant_id ORDER BY year DESC) = 1""",
+    "catalogue_terms": """
+        SELECT id AS plant_id, coalesce(base_temp_c, 5.0::DOUBLE) AS base,
+               coalesce(gdd_min, 100.0::DOUBLE) AS gdd_min, coalesce(gdd_max, 200.0::DOUBLE) AS gdd_max
+        FROM catalogue_plants""",
+    "catalogue_totals": """
+        SELECT station_id, year(date)::INT AS year, date, base,
+               CASE WHEN t_mean IS NOT NULL THEN round_even(sum(
+                   round_even(greatest(t_mean - base, 0::DOUBLE) * 100, 0) / 100) OVER (
+                   PARTITION BY station_id, base, year(date) ORDER BY date
+                   ROWS UNBOUNDED PRECEDING) * 100, 0) / 100 END AS total
+        FROM (SELECT station_id, date, t_mean, base FROM daily, (SELECT DISTINCT base FROM catalogue_terms))""",
     "zones": """
         SELECT (s_suppkey * 2)::INT AS cell_id, 'S' || s_suppkey AS station_id,
                s_name AS station_name, s_acctbal AS area_ha, x, y,
@@ -381,6 +392,20 @@ FINAL: dict[str, str] = {
                bloom_day, bloom_phase
         FROM gdd""",
     "a03_yearly_windows": "SELECT * FROM yearly",
+    "a03_planted_windows": """
+        SELECT station_id, year, plant_id, min(date) FILTER (total >= gdd_min) AS bloom_start_date,
+               min(date) FILTER (total > gdd_max) AS bloom_end_date
+        FROM (SELECT DISTINCT 'S' || l_suppkey AS station_id, 'plant' || l_partkey AS plant_id
+              FROM lineitem)
+        JOIN catalogue_terms USING (plant_id) JOIN catalogue_totals USING (station_id, base)
+        GROUP BY ALL""",
+    "w03_catalogue_windows": """
+        SELECT station_id, plant_id, year, bloom_start_date, bloom_end_date
+        FROM (SELECT station_id, year, plant_id, min(date) FILTER (total >= gdd_min) AS bloom_start_date,
+                     min(date) FILTER (total > gdd_max) AS bloom_end_date
+              FROM catalogue_terms JOIN catalogue_totals USING (base) GROUP BY ALL)
+        WHERE bloom_start_date IS NOT NULL AND bloom_end_date IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY station_id, plant_id ORDER BY year DESC) = 1""",
     "w03_bloom_windows": "SELECT * FROM windows",
     "q03_zone_bloom_windows": """
         SELECT cell_id, station_id, bloom_start_date, bloom_end_date, bloom_tooltip

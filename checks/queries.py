@@ -172,7 +172,19 @@ def q02_bloom_table(v: Views) -> DataFrame:
 
 @query
 def a03_yearly_windows(v: Views) -> DataFrame:
-    return gd.yearly_windows(gd.growing_degree_days(v.daily(), v.plants()))
+    return gd.searched_years(v.daily(), v.plants())
+
+
+@query
+def a03_planted_windows(v: Views) -> DataFrame:
+    """Windows of every year where a plant of the growing dictionary stands."""
+    return gd.searched_years(v.daily(), v.catalogue_plants(), v.plantings())
+
+
+@query
+def w03_catalogue_windows(v: Views) -> DataFrame:
+    """Latest windows of all stations for all plants of the growing dictionary."""
+    return weather_plans.bloom_windows(v.daily(), v.catalogue_plants())
 
 
 @query

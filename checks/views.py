@@ -86,6 +86,12 @@ class Views:
             "CASE WHEN p_size > 20 THEN p_brand END AS season",
         )
 
+    def plantings(self) -> DataFrame:
+        """Which plants of the growing dictionary stand at which station."""
+        return self.table("lineitem").selectExpr(
+            "concat('S', l_suppkey) AS station_id", "concat('plant', l_partkey) AS plant_id"
+        )
+
     def precipitation(self) -> DataFrame:
         stations = self.table("supplier").agg(F.count("*")).scalar()
         return (

@@ -198,3 +198,40 @@ def test_profile_years_and_thresholds(spark, plants):
     assert [r["station_id"] for r in weather.station_ids(daily).collect()] == ["A", "B"]
     rows = gd.threshold_rows(plants.withColumn("gdd_max", F.lit(None).cast("double"))).collect()
     assert [(r["label"], r["y"]) for r in rows] == [("Próg kwitnienia od", 100.0)]
+
+
+def test_searched_windows_equal_those_of_the_daily_table(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for station in "ABC":
+        for year in (2021, 2022, 2024):
+            for day in range(rng.choice([0, 1, 30, 365, 366])):
+                mean = rng.choice([None, rng.uniform(-5, 25), 5.0])
+                rows.append((station, D(year, 1, 1) + dt.timedelta(days=day), mean))
+    rows.append(("D", D(2024, 5, 1), None))
+    plants = spark.createDataFrame([
+        (f"p{k}", "n", "l", rng.choice([None, 3.0, 5.0, 12.25]), rng.choice([None, 0.0, rng.uniform(0, 3000)]),
+         rng.choice([None, rng.uniform(0, 3000)]), None) for k in range(40)], PLANT_SCHEMA)
+    daily = days(spark, rows)
+    plantings = spark.createDataFrame(
+        [("A", "p1"), ("A", "p1"), ("A", "p30"), ("B", "p2"), ("Z", "p3"), ("C", "none")],
+        "station_id STRING, plant_id STRING")
+    for pairs in (None, plantings):
+        yearly = gd.yearly_windows(gd.growing_degree_days(daily, plants, pairs))
+        assert sorted(map(str, gd.searched_years(daily, plants, pairs).select(*yearly.columns).collect())) == sorted(
+            map(str, yearly.collect()))
+        latest = gd.latest_windows(yearly)
+        assert sorted(map(str, gd.searched_windows(daily, plants, pairs).select(*latest.columns).collect())) == sorted(
+            map(str, latest.collect()))
+
+
+def test_a_large_dictionary_is_searched_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(gd, "PLANTS_PER_BLOCK", 7)
+    many = spark.createDataFrame(
+        [(f"p{k}", "n", "l", 5.0, 1.0 + k, 2.0 + k, None) for k in range(50)], PLANT_SCHEMA)
+    found = gd.searched_windows(days(spark, run(D(2024, 1, 1), [15.0] * 9)), many).collect()
+    assert {r["plant_id"]: r["bloom_start_date"].day for r in found} == {
+        f"p{k}": (k + 10) // 10 for k in range(50)}
+    assert gd.searched_windows(days(spark, []), many).isEmpty()
