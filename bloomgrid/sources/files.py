@@ -6,12 +6,15 @@ files, tables and queries alike.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid import schemas
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions.values import nan_to_null
+from bloomgrid.sources import tables
 
 #: A document that does not parse fails the job; `rejected_documents` finds it beforehand.
 STRICT = {"mode": "FAILFAST"}
@@ -281,6 +284,10 @@ def request_urls(requests: DataFrame) -> DataFrame:
     return requests.select("request_id", F.explode("urls").alias("url"))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored Parquet table."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, parts: Iterable | None = None) -> DataFrame:
+    """A stored table: the latest state where it has states (see `tables`), else plain Parquet.
+
+    `parts` reads only these parts of a table that is kept in parts.
+    """
+    state = tables.current(spark, path)
+    return spark.read.parquet(path) if state is None else tables.read(spark, path, state, parts)

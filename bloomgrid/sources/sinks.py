@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
+from bloomgrid.sources import tables
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
@@ -27,19 +30,38 @@ def refresh_daily_table(frame: DataFrame, path: str) -> None:
     Range partitioning samples the keys, so a year or a station that holds much of the data
     is spread over several files, and each file's station range is narrow for pruning.
     """
-    (
+    ordered = (
         frame.withColumn("year", F.year("date"))
         .repartitionByRange("year", "station_id", "date")
         .sortWithinPartitions("year", "station_id", "date")
-        .write.mode("overwrite")
-        .partitionBy("year")
-        .parquet(path)
     )
+    _swap_in(ordered, path, "year")
 
 
 def refresh_table(frame: DataFrame, path: str) -> None:
     """Full refresh of an undated table (zones, plants)."""
-    frame.write.mode("overwrite").parquet(path)
+    _swap_in(frame, path)
+
+
+def _swap_in(frame: DataFrame, path: str, *parts: str) -> None:
+    """Write beside the stored table and swap the folders when all is written.
+
+    A write that fails leaves the stored table as it was, and the frame may read from the same
+    path. Folders take two renames; tables that others read or write meanwhile, or that change in
+    part, belong into `tables`, where a change is one rename.
+    """
+    spark, mark = frame.sparkSession, uuid.uuid4().hex
+    fresh, former = f"{path.rstrip('/')}.fresh-{mark}", f"{path.rstrip('/')}.former-{mark}"
+    frame.write.partitionBy(*parts).parquet(fresh)
+    files = tables.file_system(spark, path)
+    place, aside = tables.hadoop_path(spark, path), tables.hadoop_path(spark, former)
+    if files.exists(place) and not files.rename(place, aside):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(tables.hadoop_path(spark, fresh), place):
+        files.rename(aside, place)
+        raise OSError(f"cannot replace {path}")
+    files.delete(aside, True)
+    spark.catalog.refreshByPath(path)
 
 
 def write_catalogue(scenes: DataFrame, path: str) -> None:
@@ -53,6 +75,20 @@ def write_catalogue(scenes: DataFrame, path: str) -> None:
     )
 
 
+def store_catalogue(scenes: DataFrame, path: str) -> None:
+    """As `write_catalogue`, for a table of `tables`: all collections of a load change in one step.
+
+    The names of the load's collections are read to the driver.
+    """
+    spark, part, order = scenes.sparkSession, F.col("collection"), ("acquired_at", "id")
+    state = tables.current(spark, path)
+    if state is None:
+        tables.refresh(scenes, path, part, order)
+        return
+    touched = [row[0] for row in scenes.select("collection").distinct().collect()]
+    tables.replace_parts(scenes, path, part, touched, state, order)
+
+
 def zone_features(zones: DataFrame) -> DataFrame:
     """One GeoJSON feature text per zone, all seven properties always present."""
     properties = F.struct(
@@ -125,6 +161,27 @@ def append_new_manifests(spark: SparkSession, manifests: DataFrame, path: str) -
     new_manifests(manifests, stored).write.mode("append").parquet(path)
 
 
+def store_manifests(manifests: DataFrame, path: str) -> None:
+    """As `append_new_manifests`, for several writers at once (a table of `tables`).
+
+    A writer that finds the store changed since it looked looks again, so a digest is kept once,
+    as the first writer had it.
+    """
+    from bloomgrid.operators.mosaics import new_manifests
+
+    spark = manifests.sparkSession
+    while True:
+        state = tables.current(spark, path)
+        fresh = manifests
+        if state is not None:
+            fresh = new_manifests(manifests, tables.read(spark, path, state))
+        try:
+            tables.append(fresh, path, state)
+            return
+        except tables.ChangedMeanwhile:
+            continue
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """Nested documents, one JSON object per line."""
     documents.write.mode("overwrite").option("ignoreNullFields", False).json(path)
