@@ -175,3 +175,13 @@ def quadkeys(bbox: Column, zoom: int) -> Column:
     xs = _tile_range(_tile_x(bbox["minx"], zoom), _tile_x(bbox["maxx"], zoom), zoom)
     ys = _tile_range(_tile_y(bbox["maxy"], zoom), _tile_y(bbox["miny"], zoom), zoom)
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: quadkey(x, y, zoom))))
+
+
+def interleaved(x: Column, y: Column, bits: int) -> Column:
+    """Place on the Z-order curve: the bits of both whole numbers (0 to 2**bits - 1) in turn."""
+    code = F.lit(0).cast("long")
+    for bit in range(bits):
+        for shift, value in enumerate((x, y)):
+            taken = F.shiftright(value.cast("long"), bit).bitwiseAND(F.lit(1).cast("long"))
+            code = code.bitwiseOR(F.shiftleft(taken, 2 * bit + shift))
+    return code

@@ -7,6 +7,7 @@ does any join; the exact test then runs on the few rows that share a key.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -41,16 +42,19 @@ def _cell(value: Column, level: Column) -> Column:
     return F.floor(value / _side(level)).cast("bigint")
 
 
+def cell_of(column: str, level: int) -> Column:
+    """Number of the cell of a level along one axis."""
+    return _cell(F.col(column), F.lit(level))
+
+
 def _halves(column: str) -> Column:
     return F.explode(F.array(F.col(column) * 2, F.col(column) * 2 + 1))
 
 
-def zone_cells(zones: DataFrame) -> DataFrame:
-    """Zones spread over grid cells of about their own size: at most four cells each.
+def zone_shapes(zones: DataFrame) -> DataFrame:
+    """Distinct geometries (zone, bbox, polys) with the digest of what a lookup answers from them.
 
     Copies of one geometry keep the lowest cell_id, which is the one that answers anyway.
-    Large zones sit on coarse levels and small ones on fine levels, so the number of zones in a
-    cell follows how many really overlap there and not how unequal their sizes are.
     """
     whole = F.struct("cell_id", "station_id", "station_name", "area_ha")
     # a digest stands for the geometry, so that no nested arrays are sorted
@@ -59,24 +63,47 @@ def zone_cells(zones: DataFrame) -> DataFrame:
         F.min(whole).alias("zone"), F.any_value("bbox").alias("bbox"),
         F.any_value("polys").alias("polys"),
     )
+    answer = F.concat_ws("|", "shape", F.to_json("zone"))
+    return unique.withColumn("digest", F.sha2(answer, 256)).drop("shape")
+
+
+def shape_roots(shapes: DataFrame) -> DataFrame:
+    """Shapes once per grid cell of about their own size that they meet: at most four each.
+
+    Large zones sit on coarse levels and small ones on fine levels, so the number of zones in a
+    cell follows how many really overlap there and not how unequal their sizes are.
+    """
     box = F.col("bbox")
     reach = F.greatest(box["maxx"] - box["minx"], box["maxy"] - box["miny"], F.lit(FINEST_SIDE))
     level = F.least(F.ceil(F.log2(reach / F.lit(FINEST_SIDE))), F.lit(COARSEST_LEVEL)).cast("int")
-    spread = unique.select("zone", "bbox", G.edges(F.col("polys")).alias("edges")).withColumn(
-        "level", level
-    )
 
     def along(low: Column, high: Column) -> Column:
         return F.explode(F.sequence(_cell(low, F.col("level")), _cell(high, F.col("level"))))
 
     return (
-        spread.withColumn("gx", along(box["minx"], box["maxx"]))
+        shapes.withColumn("level", level)
+        .withColumn("gx", along(box["minx"], box["maxx"]))
         .withColumn("gy", along(box["miny"], box["maxy"]))
-        .withColumn("whole", F.lit(False))
     )
 
 
-def _halved(crowded: DataFrame) -> DataFrame:
+def root_cells(roots: DataFrame) -> DataFrame:
+    """Index rows of the roots: zone, bbox and edges by cell."""
+    return roots.withColumn("edges", G.edges(F.col("polys"))).drop("polys").withColumn(
+        "whole", F.lit(False)
+    )
+
+
+def zone_cells(zones: DataFrame) -> DataFrame:
+    """Zones spread over grid cells of about their own size: at most four cells each."""
+    return root_cells(shape_roots(zone_shapes(zones).drop("digest")))
+
+
+#: What tells cells apart. A stored index keeps cells of different roots apart, too.
+CELL = ("level", "gx", "gy")
+
+
+def _halved(crowded: DataFrame, cell: tuple[str, ...]) -> DataFrame:
     """Quarters of crowded cells, with only the zones that can still answer in them.
 
     A zone whose edges miss a quarter either covers it whole or not at all. Of those that cover
@@ -91,7 +118,6 @@ def _halved(crowded: DataFrame) -> DataFrame:
     x, y = F.col("gx") * side, F.col("gy") * side
     cut = G.edges_meet(F.col("edges"), x, y, x + side, y + side)
     holds = G.edges_contain(F.col("edges"), x + side / 2.0, y + side / 2.0)
-    cell = ["level", "gx", "gy"]
     # A zone that covers the larger cell whole covers its quarters too.
     tested = quarters.withColumn("cut", ~F.col("whole") & cut).withColumn(
         "whole", F.col("whole") | (~F.col("cut") & holds)
@@ -99,31 +125,35 @@ def _halved(crowded: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<x1: double, y1: double, x2: double, y2: double>>")
     slim = tested.withColumn("edges", F.when(F.col("whole"), none).otherwise(F.col("edges")))
     cover = slim.where("whole").groupBy(*cell).agg(F.min("zone.cell_id").alias("cover"))
-    kept = slim.join(cover, cell, "left").where(
+    kept = slim.join(cover, [*cell], "left").where(
         F.col("cover").isNull() | (F.col("zone.cell_id") <= F.col("cover"))
     )
     return kept.select(*crowded.columns)
 
 
-def relieve_cells(cells: DataFrame, most: int = MAX_CELL_ROWS) -> DataFrame:
+def relieve_cells(cells: DataFrame, most: int = MAX_CELL_ROWS, cell: tuple[str, ...] = CELL,
+                  ) -> DataFrame:
     """Halve cells until none holds more than `most` zones, as far as halving helps.
 
     Each round reads one yes or no to the driver.
     """
-    cell = ["level", "gx", "gy"]
     for _ in range(DEEPEST_SPLIT):
         crowded = cells.groupBy(*cell).count().where(F.col("count") > most).select(*cell)
         if crowded.isEmpty():
             break
-        calm = cells.join(crowded, cell, "left_anti")
-        split = _halved(cells.join(crowded, cell, "left_semi").select(*cells.columns))
+        calm = cells.join(crowded, [*cell], "left_anti")
+        split = _halved(cells.join(crowded, [*cell], "left_semi").select(*cells.columns), cell)
         cells = cut_lineage(calm.select(*cells.columns).unionByName(split))
     return cells
 
 
+def cell_bytes() -> Column:
+    return F.lit(ROW_BYTES) + F.size("edges") * F.lit(EDGE_BYTES)
+
+
 def _index_census(cells: DataFrame) -> Row:
     """Levels in use, size in bytes and zones in the fullest cell, in one job on the zone side."""
-    size = F.lit(ROW_BYTES) + F.size("edges") * F.lit(EDGE_BYTES)
+    size = cell_bytes()
     per_cell = cells.groupBy("level", "gx", "gy").agg(
         F.count("*").alias("zones"), F.sum(size).alias("bytes")
     )
@@ -134,19 +164,35 @@ def _index_census(cells: DataFrame) -> Row:
     ).first()
 
 
-def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id") -> DataFrame:
-    """The containing zone with the lowest cell_id per point; points in no zone have no row.
+@dataclass(frozen=True)
+class ZoneIndex:
+    """Cells to look points up in, the grid levels in use and the size of the cells in bytes."""
 
-    `points`: key, lon, lat. A point is looked up once per grid level in use (a short list, one
-    per power of two of cell size), lies in exactly one cell of each, and so never meets a zone
-    twice.
-    """
+    cells: DataFrame
+    levels: list[int]
+    bytes: int
+
+
+def indexed(zones: DataFrame) -> ZoneIndex:
+    """An index for one lookup; `zone_index` keeps one beside the layer."""
     cells = zone_cells(zones)
     census = _index_census(cells)
     if (census["peak"] or 0) > MAX_CELL_ROWS:
         cells = relieve_cells(cells)
         census = _index_census(cells)
-    levels = F.array(*[F.lit(level) for level in census["levels"]]).cast("array<int>")
+    return ZoneIndex(cells, census["levels"], census["bytes"] or 0)
+
+
+def zones_at_points(points: DataFrame, zones: DataFrame | ZoneIndex, key: str = "point_id",
+                    ) -> DataFrame:
+    """The containing zone with the lowest cell_id per point; points in no zone have no row.
+
+    `points`: key, lon, lat. `zones`: a layer, or an index of one. A point is looked up once per
+    grid level in use (a short list, one per power of two of cell size), lies in exactly one cell
+    of each, and so never meets a zone twice.
+    """
+    index = zones if isinstance(zones, ZoneIndex) else indexed(zones)
+    levels = F.array(*[F.lit(level) for level in index.levels]).cast("array<int>")
     probes = (
         points.select(key, "lon", "lat", F.explode(levels).alias("level"))
         .withColumn("gx", _cell(F.col("lon"), F.col("level")))
@@ -159,7 +205,7 @@ def zones_at_points(points: DataFrame, zones: DataFrame, key: str = "point_id")
     inside = F.when(F.col("whole"), True).when(
         near, G.edges_contain(F.col("edges"), F.col("lon"), F.col("lat"))
     )
-    held = _sized(cells, census["bytes"] or 0)
+    held = _sized(index.cells, index.bytes)
     hits = probes.join(held, ["level", "gx", "gy"]).where(inside)
     return hits.groupBy(key).agg(F.min("zone").alias("zone")).select(key, "zone.*")
 

@@ -344,6 +344,19 @@ FINAL: dict[str, str] = {
     "k01_history_csv": "SELECT station_id, date, t_min, t_max, t_mean FROM daily",
     "k02_refreshed_daily_table": """
         SELECT station_id, date, t_min, t_max, t_mean, year(date)::INT AS year FROM daily""",
+    "k02_merged_twice": """
+        SELECT DISTINCT ON (station_id, date) station_id, date, t_min, t_max, t_mean
+        FROM (SELECT station_id, date, t_min, t_max, t_mean, 0 AS fresh, position FROM history
+              UNION ALL
+              SELECT station_id, date, t_min, t_max, t_mean, 1, 0 FROM daily_new)
+        ORDER BY station_id, date, fresh DESC, position DESC""",
+    "u01_incremental_refresh": """
+        SELECT station_id, plant_id, date, t_min, t_max, t_mean, gdd_daily, gdd_cumulative,
+               bloom_day, bloom_phase
+        FROM gdd""",
+    "k03_stored_scenes": """
+        SELECT id, collection, cloud_cover, href FROM scenes
+        WHERE collection <> 'other' OR cloud_cover < 50""",
     "k04_feature_document": """
         SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat
                || ']},"properties":{"station_id":"' || station_id || '","station_name":"'
@@ -558,6 +571,23 @@ FINAL: dict[str, str] = {
         FROM points JOIN zones
           ON lon > x AND lon < x + 0.25::DOUBLE AND lat > y AND lat < y + 0.25::DOUBLE
         ORDER BY point_id, cell_id""",
+    "q08_stored_index": """
+        SELECT DISTINCT ON (point_id) point_id, s_suppkey::INT AS cell_id,
+               'S' || s_suppkey AS station_id, s_name AS station_name, s_acctbal AS area_ha
+        FROM (SELECT c_custkey AS point_id,
+                     21.0::DOUBLE + (c_custkey * 37 % 1024) / 256.0::DOUBLE
+                         + 2.5::DOUBLE * (c_custkey // 1500 % 16) AS lon,
+                     50.0::DOUBLE + (c_custkey * 53 % 1024) / 256.0::DOUBLE
+                         + 2.5::DOUBLE * (c_custkey // 24000 % 8) AS lat FROM customer) p
+        JOIN (SELECT *, 21.25::DOUBLE + 0.25::DOUBLE * (s_suppkey % 10)
+                            + 2.5::DOUBLE * (s_suppkey // 100 % 16) AS x,
+                     50.25::DOUBLE + 0.25::DOUBLE * (s_suppkey // 10 % 10)
+                            + 2.5::DOUBLE * (s_suppkey // 1600 % 8) AS y FROM supplier) z
+          ON (abs(lon - x) + abs(lat - y) < 0.1875::DOUBLE
+              AND NOT (abs(lon - x) <= 0.03125::DOUBLE AND abs(lat - y) <= 0.03125::DOUBLE))
+          OR (lon > x + 0.125::DOUBLE AND lat > y + 0.125::DOUBLE
+              AND lon - x + lat - y < 0.375::DOUBLE)
+        ORDER BY point_id, s_suppkey""",
     "q19_locations_in_bbox": """
         SELECT id, name, category, lon, lat FROM locations
         WHERE lon > 21.5 AND lon < 24.2 AND lat > 50.2 AND lat < 52.3""",

@@ -14,9 +14,10 @@ from bloomgrid.functions import labels as L
 from bloomgrid.functions import scenes as S
 from bloomgrid.functions import values as V
 from bloomgrid.operators import gdd as gd
-from bloomgrid.operators import layers, mosaics, spatial, weather
+from bloomgrid.operators import layers, mosaics, spatial, weather, zone_index
 from bloomgrid.operators import scenes as sc
 from bloomgrid.plans import layers as layer_plans
+from bloomgrid.plans import refresh
 from bloomgrid.plans import scenes as scene_plans
 from bloomgrid.plans import stations as station_plans
 from bloomgrid.plans import weather as weather_plans
@@ -133,6 +134,38 @@ def k02_refreshed_daily_table(v: Views) -> DataFrame:
     return files.read_table(v.spark, path)
 
 
+@query
+def k02_merged_twice(v: Views) -> DataFrame:
+    """A stored table that is read, merged with new readings and refreshed under its own path, twice."""
+    path, fresh = _scratch(v), weather.daily_extremes(v.readings_new())
+    sinks.refresh_daily_table(weather_plans.daily_temperatures(v.readings_new(), v.history()), path)
+    for _ in range(2):
+        stored = files.read_table(v.spark, path).withColumn("position", F.lit(0))
+        sinks.refresh_daily_table(weather.keep_last(stored, fresh), path)
+    return files.read_table(v.spark, path).drop("year")
+
+
+@query
+def u01_incremental_refresh(v: Views) -> DataFrame:
+    """The degree-day table after a rebuild from earlier readings and the taking in of later ones."""
+    daily, table = _scratch(v), _scratch(v)
+    later = F.col("date") >= F.lit(dt.date(1998, 8, 1))
+    refresh.rebuild(v.readings().where(~later), v.plants(), daily, table)
+    refresh.take_in(v.readings().where(later), v.plants(), daily, table)
+    return files.read_table(v.spark, table)
+
+
+@query
+def k03_stored_scenes(v: Views) -> DataFrame:
+    """The scene table with assets, stored and then loaded again for one of its collections."""
+    path, scenes = _scratch(v), v.scenes()
+    sinks.store_catalogue(scenes, path)
+    sinks.store_catalogue(scenes.where("collection = 'other' AND cloud_cover < 50"), path)
+    return files.read_table(v.spark, path).select(
+        "id", "collection", "cloud_cover", S.visual_href(F.col("assets")).alias("href")
+    )
+
+
 @query
 def k04_feature_document(v: Views) -> DataFrame:
     """The document of a small layer, taken apart again."""
@@ -386,6 +419,21 @@ def q08_zone_at_point(v: Views) -> DataFrame:
     return layer_plans.zone_at_point(v.points(), v.zones())
 
 
+@query
+def q08_stored_index(v: Views) -> DataFrame:
+    """Two batches of points against one stored index of slanted zones with holes, which was built
+    of a part of the layer first and brought up to the whole of it then."""
+    path, layer, points = _scratch(v), v.slanted_zones(), v.exact_points()
+    zone_index.store(layer.where("area_ha > 0"), path)
+    zone_index.update(layer, path)
+    west, east = points.where("lon < 22.5"), points.where("lon >= 22.5")
+    found = [
+        spatial.zones_at_points(batch, zone_index.opened(v.spark, path, batch))
+        for batch in (west, east)
+    ]
+    return found[0].unionByName(found[1])
+
+
 @query
 def q19_locations_in_bbox(v: Views) -> DataFrame:
     return layer_plans.locations_in_bbox(v.locations(), *LOCATION_BBOX)

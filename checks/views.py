@@ -162,6 +162,38 @@ class Views:
                      (y + side).alias("maxy")).alias("bbox"),
         ).drop("x", "y")
 
+    def slanted_zones(self) -> DataFrame:
+        """A zone per supplier: a diamond with a square hole, and a triangle beside it. Zones overlap
+        their neighbours."""
+        shapes = {
+            "diamond": [(-12, 0), (0, -12), (12, 0), (0, 12), (-12, 0)],
+            "hole": [(-2, -2), (-2, 2), (2, 2), (2, -2), (-2, -2)],
+            "triangle": [(8, 8), (16, 8), (8, 16), (8, 8)],
+        }
+
+        def ring(points) -> str:
+            places = (f"array(x + {dx / 64}D, y + {dy / 64}D)" for dx, dy in points)
+            return f"array({', '.join(places)})"
+
+        rows = self.table("supplier").selectExpr(
+            "21.25D + 0.25D * (s_suppkey % 10) + 2.5D * (s_suppkey DIV 100 % 16) AS x",
+            "50.25D + 0.25D * (s_suppkey DIV 10 % 10) + 2.5D * (s_suppkey DIV 1600 % 8) AS y",
+            "s_suppkey", "s_name", "s_acctbal",
+        )
+        parts = f"array(array({ring(shapes['diamond'])}, {ring(shapes['hole'])}), array({ring(shapes['triangle'])}))"
+        return rows.selectExpr(
+            "CAST(s_suppkey AS INT) AS cell_id", "concat('S', s_suppkey) AS station_id",
+            "s_name AS station_name", "s_acctbal AS area_ha", f"{parts} AS polys",
+        ).withColumn("bbox", G.bbox_of(F.col("polys")))
+
+    def exact_points(self) -> DataFrame:
+        """Customers on a grid whose coordinates are exact in binary, many of them on edges."""
+        return self.table("customer").selectExpr(
+            "c_custkey AS point_id",
+            "21.0D + (c_custkey * 37 % 1024) / 256.0D + 2.5D * (c_custkey DIV 1500 % 16) AS lon",
+            "50.0D + (c_custkey * 53 % 1024) / 256.0D + 2.5D * (c_custkey DIV 24000 % 8) AS lat",
+        )
+
     def outlines(self) -> DataFrame:
         """A square per supplier with bent sides, and a slanted hole with points on its sides.
 
