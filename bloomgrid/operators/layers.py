@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions import labels as L
 from bloomgrid.functions.values import text_or_null
+from bloomgrid.operators.outlines import simplifier
 from bloomgrid.schemas import BBOX, POLYGONS
 
 SIMPLIFY_TOLERANCE = 0.02
@@ -101,15 +102,14 @@ def first_features(zones: DataFrame, n: int) -> DataFrame:
 # simplification ---------------------------------------------------------------------------
 
 
-def ring_simplifier(tolerance: float):
-    """Douglas-Peucker for one closed ring; a ring that would collapse stays as it was.
-
-    Nested, so that tasks receive the code itself and need not import this package.
-    """
+def by_distance(tolerance: float):
+    """Douglas-Peucker for one closed ring: which points stay. A ring that would collapse stays whole."""
 
     def kept(points: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(points), dtype=bool)
-        keep[[0, -1]] = True
+        keep = np.ones(len(points), dtype=bool)
+        if len(points) <= 4:
+            return keep
+        keep[1:-1] = False
         spans = [(0, len(points) - 1)]
         while spans:
             a, b = spans.pop()
@@ -126,20 +126,24 @@ def ring_simplifier(tolerance: float):
             if distance2[far] > tolerance * tolerance:
                 keep[a + 1 + far] = True
                 spans += [(a, a + 1 + far), (a + 1 + far, b)]
-        return keep
+        return keep if keep.sum() >= 4 else np.ones(len(points), dtype=bool)
+
+    return kept
+
+
+def ring_simplifier(tolerance: float):
+    """One ring simplified by distance alone."""
+    kept = by_distance(tolerance)
 
     def simplify_ring(ring) -> list:
         points = np.array([list(p) for p in ring], dtype=float)
-        if len(points) <= 4:
-            return points.tolist()
-        slim = points[kept(points)]
-        return (slim if len(slim) >= 4 else points).tolist()
+        return points[kept(points)].tolist()
 
     return simplify_ring
 
 
 def simplify(zones: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
-    """The layer with every ring simplified; each row is handled alone, batch by batch.
+    """The layer with simplified outlines that stay valid (see `outlines`), each row for itself.
 
     Rows without any point have nothing to simplify. They travel with a stand-in point, since
     a batch of nothing but empty nested lists cannot be turned into pandas.
@@ -155,14 +159,11 @@ def simplify(zones: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFra
         [f"`{f.name}` {f.dataType.simpleString()}" for f in zones.select(*others).schema]
         + [f"_state STRING, polys {POLYGONS}"]
     )
-    simplify_ring = ring_simplifier(tolerance)
+    simplified = simplifier(by_distance(tolerance))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["polys"] = [
-                [[simplify_ring(ring) for ring in poly] for poly in polys]
-                for polys in batch["polys"]
-            ]
+            batch["polys"] = [simplified(polys) for polys in batch["polys"]]
             yield batch
 
     slim = carried.mapInPandas(run, schema)

@@ -559,6 +559,19 @@ FINAL: dict[str, str] = {
                || ',"bloom_start_date":null,"bloom_end_date":null,"bloom_tooltip":null}}' AS feature
         FROM (SELECT *, 21.0::DOUBLE + 0.25::DOUBLE * (s_suppkey % 10) AS x,
                      50.0::DOUBLE + 0.25::DOUBLE * (s_suppkey // 10) AS y FROM supplier)""",
+    "q07_valid_outlines": """
+        SELECT s_suppkey::INT AS cell_id, '[[[[' || x || ',' || y || '],[' || x + 80 / 256.0::DOUBLE || ',' || y
+               || '],[' || x + 80 / 256.0::DOUBLE || ',' || y + 40 / 256.0::DOUBLE || '],['
+               || x + 44 / 256.0::DOUBLE || ',' || y + 44 / 256.0::DOUBLE || '],[' || x || ','
+               || y + 40 / 256.0::DOUBLE || '],[' || x || ',' || y || ']],[['
+               || x + 38 / 256.0::DOUBLE || ',' || y + 41 / 256.0::DOUBLE || '],['
+               || x + 42 / 256.0::DOUBLE || ',' || y + 41 / 256.0::DOUBLE || '],['
+               || x + 42 / 256.0::DOUBLE || ',' || y + 43 / 256.0::DOUBLE || '],['
+               || x + 38 / 256.0::DOUBLE || ',' || y + 43 / 256.0::DOUBLE || '],['
+               || x + 38 / 256.0::DOUBLE || ',' || y + 41 / 256.0::DOUBLE || ']]]]' AS polys,
+               x AS minx, y AS miny, x + 80 / 256.0::DOUBLE AS maxx, y + 44 / 256.0::DOUBLE AS maxy
+        FROM (SELECT *, 21.0::DOUBLE + 0.5::DOUBLE * (s_suppkey % 10) AS x,
+                     50.0::DOUBLE + 0.25::DOUBLE * (s_suppkey // 10) AS y FROM supplier)""",
     "g07_extents": """
         SELECT cell_id, station_id, x AS minx, y AS miny, x + 0.25::DOUBLE AS maxx,
                y + 0.25::DOUBLE AS maxy, 5 AS corners

@@ -403,6 +403,13 @@ def q07_simplified_zone_layer(v: Views) -> DataFrame:
     return layer_plans.simplified_zone_layer(v.outlines()).select("cell_id", "feature")
 
 
+@query
+def q07_valid_outlines(v: Views) -> DataFrame:
+    return layers.simplify(v.bulged_outlines()).select(
+        "cell_id", F.to_json("polys").alias("polys"), "bbox.*"
+    )
+
+
 @query
 def g07_extents(v: Views) -> DataFrame:
     corners = F.size(F.flatten(F.flatten("polys"))).alias("corners")

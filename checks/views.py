@@ -219,6 +219,22 @@ class Views:
         )
         return shaped.withColumn("bbox", G.bbox_of(F.col("polys")))
 
+    def bulged_outlines(self) -> DataFrame:
+        """A box per supplier with a bulge thinner than the tolerance, and a hole inside the bulge.
+
+        Cutting the bulge off would put the hole outside, so one of its points has to stay.
+        """
+        shell = [(0, 0), (80, 0), (80, 40), (48, 40), (44, 44), (36, 44), (32, 40), (0, 40), (0, 0)]
+        hole = [(38, 41), (42, 41), (42, 43), (38, 43), (38, 41)]
+
+        def ring(points) -> str:
+            places = (f"array(x + {dx / 256}D, y + {dy / 256}D)" for dx, dy in points)
+            return f"array({', '.join(places)})"
+
+        return self.table("supplier").selectExpr(
+            "s_suppkey", "21.0D + 0.5D * (s_suppkey % 10) AS x", "50.0D + 0.25D * (s_suppkey DIV 10) AS y",
+        ).selectExpr("CAST(s_suppkey AS INT) AS cell_id", f"array(array({ring(shell)}, {ring(hole)})) AS polys")
+
     def _placed_customers(self, *columns: str) -> DataFrame:
         """Customers with a place each; some lie on zone edges."""
         return self.table("customer").selectExpr(
