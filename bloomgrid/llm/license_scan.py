@@ -17,11 +17,19 @@ and a template is tried where the text has as many of its bigrams as a hit needs
 or header found names the licence, as notices stand inside of them; then the notices of lines and
 whole texts; then notices in windows. The column passages has the best window of every template
 found (name, dice, start: the word it begins at, from 0).
+
+Most texts are settled by single words. A hit shares at least `need` of a template's b bigrams,
+whatever the unit, so it lacks at most b - need of them. For every template more than that many of
+its bigrams hold a telling word (`telling_words`), so a text without any of these words has no hit
+and is not paired at all. Texts with one are compared in full.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +70,46 @@ def bounds(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
 
 
+#: Words of all prose; other words are taken as telling ones first.
+COMMON = frozenset((
+    "a all an and any are as at be been by do for from has have if in is it its may more no not of on "
+    "one or other s shall such that the their there these they this to use was we which will with "
+    "you your"
+).split())
+
+
+def least_shared(size: int, threshold: float) -> int:
+    """Bigrams that a hit shares with a template of this many at least."""
+    return math.ceil(bounds(size, threshold)[0] - 1e-9)
+
+
+def telling_words(templates: Iterable[str], threshold: float) -> list[str]:
+    """Words of which every hit of any template holds one.
+
+    Chosen greedily: the word in the most bigrams of templates that are not covered yet, short and common
+    words last. A template is covered when more of its bigrams hold a chosen word than a hit may
+    lack.
+    """
+    open_sets = []
+    for text in templates:
+        grams = {tuple(gram.split(" ")) for gram in template_bigrams(text)}
+        lacking = len(grams) - least_shared(len(grams), threshold)
+        open_sets.append((grams, lacking + 1))
+    chosen: list[str] = []
+    while open_sets:
+        votes = Counter(word for grams, _ in open_sets for gram in grams for word in set(gram))
+        best = min(votes, key=lambda x: (x in COMMON, len(x) < 6, -votes[x], x))
+        chosen.append(best)
+        left = []
+        for grams, still in open_sets:
+            without = {gram for gram in grams if best not in gram}
+            still -= len(grams) - len(without)
+            if still > 0:
+                left.append((without, still))
+        open_sets = left
+    return sorted(chosen)
+
+
 def _pairs(words: Column) -> Column:
     count = F.size(words) - 1
     pairs = F.zip_with(
@@ -170,11 +218,21 @@ def _passages(pairs: Column, shared: Column, templates: list[tuple[str, str, boo
         x["is_text"].alias("is_text")))
 
 
+def known_templates() -> list[tuple[str, str, bool]]:
+    """Name, text and whether a licence text or header (not a notice)."""
+    notices = [(name, text, False) for name, text in TEMPLATES.items()]
+    return notices + [(name, text, True) for name, text in TEXTS]
+
+
 def licensed(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, n_notices and passages."""
-    templates = [(name, text, False) for name, text in TEMPLATES.items()]
-    templates += [(name, text, True) for name, text in TEXTS]
+    templates = known_templates()
     known = sorted({gram for _, text, _ in templates for gram in template_bigrams(text)})
+    telling = F.array(*map(F.lit, telling_words([text for _, text, _ in templates], threshold)))
+    # a text that cannot have a hit goes on as NULL, which has none
+    documents = documents.select(
+        "doc_id", F.when(F.arrays_overlap(_whole_words(), telling), F.col("text")).alias("text")
+    )
     paired = documents.select("doc_id", "text", _pairs(_whole_words()).alias("pairs"))
     shared = F.array_distinct(F.filter("pairs", lambda gram: gram.isin(known)))
     paired = paired.select("doc_id", "text", "pairs", shared.alias("shared"))

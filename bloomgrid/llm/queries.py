@@ -210,11 +210,12 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op9_license_scan"] = r"""
-WITH templates(name, body) AS (VALUES %s
+WITH templates(id, name, body, is_text) AS (VALUES %s
 ), template_words AS (
-  SELECT name, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates
+  SELECT *, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM templates
 ), template_sets AS (
-  SELECT name, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  SELECT id, name, is_text, len(w) - 1 AS span,
+    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
   FROM template_words
 ), texts AS (
   SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents
@@ -225,23 +226,45 @@ WITH templates(name, body) AS (VALUES %s
   SELECT doc_id, place, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w
   FROM units
-), unit_sets AS (
-  SELECT doc_id, place,
-    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+), unit_pairs AS (
+  SELECT doc_id, place, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS pairs
   FROM unit_words WHERE len(w) > 1
-), alike AS (
+), unit_sets AS (
+  SELECT doc_id, place, pairs, list_distinct(pairs) AS grams FROM unit_pairs
+), hits AS (
   SELECT doc_id, place, name,
     2.0::DOUBLE * len(list_intersect(u.grams, t.grams)) / (len(u.grams) + len(t.grams)) AS dice
-  FROM unit_sets u JOIN template_sets t ON list_has_any(u.grams, t.grams)
-), hits AS (
-  SELECT * FROM alike WHERE dice >= 0.7
+  FROM unit_sets u JOIN template_sets t ON list_has_any(u.grams, t.grams) AND NOT is_text
 ), best AS (
   SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice,
     count(DISTINCT place) FILTER (WHERE place > 0) AS n
-  FROM hits GROUP BY doc_id
+  FROM hits WHERE dice >= 0.7 GROUP BY doc_id
+), able AS (
+  SELECT doc_id, pairs, id, name, is_text, span, t.grams
+  FROM unit_sets u JOIN template_sets t
+    ON place = 0 AND len(list_intersect(u.grams, t.grams)) >= len(t.grams) * 0.7 / 1.3
+), starts AS (
+  SELECT *, unnest(range(1, len(pairs) + 1)) AS p FROM able
+), slid AS (
+  SELECT doc_id, name, is_text, grams, list_distinct(pairs[p:p + span - 1]) AS own
+  FROM starts WHERE list_contains(grams, pairs[p])
+), windows AS (
+  SELECT doc_id, name, is_text,
+    2.0::DOUBLE * len(list_intersect(own, grams)) / (len(own) + len(grams)) AS dice
+  FROM slid
+), found AS (
+  SELECT doc_id, is_text, arg_min(name, (-dice, name)) AS name, max(dice) AS dice
+  FROM windows WHERE dice >= 0.7 GROUP BY ALL
+)
+SELECT d.doc_id, coalesce(t.name, license, f.name) AS license,
+  coalesce(t.dice, best.dice, f.dice) AS dice, coalesce(n, 0)::BIGINT AS n_notices
+FROM documents d LEFT JOIN best USING (doc_id)
+LEFT JOIN (SELECT * FROM found WHERE is_text) t ON t.doc_id = d.doc_id
+LEFT JOIN (SELECT * FROM found WHERE NOT is_text) f ON f.doc_id = d.doc_id
+""" % ", ".join(
+    f"({i}, {_sql_text(name)}, {_sql_text(text)}, {is_text})"
+    for i, (name, text, is_text) in enumerate(license_scan.known_templates())
 )
-SELECT doc_id, license, dice, coalesce(n, 0)::BIGINT AS n_notices FROM documents LEFT JOIN best USING (doc_id)
-""" % ", ".join(f"({_sql_text(name)}, {_sql_text(text)})" for name, text in license_scan.TEMPLATES.items())
 
 
 @query

@@ -230,3 +230,69 @@ def test_size_bounds_are_safe():
         for other in range(1, 80):
             most = 2 * min(size, other) / (size + other)
             assert low <= other <= high or most < 0.7
+
+
+def brute_licensed(text):
+    """license, dice, n_notices by plain loops over lines, the whole text and all windows."""
+    alone = scanned(text, license_scan.TEMPLATES, license_scan.THRESHOLD)
+    words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    pairs = list(zip(words, words[1:], strict=False))
+    found = {True: [], False: []}
+    for name, body, is_text in license_scan.known_templates():
+        own = re.findall("[a-z0-9]+", body.lower())
+        grams, span = set(zip(own, own[1:], strict=False)), len(own) - 1
+        for at in range(len(pairs)):
+            if pairs[at] in grams:
+                window = set(pairs[at : at + span])
+                dice = 2 * len(window & grams) / (len(window) + len(grams))
+                if dice >= license_scan.THRESHOLD:
+                    found[is_text].append((-dice, name))
+    for hits in (found[True], None, found[False]):
+        if hits is None and alone[0] is not None:
+            return alone
+        if hits:
+            return min(hits)[1], -min(hits)[0], alone[2]
+    return None, None, alone[2]
+
+
+def test_licensed_beside_brute_force(spark, corpus):
+    rng = random.Random(9)
+    pairs = [(i, t) for i, t, _ in corpus if t is None or len(t) < 3000]
+    bodies = [body for _, body, _ in license_scan.known_templates()]
+    prose = [t for _, t in pairs if t and len(t) > 200]
+    for k in range(60):
+        words = rng.choice(bodies).split()
+        for _ in range(rng.choice([0, 1, len(words) // 8, len(words) // 4])):
+            words[rng.randrange(len(words))] = rng.choice(["xq", "the", "software"])
+        cut = rng.choice([words, words[: len(words) * 3 // 4], words[len(words) // 3 :]])
+        glue = rng.choice([" ", "\n", "  * "])
+        pairs.append((1000 + k, f"{rng.choice(prose)[:200]} {glue.join(cut)}{rng.choice([' ', chr(10)])}{rng.choice(prose)[:200]}"))
+    pairs += [
+        (2000, "Copyright 2020 X. Licensed under the Apache License, Version 2.0. See LICENSE for details."),
+        (2001, "it is Released under\nthe ISC License. and more"), (2002, "All rights reserved. " * 3000),
+        (2003, "rights reserved"), (2002, "All rights reserved. " * 3000), (None, None),
+    ]
+    rows = [(t, i, 0.5, "x", 1, [1]) for i, t in pairs]
+    schema = "text string, doc_id long, dice double, license string, n_notices int, passages array<int>"
+    frame = spark.createDataFrame(rows, schema).repartition(4)
+    short = [(i, t) for i, t in pairs if not t or len(t) < 20_000]
+    got = {(r.doc_id, r.license, r.dice, r.n_notices) for r in license_scan.licensed(frame).collect()}
+    assert {(i, *brute_licensed(t)) for i, t in short} <= got
+    assert license_scan.licensed(frame).count() == len(pairs)
+    assert license_scan.licensed(frame.limit(0)).count() == 0
+    assert any(r[1] == "all-rights-reserved" and r[0] == 2002 for r in got)
+
+
+def test_every_hit_holds_a_telling_word():
+    rng = random.Random(3)
+    bodies = [body for _, body, _ in license_scan.known_templates()]
+    telling = set(license_scan.telling_words(bodies, license_scan.THRESHOLD))
+    assert len(telling) < 150
+    for body in bodies:
+        grams = [g.split(" ") for g in license_scan.template_bigrams(body)]
+        need = license_scan.least_shared(len(grams), license_scan.THRESHOLD)
+        # the adversary keeps the bigrams without telling words first
+        plain = [g for g in grams if not telling & set(g)]
+        assert len(plain) < need
+        for _ in range(20):
+            assert telling & set(sum(rng.sample(grams, need), []))
