@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 
 from bloomgrid.schemas import POLYGON, POLYGONS
 
+#: Coordinates that do not parse fail the job.
+STRICT = {"mode": "FAILFAST"}
 MAX_LATITUDE = 85.0511287798066
 
 
 def polygons(geom_type: Column, coordinates: Column) -> Column:
     """GeoJSON coordinates text -> `polys`; other geometry types give NULL."""
     return (
-        F.when(geom_type == "Polygon", F.array(F.from_json(coordinates, POLYGON)))
-        .when(geom_type == "MultiPolygon", F.from_json(coordinates, POLYGONS))
+        F.when(geom_type == "Polygon", F.array(F.from_json(coordinates, POLYGON, STRICT)))
+        .when(geom_type == "MultiPolygon", F.from_json(coordinates, POLYGONS, STRICT))
     )
 
 
 def point_xy(coordinates: Column) -> Column:
     """GeoJSON point text -> [lon, lat]."""
-    return F.from_json(coordinates, "ARRAY<DOUBLE>")
+    return F.from_json(coordinates, "ARRAY<DOUBLE>", STRICT)
 
 
 def exterior_rings(polys: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from bloomgrid import schemas
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions.values import nan_to_null
-from bloomgrid.sources import tables
+from bloomgrid.sources import features, tables
 
 #: A document that does not parse fails the job; `rejected_documents` finds it beforehand.
 STRICT = {"mode": "FAILFAST"}
@@ -121,10 +121,10 @@ def parse_plants(documents: DataFrame, text: str = "document") -> DataFrame:
 # layers -----------------------------------------------------------------------------------
 
 
-def zone_rows(features: DataFrame) -> DataFrame:
+def zone_rows(rows: DataFrame) -> DataFrame:
     """Zone layer from (position, feature) rows, geometry parsed and extent computed once."""
     polys = G.polygons(F.col("feature.geometry.type"), F.col("feature.geometry.coordinates"))
-    flat = features.select(
+    flat = rows.select(
         F.col("position"),
         F.col("feature.properties.*"),
         F.col("feature.geometry.type").alias("geom_type"),
@@ -142,6 +142,16 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
     return zone_rows(rows.select(F.struct("file", "at").alias("position"), "feature"))
 
 
+def read_large_zones(spark: SparkSession, path: str) -> DataFrame:
+    """As `read_zones`, for collections of any size: every file is read by many tasks."""
+    texts = features.read_feature_texts(spark, path)
+    kind = F.from_json("text", "type STRING", STRICT)["type"]
+    parsed = texts.where(kind == "Feature").select(
+        "position", F.from_json("text", schemas.ZONE_FEATURE, STRICT).alias("feature")
+    )
+    return zone_rows(parsed)
+
+
 def read_zone_lines(spark: SparkSession, path: str) -> DataFrame:
     """Zones from files with one feature per line, which split across tasks."""
     lines = _json(spark, path, schemas.ZONE_FEATURE, whole_file=False)

@@ -335,6 +335,16 @@ FINAL: dict[str, str] = {
         SELECT 1, (s_suppkey + 1)::INT, 'S' || s_suppkey, s_name, NULL, NULL, NULL, NULL,
                'Polygon', 1, 30.0, 50.0, 30.5, 50.5
         FROM supplier""",
+    "s03_large_zone_files": """
+        SELECT s_suppkey::INT AS cell_id, 'S' || s_suppkey AS station_id, s_name AS station_name,
+               s_acctbal AS area_ha, 50.25::DOUBLE AS latitude, 20.25::DOUBLE AS longitude,
+               'PME' AS station_type, 'MultiPolygon' AS geom_type, 2 AS parts, 20.0::DOUBLE AS minx,
+               50.0::DOUBLE AS miny, 30.5::DOUBLE AS maxx, 50.5::DOUBLE AS maxy
+        FROM supplier
+        UNION ALL
+        SELECT (s_suppkey + 1)::INT, 'S' || s_suppkey, s_name, NULL, NULL, NULL, NULL, 'Polygon', 1,
+               30.0, 50.0, 30.5, 50.5
+        FROM supplier""",
     "s04_boundary_files": """
         SELECT 4 AS points, c_custkey::DOUBLE AS first_lon, 1.0::DOUBLE AS first_lat
         FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""",

@@ -74,6 +74,17 @@ def s03_zone_files(v: Views) -> DataFrame:
     )
 
 
+@query
+def s03_large_zone_files(v: Views) -> DataFrame:
+    """Zone collections written as text, read in byte ranges by any number of tasks."""
+    path = _scratch(v)
+    v.zone_documents().write.text(path)
+    return files.read_large_zones(v.spark, path).select(
+        "cell_id", "station_id", "station_name", "area_ha", "latitude", "longitude",
+        "station_type", "geom_type", F.size("polys").alias("parts"), "bbox.*",
+    )
+
+
 @query
 def s04_boundary_files(v: Views) -> DataFrame:
     return files.parse_boundaries(v.boundary_documents()).select(
