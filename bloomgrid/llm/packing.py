@@ -36,6 +36,8 @@ FAN = 16
 #: Pieces that are sent on in one Arrow batch.
 BATCH = 2_000
 ID_BYTES = 4
+#: Texts are encoded in slices of about this many bytes, whose pieces are looked up together.
+SLICE_BYTES = 1 << 20
 #: The id behind each document, packed.
 END = (1).to_bytes(ID_BYTES, "little")
 
@@ -184,7 +186,7 @@ def packer(path: str, size: int, most: int, slack: int) -> Callable:
         windows = Windows(size, most, slack, first_id(0, lane))
         encoder = piece_ids.pieces(path)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 texts = [(t or "").encode("utf-8") for t in piece.column("text").to_pylist()]
                 keys = piece.column("doc_id").to_pylist()
                 for key, ids in zip(keys, encoder.encode(texts), strict=True):

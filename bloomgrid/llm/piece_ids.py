@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 
@@ -111,24 +111,46 @@ class Pieces:
             self.pieces, self.older = {}, self.pieces
         if len(self.words) > KEPT_PIECES:
             self.words, self.older_words = {}, self.words
-        self.learn(set(chain.from_iterable(split)).difference(self.pieces))
+        self.learn(set(filterfalse(self.pieces.__contains__, chain.from_iterable(split))))
         return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
 
     def learn(self, missing: set[bytes]) -> None:
-        simple: dict[bytes, list[str]] = {}
+        older, new = self.older, []
         for piece in missing:
-            if piece in self.older:
-                self.pieces[piece] = self.older[piece]
-                continue
+            known = older.get(piece)
+            if known is None:
+                new.append(piece)
+            else:
+                self.pieces[piece] = known
+        joined = b"\n".join(new).decode("utf-8")
+        if not wordbpe.SIMPLE.fullmatch(joined) or any(x in joined for x in self.special):
+            new = self.learn_odd(new)
+            joined = b"\n".join(new).decode("utf-8")
+        # most pieces are one word; the others are cut as the tokenizer cuts them
+        texts = joined.lower().split("\n") if new else []
+        cut = {
+            piece: wordbpe.SIMPLE_UNITS.findall(text)
+            for piece, text in zip(new, texts, strict=True) if not text.isalpha()
+        }
+        words = set(chain.from_iterable(cut.values()))
+        words.update(text for text in texts if text.isalpha())
+        self.learn_words(set(filterfalse(self.words.__contains__, words)))
+        ids = self.words
+        for piece, text in zip(new, texts, strict=True):
+            own = cut.get(piece)
+            self.pieces[piece] = ids[text] if own is None else b"".join([ids[x] for x in own])
+
+    def learn_odd(self, new: list[bytes]) -> list[bytes]:
+        """Leave pieces that are not simple text to the library; the others are returned."""
+        simple = []
+        for piece in new:
             text = piece.decode("utf-8")
             if wordbpe.SIMPLE.fullmatch(text) and not any(x in text for x in self.special):
-                simple[piece] = wordbpe.SIMPLE_UNITS.findall(text.lower())
+                simple.append(piece)
             else:
                 ids = wordbpe.load(self.path).encode(text, add_special_tokens=False).ids
                 self.pieces[piece] = np.array(ids, np.int32).tobytes()
-        self.learn_words(set(chain.from_iterable(simple.values())).difference(self.words))
-        for piece, words in simple.items():
-            self.pieces[piece] = b"".join(map(self.words.__getitem__, words))
+        return simple
 
     def learn_words(self, missing: set[str]) -> None:
         by_width: dict[int, list[str]] = {}
