@@ -7,10 +7,14 @@ does any join; the exact test then runs on the few rows that share a key.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from bloomgrid.functions import geometry as G
 from bloomgrid.functions.values import click_key, squared_distance
@@ -425,3 +429,54 @@ def changed_clicks(clicks: DataFrame, part: str = "minute") -> DataFrame:
     joined = rows.join(carried, ["session", "part"], "left")
     previous = F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("before"))
     return joined.where(~F.col("place").eqNullSafe(previous)).select("session", "ts", "place")
+
+
+def session_changes(clicks: DataFrame) -> DataFrame:
+    """As `changed_clicks`, by ranges of (session, ts, place) instead of time parts.
+
+    Ranges are of like size whatever the sessions, so one that holds all rows is cut over all
+    tasks. A task compares neighbours as they stand; its first row waits for the last one of the
+    range before, and these two rows per range are the memory that is carried on.
+    """
+    placed = clicks.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
+        "session", "ts", click_key(F.col("lon"), F.col("lat")).alias("place")
+    )
+    keys = ("session", "ts", "place")
+    told = F.to_json(F.struct("session", "place"), {"ignoreNullFields": "false"})
+    width = int(clicks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (
+        placed.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
+        .withColumn("told", told).withColumn("range", F.spark_partition_id())
+    )
+
+    names = [*ranged.columns, "place_in_range"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("told")
+            before = pa.concat_arrays([
+                pa.array([None if last is None else last.column("told")[0].as_py()], own.type),
+                own.slice(0, len(own) - 1),
+            ])
+            changed = pc.fill_null(pc.not_equal(own, before), True)
+            places = pa.repeat("inner", batch.num_rows)
+            if last is None:
+                places = pa.concat_arrays([pa.array(["first"]), places.slice(1)])
+            rows = pa.record_batch([*batch.columns, places], names=names)
+            yield rows.filter(changed)
+            last = batch.slice(batch.num_rows - 1)
+        if last is not None:
+            yield pa.record_batch([*last.columns, pa.array(["last"])], names=names)
+
+    schema = StructType([*ranged.schema.fields, StructField("place_in_range", StringType())])
+    marked = cut_lineage(ranged.mapInArrow(run, schema))
+    # two rows per range: the one window without a key sees no more than these
+    ends = marked.where("place_in_range <> 'inner'").withColumn(
+        "before", F.lag("told").over(Window.orderBy("range", "place_in_range"))
+    )
+    begun = ends.where("place_in_range = 'first'").where(~F.col("told").eqNullSafe(F.col("before")))
+    inner = marked.where("place_in_range = 'inner'")
+    return inner.select(*keys).unionByName(begun.select(*keys))

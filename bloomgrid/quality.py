@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 KEYS = {
@@ -39,6 +39,15 @@ def missing_values(frame: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
+def missing_as_written(frame: DataFrame, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """Write the frame; (column, missing) rows counted by that same run, not by a second one."""
+    seen = Observation()
+    counts = [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+    frame.observe(seen, F.count("*").alias("_rows"), *counts).write.mode("overwrite").parquet(path)
+    rows = [(c, seen.get[c]) for c in columns]
+    return frame.sparkSession.createDataFrame(rows, "column STRING, missing BIGINT")
+
+
 def complete_rows(frame: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows that have every required value."""
     return frame.where(_complete(columns))

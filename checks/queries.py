@@ -14,14 +14,14 @@ from bloomgrid.functions import labels as L
 from bloomgrid.functions import scenes as S
 from bloomgrid.functions import values as V
 from bloomgrid.operators import gdd as gd
-from bloomgrid.operators import layers, mosaics, spatial, weather, zone_index
+from bloomgrid.operators import layers, mosaics, space_layout, spatial, weather, zone_index
 from bloomgrid.operators import scenes as sc
 from bloomgrid.plans import layers as layer_plans
 from bloomgrid.plans import refresh
 from bloomgrid.plans import scenes as scene_plans
 from bloomgrid.plans import stations as station_plans
 from bloomgrid.plans import weather as weather_plans
-from bloomgrid.session import shared_folder
+from bloomgrid.session import cut_lineage, shared_folder
 from bloomgrid.sources import files, sinks
 from checks.views import Views
 
@@ -457,6 +457,15 @@ def q19_locations_in_bbox(v: Views) -> DataFrame:
     return layer_plans.locations_in_bbox(v.locations(), *LOCATION_BBOX)
 
 
+@query
+def q19_pruned_bbox(v: Views) -> DataFrame:
+    """The box on a table laid out by place: only what lies around it is read."""
+    path = _scratch(v)
+    space_layout.write_by_place(v.locations(), path, "lon", "lat", "lon", "lat")
+    near = space_layout.read_around(v.spark, path, *LOCATION_BBOX)
+    return layer_plans.locations_in_bbox(near, *LOCATION_BBOX)
+
+
 @query
 def q19_locations_by_id(v: Views) -> DataFrame:
     ids = v.table("orders").select(F.col("o_custkey").alias("id"))
@@ -487,8 +496,8 @@ def q20_resolved_clicks(v: Views) -> DataFrame:
 def q20_selected_stations(v: Views) -> DataFrame:
     """Stations that clicks select: resolved first, then without repeated places. A click that
     finds no station leaves the memory as it was."""
-    resolved = spatial.resolve_stations(v.clicks(), _pins(v), v.zones())
-    changed = spatial.changed_clicks(resolved)
+    resolved = cut_lineage(spatial.resolve_stations(v.clicks(), _pins(v), v.zones()))
+    changed = spatial.session_changes(resolved)
     places = resolved.select(
         "click_id", "session", "ts", "station_id",
         V.click_key(F.col("lon"), F.col("lat")).alias("place"),
@@ -500,6 +509,12 @@ def q20_selected_stations(v: Views) -> DataFrame:
 
 @query
 def w06_changed_clicks(v: Views) -> DataFrame:
+    return spatial.session_changes(v.clicks())
+
+
+@query
+def w06_changed_in_parts(v: Views) -> DataFrame:
+    """The same, by time parts of sessions."""
     return spatial.changed_clicks(v.clicks())
 
 
@@ -592,6 +607,16 @@ def q17_catalogue_search(v: Views) -> DataFrame:
     return found.withColumn("asset_keys", F.array_join(F.array_sort("asset_keys"), ","))
 
 
+@query
+def q17_pruned_search(v: Views) -> DataFrame:
+    """The catalogue search on a table laid out by place."""
+    path = _scratch(v)
+    space_layout.write_by_place(v.scenes(), path, "minx", "miny", "maxx", "maxy")
+    near = space_layout.read_around(v.spark, path, *CATALOGUE_BBOX)
+    found = scene_plans.catalogue_search(near, CATALOGUE_BBOX, "1997-01-01T00:00:00Z/..")
+    return found.withColumn("asset_keys", F.array_join(F.array_sort("asset_keys"), ","))
+
+
 @query
 def q18_catalogue_counts(v: Views) -> DataFrame:
     return sc.items_per_collection(v.scenes())
@@ -718,6 +743,13 @@ def v04_bloom_status_contract(v: Views) -> DataFrame:
     return quality.missing_values(q11_bloom_status(v), quality.REQUIRED["bloom_status"])
 
 
+@query
+def v04_contract_beside_the_write(v: Views) -> DataFrame:
+    return quality.missing_as_written(
+        q11_bloom_status(v), _scratch(v), quality.REQUIRED["bloom_status"]
+    )
+
+
 @query
 def d07_unknown_totals(v: Views) -> DataFrame:
     return quality.unknown_totals(gd.gdd_table(v.daily(), v.plants()))

@@ -213,3 +213,28 @@ def test_bbox_edges_are_outside(spark):
     points = points_of(spark, [(0, 0), (1, 0.5), (0.5, 0.5), (2, 2)])
     rows = spatial.within_bbox(points, 0, 0, 1, 1).collect()
     assert [r["point_id"] for r in rows] == [2]
+
+
+def test_session_changes_beside_brute_force(spark):
+    rng = random.Random(6)
+    rows, start = [], dt.datetime(2024, 1, 1)
+    for i in range(1500):
+        session = 1 if i % 9 else rng.choice([2, 3, None])
+        rows.append((session, start + dt.timedelta(minutes=rng.randrange(900)), rng.choice([1.0, 2.0]), 0.0))
+    rows += rows[:50] + [(1, None, 1.0, 0.0), (4, start, None, 0.0)]
+    clicks = spark.createDataFrame(rows, "session INT, ts TIMESTAMP_NTZ, lon DOUBLE, lat DOUBLE")
+    expected, last = [], {}
+    whole = {r for r in rows if r[2] is not None}
+    for session, ts, lon, _ in sorted(whole, key=lambda r: (r[0] or 0, r[1] or dt.datetime.min, r[2])):
+        if last.get(session, 0) != lon:
+            expected.append((session, ts, f"0.00000,{lon:.5f}"))
+        last[session] = lon
+    found = spatial.session_changes(clicks)
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+    # one session that holds all rows is cut over the ranges
+    one = clicks.where("session = 1 AND ts IS NOT NULL")
+    spread = one.repartitionByRange(4, "session", "ts").groupBy(F.spark_partition_id()).count()
+    assert spread.count() == 4
+    want = sorted(map(str, map(tuple, spatial.changed_clicks(one).collect())))
+    assert sorted(map(str, map(tuple, spatial.session_changes(one).collect()))) == want
+    assert spatial.session_changes(clicks.limit(0)).isEmpty()
