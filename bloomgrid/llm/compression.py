@@ -1,11 +1,13 @@
 """Quality by compression: which labelled text helps to compress a document?
 
-From a bounded sample of labelled texts (SAMPLE_TEXTS of each label, up to TEXT_BYTES of each) a
-zstandard dictionary is built for good and one for bad text. A document is cut into blocks of
-BLOCK bytes, all of which are compressed with either dictionary, and the difference of the
-compressed sizes over the text's size is the raw measure. A logistic curve fitted on further
-labelled texts, not used for the dictionaries, turns it into a score; it also knows the text's
-size, as a short text says little.
+From a bounded sample of labelled texts (2 * SAMPLE_TEXTS of each label) a zstandard dictionary is
+built for good and one for bad text: half of the sample gives up to TEXT_BLOCKS blocks of each
+text, wherever in it they stand. A document is cut into blocks of BLOCK bytes, all of which are
+compressed with either dictionary, and the difference of the compressed sizes over the text's
+size is the raw measure. A logistic curve fitted on the other half of the sample, whole texts that
+are measured where they lie, turns it into a score; it also knows the text's size, as a short text
+says little. Sample and label weights come from the documents that the model is trained for, not
+from labels of others.
 
 Every text is scored whole. NULL and empty texts have measure 0. Rows without a label are scored
 like others; when one label is missing altogether every score is 0.5. NULL doc_ids are not held
@@ -14,19 +16,22 @@ out and not learned from; of repeated labels each counts.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.llm import hashing
 from bloomgrid.llm.batches import map_texts, text_buffers
+from bloomgrid.session import cut_lineage
 
 SAMPLE_TEXTS = 500
-TEXT_BYTES = 4096
+#: Blocks of a text that may go into a dictionary.
+TEXT_BLOCKS = 2
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 2048
 LEVEL = 3
@@ -56,15 +61,20 @@ def compressor(content: bytes):
     )
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or plain content where the texts are too few to train on."""
+def dictionary(pieces: list[bytes]) -> bytes:
+    """A trained dictionary, or plain content where the blocks are too few to train on."""
     import zstandard
 
-    pieces = [x[i : i + BLOCK] for x in texts for i in range(0, len(x), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b" ".join(texts)[-DICTIONARY_BYTES:]
+        return b" ".join(pieces)[-DICTIONARY_BYTES:]
+
+
+def some_blocks(content: bytes, most: int = TEXT_BLOCKS) -> list[bytes]:
+    """Blocks of a text of least checksum, so from anywhere in it."""
+    pieces = [content[i : i + BLOCK] for i in range(0, len(content), BLOCK)]
+    return sorted(pieces, key=lambda x: (zlib.crc32(x), x))[:most]
 
 
 def measure(good: bytes, bad: bytes, content: bytes) -> float:
@@ -107,29 +117,65 @@ def fit_curve(
 
 
 def train(documents: DataFrame, labels: DataFrame, size: int = SAMPLE_TEXTS) -> Model | None:
-    """Fit on labelled documents; heads of the sampled texts, of bounded number, reach the driver."""
+    """Fit on labelled documents of this table; of bounded number, they alone reach the driver.
+
+    Ids and checksums of texts are joined with the labels, and the sample is drawn among them, so
+    texts are not moved; the sample, about 4 * size rows of a few numbers, goes to all tasks.
+    """
     known = labels.where("quality IN (0, 1)").select(F.col("doc_id"), F.col("quality").alias("label"))
-    many = {row.label: row.n for row in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = hashing.sample(known, "label", "doc_id", 2 * size)
-    # the sample is about 4 * size rows of two numbers, whatever the tables' sizes
-    chosen = F.broadcast(chosen)
-    head = F.substring(F.col("text").cast("binary"), 1, TEXT_BYTES).alias("head")
-    rows = (
-        documents.where("text IS NOT NULL").select("doc_id", "text")
-        .join(chosen, "doc_id").select("label", head, F.xxhash64("doc_id").alias("place")).collect()
+    texts = documents.where("text IS NOT NULL").select(
+        "doc_id", "text", F.xxhash64("text").alias("mark")
     )
-    rows.sort(key=lambda x: (x.place, x.label))
-    groups = {label: [bytes(x.head) for x in rows if x.label == label] for label in (1, 0)}
-    if not all(groups.values()):
+    labelled = texts.select("doc_id", "mark").join(known, "doc_id")
+    many = {row.label: row.n for row in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if set(many) != {0, 1}:
         return None
-    good, bad = (dictionary(groups[x][: max(len(groups[x]) // 2, 1)]) for x in (1, 0))
-    rest = [(x, label) for label in (1, 0) for x in groups[label][len(groups[label]) // 2 :]]
-    values = np.array([measure(good, bad, x) for x, _ in rest])
-    stands_for = {label: many[label] / max(sum(x == label for _, x in rest), 1) for label in (1, 0)}
+    chosen = cut_lineage(hashing.sample(labelled, "label", 2 * size))
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id", "mark"), F.lit(2)) == 0
+    parts = chosen.groupBy("label").agg(F.count_if(half).alias("a"), F.count_if(~half).alias("b")).collect()
+    if any(row.a == 0 or row.b == 0 for row in parts):  # too few to part
+        half = F.lit(None).cast("boolean")
+    chosen = F.broadcast(chosen.withColumn("first", half))
+
+    def gathered(which: Column, work, schema: str) -> list:
+        """What `work` makes of the sampled texts of one half; equal texts once."""
+        rows = texts.join(chosen.where(F.coalesce(which, F.lit(True))), ["doc_id", "mark"])
+        made = map_texts(rows.select("label", "mark", "text"), schema, work)
+        return made.distinct().collect()
+
+    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [
+            (label, piece)
+            for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            for piece in some_blocks(text.encode("utf-8"))
+        ]
+        return pa.record_batch(
+            [pa.array([x for x, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())],
+            names=["label", "piece"],
+        )
+
+    pieces = gathered(F.col("first"), blocks, "label long, piece binary")
+    pieces = sorted((row.label, bytes(row.piece)) for row in pieces)
+    good, bad = (dictionary([x for own, x in pieces if own == label]) for label in (1, 0))
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        content = [text.encode("utf-8") for text in batch.column("text").to_pylist()]
+        return pa.record_batch(
+            [
+                batch.column("label").cast(pa.int64()), batch.column("mark"),
+                pa.array([measure(good, bad, x) for x in content], pa.float64()),
+                pa.array(list(map(len, content)), pa.int64()),
+            ],
+            names=["label", "mark", "value", "size"],
+        )
+
+    rows = gathered(~F.col("first"), measured, "label long, mark long, value double, size long")
+    rows.sort(key=lambda x: (x.mark, x.label))
+    rest = np.array([x.label for x in rows], float)
+    stands_for = {label: many[label] / max((rest == label).sum(), 1) for label in (1, 0)}
     curve = fit_curve(
-        values, np.array([len(x) for x, _ in rest]),
-        np.array([float(label) for _, label in rest]),
-        np.array([stands_for[label] for _, label in rest]),
+        np.array([x.value for x in rows]), np.array([x.size for x in rows]), rest,
+        np.array([stands_for[int(x)] for x in rest]),
     )
     return Model(good, bad, *curve)
 

@@ -11,16 +11,22 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def sample(frame: DataFrame, label: str, key: str, size: int) -> DataFrame:
-    """About `size` rows of each label value, chosen by a hash of the key.
+def sample(frame: DataFrame, label: str, size: int) -> DataFrame:
+    """About `size` distinct rows of each label value, chosen by a hash of the whole row.
 
-    A label with more rows gives each row the same chance, so the number of rows varies by a few
-    square roots around the size; a label with fewer gives all. One row per label is counted.
+    Equal rows are one. A label with more distinct rows gives each the same chance; their number is
+    estimated within a few per cent, so the sample is about `size` rows however rows or single
+    columns repeat. A label with fewer gives all. One row per label is counted.
     """
-    counts = frame.groupBy(label).agg(F.count("*").alias("_rows"))
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30))
-    chosen = frame.join(F.broadcast(counts), label) if _few(counts) else frame.join(counts, label)
-    return chosen.where(place < F.lit(float(size) * (1 << 30)) / F.col("_rows")).drop("_rows")
+    others = [c for c in frame.columns if c != label]
+    rows = frame.withColumn("_place", F.xxhash64(F.lit("sample"), *others))
+    counts = rows.groupBy(label).agg(F.approx_count_distinct("_place", 0.02).alias("_rows"))
+    counted = rows.join(F.broadcast(counts), label) if _few(counts) else rows.join(counts, label)
+    place = F.pmod("_place", F.lit(1 << 30))
+    chosen = counted.where(place < F.lit(float(size) * (1 << 30)) / F.col("_rows"))
+    return chosen.groupBy(label, "_place").agg(
+        *[F.any_value(c).alias(c) for c in others]
+    ).select(*frame.columns)
 
 
 def _few(counts: DataFrame) -> bool:

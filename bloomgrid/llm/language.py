@@ -168,7 +168,7 @@ def train(documents: DataFrame, size: int = SAMPLE) -> Model | None:
             [batch.column("lang"), pa.array(packed, pa.binary())], names=["lang", "packed"]
         )
 
-    chosen = hashing.sample(usable, "lang", "doc_id", size)
+    chosen = hashing.sample(usable, "lang", size)
     rows = map_texts(chosen, "lang string, packed binary", run).where("packed IS NOT NULL").collect()
     rows.sort(key=lambda x: (x.lang, x.packed))
     if not rows:
