@@ -35,6 +35,8 @@ from bloomgrid.llm import lstm, markup
 from bloomgrid.llm.batches import map_texts
 
 SAMPLE, LEARNED_BLOCKS, LEARNED_CHARS = 250, 300, 65_536
+#: Pages with longer paths are labelled, but not learned from.
+LEARNED_DEPTH = 400
 PATH_SLOTS, WORD_SLOTS = 128, 24
 FEATURES = PATH_SLOTS + WORD_SLOTS + 5
 
@@ -61,13 +63,34 @@ def path_slot(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "replace")) % PATH_SLOTS
 
 
-def vectors(blocks: list[markup.Block]) -> np.ndarray:
-    """One row per block."""
-    found = np.zeros((len(blocks), FEATURES), np.float32)
-    for i, block in enumerate(blocks):
+def traits(path: markup.Path | tuple[str, ...]) -> tuple[int, bool, bool]:
+    """Slots of the path's tokens as bits, and whether tokens of MAIN and of AROUND are among them.
+
+    Of a chain every link is looked at once, so blocks deep inside a page cost no more than others.
+    """
+    if not isinstance(path, markup.Path):
+        path = markup.Path(None, tuple(path))
+    open_links, at = [], path
+    while at is not None and at.seen is None:
+        open_links.append(at)
+        at = at.parent
+    bits, main, around = at.seen if at is not None else (0, False, False)
+    for link in reversed(open_links):
+        for token in link.own:
+            bits |= 1 << path_slot(token)
+            main, around = main or token in MAIN, around or token in AROUND
+        link.seen = bits, main, around
+    return bits, main, around
+
+
+def vectors(blocks: list[markup.Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """One row per block, for those from `first` to `last`."""
+    own = blocks[first:last]
+    found = np.zeros((len(own), FEATURES), np.float32)
+    for i, block in enumerate(own):
         row = found[i]
-        for token in block.path:
-            row[path_slot(token)] = 1
+        packed = np.frombuffer(traits(block.path)[0].to_bytes(PATH_SLOTS // 8, "little"), np.uint8)
+        row[:PATH_SLOTS] = np.unpackbits(packed, bitorder="little")
         words = block.text.lower().split(" ")
         share = 1 / len(words)
         for word in words:
@@ -76,14 +99,15 @@ def vectors(blocks: list[markup.Block]) -> np.ndarray:
         rest[0] = np.log1p(len(words)) / 5
         rest[1] = min(block.linked / max(len(block.text), 1), 1)
         rest[2] = block.text[-1] in ".!?"
-        rest[3] = i / len(blocks)
+        rest[3] = (first + i) / len(blocks)
         rest[4] = len(block.path) / 10
     return found
 
 
 def told(block: markup.Block) -> bool:
     """Whether the structure around a block says that it is main text."""
-    return bool(MAIN.intersection(block.path)) and not AROUND.intersection(block.path)
+    _, main, around = traits(block.path)
+    return main and not around
 
 
 def varied(blocks: list[markup.Block], others: list[markup.Block], rng: random.Random) -> list:
@@ -197,9 +221,9 @@ def train(pages: DataFrame, size: int = SAMPLE) -> lstm.Model | None:
         places, found = [], []
         for place, html in zip(batch.column("place").to_pylist(), batch.column("html").to_pylist(), strict=True):
             blocks = markup.blocks(html)
-            if any(map(told, blocks)):
+            if any(map(told, blocks)) and max(len(b.path) for b in blocks) <= LEARNED_DEPTH:
                 places.append(place)
-                found.append(json.dumps([(b.text, b.path, b.linked) for b in learned(blocks)]))
+                found.append(json.dumps([(b.text, [*b.path], b.linked) for b in learned(blocks)]))
         return pa.record_batch(
             [pa.array(places, pa.int64()), pa.array(found, pa.string())], names=["place", "page"])
 
@@ -242,7 +266,9 @@ def extracted(pages: DataFrame, model: lstm.Model | None) -> DataFrame:
         read = [markup.blocks(html) for html in batch.column("html").to_pylist()]
         texts = [""] * len(read)
         if model:
-            chances = lstm.predict(model, [vectors(page) for page in read])
+            chances = lstm.predict_rows(
+                model, [len(page) for page in read], lambda i, a, b: vectors(read[i], a, b)
+            )
             texts = [
                 "\n".join(b.text for b, chance in zip(page, own, strict=True) if chance >= 0.5)
                 for page, own in zip(read, chances, strict=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +51,23 @@ class Direction:
             out[t] = h
         return out, kept
 
+    def outputs(self, z: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """As forward, from inputs that have met the weights, and without what training keeps."""
+        steps, count, _ = z.shape
+        size = len(self.u)
+        h = np.zeros((count, size), np.float32)
+        c = np.zeros((count, size), np.float32)
+        out = np.empty((steps, count, size), np.float32)
+        for t in range(steps):
+            gates = z[t] + h @ self.u
+            open_gates = sigmoid(gates[:, : 3 * size])
+            cell = open_gates[:, size : 2 * size] * c + open_gates[:, :size] * np.tanh(gates[:, 3 * size :])
+            now = real[t][:, None]
+            h = np.where(now, open_gates[:, 2 * size :] * np.tanh(cell), h)
+            c = np.where(now, cell, c)
+            out[t] = h
+        return out
+
     def backward(self, x, real, kept, d_out):
         size = len(self.u)
         d_h = np.zeros_like(d_out[0])
@@ -139,14 +157,44 @@ def train(sequences, labels, size: int = 12, rounds: int = 12, seed: int = 7) ->
     return model
 
 
-def predict(model: Model, sequences: list[np.ndarray]) -> list[np.ndarray]:
-    """Chances per step; sequences of like length share a batch, none is cut."""
-    found: list[np.ndarray] = [np.empty(0, np.float32)] * len(sequences)
-    order = [i for i in sorted(range(len(sequences)), key=lambda i: len(sequences[i])) if len(sequences[i])]
-    for start in range(0, len(order), 64):
-        batch = order[start : start + 64]
-        x, real = pad([sequences[i] for i in batch])
-        chance = model.forward(x, real)[0]
+#: Steps of a batch, padding included, and steps whose inputs are made at a time.
+CELLS, CHUNK = 32_768, 2_048
+
+
+def predict_rows(model: Model, lengths: list[int], rows: Callable[[int, int, int], np.ndarray],
+                 ) -> list[np.ndarray]:
+    """Chances per step. rows(i, a, b): the inputs of steps a to b of sequence i.
+
+    Sequences of like length share a batch of at most CELLS steps; a longer one has a batch of its
+    own, and none is cut. Of all steps only what the gates take in is held, not the inputs.
+    """
+    found: list[np.ndarray] = [np.empty(0, np.float32)] * len(lengths)
+    order = [i for i in sorted(range(len(lengths)), key=lengths.__getitem__) if lengths[i]]
+    start = 0
+    while start < len(order):
+        stop = start + 1
+        while stop < len(order) and lengths[order[stop]] * (stop + 1 - start) <= CELLS:
+            stop += 1
+        batch, start = order[start:stop], stop
+        longest, width = lengths[batch[-1]], model.ahead.w.shape[1]
+        real = np.zeros((longest, len(batch)), bool)
+        z = [np.zeros((longest, len(batch), width), np.float32) for _ in range(2)]
+        for place, i in enumerate(batch):
+            real[: lengths[i], place] = True
+            for a in range(0, lengths[i], CHUNK):
+                b = min(a + CHUNK, lengths[i])
+                x = rows(i, a, b)
+                for into, way in zip(z, (model.ahead, model.back), strict=True):
+                    into[a:b, place] = x @ way.w + way.b
+        size = len(model.ahead.u)
+        line = model.ahead.outputs(z[0], real) @ model.out[:size] + model.shift[0]
+        line += model.back.outputs(z[1][::-1], real[::-1])[::-1] @ model.out[size:]
+        chance = sigmoid(line)
         for place, i in enumerate(batch):
-            found[i] = chance[: len(sequences[i]), place]
+            found[i] = chance[: lengths[i], place]
     return found
+
+
+def predict(model: Model, sequences: list[np.ndarray]) -> list[np.ndarray]:
+    """Chances per step of sequences whose inputs are at hand."""
+    return predict_rows(model, [len(x) for x in sequences], lambda i, a, b: sequences[i][a:b])

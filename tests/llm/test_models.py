@@ -225,3 +225,79 @@ def test_gradients_of_the_lstm():
         down = loss()
         parameter[at] = old
         assert gradient[at] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=2e-4)
+
+
+def test_samples_are_bounded_however_rows_repeat(spark):
+    from bloomgrid.llm import hashing
+
+    same_id = spark.range(20_000).selectExpr(
+        "7 AS doc_id", "concat('text ', id) AS text", "IF(id % 2 = 0, 'a', 'b') AS lang")
+    rows = hashing.sample(same_id, "lang", 300).groupBy("lang").count().collect()
+    assert len(rows) == 2 and all(200 < r["count"] < 400 for r in rows)
+    five_ids = spark.range(20_000).selectExpr("id % 5 AS doc_id", "concat('t', id % 5) AS text", "'a' AS lang")
+    assert hashing.sample(five_ids, "lang", 300).count() == 5
+    copies = spark.range(20_000).selectExpr("1 AS doc_id", "'t' AS text", "'a' AS lang")
+    assert hashing.sample(copies, "lang", 300).count() == 1
+    many = spark.range(20_000).selectExpr("id AS doc_id", "concat('t', id) AS text", "'a' AS lang")
+    assert 200 < hashing.sample(many, "lang", 300).count() < 400
+
+
+def test_classifier_learns_from_whole_texts_of_its_own_rows(spark):
+    import random
+
+    rng = random.Random(31)
+
+    def prose(words):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(words))
+
+    # what tells good from bad begins behind the first 6,000 bytes
+    good, bad = [prose(6) for _ in range(40)], [prose(6) for _ in range(40)]
+    rows = []
+    for i in range(240):
+        tail = " ".join(rng.choice(good if i % 2 else bad) for _ in range(400))
+        rows.append((i, prose(1200)[:6000] + " " + tail))
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    # labels of documents that are elsewhere change nothing
+    elsewhere = spark.createDataFrame([(10_000 + i, 0) for i in range(5000)], "doc_id long, quality int")
+    found = compression.classified(documents, labels.unionByName(elsewhere)).collect()
+    held = [r for r in found if r.held_out]
+    assert len(held) > 50
+    assert sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.95
+    copies = documents.unionByName(documents.limit(1)).unionByName(documents.limit(1))
+    assert compression.train(copies, labels) is not None
+
+
+def test_deep_and_broken_pages_take_time_by_their_length():
+    import time
+
+    pages = [
+        "<b><div>x " * 30_000, "<b>x " * 60_000, "<a href='" * 30_000, "<a " * 90_000 + "'", "<! " * 90_000,
+        "<a href='x\" " * 25_000 + "<p>end</p>", "".join(f"<x{k}>y " for k in range(20_000)),
+    ]
+    for html in pages:
+        begin = time.perf_counter()
+        blocks = markup.blocks(html)
+        for at in range(0, len(blocks), 2048):
+            html_blocks.vectors(blocks, at, at + 2048)
+        assert time.perf_counter() - begin < 8, html[:20]
+    assert len(markup.blocks(pages[0])) == 30_000 and len(markup.blocks(pages[0])[-1].path) == 60_000
+    assert list(markup.blocks("<div class=x><p>a")[0].path) == ["div", ".x", "p"]
+
+
+def test_long_sequences_share_no_batch_with_short_ones():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    model = lstm.fresh(5, 12, 1)
+    sequences = [rng.normal(size=(n, 5)).astype(np.float32) for n in (3, 0, 900, 7, 60_000, 40)]
+    tracemalloc.start()
+    found = lstm.predict(model, sequences)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for x, own in zip(sequences, found, strict=True):
+        if len(x) and len(x) < 10_000:
+            want = model.forward(x[:, None], np.ones((len(x), 1), bool))[0][:, 0]
+            assert np.allclose(own, want, atol=1e-5)
+    assert [len(x) for x in found] == [3, 0, 900, 7, 60_000, 40]
