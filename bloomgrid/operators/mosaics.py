@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
@@ -74,8 +74,10 @@ def placed_links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
     A set that lacks a footprint has no rows at all, so that neither its index nor its extent
     is built from a part of it.
     """
-    lacking = incomplete_sets(sets, footprints).select("digest")
-    return _links(sets.join(lacking, "digest", "left_anti"), footprints)
+    links = _links(sets, footprints)
+    # one join with the footprints; a window holds the links of one list
+    complete = F.min(F.col("bbox").isNotNull()).over(Window.partitionBy("digest"))
+    return links.withColumn("complete", complete).where("complete").drop("complete")
 
 
 def quadkey_index(placed: DataFrame, zoom: int = QUADKEY_ZOOM) -> DataFrame:
@@ -102,11 +104,11 @@ def manifests(sets: DataFrame, footprints: DataFrame, zoom: int = QUADKEY_ZOOM,
               max_zoom: int = MAX_ZOOM) -> DataFrame:
     """Full manifest per link set.
 
-    The placed links are shuffled by digest once; the tile lists, their map and the extent are
-    all grouped inside that partitioning. Sets with a link of unknown footprint are named by
+    Placed links come out shuffled by digest; the tile lists, their map and the extent are all
+    grouped inside that partitioning. Sets with a link of unknown footprint are named by
     `incomplete_sets` and have no manifest.
     """
-    links = placed_links(sets, footprints).repartition("digest")
+    links = placed_links(sets, footprints)
     box = F.col("bbox")
     tiles = links.select(
         "digest", "url", "bbox", F.explode(G.quadkeys(box, zoom)).alias("quadkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
@@ -148,6 +148,26 @@ def feature_collection(features: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def feature_documents(features: DataFrame, lon: Column, lat: Column, zoom: int = 8,
+                      most: int = 1_000) -> DataFrame:
+    """FeatureCollection texts per map tile (quadkey, number, document), for layers of any size.
+
+    A tile with many features has several documents of about `most` each, dealt by a hash of the
+    feature, so no task gathers more than one document.
+    """
+    point = F.struct(lon.alias("minx"), lat.alias("miny"), lon.alias("maxx"), lat.alias("maxy"))
+    # features without a place share the documents of an empty quadkey
+    key = F.coalesce(F.get(G.quadkeys(point, zoom), F.lit(0)), F.lit("")).alias("quadkey")
+    placed = features.select(key, "feature")
+    counts = placed.groupBy("quadkey").agg(F.ceil(F.count("*") / F.lit(most)).alias("documents"))
+    number = F.pmod(F.hash("feature"), F.col("documents")).alias("number")
+    told = placed.join(counts, "quadkey").select("quadkey", "feature", number)
+    body = F.array_join(F.array_sort(F.collect_list("feature")), ",")
+    return told.groupBy("quadkey", "number").agg(
+        F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("document")
+    )
+
+
 def append_new_manifests(spark: SparkSession, manifests: DataFrame, path: str) -> None:
     """Write-once store: a digest that is stored already is not written again."""
     from bloomgrid.operators.mosaics import new_manifests

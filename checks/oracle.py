@@ -261,6 +261,13 @@ VIEWS: dict[str, str] = {
                coalesce(cloud_cover, 0) AS cloud
         FROM matching WHERE href IS NOT NULL AND tile IN (SELECT tile FROM region_tiles)
         ORDER BY tile, nodata, cloud, cloud_cover, id""",
+    "gap_best": """
+        SELECT DISTINCT ON (tile) * REPLACE (gap_pct AS nodata_pct), coalesce(gap_pct, 0) AS nodata,
+               coalesce(cloud_cover, 0) AS cloud
+        FROM (SELECT *, (nodata_pct + 2) * 2 AS gap_pct FROM matching)
+        WHERE href IS NOT NULL AND tile IN (SELECT tile FROM region_tiles)
+          AND tile NOT IN ('MGRS-34UEB', 'MGRS-35ULT')
+        ORDER BY tile, nodata, cloud, cloud_cover, id""",
     "request_sets": """
         SELECT l_orderkey AS request_id,
                list_sort(list_distinct(list('https://images.example/' || l_suppkey || '.tif')))
@@ -373,9 +380,17 @@ FINAL: dict[str, str] = {
                || station_name || '","station_type":'
                || coalesce('"' || station_type || '"', 'null') || '}}' AS feature
         FROM pins""",
+    "k04_tile_documents": """
+        SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon || ',' || lat
+               || ']},"properties":{"station_id":"' || station_id || '","station_name":"'
+               || station_name || '","station_type":'
+               || coalesce('"' || station_type || '"', 'null') || '}}' AS feature
+        FROM pins""",
     "s07_collection_files": """
         SELECT 'c' || n_nationkey AS id, n_name AS title, n_regionkey::DOUBLE AS minx
         FROM nation""",
+    "s07_customer_collections": """
+        SELECT 'c' || c_custkey AS id, c_name AS title, c_nationkey::DOUBLE AS minx FROM customer""",
     "s06_plant_files": """
         SELECT 'p' || p_partkey AS id, p_name AS name_pl, p_type AS name_latin,
                p_size::DOUBLE AS base_temp_c, 100.0::DOUBLE AS gdd_min,
@@ -661,6 +676,9 @@ FINAL: dict[str, str] = {
         SELECT id, cloud_cover, href FROM matching WHERE href IS NOT NULL""",
     "q13_scene_search": """
         SELECT id, cloud_cover, datetime, href FROM matching WHERE href IS NOT NULL""",
+    "o05_scene_page": """
+        SELECT id, cloud_cover, href
+        FROM (SELECT * FROM matching ORDER BY cloud_cover, id LIMIT 500) WHERE href IS NOT NULL""",
     "p12_linked_scenes": """
         SELECT id, href FROM scenes WHERE collection = 'sentinel-2-l2a' AND href IS NOT NULL""",
     "p13_region_scenes": """
@@ -686,6 +704,16 @@ FINAL: dict[str, str] = {
                coalesce(string_agg(replace(tile, 'MGRS-', ''), ',' ORDER BY tile)
                         FILTER (WHERE nodata > 5), '') AS partial
         FROM best""",
+    "q15_report_with_gaps": """
+        SELECT count(*)::INT AS covered, 16 AS wanted,
+               (SELECT coalesce(string_agg(replace(tile, 'MGRS-', ''), ',' ORDER BY tile), '')
+                FROM region_tiles WHERE tile NOT IN (SELECT tile FROM gap_best)) AS missing,
+               avg(cloud) AS avg_cloud, max(cloud) AS max_cloud, max(nodata) AS max_nodata,
+               count(DISTINCT datetime[1:10])::INT AS dates,
+               array_to_string(list_sort(list(DISTINCT short_platform)), ',') AS platforms,
+               coalesce(string_agg(replace(tile, 'MGRS-', ''), ',' ORDER BY tile)
+                        FILTER (WHERE nodata > 5), '') AS partial
+        FROM gap_best""",
     "o08_tile_details": """
         SELECT replace(tile, 'MGRS-', '') AS tile, datetime[1:10] AS day,
                short_platform AS platform, cloud, nodata
@@ -693,8 +721,13 @@ FINAL: dict[str, str] = {
     "u05_missing_tiles": """
         SELECT replace(tile, 'MGRS-', '') AS tile FROM region_tiles
         WHERE tile NOT IN (SELECT tile FROM best)""",
+    "u05_tiles_in_gaps": """
+        SELECT replace(tile, 'MGRS-', '') AS tile FROM region_tiles
+        WHERE tile NOT IN (SELECT tile FROM gap_best)""",
     "p17_partial_tiles": """
         SELECT replace(tile, 'MGRS-', '') AS tile, nodata FROM best WHERE nodata > 5""",
+    "p17_tiles_with_gaps": """
+        SELECT replace(tile, 'MGRS-', '') AS tile, nodata FROM gap_best WHERE nodata > 5""",
     "a15_region_mosaic_request": """
         SELECT sha256(string_agg(href, '|' ORDER BY href))[1:16] AS digest,
                count(*)::INT AS tile_count, string_agg(href, '|' ORDER BY href) AS urls
@@ -762,6 +795,19 @@ FINAL: dict[str, str] = {
     "k05_incomplete_sets": """
         SELECT digest, len(urls)::INT AS links, string_agg(url, '|' ORDER BY url) AS missing
         FROM unplaced JOIN link_sets USING (digest) GROUP BY ALL""",
+    "k05_sets_without_footprints": """
+        SELECT digest, len(urls)::INT AS links, string_agg(url, '|' ORDER BY url) AS missing
+        FROM (SELECT digest, urls, unnest(urls) AS url FROM link_sets)
+        JOIN supplier ON url = 'https://images.example/' || s_suppkey || '.tif'
+        WHERE s_acctbal < 0 GROUP BY ALL""",
+    "a13_extents_of_complete_sets": """
+        SELECT digest, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy,
+               (min(minx) + max(maxx)) / 2 AS center_lon, (min(miny) + max(maxy)) / 2 AS center_lat
+        FROM placed
+        WHERE digest NOT IN (
+            SELECT digest FROM (SELECT digest, unnest(urls) AS url FROM link_sets)
+            JOIN supplier ON url = 'https://images.example/' || s_suppkey || '.tif'
+            WHERE s_acctbal < 0) GROUP BY ALL""",
     "v05_refused_requests": """
         SELECT o_orderkey AS request_id, (o_custkey % 40)::INT AS links,
                CASE WHEN o_custkey % 40 = 0 THEN 'no links' ELSE 'too many links' END AS reason

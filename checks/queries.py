@@ -22,7 +22,7 @@ from bloomgrid.plans import scenes as scene_plans
 from bloomgrid.plans import stations as station_plans
 from bloomgrid.plans import weather as weather_plans
 from bloomgrid.session import cut_lineage, shared_folder
-from bloomgrid.sources import files, sinks
+from bloomgrid.sources import files, sinks, tables
 from checks.views import Views
 
 PLANT = "P2"
@@ -131,6 +131,16 @@ def s07_collection_files(v: Views) -> DataFrame:
     return found.select("id", "title", F.col("extent.spatial.bbox")[0][0].alias("minx"))
 
 
+@query
+def s07_customer_collections(v: Views) -> DataFrame:
+    """Collection documents stored as a catalogue table, loaded again in part."""
+    path = _scratch(v)
+    found = files.parse_stac_collections(v.customer_collections())
+    loaded = found.select("id", "title", F.col("extent.spatial.bbox")[0][0].alias("minx"))
+    tables.refresh(loaded, path, F.floor(F.col("minx")))
+    return files.read_table(v.spark, path)
+
+
 @query
 def k01_history_csv(v: Views) -> DataFrame:
     path = _scratch(v)
@@ -186,6 +196,15 @@ def k04_feature_document(v: Views) -> DataFrame:
     return document.select(F.explode(parsed["features"]).alias("feature"))
 
 
+@query
+def k04_tile_documents(v: Views) -> DataFrame:
+    """Documents per map tile of the whole layer, taken apart again."""
+    features = layer_plans.station_point_features(v.zones())
+    documents = sinks.feature_documents(features, F.col("lon"), F.col("lat"), most=20)
+    parsed = F.from_json("document", "features ARRAY<STRING>", files.STRICT)
+    return documents.select(F.explode(parsed["features"]).alias("feature"))
+
+
 # weather ----------------------------------------------------------------------------------
 
 
@@ -527,6 +546,12 @@ def p10_scene_filter(v: Views) -> DataFrame:
     return found.select("id", "cloud_cover", "href")
 
 
+@query
+def o05_scene_page(v: Views) -> DataFrame:
+    """One page: the 500 clearest scenes that match, of these those with a link."""
+    return sc.search_scenes(v.scenes(), *SEARCH, limit=500).select("id", "cloud_cover", "href")
+
+
 @query
 def q13_scene_search(v: Views) -> DataFrame:
     return sc.search_scenes(v.scenes(), *SEARCH).select("id", "cloud_cover", "datetime", "href")
@@ -591,6 +616,29 @@ def p17_partial_tiles(v: Views) -> DataFrame:
     return sc.partial_tiles(_best(v))
 
 
+def _best_with_gaps(v: Views) -> DataFrame:
+    return scene_plans.best_scenes(v.scenes_with_gaps(), *SEARCH)
+
+
+@query
+def u05_tiles_in_gaps(v: Views) -> DataFrame:
+    return sc.missing_tiles(_best_with_gaps(v))
+
+
+@query
+def p17_tiles_with_gaps(v: Views) -> DataFrame:
+    return sc.partial_tiles(_best_with_gaps(v))
+
+
+@query
+def q15_report_with_gaps(v: Views) -> DataFrame:
+    report = scene_plans.coverage_report(v.scenes_with_gaps(), *SEARCH)
+    return report.select(
+        "covered", "wanted", text_list("missing"), "avg_cloud", "max_cloud", "max_nodata",
+        "dates", text_list("platforms"), text_list("partial"),
+    )
+
+
 @query
 def a15_region_mosaic_request(v: Views) -> DataFrame:
     links = sc.ordered_links(_best(v))
@@ -702,6 +750,17 @@ def k05_incomplete_sets(v: Views) -> DataFrame:
     return found.select("digest", "links", F.array_join("missing", "|").alias("missing"))
 
 
+@query
+def k05_sets_without_footprints(v: Views) -> DataFrame:
+    found = mosaics.incomplete_sets(_sets(v), v.known_footprints())
+    return found.select("digest", "links", F.array_join("missing", "|").alias("missing"))
+
+
+@query
+def a13_extents_of_complete_sets(v: Views) -> DataFrame:
+    return mosaics.mosaic_extent(mosaics.placed_links(_sets(v), v.known_footprints()))
+
+
 # quality ----------------------------------------------------------------------------------
 
 

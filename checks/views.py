@@ -298,6 +298,28 @@ class Views:
             " AS assets",
         )
 
+    def scenes_with_gaps(self) -> DataFrame:
+        """Scenes without those of two region tiles, and with many empty pixels."""
+        gaps = ("34UEB", "35ULT")
+        code = F.coalesce(F.substring("grid_code", 6, 5), F.get(F.split("id", "_"), F.lit(1)), F.lit(""))
+        return self.scenes().where(~code.isin(*gaps)).withColumn(
+            "nodata_pct", (F.col("nodata_pct") + 2.0) * 2.0
+        )
+
+    def known_footprints(self) -> DataFrame:
+        """Footprints of the images of suppliers that are not in debt; the others are unknown."""
+        able = self.table("supplier").where("s_acctbal >= 0").selectExpr(
+            "concat('https://images.example/', s_suppkey, '.tif') AS url"
+        )
+        return self.footprints().join(able, "url", "left_semi")
+
+    def customer_collections(self) -> DataFrame:
+        """A collection document per customer."""
+        return self.table("customer").selectExpr(
+            "concat('{\"id\":\"c', c_custkey, '\",\"title\":\"', c_name,"
+            " '\",\"extent\":{\"spatial\":{\"bbox\":[[', c_nationkey, ',1,2,3]]}}}') AS document"
+        )
+
     def stored_items(self) -> DataFrame:
         return self.table("orders").selectExpr(
             "concat('item', o_orderkey) AS id", "concat('c-', o_orderstatus) AS collection",
