@@ -26,8 +26,9 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.llm.batches import keep_batches_small, slices
-from bloomgrid.llm.wordbpe import Kept, byte_letters
+from bloomgrid.llm.wordbpe import byte_letters
 from bloomgrid.session import cut_lineage
 
 #: A block ends at this many documents, bytes of text or pairs of documents; then its rows go out.
 BLOCK_DOCUMENTS = 1 << 16
 BLOCK_BYTES = 8 << 20
 BLOCK_PAIRS = 4 << 20
-#: Bytes of segments that a process keeps, in each of two generations.
-KEPT_BYTES = 1 << 20
+#: Segments that a process keeps, in each of two generations.
+KEPT_SEGMENTS = 120_000
+#: Segments of at most this many characters are encoded together; what stands before them there.
+SHORT = 64
+GUARD = " a"
+#: Texts are worked on in slices of about this many bytes.
+SLICE_BYTES = 1 << 20
 
 SEGMENTS = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 BLANK = "▁"
@@ -67,27 +73,32 @@ def grouped(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
 
 
 class Segment:
-    """Groups as text, their figures, and packed pairs (A id << 32 | B id) with their links."""
+    """Groups as text, their figures, and packed pairs (A id << 32 | B id).
 
-    __slots__ = ("groups", "figures", "pairs", "links")
+    `links` has the links of each pair, packed; None where each stands for one.
+    """
 
-    def __init__(self, a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
-        groups = grouped(a, ends_a, b, ends_b)
-        self.groups = ";".join(
-            f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups
-        )
-        links: Counter = Counter()
-        for x, y in groups:
-            if len(x) == len(y) == 1:
-                links[x[0] << 32 | y[0]] += 1
-            else:
-                many = Counter(y)
-                for one, times in Counter(x).items():
-                    for other, more in many.items():
-                        links[one << 32 | other] += times * more
-        self.figures = (len(a), len(b), len(groups), sum(links.values()))
-        self.pairs = np.fromiter(links.keys(), np.int64, len(links)).tobytes()
-        self.links = np.fromiter(links.values(), np.int64, len(links)).tobytes()
+    __slots__ = ("figures", "groups", "links", "pairs")
+
+    def __init__(self, groups: str, figures: tuple, pairs: bytes, links: bytes | None = None):
+        self.groups, self.figures, self.pairs, self.links = groups, figures, pairs, links
+
+
+def counted(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Segment:
+    """A segment of any length: its pairs are counted group by group."""
+    groups = grouped(a, ends_a, b, ends_b)
+    links: Counter = Counter()
+    for x, y in groups:
+        many = Counter(y)
+        for one, times in Counter(x).items():
+            for other, more in many.items():
+                links[one << 32 | other] += times * more
+    told = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+    return Segment(
+        told, (len(a), len(b), len(groups), links.total()),
+        np.fromiter(links.keys(), np.int64, len(links)).tobytes(),
+        np.fromiter(links.values(), np.int64, len(links)).tobytes(),
+    )
 
 
 class Aligner:
@@ -115,7 +126,10 @@ class Aligner:
             c in BLANK + "\n" and (p[i] not in BLANK + "\n" or c == "\n")
             for p in pieces for i, c in enumerate(p[1:])
         )
-        self.kept = Kept(self.segment, KEPT_BYTES, len)
+        self.lengths_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.kept: dict[str, Segment | None] = {}
+        self.older: dict[str, Segment | None] = {}
 
     def segment(self, text: str) -> Segment | None:
         """The tokens of a stretch that begins with a blank or a line feed; None if bytes differ."""
@@ -134,22 +148,92 @@ class Aligner:
         bytes_b = [self.bytes_b[i] for i in b]
         if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
             return None
-        ends_a = np.cumsum([len(x) for x in bytes_a]).tolist()
-        ends_b = np.cumsum([len(x) for x in bytes_b]).tolist()
-        return Segment(a, ends_a, b, ends_b)
+        ends_a, ends_b = accumulate(map(len, bytes_a)), accumulate(map(len, bytes_b))
+        return counted(a, list(ends_a), b, list(ends_b))
+
+    def learn(self, strings: Iterable[str]) -> None:
+        """Have all these segments among the kept ones."""
+        if len(self.kept) > KEPT_SEGMENTS:
+            self.kept, self.older = {}, self.kept
+        short = []
+        for text in set(filterfalse(self.kept.__contains__, strings)):
+            if text in self.older:
+                self.kept[text] = self.older[text]
+            elif len(text) <= SHORT and not text[-1].isspace():
+                short.append(text)
+            else:
+                self.kept[text] = self.segment(text)
+        self.learn_short(short)
+
+    def learn_short(self, texts: list[str]) -> None:
+        """Short segments, put together and encoded in one piece: no token crosses their borders.
+
+        Where bytes differ, the half that is at fault is found by halving.
+        """
+        if len(texts) < 2:
+            self.kept.update((text, self.segment(text)) for text in texts)
+            return
+        joined = GUARD + "".join(texts)
+        raw = joined.encode("utf-8")
+        list_a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
+        list_b = self.b.encode(joined[1:], num_threads=1)
+        a, b = np.array(list_a, np.int64), np.array(list_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
+        sizes = [len(GUARD), *[len(text.encode("utf-8")) for text in texts]]
+        ends = np.cumsum(sizes)
+        common = np.intersect1d(ends_a, ends_b)
+        if (
+            b"".join(map(self.bytes_a.__getitem__, list_a)) != raw
+            or b"".join(map(self.bytes_b.__getitem__, list_b)) != raw
+            or not np.isin(ends, common).all()
+        ):
+            half = len(texts) // 2
+            self.learn_short(texts[:half])
+            self.learn_short(texts[half:])
+            return
+        count = len(common)
+        n_a = np.bincount(np.searchsorted(common, ends_a), minlength=count)
+        n_b = np.bincount(np.searchsorted(common, ends_b), minlength=count)
+        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        links = n_a * n_b
+        group = np.repeat(np.arange(count), links)
+        place = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
+        pairs = a[first_a[group] + place // n_b[group]] << 32 | b[first_b[group] + place % n_b[group]]
+        told_a, told_b = list(map(str, list_a)), list(map(str, list_b))
+        told = [
+            f"{told_a[i]}|{told_b[j]}" if x == 1 == y
+            else f"{','.join(told_a[i : i + x])}|{','.join(told_b[j : j + y])}"
+            for i, x, j, y in zip(
+                first_a.tolist(), n_a.tolist(), first_b.tolist(), n_b.tolist(), strict=True)
+        ]
+        # the sums up to each border; the stretch before the first border is the guard
+        last = np.searchsorted(common, ends)
+        upto = [np.cumsum(x)[last] for x in (n_a, n_b, np.ones(count, np.int64), links)]
+        figures = zip(*[np.diff(x).tolist() for x in upto], strict=True)
+        borders, bytes_at, packed = upto[2].tolist(), (upto[3] * 8).tolist(), pairs.tobytes()
+        for i, (text, own) in enumerate(zip(texts, figures, strict=True)):
+            self.kept[text] = Segment(
+                ";".join(told[borders[i] : borders[i + 1]]), own,
+                packed[bytes_at[i] : bytes_at[i + 1]],
+            )
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[list[Segment], Counter]]:
+        """For each text its segments in order, and how often each distinct one occurs."""
+        find = SEGMENTS.findall if self.cuts else lambda whole: [whole]
+        split = [find(" " + text) if text else [] for text in texts]
+        self.learn(chain.from_iterable(split))
+        for text, strings in zip(texts, split, strict=True):
+            times = Counter(strings)
+            own = [self.kept[s] for s in times]
+            if None in own:
+                one = self.segment(" " + text)
+                yield ([one], Counter([one])) if one else ([], Counter())
+            else:
+                order = map(self.kept.__getitem__, strings)
+                yield list(order), dict(zip(own, times.values(), strict=True))
 
     def text(self, text: str | None) -> tuple[list[Segment], Counter]:
-        """Segments in order, and how often each distinct one occurs; none without tokens."""
-        if not text:
-            return [], Counter()
-        whole = " " + text
-        strings = SEGMENTS.findall(whole) if self.cuts else [whole]
-        times = Counter(strings)
-        known = {s: self.kept[s] for s in times}
-        if None in known.values():
-            one = self.segment(whole)
-            return ([one], Counter([one])) if one else ([], Counter())
-        return [known[s] for s in strings], Counter({known[s]: n for s, n in times.items()})
+        return next(self.texts([text]))
 
 
 @lru_cache(maxsize=1)
@@ -214,10 +298,13 @@ class Block:
     def add(self, counted: Counter, length: int) -> int:
         """Take the document with these segments; its number in the block."""
         own = list(counted)
-        pairs = np.frombuffer(b"".join([s.pairs for s in own]), np.int64)
-        links = np.frombuffer(b"".join([s.links for s in own]), np.int64)
-        widths = [len(s.pairs) // 8 for s in own]
-        links = links * np.repeat(np.fromiter(counted.values(), np.int64, len(own)), widths)
+        packed = [s.pairs for s in own]
+        pairs = np.frombuffer(b"".join(packed), np.int64)
+        widths = np.fromiter(map(len, packed), np.int64, len(own)) // 8
+        links = np.repeat(np.fromiter(counted.values(), np.int64, len(own)), widths)
+        for place in [i for i, s in enumerate(own) if s.links is not None]:
+            end = int(widths[: place + 1].sum())
+            links[end - widths[place] : end] *= np.frombuffer(own[place].links, np.int64)
         self.pairs.append(pairs)
         self.links.append(links)
         self.slots.append(np.full(len(pairs), self.size, np.int32))
@@ -295,15 +382,16 @@ def align(documents: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
         number = TaskContext.get().partitionId() << 32
         block = Block(number)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", SLICE_BYTES):
                 rows = []
-                keys = piece.column("doc_id").to_pylist()
-                for key, text in zip(keys, piece.column("text").to_pylist(), strict=True):
+                keys, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
+                for key, text, (order, counted) in zip(
+                    keys, texts, whole.texts(texts), strict=True
+                ):
                     if block.full():
                         yield from block.rows()
                         number += 1
                         block = Block(number)
-                    order, counted = whole.text(text)
                     slot = block.add(counted, len(text or ""))
                     figures = [sum(s.figures[i] * n for s, n in counted.items()) for i in range(4)]
                     groups = ";".join([s.groups for s in order])
