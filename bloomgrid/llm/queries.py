@@ -299,3 +299,55 @@ def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
         percent=5, least_words=20, seed=42,
     )
     return drawn.drop("n_words")
+
+
+SQL["op13_importance_resampling"] = r"""
+WITH RECURSIVE crc_steps(i, c, k) AS (
+  SELECT unnest(range(0, 256)), unnest(range(0, 256)), 0
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8
+), texts AS (
+  SELECT doc_id, text, true AS ours FROM documents UNION ALL SELECT item_id, text, false FROM benchmark
+), words AS (
+  SELECT doc_id, ours, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), features AS (
+  SELECT doc_id, ours, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM words
+), counted AS (
+  SELECT doc_id, ours, f, count(*) AS n FROM features GROUP BY ALL
+), spelled AS (
+  SELECT f, hex(f) AS h FROM (SELECT DISTINCT f FROM counted)
+), crcs AS (
+  SELECT f, (xor(list_reduce(
+    list_transform(range(0, len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)) % 10000 AS bucket
+  FROM spelled CROSS JOIN crc_table
+), placed AS (
+  SELECT doc_id, ours, bucket, sum(n)::BIGINT AS n FROM counted JOIN crcs USING (f) GROUP BY ALL
+), sums AS (
+  SELECT bucket, coalesce(sum(n) FILTER (ours), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT ours), 0)::DOUBLE AS t
+  FROM placed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain FROM sums
+), weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM placed JOIN gains USING (bucket) WHERE ours GROUP BY doc_id
+), scored AS (
+  SELECT words.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((
+      CAST('0x' || substr(sha256('42:' || words.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (doc_id) WHERE ours
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20
+  QUALIFY rank <= (SELECT count(*) FROM scored WHERE n_words >= 20) * 5 // 100
+)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
