@@ -139,16 +139,12 @@ def gains(corpus: DataFrame, target: DataFrame) -> DataFrame:
         .join(target.withColumnRenamed("n", "t"), "bucket", "left")
         .na.fill(0, ["s", "t"])
     )
-    whole = both.agg(
-        F.sum("s").cast("double").alias("all_s"), F.sum("t").cast("double").alias("all_t")
-    )
-    # both sides of this join are bounded: BUCKETS rows and one row
-    ratio = ((F.col("t") + 1.0) * (F.col("all_s") + float(BUCKETS))) / (
-        (F.col("s") + 1.0) * (F.col("all_t") + float(BUCKETS))
-    )
-    return both.join(F.broadcast(whole)).select(
-        "bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain")
+    both = cut_lineage(both)  # BUCKETS rows; the counts behind them are taken once
+    all_s, all_t = map(float, both.agg(F.sum("s"), F.sum("t")).first())
+    ratio = ((F.col("t") + 1.0) * F.lit(all_s + BUCKETS)) / (
+        (F.col("s") + 1.0) * F.lit(all_t + BUCKETS)
     )
+    return both.select("bucket", F.floor(F.lit(1000.0) * F.ln(ratio)).alias("gain"))
 
 
 def weights(documents: DataFrame, gain: DataFrame) -> DataFrame:
