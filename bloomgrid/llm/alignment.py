@@ -73,14 +73,15 @@ def grouped(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
 
 
 class Segment:
-    """Groups as text, their figures, and packed pairs (A id << 32 | B id).
+    """Groups as text, and packed: figures (A tokens, B tokens, groups, links) and pairs.
 
-    `links` has the links of each pair, packed; None where each stands for one.
+    A pair is A id << 32 | B id. `links` has the links of each pair, packed; None where each
+    stands for one.
     """
 
     __slots__ = ("figures", "groups", "links", "pairs")
 
-    def __init__(self, groups: str, figures: tuple, pairs: bytes, links: bytes | None = None):
+    def __init__(self, groups: str, figures: bytes, pairs: bytes, links: bytes | None = None):
         self.groups, self.figures, self.pairs, self.links = groups, figures, pairs, links
 
 
@@ -95,12 +96,16 @@ def counted(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) ->
                 links[one << 32 | other] += times * more
     told = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
     return Segment(
-        told, (len(a), len(b), len(groups), links.total()),
+        told, np.array([len(a), len(b), len(groups), links.total()], np.int64).tobytes(),
         np.fromiter(links.keys(), np.int64, len(links)).tobytes(),
         np.fromiter(links.values(), np.int64, len(links)).tobytes(),
     )
 
 
+#: Distinct segments of a text, and how often each occurs.
+Counted = tuple[list[Segment], list[int]]
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -128,6 +133,10 @@ class Aligner:
         )
         self.lengths_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        # an id with the sign behind it: between ids of a side, between sides, between groups
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.signed = [f"{i}{sign}" for sign in ",|;" for i in range(most)]
+        self.signed_lengths = np.array([len(x) for x in self.signed], np.int64)
         self.kept: dict[str, Segment | None] = {}
         self.older: dict[str, Segment | None] = {}
 
@@ -181,61 +190,76 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         sizes = [len(GUARD), *[len(text.encode("utf-8")) for text in texts]]
         ends = np.cumsum(sizes)
-        common = np.intersect1d(ends_a, ends_b)
+        common = ends_a[_among(ends_a, ends_b)]
         if (
             b"".join(map(self.bytes_a.__getitem__, list_a)) != raw
             or b"".join(map(self.bytes_b.__getitem__, list_b)) != raw
-            or not np.isin(ends, common).all()
+            or not _among(ends, common).all()
         ):
             half = len(texts) // 2
             self.learn_short(texts[:half])
             self.learn_short(texts[half:])
             return
         count = len(common)
-        n_a = np.bincount(np.searchsorted(common, ends_a), minlength=count)
-        n_b = np.bincount(np.searchsorted(common, ends_b), minlength=count)
-        first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        n_a, n_b = np.bincount(group_a, minlength=count), np.bincount(group_b, minlength=count)
+        upto_a, upto_b = np.cumsum(n_a), np.cumsum(n_b)
         links = n_a * n_b
         group = np.repeat(np.arange(count), links)
         place = np.arange(len(group)) - np.repeat(np.cumsum(links) - links, links)
+        first_a, first_b = upto_a - n_a, upto_b - n_b
         pairs = a[first_a[group] + place // n_b[group]] << 32 | b[first_b[group] + place % n_b[group]]
-        told_a, told_b = list(map(str, list_a)), list(map(str, list_b))
-        told = [
-            f"{told_a[i]}|{told_b[j]}" if x == 1 == y
-            else f"{','.join(told_a[i : i + x])}|{','.join(told_b[j : j + y])}"
-            for i, x, j, y in zip(
-                first_a.tolist(), n_a.tolist(), first_b.tolist(), n_b.tolist(), strict=True)
-        ]
+        # ids of both sides in the order in which they are told, and the sign behind each
+        signed, most = np.empty(len(a) + len(b), np.int64), len(self.signed) // 3
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[upto_a - 1], sign_b[upto_b - 1] = most, 2 * most
+        signed[np.arange(len(a)) + (upto_b - n_b)[group_a]] = a + sign_a
+        signed[np.arange(len(b)) + upto_a[group_b]] = b + sign_b
+        told = "".join(map(self.signed.__getitem__, signed.tolist()))
+        told_upto = np.cumsum(self.signed_lengths[signed])[upto_a + upto_b - 1]
         # the sums up to each border; the stretch before the first border is the guard
         last = np.searchsorted(common, ends)
-        upto = [np.cumsum(x)[last] for x in (n_a, n_b, np.ones(count, np.int64), links)]
-        figures = zip(*[np.diff(x).tolist() for x in upto], strict=True)
-        borders, bytes_at, packed = upto[2].tolist(), (upto[3] * 8).tolist(), pairs.tobytes()
-        for i, (text, own) in enumerate(zip(texts, figures, strict=True)):
+        upto = np.stack([upto_a, upto_b, np.arange(1, count + 1), np.cumsum(links)], axis=1)[last]
+        figures, packed = np.diff(upto, axis=0).tobytes(), pairs.tobytes()
+        told_at, bytes_at = told_upto[last].tolist(), (upto[:, 3] * 8).tolist()
+        for i, text in enumerate(texts):
             self.kept[text] = Segment(
-                ";".join(told[borders[i] : borders[i + 1]]), own,
+                told[told_at[i] : told_at[i + 1] - 1], figures[32 * i : 32 * i + 32],
                 packed[bytes_at[i] : bytes_at[i + 1]],
             )
 
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[list[Segment], Counter]]:
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[list[Segment], Counted]]:
         """For each text its segments in order, and how often each distinct one occurs."""
         find = SEGMENTS.findall if self.cuts else lambda whole: [whole]
         split = [find(" " + text) if text else [] for text in texts]
         self.learn(chain.from_iterable(split))
+        known = self.kept.__getitem__
         for text, strings in zip(texts, split, strict=True):
             times = Counter(strings)
-            own = [self.kept[s] for s in times]
+            own = list(map(known, times))
             if None in own:
                 one = self.segment(" " + text)
-                yield ([one], Counter([one])) if one else ([], Counter())
+                yield ([one], ([one], [1])) if one else ([], ([], []))
             else:
-                order = map(self.kept.__getitem__, strings)
-                yield list(order), dict(zip(own, times.values(), strict=True))
+                yield list(map(known, strings)), (own, list(times.values()))
 
-    def text(self, text: str | None) -> tuple[list[Segment], Counter]:
+    def text(self, text: str | None) -> tuple[list[Segment], Counted]:
         return next(self.texts([text]))
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones; both in order."""
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values
+
+
+def figures_of(counted: Counted) -> list[int]:
+    """A tokens, B tokens, groups and links of a text."""
+    own, times = counted
+    packed = np.frombuffer(b"".join([s.figures for s in own]), np.int64).reshape(-1, 4)
+    return (np.array(times, np.int64) @ packed).tolist() if own else [0, 0, 0, 0]
+
+
 @lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
@@ -295,13 +319,13 @@ class Block:
             or self.entries >= BLOCK_PAIRS
         )
 
-    def add(self, counted: Counter, length: int) -> int:
+    def add(self, counted: Counted, length: int) -> int:
         """Take the document with these segments; its number in the block."""
-        own = list(counted)
+        own, times = counted
         packed = [s.pairs for s in own]
         pairs = np.frombuffer(b"".join(packed), np.int64)
         widths = np.fromiter(map(len, packed), np.int64, len(own)) // 8
-        links = np.repeat(np.fromiter(counted.values(), np.int64, len(own)), widths)
+        links = np.repeat(np.array(times, np.int64), widths)
         for place in [i for i, s in enumerate(own) if s.links is not None]:
             end = int(widths[: place + 1].sum())
             links[end - widths[place] : end] *= np.frombuffer(own[place].links, np.int64)
@@ -393,7 +417,7 @@ def align(documents: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
                         number += 1
                         block = Block(number)
                     slot = block.add(counted, len(text or ""))
-                    figures = [sum(s.figures[i] * n for s, n in counted.items()) for i in range(4)]
+                    figures = figures_of(counted)
                     groups = ";".join([s.groups for s in order])
                     rows.append((block.number, slot, key, *figures, groups))
                 columns = zip(*rows, strict=True)
