@@ -24,7 +24,7 @@ def collection(rng, count):
     """Features with braces, quotes and escapes in their names, short and long outlines."""
     made = []
     for k in range(count):
-        ring = [[rng.uniform(20, 24), rng.uniform(49, 54)] for _ in range(rng.choice([3, 40, 900]))]
+        ring = [[rng.uniform(20, 24), rng.uniform(49, 54)] for _ in range(rng.choice([3, 40, 120]))]
         name = rng.choice(["plain", 'a "quoted" {name}', "back\\slash\\", "}{][", "zażółć \u2028 é", "\\\"}", '"Feature"'])
         feature = {
             "type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[*ring, ring[0]]]},
@@ -42,7 +42,7 @@ def rows(frame):
     return [tuple(r) for r in frame.orderBy("position").select(*names).collect()]
 
 
-@pytest.mark.parametrize("size", [700, 4_096, 30_000, 10_000_000])
+@pytest.mark.parametrize("size", [1_500, 9_000, 10_000_000])
 def test_ranges_of_any_size_give_the_same_rows(spark, tmp_path, small_ranges, size):
     rng = random.Random(size)
     for name, indent in (("a", None), ("b", 1)):
