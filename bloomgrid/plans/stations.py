@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from bloomgrid.functions import labels as L
 from bloomgrid.operators import layers
-from bloomgrid.operators.gdd import monthly_totals, plant_terms, requested_degree_days
+from bloomgrid.operators.gdd import (
+    asked_lists,
+    daily_excess_of,
+    degree_lists,
+    monthly_totals,
+    plant_terms,
+    requested_degree_days,
+    with_terms,
+)
 from bloomgrid.operators.weather import monthly_precipitation, precipitation_by_year
 from bloomgrid.quality import check_year
 
@@ -28,62 +36,123 @@ def _known_requests(requests: DataFrame, zones: DataFrame) -> DataFrame:
     return wanted.join(layers.first_zone(zones), "station_id").drop("cell_id", "area_ha")
 
 
-def _days(daily: DataFrame, requests: DataFrame, zones: DataFrame, plants: DataFrame | None,
-          gdd: DataFrame | None) -> DataFrame:
-    """Days of every request with the GDD of its plant where there is one.
+def _rain_by_day(precipitation: DataFrame) -> DataFrame:
+    """Map of day -> entries per station and year."""
+    entries = F.collect_list(F.struct("precip_mm"))
+    days = precipitation.groupBy("station_id", "date").agg(entries.alias("entries"))
+    found = F.map_from_entries(F.collect_list(F.struct("date", F.col("entries.precip_mm"))))
+    return days.where(F.col("date").isNotNull()).groupBy(
+        "station_id", F.year("date").alias("year")
+    ).agg(found.alias("rain"))
+
+
+def _request_lists(daily: DataFrame, wanted: DataFrame, plants: DataFrame | None,
+                   gdd: DataFrame | None, precipitation: DataFrame | None = None) -> DataFrame:
+    """One row per request: its `days` in order with the GDD of its plant where there is one.
 
     From the plant dictionary, GDD is computed for the asked station-years alone. From a stored
-    table it is joined; the plant is part of the join key, so days without GDD stay.
+    table it is joined; the plant is part of the join key, so days without GDD stay. With
+    `precipitation` each day has its entries, NULL where there is none.
     """
-    wanted = _known_requests(requests, zones)
+    lists = asked_lists(daily.select("station_id", "date", "t_min", "t_max", "t_mean"), wanted)
+    fields = ["date", "t_min", "t_max", "t_mean"]
+    if precipitation is not None:
+        rain = lambda day: F.try_element_at("rain", day["date"])
+        lists = lists.join(_rain_by_day(precipitation), ["station_id", "year"], "left")
+        lists = lists.withColumn("days", F.transform("days", lambda day: day.withField(
+            "rain", F.coalesce(rain(day), F.array(F.lit(None).cast("double")))))).drop("rain")
+        fields.append("rain")
+    keys = ["station_id", "station_name", "year", "plant_id"]
     if gdd is None:
-        return requested_degree_days(daily, plants, wanted)
+        found = degree_lists(with_terms(lists, plants, wanted))
+        base = F.col("base_temp_c")
+        return found.select(*keys, F.zip_with("days", "totals", lambda day, total: F.struct(
+            *[day[c].alias(c) for c in fields],
+            daily_excess_of(day["t_mean"], base).alias("gdd_daily"),
+            F.when(day["t_mean"].isNotNull() & base.isNotNull(), total).alias("gdd_cumulative"),
+        )).alias("days"))
     # A stored table brings its partition column, which then prunes by the requests' years.
-    dated = daily if "year" in daily.columns else daily.withColumn("year", F.year("date"))
     totals = gdd if "year" in gdd.columns else gdd.withColumn("year", F.year("date"))
     totals = totals.select(
         "station_id", "plant_id", "year", "date", "gdd_daily", "gdd_cumulative"
     )
-    asked = dated.join(wanted, ["station_id", "year"])
-    return asked.join(totals, ["station_id", "plant_id", "year", "date"], "left")
+    asked = lists.join(wanted, ["station_id", "year"]).select(*keys, F.inline("days")).drop("nth")
+    days = asked.join(totals, ["station_id", "plant_id", "year", "date"], "left")
+    return days.select(*keys, F.array(F.struct(*fields, "gdd_daily", "gdd_cumulative")).alias("days"))
 
 
-def monthly_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame,
-                 plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
-    """One row per request and month with readings; every day counts, also one without values.
+def month_lists(daily: DataFrame, requests: DataFrame, zones: DataFrame,
+                plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
+    """One row per request: its `months` with readings in order; every day counts, also one
+    without values.
 
     GDD comes from a stored table `gdd` where one is given, else it is computed with `plants`.
     """
-    days = _days(daily, requests, zones, plants, gdd)
-    return days.groupBy(
-        "station_id", "station_name", "year", "plant_id", F.month("date").alias("month")
-    ).agg(
-        F.avg("t_mean").alias("t_mean"),
-        F.sum("gdd_daily").alias("gdd_monthly"),
-        F.max("gdd_cumulative").alias("gdd_cumulative"),
-        F.count("*").alias("day_count"),
-        F.sum("t_mean").alias("t_sum"),
-        F.count("t_mean").alias("t_days"),
+    keys = ["station_id", "station_name", "year", "plant_id"]
+    lists = _request_lists(daily, _known_requests(requests, zones), plants, gdd)
+    if gdd is not None:
+        lists = lists.groupBy(*keys).agg(F.flatten(F.collect_list("days")).alias("days"))
+    nothing = F.lit(None).cast("double")
+    start = F.struct(
+        nothing.alias("t_sum"), F.lit(0).cast("bigint").alias("t_days"), nothing.alias("gdd_monthly"),
+        nothing.alias("gdd_cumulative"), F.lit(0).cast("bigint").alias("day_count"),
     )
 
+    def add(so_far, day):
+        return F.struct(
+            _plus(so_far["t_sum"], day["t_mean"]).alias("t_sum"),
+            (so_far["t_days"] + day["t_mean"].isNotNull().cast("bigint")).alias("t_days"),
+            _plus(so_far["gdd_monthly"], day["gdd_daily"]).alias("gdd_monthly"),
+            F.greatest(so_far["gdd_cumulative"], day["gdd_cumulative"]).alias("gdd_cumulative"),
+            (so_far["day_count"] + 1).alias("day_count"),
+        )
+
+    def of_month(month):
+        within = F.filter("days", lambda day: F.month(day["date"]) == month)
+        return F.aggregate(within, start, add, lambda total: F.struct(
+            month.alias("month"),
+            F.try_divide(total["t_sum"], total["t_days"]).alias("t_mean"),
+            total["gdd_monthly"].alias("gdd_monthly"),
+            total["gdd_cumulative"].alias("gdd_cumulative"),
+            total["day_count"].alias("day_count"), total["t_sum"].alias("t_sum"),
+            total["t_days"].alias("t_days"),
+        ))
+
+    numbers = F.array_sort(F.array_distinct(F.transform(F.col("days")["date"], F.month)))
+    return lists.select(*keys, F.transform(numbers, of_month).alias("months"))
+
+
+def _plus(total, value):
+    """A sum that skips NULLs and is NULL without values."""
+    return F.coalesce(total + value, total, value)
+
+
+def monthly_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame,
+                 plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
+    """One row per request and month of `month_lists`."""
+    found = month_lists(daily, requests, zones, plants, gdd)
+    return found.select("station_id", "station_name", "year", "plant_id", F.inline("months"))
+
 
 def monthly_summaries(daily: DataFrame, requests: DataFrame, zones: DataFrame,
                       precipitation: DataFrame, plants: DataFrame | None = None,
                       gdd: DataFrame | None = None) -> DataFrame:
     """Document per request: annual figures and its months in order.
 
-    Annual figures come from the twelve monthly rows, not from a second pass over the days, and
+    Annual figures come from the twelve months, not from a second pass over the days, and
     one join brings the precipitation of a whole station-year. Annual precipitation counts every
     month on file, also months without readings; a month without entries stays NULL.
     """
-    months = monthly_rows(daily, requests, zones, plants, gdd)
-    documents = months.groupBy("station_id", "station_name", "year", "plant_id").agg(
-        F.sum("day_count").alias("day_count"),
-        F.try_divide(F.sum("t_sum"), F.sum("t_days")).alias("t_mean_annual"),
-        F.max("gdd_cumulative").alias("gdd_max"),
-        F.array_sort(F.collect_list(
-            F.struct("month", "t_mean", "gdd_monthly", "gdd_cumulative")
-        )).alias("months"),
+
+    def year_sum(field, kind):
+        return F.aggregate(F.col("months")[field], F.lit(None).cast(kind), _plus)
+
+    documents = month_lists(daily, requests, zones, plants, gdd).select(
+        "station_id", "station_name", "year", "plant_id",
+        year_sum("day_count", "bigint").alias("day_count"),
+        F.try_divide(year_sum("t_sum", "double"), year_sum("t_days", "bigint"))
+        .alias("t_mean_annual"),
+        F.array_max(F.col("months")["gdd_cumulative"]).alias("gdd_max"), "months",
     )
     rain = precipitation_by_year(monthly_precipitation(precipitation))
     point = F.transform(
@@ -110,24 +179,44 @@ def summary_rows(summaries: DataFrame) -> DataFrame:
     )
 
 
+POINT = ("date", "t_min", "t_max", "t_mean", "gdd_daily", "gdd_cumulative", "precip_mm")
+
+
+def daily_lists(daily: DataFrame, requests: DataFrame, zones: DataFrame, precipitation: DataFrame,
+                plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
+    """Requests with their days in `points`; a day without precipitation entry has NULL.
+
+    A stored table is joined day by day, and then a row holds one day of its request.
+    """
+    lists = _request_lists(daily, _known_requests(requests, zones), plants, gdd, precipitation)
+    point = F.flatten(F.transform("days", lambda day: F.transform(day["rain"], lambda mm: F.struct(
+        *[day[c].alias(c) for c in POINT[:-1]], mm.alias("precip_mm")))))
+    return lists.withColumn("points", point).drop("days")
+
+
 def daily_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame, precipitation: DataFrame,
                plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
     """One row per request and day with readings; a day without precipitation entry has NULL."""
-    days = _days(daily, requests, zones, plants, gdd)
-    rain = precipitation.select("station_id", "date", "precip_mm")
-    return days.join(rain, ["station_id", "date"], "left").select(
+    lists = daily_lists(daily, requests, zones, precipitation, plants, gdd)
+    return lists.select(
+        "station_id", "station_name", "year", "plant_id", F.inline("points")
+    ).select(
         "station_id", "station_name", "year", "plant_id", "date",
         "t_min", "t_max", "t_mean", "gdd_daily", "gdd_cumulative", "precip_mm",
     )
 
 
 def daily_series(rows: DataFrame) -> DataFrame:
-    """Document per request with its days in order, at most 366."""
-    point = F.struct(
-        "date", "t_min", "t_max", "t_mean", "gdd_daily", "gdd_cumulative", "precip_mm"
-    )
-    return rows.groupBy("station_id", "station_name", "year", "plant_id").agg(
-        F.array_sort(F.collect_list(point)).alias("points")
+    """Document per request with its days in order, at most 366.
+
+    `rows` are those of `daily_rows`, or requests of `daily_lists` computed from the dictionary,
+    whose days lie together already and are not gathered again.
+    """
+    keys = ("station_id", "station_name", "year", "plant_id")
+    if "points" in rows.columns:
+        return rows.select(*keys, F.sort_array("points").alias("points"))
+    return rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(*POINT))).alias("points")
     )
 
 
