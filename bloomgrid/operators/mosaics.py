@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.functions import geometry as G
@@ -24,14 +24,11 @@ def link_lists(request_urls: DataFrame) -> DataFrame:
     """Requests as (request_id, urls), links distinct and ordered, however many there are.
 
     `request_urls`: request_id, url, one row per listed link. Repeated links of a request are
-    merged before the shuffle. Whoever wants to refuse a request for its number of links asks
+    merged before the only shuffle. Whoever wants to refuse a request for its number of links asks
     `quality.refused_requests` first.
     """
-    listed = request_urls.where(F.col("url").isNotNull()).select("request_id", "url")
-    return (
-        listed.distinct().groupBy("request_id")
-        .agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    )
+    listed = request_urls.where(F.col("url").isNotNull())
+    return listed.groupBy("request_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
 
 
 def request_digests(requests: DataFrame) -> DataFrame:
@@ -68,16 +65,23 @@ def incomplete_sets(sets: DataFrame, footprints: DataFrame) -> DataFrame:
     )
 
 
-def placed_links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
-    """(digest, links, url, bbox) rows of complete sets; `footprints` has one row per link.
+def placed_sets(sets: DataFrame, footprints: DataFrame) -> DataFrame:
+    """(digest, links, places) of complete sets: their (url, bbox) pairs in one list.
 
-    A set that lacks a footprint has no rows at all, so that neither its index nor its extent
-    is built from a part of it.
+    `footprints` has one row per link. A set that lacks a footprint has no row at all, so that
+    neither its index nor its extent is built from a part of it.
     """
-    links = _links(sets, footprints)
-    # one join with the footprints; a window holds the links of one list
-    complete = F.min(F.col("bbox").isNotNull()).over(Window.partitionBy("digest"))
-    return links.withColumn("complete", complete).where("complete").drop("complete")
+    listed = _links(sets, footprints).groupBy("digest").agg(
+        F.max("links").alias("links"),
+        F.collect_list(F.struct("url", "bbox")).alias("places"),
+        F.min(F.col("bbox").isNotNull()).alias("complete"),
+    )
+    return listed.where("complete").drop("complete")
+
+
+def placed_links(sets: DataFrame, footprints: DataFrame) -> DataFrame:
+    """(digest, links, url, bbox) rows of `placed_sets`."""
+    return placed_sets(sets, footprints).select("digest", "links", F.inline("places"))
 
 
 def quadkey_index(placed: DataFrame, zoom: int = QUADKEY_ZOOM) -> DataFrame:
@@ -100,28 +104,48 @@ def mosaic_extent(placed: DataFrame) -> DataFrame:
     )
 
 
+def _with_tiles(placed: DataFrame, zoom: int) -> DataFrame:
+    """`tiles`, a map from quadkey to ordered links, of rows of `placed_sets`.
+
+    A footprint meets one tile at least. Ordered (quadkey, link) pairs are cut where the quadkey
+    changes, so the work on a set follows the length of its lists, not links times tiles.
+    """
+    pairs = F.flatten(F.transform("places", lambda place: F.transform(
+        G.quadkeys(place["bbox"], zoom),
+        lambda key: F.struct(key.alias("quadkey"), place["url"].alias("url")))))
+    entry = lambda i: F.get(F.col("pairs"), i)
+    once = F.filter("pairs", lambda pair, i: ~pair.eqNullSafe(entry(i - 1)))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("pairs") - 1),
+        lambda i: ~entry(i)["quadkey"].eqNullSafe(entry(i - 1)["quadkey"]),
+    )
+
+    def tile(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("pairs")) - 1
+        urls = F.transform(F.sequence(start, end), lambda i: entry(i)["url"])
+        return F.struct(entry(start)["quadkey"].alias("quadkey"), urls.alias("urls"))
+
+    return (
+        placed.withColumn("pairs", F.sort_array(pairs)).withColumn("pairs", once)
+        .withColumn("starts", starts)
+        .withColumn("tiles", F.map_from_entries(F.transform("starts", tile)))
+        .drop("pairs", "starts")
+    )
+
+
 def manifests(sets: DataFrame, footprints: DataFrame, zoom: int = QUADKEY_ZOOM,
               max_zoom: int = MAX_ZOOM) -> DataFrame:
     """Full manifest per link set.
 
-    Placed links come out shuffled by digest; the tile lists, their map and the extent are all
-    grouped inside that partitioning. Sets with a link of unknown footprint are named by
-    `incomplete_sets` and have no manifest.
+    A set's links meet their footprints in one row, and tile lists and extent are made inside it:
+    no row per link and tile is sorted or shuffled. Sets with a link of unknown footprint are named
+    by `incomplete_sets` and have no manifest.
     """
-    links = placed_links(sets, footprints)
-    box = F.col("bbox")
-    tiles = links.select(
-        "digest", "url", "bbox", F.explode(G.quadkeys(box, zoom)).alias("quadkey")
-    )
-    per_tile = tiles.groupBy("digest", "quadkey").agg(
-        F.array_sort(F.collect_set("url")).alias("urls"),
-        F.min(box["minx"]).alias("minx"), F.min(box["miny"]).alias("miny"),
-        F.max(box["maxx"]).alias("maxx"), F.max(box["maxy"]).alias("maxy"),
-    )
-    per_set = per_tile.groupBy("digest").agg(
-        F.min("minx").alias("minx"), F.min("miny").alias("miny"),
-        F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("quadkey", "urls")))).alias("tiles"),
+    box = F.col("places")["bbox"]
+    per_set = _with_tiles(placed_sets(sets, footprints), zoom).select(
+        "digest", "tiles",
+        F.array_min(box["minx"]).alias("minx"), F.array_min(box["miny"]).alias("miny"),
+        F.array_max(box["maxx"]).alias("maxx"), F.array_max(box["maxy"]).alias("maxy"),
     )
     return per_set.select(
         "digest",

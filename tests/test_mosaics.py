@@ -88,3 +88,22 @@ def test_set_digest_ignores_order_and_copies(spark):
     frame = spark.createDataFrame([(["b", "a", "b"],), (["a", "b"],)], "u ARRAY<STRING>")
     rows = frame.select(mosaics.set_digest(F.col("u")).alias("d")).distinct().collect()
     assert [r["d"] for r in rows] == [hashlib.sha256(b"a|b").hexdigest()[:16]]
+
+
+def test_a_set_is_made_in_one_row(spark):
+    requests = spark.createDataFrame([(1, u) for u in "cab"] + [(2, "a")], URLS)
+    footprints = spark.createDataFrame(
+        [("a", (1.0, 1.0, 4.0, 2.0)), ("b", (3.0, 1.0, 5.0, 2.0)), ("b", (3.0, 1.0, 5.0, 2.0)),
+         ("c", (1.0, 1.0, 2.0, 2.0))], FOOTPRINT)
+    made = plans.mosaic_manifests(requests, footprints)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    rows = {len(set(sum(r["tiles"].values(), []))): r for r in made.collect()}
+    assert [urls for _, urls in sorted(rows[3]["tiles"].items())] == [["a", "c"], ["a", "b"]]
+    assert list(rows[1]["tiles"].values()) == [["a"], ["a"]] and rows[3]["bounds"] == [1.0, 1.0, 5.0, 2.0]
+    assert "Window" not in plan and plan.count("ObjectHashAggregate(") == 4
+
+
+def test_links_of_a_request_shuffle_once(spark):
+    lists = mosaics.link_lists(spark.createDataFrame([(1, "b"), (1, "b"), (1, "a")], URLS))
+    assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [r["urls"] for r in lists.collect()] == [["a", "b"]]
