@@ -235,3 +235,12 @@ def test_a_large_dictionary_is_searched_in_blocks(spark, monkeypatch):
     assert {r["plant_id"]: r["bloom_start_date"].day for r in found} == {
         f"p{k}": (k + 10) // 10 for k in range(50)}
     assert gd.searched_windows(days(spark, []), many).isEmpty()
+
+
+def test_degree_days_list_days_without_sorting_them_in_a_window(spark, plants):
+    daily = days(spark, run(D(2025, 3, 1), [None, 104.99, None, 5.02, 5.01, None, 104.0, None]))
+    table = gd.gdd_table(daily, plants)
+    assert [(r["gdd_cumulative"], r["bloom_day"]) for r in table.orderBy("date").collect()] == [
+        (None, 0), (99.99, 0), (None, 0), (100.01, 1), (100.02, 2), (None, 0), (199.02, 3), (None, 0)]
+    for frame in (table, gd.searched_years(daily, plants)):
+        assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
