@@ -12,8 +12,10 @@ from bloomgrid.functions import geometry as G
 from bloomgrid.sources import tables
 
 
-def write_csv(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(frame: DataFrame, path: str, compression: str = "none") -> None:
+    """CSV with a header; with `compression="gzip"`, whose files readers know by name, a table of many
+    days and plants takes a small part of its plain size."""
+    frame.write.mode("overwrite").option("header", True).csv(path, compression=compression)
 
 
 def write_history_csv(daily: DataFrame, path: str) -> None:

@@ -119,9 +119,9 @@ def _scratch(v: Views) -> str:
 
 @query
 def s05_gdd_csv(v: Views) -> DataFrame:
-    """Written as CSV and read again, numbers cast and missing ones kept."""
+    """Written as compressed CSV and read again, numbers cast and missing ones kept."""
     path = _scratch(v)
-    sinks.write_csv(gd.gdd_table(v.daily(), v.plants()), path)
+    sinks.write_csv(gd.gdd_table(v.daily(), v.plants()), path, compression="gzip")
     return files.read_station_gdd(v.spark, path)
 
 

@@ -295,3 +295,16 @@ def test_precipitation_of_overlapping_and_misnamed_files(spark):
     wrong = spark.createDataFrame([("rain.json", '{"2024-01-01": 9.0}')], schema)
     with pytest.raises(Exception, match="not a precipitation file"):
         files.precipitation_rows(wrong).collect()
+
+
+def test_compressed_csv_reads_back_the_same(spark, tmp_path):
+    days = spark.range(2_000).selectExpr(
+        "concat('S', id % 7) AS station_id", "'p' AS plant_id", "date_add(DATE'2024-01-01', CAST(id DIV 7 AS INT)) AS date",
+        "0.5D AS gdd_daily", "IF(id % 5 = 0, NULL, 0.5D * id) AS gdd_cumulative", "0 AS bloom_day", "'before' AS bloom_phase")
+    sizes, read = [], []
+    for name, kind in (("plain", "none"), ("packed", "gzip")):
+        sinks.write_csv(days, str(tmp_path / name), compression=kind)
+        parts = [f for f in (tmp_path / name).iterdir() if f.name.startswith("part-")]
+        sizes.append(sum(f.stat().st_size for f in parts))
+        read.append(sorted(map(str, files.read_station_gdd(spark, str(tmp_path / name)).collect())))
+    assert sizes[1] * 3 < sizes[0] and read[0] == read[1] and len(read[0]) == 2_000
