@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bloomgrid.llm import piece_ids, wordbpe
-from bloomgrid.llm.batches import keep_batches_small, slices
+from bloomgrid.llm.batches import gathered, keep_batches_small
 from bloomgrid.session import cut_lineage
 
 #: Groups of this many tasks (or groups) are merged by one task.
@@ -37,7 +37,7 @@ FAN = 16
 BATCH = 2_000
 ID_BYTES = 4
 #: Texts are encoded in slices of about this many bytes, whose pieces are looked up together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 8 << 20
 #: The id behind each document, packed.
 END = (1).to_bytes(ID_BYTES, "little")
 
@@ -185,13 +185,14 @@ def packer(path: str, size: int, most: int, slack: int) -> Callable:
         lane = TaskContext.get().partitionId()
         windows = Windows(size, most, slack, first_id(0, lane))
         encoder = piece_ids.pieces(path)
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES):
-                texts = [(t or "").encode("utf-8") for t in piece.column("text").to_pylist()]
-                keys = piece.column("doc_id").to_pylist()
-                for key, ids in zip(keys, encoder.encode(texts), strict=True):
-                    windows.document(key, ids + END)
-                yield from windows.batches(BATCH)
+        for piece in gathered(batches, "text", SLICE_BYTES):
+            ids, borders = encoder.encoded(piece.column("text"))
+            packed, borders = ids.tobytes(), (borders * ID_BYTES).tolist()
+            for key, start, end in zip(
+                piece.column("doc_id").to_pylist(), borders, borders[1:], strict=False
+            ):
+                windows.document(key, packed[start:end] + END)
+            yield from windows.batches(BATCH)
         windows.leave(lane)
         yield from windows.batches(1)
 

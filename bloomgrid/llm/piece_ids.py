@@ -1,27 +1,38 @@
 """Token ids of many texts at once for a word-BPE file, by pieces between ASCII white space.
 
-The encoding of a text is the encodings of its pieces one after the other (see wordbpe), so a
-process remembers the ids of pieces, within a bound, and a slice of texts encodes only the pieces
-it has not met. These go through the merges together: the words are rows of one matrix of symbols,
-and each step merges the lowest-ranked, leftmost pair of every row, as the model itself does.
-Words too long for that, and pieces that are not simple text, are left to the library.
+The encoding of a text is the encodings of its pieces one after the other (see wordbpe). A slice
+of texts is split into pieces by Arrow, which also tells the distinct ones; a process remembers
+the ids of pieces and words in Arrow arrays, within a bound, and only those it has not met go
+through the merges: the words are columns of one matrix of symbols, and each step merges the
+lowest-ranked, leftmost pair of every word, as the model itself does. Words too long for that, and
+pieces that are not simple text, are left to the library.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from bloomgrid.llm import wordbpe
 
-#: Pieces whose ids a process keeps, in each of two generations.
-KEPT_PIECES = 250_000
+#: Pieces whose ids a process keeps, in each of two generations; as many words.
+KEPT_PIECES = 500_000
 #: Bytes of words that are merged in a matrix; longer ones are merged by the library.
-WIDTHS = (8, 16, 48)
+WIDEST = 48
+#: Words of a matrix, and the bits that tell a place in it.
+WORDS = 1 << 13
+PLACE_BITS = 6
 NONE = np.int32(1 << 30)
+#: The table of pairs has 2**TABLE_BITS places.
+TABLE_BITS = 18
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SEPARATED_UNITS = re.compile(wordbpe.SIMPLE_UNITS.pattern + r"|\n")
+KEYS, IDS = pa.large_string(), pa.large_list(pa.int32())
 
 
 class Merges:
@@ -33,59 +44,146 @@ class Merges:
         vocab = model["vocab"]
         end = model.get("end_of_word_suffix") or ""
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        # no symbol has this number: it stands before, behind and instead of merged ones
         self.size = max(vocab.values()) + 1
-        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        keys = np.array([self.key(vocab[a], vocab[b]) for a, b in pairs], np.int64)
+        keys, ranks = np.unique(keys, return_index=True)
+        self.table = np.full(1 << TABLE_BITS, -1, np.int64)
+        self.ranks = np.zeros(1 << TABLE_BITS, np.int32)
+        places = self.places(keys).tolist()
+        for key, rank, place in zip(keys.tolist(), ranks.tolist(), places, strict=True):
+            while self.table[place] >= 0:
+                place = (place + 1) % len(self.table)
+            self.table[place], self.ranks[place] = key, rank
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         letters = wordbpe.LETTER_OF_BYTE
         self.inner = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         self.last = np.array([vocab[letters[b] + end] for b in range(256)], np.int32)
 
+    def key(self, left, right):
+        return left * (self.size + 1) + right
+
+    @staticmethod
+    def places(keys: np.ndarray) -> np.ndarray:
+        """Where the search for a pair begins in the table."""
+        return (keys.astype(np.uint64) * FACTOR >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair; NONE where there is no merge or a side is missing (below 0)."""
-        keys = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = (self.keys[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(known, self.ranks[at], NONE)
-
-    def merged(self, words: list[bytes], width: int) -> list[bytes]:
-        """Packed ids of words of 1 to `width` bytes."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        filled = np.arange(width + 1) < sizes[:, None]
-        symbols = np.full((len(words), width + 1), -1, np.int32)
-        symbols[filled] = self.inner[np.frombuffer(b"".join(words), np.uint8)]
-        tails = np.fromiter((w[-1] for w in words), np.uint8, len(words))
-        symbols[np.arange(len(words)), sizes - 1] = self.last[tails]
-        ranks = self.rank(symbols[:, :-1], symbols[:, 1:])
-        columns, live = np.arange(width), np.arange(len(words))
-        while len(live):
-            own = ranks[live]
-            at = own.argmin(axis=1)
-            lowest = own[np.arange(len(live)), at]
-            going = lowest < NONE
-            live, at, lowest = live[going], at[going], lowest[going]
+        """Rank of each pair; NONE where there is no merge or a side is missing (`size`)."""
+        keys = self.key(left.astype(np.int64), right)
+        places = self.places(keys)
+        found = self.table[places]
+        ranks = np.where(found == keys, self.ranks[places], NONE)
+        going = np.flatnonzero((found != keys) & (found >= 0))
+        while len(going):
+            places[going] = (places[going] + 1) % len(self.table)
+            found = self.table[places[going]]
+            here = found == keys[going]
+            ranks[going[here]] = self.ranks[places[going[here]]]
+            going = going[~here & (found >= 0)]
+        return ranks
+
+    def coded(self, left: np.ndarray, right: np.ndarray, place) -> np.ndarray:
+        """The rank with the place of the left symbol behind it, so that the least is leftmost."""
+        ranks = self.rank(left, right)
+        return np.where(ranks < NONE, ranks << PLACE_BITS | place, NONE)
+
+    def matrix(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Symbols (one row per word, `size` where none) of the words at these bytes."""
+        count, width = len(starts), int(sizes.max())
+        # word n has its symbols in rows 1 to its size of column n; row 0 and those behind are empty
+        columns = np.arange(count)
+        symbols = np.full((width + 2, count), self.size, np.int32)
+        for at in range(width):
+            here = columns if at < sizes.min() else np.flatnonzero(sizes > at)
+            symbols[at + 1, here] = self.inner[raw[starts[here] + at]]
+        symbols[sizes, columns] = self.last[raw[starts + sizes - 1]]
+        after = np.repeat(np.arange(1, width + 3, dtype=np.int32)[:, None], count, axis=1)
+        before = after - 2
+        codes = np.full((width + 1, count), NONE, np.int32)
+        for at in range(1, width):
+            codes[at] = self.coded(symbols[at], symbols[at + 1], at)
+        flat, flat_after, flat_before = symbols.reshape(-1), after.reshape(-1), before.reshape(-1)
+        flat_codes = codes.reshape(-1)
+        while True:
+            least = codes.min(axis=0)
+            live = np.flatnonzero(least < NONE)
             if not len(live):
-                break
-            # everything right of the pair moves one place to the left
-            source = columns + (columns > at[:, None])
-            rows = live[:, None]
-            symbols[rows, columns] = symbols[rows, source]
-            symbols[live, at] = self.made[lowest]
-            kept = np.minimum(source, width - 1)
-            moved = ranks[rows, kept]
-            moved[source >= width] = NONE
-            moved[np.arange(len(live)), at] = self.rank(symbols[live, at], symbols[live, at + 1])
-            before = np.flatnonzero(at > 0)
-            place = at[before] - 1
-            moved[before, place] = self.rank(
-                symbols[live[before], place], symbols[live[before], place + 1]
-            )
-            ranks[live] = moved
-        left = symbols >= 0
-        ends = np.cumsum(left.sum(axis=1) * 4).tolist()
-        packed = symbols[left].tobytes()
-        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                return symbols[1:-1].T
+            least = least[live]
+            place = least & ((1 << PLACE_BITS) - 1)
+            left = place * count + live
+            right = flat_after[left].astype(np.int64) * count + live
+            following = flat_after[right]
+            next_one = following.astype(np.int64) * count + live
+            made = self.made[least >> PLACE_BITS]
+            flat[left], flat[right], flat_after[left] = made, self.size, following
+            flat_before[next_one] = place
+            flat_codes[right] = NONE
+            flat_codes[left] = self.coded(made, flat[next_one], place)
+            previous = flat_before[left]
+            last_one = previous.astype(np.int64) * count + live
+            flat_codes[last_one] = self.coded(flat[last_one], made, previous)
+
+    def merged(self, words: pa.Array) -> pa.Array:
+        """Ids of words of 1 to WIDEST bytes."""
+        borders, raw = string_buffers(words)
+        starts, sizes = borders[:-1], np.diff(borders)
+        order = np.argsort(sizes, kind="stable")
+        counts = np.zeros(len(words), np.int64)
+        found = []
+        for at in range(0, len(order), WORDS):
+            own = order[at : at + WORDS]
+            symbols = self.matrix(raw, starts[own], sizes[own])
+            held = symbols < self.size
+            counts[own] = held.sum(axis=1)
+            found.append(symbols[held])
+        # from the order of sizes to that of the words
+        ids = pa.LargeListArray.from_arrays(
+            upto(counts[order]), np.concatenate([np.empty(0, np.int32), *found])
+        )
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return ids.take(pa.array(back))
+
+
+def upto(counts: np.ndarray) -> np.ndarray:
+    """Borders of stretches of these lengths."""
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
+def string_buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Borders and bytes of an array of large strings without NULL."""
+    _, borders, data = strings.buffers()
+    borders = np.frombuffer(borders, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return borders, np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+
+
+def joined_lines(strings: pa.Array) -> str:
+    whole = pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings)
+    return pc.binary_join(whole, pa.scalar("\n", KEYS))[0].as_py()
+
+
+def list_of(found: list[list[int]]) -> pa.Array:
+    return pa.array(found, IDS)
+
+
+class Generation:
+    """Strings and their ids."""
+
+    def __init__(self):
+        self.keys, self.ids = pa.array([], KEYS), pa.array([], IDS)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def add(self, keys: pa.Array, ids: pa.Array) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.ids = pa.concat_arrays([self.ids, ids])
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """Where each of these strings stands; below 0 if nowhere."""
+        return pc.index_in(keys, self.keys).fill_null(-1).to_numpy().astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -94,79 +192,96 @@ def merges(path: str) -> Merges:
 
 
 class Pieces:
-    """Packed ids (32-bit integers) of pieces, remembered within a bound."""
+    """Ids (32-bit integers) of pieces, remembered within a bound."""
 
     def __init__(self, path: str):
         self.path = path
         self.special = wordbpe.special_strings(path)
-        self.pieces: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.older_words: dict[str, bytes] = {}
+        self.pieces, self.older = Generation(), Generation()
+        self.words, self.older_words = Generation(), Generation()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text, given as UTF-8."""
-        split = [text.split() for text in texts]
+        ids, borders = self.encoded(pa.array([text.decode("utf-8") for text in texts], KEYS))
+        borders = borders.tolist()
+        return [ids[a:b].tobytes() for a, b in zip(borders, borders[1:], strict=False)]
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the borders of each text's; NULL is empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null("").cast(KEYS))
+        told = split.flatten().dictionary_encode()
         if len(self.pieces) > KEPT_PIECES:
-            self.pieces, self.older = {}, self.pieces
+            self.pieces, self.older = Generation(), self.pieces
         if len(self.words) > KEPT_PIECES:
-            self.words, self.older_words = {}, self.words
-        self.learn(set(filterfalse(self.pieces.__contains__, chain.from_iterable(split))))
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
-
-    def learn(self, missing: set[bytes]) -> None:
-        older, new = self.older, []
-        for piece in missing:
-            known = older.get(piece)
-            if known is None:
-                new.append(piece)
-            else:
-                self.pieces[piece] = known
-        joined = b"\n".join(new).decode("utf-8")
+            self.words, self.older_words = Generation(), self.words
+        places = known(self.pieces, self.older, told.dictionary, self.learned)
+        ids = self.pieces.ids.take(pa.array(places[told.indices.to_numpy()]))
+        pieces = np.asarray(split.offsets) - np.asarray(split.offsets)[:1]
+        borders = np.asarray(ids.offsets)[pieces]
+        return np.asarray(ids.flatten()), borders - borders[:1]
+
+    def learned(self, new: pa.Array) -> pa.Array:
+        """The ids of pieces."""
+        joined, odd = joined_lines(new), []
         if not wordbpe.SIMPLE.fullmatch(joined) or any(x in joined for x in self.special):
-            new = self.learn_odd(new)
-            joined = b"\n".join(new).decode("utf-8")
-        # most pieces are one word; the others are cut as the tokenizer cuts them
-        texts = joined.lower().split("\n") if new else []
-        cut = {
-            piece: wordbpe.SIMPLE_UNITS.findall(text)
-            for piece, text in zip(new, texts, strict=True) if not text.isalpha()
-        }
-        words = set(chain.from_iterable(cut.values()))
-        words.update(text for text in texts if text.isalpha())
-        self.learn_words(set(filterfalse(self.words.__contains__, words)))
-        ids = self.words
-        for piece, text in zip(new, texts, strict=True):
-            own = cut.get(piece)
-            self.pieces[piece] = ids[text] if own is None else b"".join([ids[x] for x in own])
-
-    def learn_odd(self, new: list[bytes]) -> list[bytes]:
-        """Leave pieces that are not simple text to the library; the others are returned."""
-        simple = []
-        for piece in new:
-            text = piece.decode("utf-8")
-            if wordbpe.SIMPLE.fullmatch(text) and not any(x in text for x in self.special):
-                simple.append(piece)
-            else:
-                ids = wordbpe.load(self.path).encode(text, add_special_tokens=False).ids
-                self.pieces[piece] = np.array(ids, np.int32).tobytes()
-        return simple
-
-    def learn_words(self, missing: set[str]) -> None:
-        by_width: dict[int, list[str]] = {}
-        for word in missing:
-            if word in self.older_words:
-                self.words[word] = self.older_words[word]
-                continue
-            size = len(word.encode("utf-8"))
-            width = next((w for w in WIDTHS if size <= w), 0)
-            by_width.setdefault(width, []).append(word)
-        for width, words in by_width.items():
-            if width:
-                made = merges(self.path).merged([w.encode("utf-8") for w in words], width)
-            else:
-                made = [np.array(wordbpe.merged(self.path, w), np.int32).tobytes() for w in words]
-            self.words.update(zip(words, made, strict=True))
+            pieces = new.to_pylist()
+            odd = [place for place, piece in enumerate(pieces) if self.is_odd(piece)]
+            library = wordbpe.load(self.path)
+            by_library = list_of([
+                library.encode(pieces[place], add_special_tokens=False).ids for place in odd
+            ])
+            for place in odd:
+                pieces[place] = ""
+            joined = "\n".join(pieces)
+        # cut as the tokenizer cuts them; a line feed is a unit without ids between two pieces
+        units = pa.array(["\n", *SEPARATED_UNITS.findall(joined.lower())], KEYS).dictionary_encode()
+        places = known(self.words, self.older_words, units.dictionary, self.learned_words)
+        codes = units.indices.to_numpy()
+        ids = self.words.ids.take(pa.array(places[codes]))
+        starts = np.flatnonzero(codes == codes[0])
+        borders = np.append(np.asarray(ids.offsets)[starts], ids.offsets[-1].as_py())
+        found = pa.LargeListArray.from_arrays(borders - borders[0], ids.flatten())
+        if odd:
+            order = np.arange(len(new))
+            order[odd] = len(new) + np.arange(len(odd))
+            found = pa.concat_arrays([found, by_library]).take(pa.array(order))
+        return found
+
+    def is_odd(self, piece: str) -> bool:
+        """Whether a piece that is not simple text is left to the library."""
+        return not wordbpe.SIMPLE.fullmatch(piece) or any(x in piece for x in self.special)
+
+    def learned_words(self, new: pa.Array) -> pa.Array:
+        """The ids of words; a line feed has none."""
+        sizes = np.diff(string_buffers(new)[0])
+        feed = pc.equal(new, "\n").to_numpy(zero_copy_only=False)
+        short = np.flatnonzero((sizes <= WIDEST) & ~feed)
+        others = np.flatnonzero((sizes > WIDEST) | feed)
+        by_library = [
+            [] if word == "\n" else wordbpe.merged(self.path, word)
+            for word in new.take(pa.array(others)).to_pylist()
+        ]
+        order = np.empty(len(new), np.int64)
+        order[np.concatenate([short, others])] = np.arange(len(new))
+        made = merges(self.path).merged(new.take(pa.array(short)))
+        return pa.concat_arrays([made, list_of(by_library)]).take(pa.array(order))
+
+
+def known(own: Generation, older: Generation, keys: pa.Array, learned) -> np.ndarray:
+    """Where these distinct strings stand in `own`, to which the missing ones are added."""
+    places = own.find(keys)
+    missing = np.flatnonzero(places < 0)
+    if not len(missing):
+        return places
+    places[missing] = len(own) + np.arange(len(missing))
+    keys = keys.take(pa.array(missing))
+    before = older.find(keys) if len(older) else np.full(len(missing), -1)
+    new = np.flatnonzero(before < 0)
+    order = before.copy()
+    order[new] = len(older) + np.arange(len(new))
+    ids = pa.concat_arrays([older.ids, learned(keys.take(pa.array(new)))])
+    own.add(keys, ids.take(pa.array(order)))
+    return places
 
 
 @lru_cache(maxsize=1)

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bloomgrid.llm import packing, piece_ids, wordbpe
@@ -137,5 +138,32 @@ def test_pieces_stay_within_their_bound(monkeypatch):
         assert len(kept.pieces) + len(kept.older) <= 2 * 70
 
 
+def test_arrow_texts_and_their_borders(tokenizer):
+    texts = [None, "", "one Two", " \n", "<|endoftext|>x \x1c", "wörter " * 9, "one\x0b\x0ctwo", "x" * 60]
+    column = pa.array(["not this", *texts])[1:]
+    ids, borders = piece_ids.Pieces(wordbpe.default_path()).encoded(column)
+    found = [ids[a:b].tolist() for a, b in zip(borders, borders[1:], strict=False)]
+    assert found == [ids_of(tokenizer, t)[:-1] for t in texts]
+
+
+def test_small_batches_are_encoded_together(monkeypatch):
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():  # noqa: N802
+            return 3
+
+    asked, encoded = [], piece_ids.Pieces.encoded
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(piece_ids.Pieces, "encoded", lambda self, x: asked.append(1) or encoded(self, x))
+    batches = [pa.record_batch({"doc_id": [i], "text": [f"text {i}"]}) for i in range(50)]
+    rows = list(packing.packer(wordbpe.default_path(), 2048, 32, 8)(iter(batches)))
+    assert sum(b.num_rows for b in rows) == 50
+    assert len(asked) == 1
+
+
 def test_empty_table(nothing):
     assert packing.pack(nothing).count() == 0
