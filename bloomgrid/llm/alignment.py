@@ -6,9 +6,9 @@ every B token of it.
 
 *Groups.* No token of either crosses from a character that is not white space to a blank or a line
 feed (B's vocabulary is searched for such a piece once per process; if it had one, texts would not
-be cut). So a text's groups are those of its segments between such places, and a process
-remembers segments, within a bound. Segments whose bytes do not come back are settled by encoding
-the whole text.
+be cut). So a text's groups are those of its segments between such places. Slices of texts are cut
+at once, Arrow tells their distinct segments, and a process remembers segments in Arrow arrays,
+within a bound. Texts with a segment whose bytes do not come back are encoded whole.
 
 *Inverted pair bitmaps.* Documents are numbered inside blocks of a task. For every id pair and
 block there is one row with the pair's multiplicity planes: plane k is the bitmap of the documents
@@ -24,36 +24,55 @@ token bytes differ from blank and text, have no tokens. Further columns are not
 from __future__ import annotations
 
 import os
-import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, filterfalse
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bloomgrid.llm.batches import keep_batches_small, slices
+from bloomgrid.llm.batches import gathered, keep_batches_small, slices
+from bloomgrid.llm.kept import KEYS, Generation, joined, known, string_buffers, strings_at, upto
 from bloomgrid.llm.wordbpe import byte_letters
 from bloomgrid.session import cut_lineage
 
 #: A block ends at this many documents, bytes of text or pairs of documents; then its rows go out.
-BLOCK_DOCUMENTS = 1 << 16
+SLOT_BITS = 16
+BLOCK_DOCUMENTS = 1 << SLOT_BITS
 BLOCK_BYTES = 8 << 20
 BLOCK_PAIRS = 4 << 20
 #: Segments that a process keeps, in each of two generations.
-KEPT_SEGMENTS = 120_000
-#: Segments of at most this many characters are encoded together; what stands before them there.
-SHORT = 64
+KEPT_SEGMENTS = 150_000
+#: Segments of at most this many bytes are encoded together, so many at a time; what stands before
+#: them there.
+SHORT, TOGETHER = 128, 1 << 14
 GUARD = " a"
-#: Texts are worked on in slices of about this many bytes.
+#: Texts are worked on in slices of about this many bytes, and rows sent on with so much of groups.
 SLICE_BYTES = 1 << 20
+SENT_BYTES = 8 << 20
 
-SEGMENTS = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 BLANK = "▁"
+#: White space as str.isspace knows it: single bytes, and longer ones as big-endian numbers.
+SPACES = np.array([i < 128 and chr(i).isspace() for i in range(256)])
+WIDE_SPACES = np.array([
+    int.from_bytes(chr(i).encode(), "big") for i in range(128, 0x10000)
+    if chr(i).isspace()
+])
+
+#: Of a segment: groups as text with a `;` behind each, figures (A tokens, B tokens, groups, links),
+#: its pairs (A id << 32 | B id) with the links of each, and whether its bytes come back.
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+FOUND = pa.struct([
+    ("groups", KEYS), *[(name, pa.int64()) for name in FIGURES],
+    ("pairs", pa.large_list(pa.int64())), ("links", pa.large_list(pa.int64())), ("whole", pa.bool_()),
+])
+#: Pairs of a document and the links of each; a pair may occur more than once.
+Counted = tuple[np.ndarray, np.ndarray]
 
 
 def default_paths() -> tuple[str, str]:
@@ -72,20 +91,7 @@ def grouped(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]):
     return found
 
 
-class Segment:
-    """Groups as text, and packed: figures (A tokens, B tokens, groups, links) and pairs.
-
-    A pair is A id << 32 | B id. `links` has the links of each pair, packed; None where each
-    stands for one.
-    """
-
-    __slots__ = ("figures", "groups", "links", "pairs")
-
-    def __init__(self, groups: str, figures: bytes, pairs: bytes, links: bytes | None = None):
-        self.groups, self.figures, self.pairs, self.links = groups, figures, pairs, links
-
-
-def counted(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> Segment:
+def counted(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> dict:
     """A segment of any length: its pairs are counted group by group."""
     groups = grouped(a, ends_a, b, ends_b)
     links: Counter = Counter()
@@ -94,16 +100,56 @@ def counted(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) ->
         for one, times in Counter(x).items():
             for other, more in many.items():
                 links[one << 32 | other] += times * more
-    told = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-    return Segment(
-        told, np.array([len(a), len(b), len(groups), links.total()], np.int64).tobytes(),
-        np.fromiter(links.keys(), np.int64, len(links)).tobytes(),
-        np.fromiter(links.values(), np.int64, len(links)).tobytes(),
-    )
+    told = "".join(f"{','.join(map(str, x))}|{','.join(map(str, y))};" for x, y in groups)
+    return {
+        "groups": told, "n_a": len(a), "n_b": len(b), "n_groups": len(groups),
+        "n_links": links.total(), "pairs": list(links.keys()), "links": list(links.values()),
+        "whole": True,
+    }
+
+
+#: What is known of a segment whose bytes differ.
+BROKEN = {
+    "groups": "", **dict.fromkeys(FIGURES, 0), "pairs": [], "links": [], "whole": False,
+}
+
+
+def after_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space ends before these places of UTF-8, of which none is the first."""
+    before = raw[at - 1]
+    found = SPACES[before]
+    wide = np.flatnonzero(before >= 128)
+    two = raw[at[wide] - 2].astype(np.int64) << 8 | before[wide]
+    three = raw[np.maximum(at[wide] - 3, 0)].astype(np.int64) << 16 | two
+    found[wide] = np.isin(two, WIDE_SPACES) | np.isin(three, WIDE_SPACES)
+    return found
 
 
-#: Distinct segments of a text, and how often each occurs.
-Counted = tuple[list[Segment], list[int]]
+class Slice:
+    """Groups, figures and pairs of the texts of a slice."""
+
+    def __init__(self, found: pa.StructArray, places: np.ndarray, of: np.ndarray, texts: int):
+        """`places` has the segments of all texts in order, `of` the text of each."""
+        borders = np.searchsorted(of, np.arange(texts + 1))
+        told = found.field("groups").take(pa.array(places))
+        starts, _ = string_buffers(told)
+        groups = strings_at(starts[borders], told.buffers()[2] or pa.py_buffer(b""))
+        self.groups = pc.ascii_rtrim(groups, characters=";").cast(pa.string())
+        self.figures = {
+            name: np.diff(upto(found.field(name).to_numpy()[places])[borders]) for name in FIGURES
+        }
+        # distinct segments of each text
+        key, times = np.unique(of << 32 | places, return_counts=True)
+        own = pa.array(key & 0xFFFFFFFF)
+        pairs, links = found.field("pairs").take(own), found.field("links").take(own)
+        upto_pairs = np.asarray(pairs.offsets)
+        self.pairs = np.asarray(pairs.flatten())
+        self.links = np.asarray(links.flatten()) * np.repeat(times, np.diff(upto_pairs))
+        self.borders = upto_pairs[np.searchsorted(key >> 32, np.arange(texts + 1))].tolist()
+
+    def counted(self, text: int) -> Counted:
+        own = slice(self.borders[text], self.borders[text + 1])
+        return self.pairs[own], self.links[own]
 
 
 class Aligner:
@@ -135,13 +181,13 @@ class Aligner:
         self.lengths_b = np.array([len(x) for x in self.bytes_b], np.int64)
         # an id with the sign behind it: between ids of a side, between sides, between groups
         most = max(len(self.bytes_a), len(self.bytes_b))
-        self.signed = [f"{i}{sign}" for sign in ",|;" for i in range(most)]
-        self.signed_lengths = np.array([len(x) for x in self.signed], np.int64)
-        self.kept: dict[str, Segment | None] = {}
-        self.older: dict[str, Segment | None] = {}
+        self.signed = pa.array([f"{i}{sign}" for sign in ",|;" for i in range(most)], KEYS)
+        self.spelled_a = pa.array(self.bytes_a, pa.large_binary())
+        self.spelled_b = pa.array(self.bytes_b, pa.large_binary())
+        self.kept, self.older = Generation(FOUND), Generation(FOUND)
 
-    def segment(self, text: str) -> Segment | None:
-        """The tokens of a stretch that begins with a blank or a line feed; None if bytes differ."""
+    def segment(self, text: str) -> dict:
+        """What is found of a stretch that begins with a blank or a line feed."""
         whole = text.encode("utf-8")
         a = self.a.encode(text, add_special_tokens=False).ids
         if text[0] == " ":
@@ -149,57 +195,55 @@ class Aligner:
         else:
             b = self.b.encode(text, num_threads=1)
             if b[0] != self.blank:
-                return None
+                return BROKEN
             b = b[1:]
         if text == " ":  # the library gives no pieces for an empty text
             b = [self.blank]
         bytes_a = [self.bytes_a[i] for i in a]
         bytes_b = [self.bytes_b[i] for i in b]
         if b"".join(bytes_a) != whole or b"".join(bytes_b) != whole:
-            return None
+            return BROKEN
         ends_a, ends_b = accumulate(map(len, bytes_a)), accumulate(map(len, bytes_b))
         return counted(a, list(ends_a), b, list(ends_b))
 
-    def learn(self, strings: Iterable[str]) -> None:
-        """Have all these segments among the kept ones."""
-        if len(self.kept) > KEPT_SEGMENTS:
-            self.kept, self.older = {}, self.kept
-        short = []
-        for text in set(filterfalse(self.kept.__contains__, strings)):
-            if text in self.older:
-                self.kept[text] = self.older[text]
-            elif len(text) <= SHORT and not text[-1].isspace():
-                short.append(text)
-            else:
-                self.kept[text] = self.segment(text)
-        self.learn_short(short)
-
-    def learn_short(self, texts: list[str]) -> None:
+    def learned(self, new: pa.Array) -> pa.Array:
+        """What is found of these segments."""
+        borders, raw = string_buffers(new)
+        short = (np.diff(borders) <= SHORT) & ~after_space(raw, borders[1:])
+        others = np.flatnonzero(~short)
+        short = np.flatnonzero(short)
+        found = [
+            self.short(new.take(pa.array(short[at : at + TOGETHER])))
+            for at in range(0, len(short), TOGETHER)
+        ]
+        order = np.empty(len(new), np.int64)
+        order[np.concatenate([short, others])] = np.arange(len(new))
+        alone = [self.segment(text) for text in new.take(pa.array(others)).to_pylist()]
+        return pa.concat_arrays([*found, pa.array(alone, FOUND)]).take(pa.array(order))
+
+    def short(self, texts: pa.Array) -> pa.Array:
         """Short segments, put together and encoded in one piece: no token crosses their borders.
 
         Where bytes differ, the half that is at fault is found by halving.
         """
         if len(texts) < 2:
-            self.kept.update((text, self.segment(text)) for text in texts)
-            return
-        joined = GUARD + "".join(texts)
-        raw = joined.encode("utf-8")
-        list_a = self.a.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-        list_b = self.b.encode(joined[1:], num_threads=1)
+            return pa.array([self.segment(text) for text in texts.to_pylist()], FOUND)
+        whole = GUARD + joined(texts, "")
+        raw = whole.encode("utf-8")
+        list_a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        list_b = self.b.encode(whole[1:], num_threads=1)
         a, b = np.array(list_a, np.int64), np.array(list_b, np.int64)
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
-        sizes = [len(GUARD), *[len(text.encode("utf-8")) for text in texts]]
-        ends = np.cumsum(sizes)
+        ends = string_buffers(texts)[0]
+        ends = ends - ends[0] + len(GUARD)
         common = ends_a[_among(ends_a, ends_b)]
         if (
-            b"".join(map(self.bytes_a.__getitem__, list_a)) != raw
-            or b"".join(map(self.bytes_b.__getitem__, list_b)) != raw
+            self.spelled_a.take(pa.array(a)).buffers()[2] != pa.py_buffer(raw)
+            or self.spelled_b.take(pa.array(b)).buffers()[2] != pa.py_buffer(raw)
             or not _among(ends, common).all()
         ):
             half = len(texts) // 2
-            self.learn_short(texts[:half])
-            self.learn_short(texts[half:])
-            return
+            return pa.concat_arrays([self.short(texts[:half]), self.short(texts[half:])])
         count = len(common)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         n_a, n_b = np.bincount(group_a, minlength=count), np.bincount(group_b, minlength=count)
@@ -215,36 +259,62 @@ class Aligner:
         sign_a[upto_a - 1], sign_b[upto_b - 1] = most, 2 * most
         signed[np.arange(len(a)) + (upto_b - n_b)[group_a]] = a + sign_a
         signed[np.arange(len(b)) + upto_a[group_b]] = b + sign_b
-        told = "".join(map(self.signed.__getitem__, signed.tolist()))
-        told_upto = np.cumsum(self.signed_lengths[signed])[upto_a + upto_b - 1]
+        told = self.signed.take(pa.array(signed))
+        told_upto = string_buffers(told)[0][upto_a + upto_b]
         # the sums up to each border; the stretch before the first border is the guard
         last = np.searchsorted(common, ends)
-        upto = np.stack([upto_a, upto_b, np.arange(1, count + 1), np.cumsum(links)], axis=1)[last]
-        figures, packed = np.diff(upto, axis=0).tobytes(), pairs.tobytes()
-        told_at, bytes_at = told_upto[last].tolist(), (upto[:, 3] * 8).tolist()
-        for i, text in enumerate(texts):
-            self.kept[text] = Segment(
-                told[told_at[i] : told_at[i + 1] - 1], figures[32 * i : 32 * i + 32],
-                packed[bytes_at[i] : bytes_at[i + 1]],
-            )
-
-    def texts(self, texts: list[str | None]) -> Iterator[tuple[list[Segment], Counted]]:
-        """For each text its segments in order, and how often each distinct one occurs."""
-        find = SEGMENTS.findall if self.cuts else lambda whole: [whole]
-        split = [find(" " + text) if text else [] for text in texts]
-        self.learn(chain.from_iterable(split))
-        known = self.kept.__getitem__
-        for text, strings in zip(texts, split, strict=True):
-            times = Counter(strings)
-            own = list(map(known, times))
-            if None in own:
-                one = self.segment(" " + text)
-                yield ([one], ([one], [1])) if one else ([], ([], []))
-            else:
-                yield list(map(known, strings)), (own, list(times.values()))
-
-    def text(self, text: str | None) -> tuple[list[Segment], Counted]:
-        return next(self.texts([text]))
+        sums = (upto_a[last], upto_b[last], last + 1, np.cumsum(links)[last])
+        own = slice(sums[3][0], sums[3][-1])
+        borders = sums[3] - sums[3][0]
+        return pa.StructArray.from_arrays([
+            strings_at(told_upto[last], told.buffers()[2]),
+            *[pa.array(np.diff(x)) for x in sums],
+            pa.LargeListArray.from_arrays(borders, pairs[own]),
+            pa.LargeListArray.from_arrays(borders, np.ones(borders[-1], np.int64)),
+            pa.array(np.ones(len(texts), bool)),
+        ], fields=list(FOUND))
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The segments of all texts and the text of each; NULL and empty texts have none."""
+        texts = texts.fill_null("").cast(KEYS)
+        blank = pa.scalar(" ", KEYS)
+        spaced = pc.binary_join_element_wise(blank, texts, pa.scalar("", KEYS))
+        spaced = pc.if_else(pc.equal(texts, ""), texts, spaced)
+        borders, raw = string_buffers(spaced)
+        borders, raw = borders - borders[0], raw[borders[0] : borders[-1]]
+        first = np.zeros(len(raw) + 1, bool)
+        if self.cuts:
+            signs = np.flatnonzero((raw == 32) | (raw == 10))
+            signs = signs[signs > 0]
+            first[signs[~after_space(raw, signs)]] = True
+        first[borders] = True
+        places = np.flatnonzero(first) if len(raw) else np.zeros(1, np.int64)
+        of = np.searchsorted(borders, places[:-1], side="right") - 1
+        return strings_at(places, pa.py_buffer(raw)), of
+
+    def texts(self, texts: pa.Array) -> Slice:
+        segments, of = self.cut(texts)
+        told = segments.dictionary_encode()
+        if len(self.kept) > KEPT_SEGMENTS:
+            self.kept, self.older = Generation(FOUND), self.kept
+        places = known(self.kept, self.older, told.dictionary, self.learned)
+        places, found = places[told.indices.to_numpy()], self.kept.found
+        whole = found.field("whole").to_numpy(zero_copy_only=False)[places]
+        if not whole.all():
+            broken = np.unique(of[~whole])
+            alone = [self.segment(" " + text) for text in texts.take(pa.array(broken)).to_pylist()]
+            kept = ~np.isin(of, broken)
+            places = np.append(places[kept], len(found) + np.arange(len(broken)))
+            found = pa.concat_arrays([found, pa.array(alone, FOUND)])
+            of = np.append(of[kept], broken)
+            order = np.argsort(of, kind="stable")
+            places, of = places[order], of[order]
+        return Slice(found, places, of, len(texts))
+
+    def text(self, text: str | None) -> tuple[str, Counted]:
+        """Groups of one text, and its pairs."""
+        made = self.texts(pa.array([text], pa.string()))
+        return made.groups[0].as_py(), made.counted(0)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -253,13 +323,6 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def figures_of(counted: Counted) -> list[int]:
-    """A tokens, B tokens, groups and links of a text."""
-    own, times = counted
-    packed = np.frombuffer(b"".join([s.figures for s in own]), np.int64).reshape(-1, 4)
-    return (np.array(times, np.int64) @ packed).tolist() if own else [0, 0, 0, 0]
-
-
 @lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
@@ -304,6 +367,16 @@ def opened(body: bytes, size: int) -> np.ndarray:
     return np.flatnonzero(bits[:size])
 
 
+def sorted_with(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and the values beside them, neither below 0."""
+    bits = int(values.max()).bit_length()
+    if int(keys.max()).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], values[order]
+    both = np.sort(keys << bits | values)
+    return both >> bits, both & ((1 << bits) - 1)
+
+
 class Block:
     """Documents of a block with their pairs, until its rows go out."""
 
@@ -311,7 +384,6 @@ class Block:
         self.number, self.size, self.bytes, self.entries = number, 0, 0, 0
         self.pairs: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
-        self.slots: list[np.ndarray] = []
 
     def full(self) -> bool:
         return (
@@ -320,18 +392,10 @@ class Block:
         )
 
     def add(self, counted: Counted, length: int) -> int:
-        """Take the document with these segments; its number in the block."""
-        own, times = counted
-        packed = [s.pairs for s in own]
-        pairs = np.frombuffer(b"".join(packed), np.int64)
-        widths = np.fromiter(map(len, packed), np.int64, len(own)) // 8
-        links = np.repeat(np.array(times, np.int64), widths)
-        for place in [i for i, s in enumerate(own) if s.links is not None]:
-            end = int(widths[: place + 1].sum())
-            links[end - widths[place] : end] *= np.frombuffer(own[place].links, np.int64)
+        """Take the document with these pairs; its number in the block."""
+        pairs, links = counted
         self.pairs.append(pairs)
         self.links.append(links)
-        self.slots.append(np.full(len(pairs), self.size, np.int32))
         self.entries += len(pairs)
         self.bytes += length
         self.size += 1
@@ -341,25 +405,29 @@ class Block:
         """One row per pair: its documents, links and planes."""
         if not self.entries:
             return
-        pairs = np.concatenate(self.pairs)
-        slots, links = np.concatenate(self.slots), np.concatenate(self.links)
-        self.pairs, self.slots, self.links = [], [], []
-        ids, number = np.unique(pairs, return_inverse=True)
-        # one entry per pair and document
-        key, inverse = np.unique(number << 16 | slots, return_inverse=True)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse, links)
-        number, slots = key >> 16, key & 0xFFFF
-        documents = np.bincount(number, minlength=len(ids))
-        sums = np.zeros(len(ids), np.int64)
-        np.add.at(sums, number, total)
+        pairs, links = np.concatenate(self.pairs), np.concatenate(self.links)
+        slots = np.repeat(np.arange(self.size), [len(x) for x in self.pairs])
+        self.pairs, self.links = [], []
+        # one entry per pair and document, pairs as small numbers that keep their order
+        many = int((pairs & 0xFFFFFFFF).max()) + 1
+        key = ((pairs >> 32) * many + (pairs & 0xFFFFFFFF)) << SLOT_BITS | slots
+        del pairs, slots
+        key, links = sorted_with(key, links)
+        firsts = np.flatnonzero(np.diff(key, prepend=-1))
+        key, total = key[firsts], np.add.reduceat(links, firsts)
+        number, slots = key >> SLOT_BITS, key & ((1 << SLOT_BITS) - 1)
+        firsts = np.flatnonzero(np.diff(number, prepend=-1))
+        ids = number[firsts] // many << 32 | number[firsts] % many
+        documents = np.diff(firsts, append=len(number))
+        sums = np.add.reduceat(total, firsts)
+        number = np.repeat(np.arange(len(ids)), documents)
         planes = range(int(total.max()).bit_length())
-        bits = [np.flatnonzero(total >> k & 1) for k in planes]
-        of = np.concatenate([number[x] for x in bits])
-        plane = np.concatenate([np.full(len(x), k) for k, x in zip(planes, bits, strict=True)])
-        held = np.concatenate([slots[x] for x in bits])
-        order = np.lexsort((held, plane, of))
-        of, plane, held = of[order], plane[order], held[order]
+        key = np.sort(np.concatenate([
+            (number[held] << 6 | k) << SLOT_BITS | slots[held]
+            for k in planes for held in [np.flatnonzero(total >> k & 1)]
+        ]))
+        of, plane = key >> SLOT_BITS + 6, key >> SLOT_BITS & 63
+        held = key & ((1 << SLOT_BITS) - 1)
         starts = np.flatnonzero(np.diff(of * 64 + plane, prepend=-1))
         ends = np.append(starts[1:], len(of))
         yield from self.packed(ids, documents, sums, of, plane, held, starts, ends)
@@ -405,24 +473,22 @@ def align(documents: DataFrame, paths: tuple[str, str] | None = None) -> DataFra
         whole = aligner(path_a, path_b)
         number = TaskContext.get().partitionId() << 32
         block = Block(number)
-        for batch in batches:
-            for piece in slices(batch, "text", SLICE_BYTES):
-                rows = []
-                keys, texts = piece.column("doc_id").to_pylist(), piece.column("text").to_pylist()
-                for key, text, (order, counted) in zip(
-                    keys, texts, whole.texts(texts), strict=True
-                ):
-                    if block.full():
-                        yield from block.rows()
-                        number += 1
-                        block = Block(number)
-                    slot = block.add(counted, len(text or ""))
-                    figures = figures_of(counted)
-                    groups = ";".join([s.groups for s in order])
-                    rows.append((block.number, slot, key, *figures, groups))
-                columns = zip(*rows, strict=True)
-                names = ("block", "slot", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups")
-                yield batch_of(len(rows), dict(zip(names, map(list, columns), strict=True)))
+        for piece in gathered(batches, "text", SLICE_BYTES):
+            made = whole.texts(piece.column("text"))
+            lengths = pc.utf8_length(piece.column("text")).fill_null(0).to_pylist()
+            blocks, slots = [], []
+            for place, length in enumerate(lengths):
+                if block.full():
+                    yield from block.rows()
+                    number += 1
+                    block = Block(number)
+                blocks.append(number)
+                slots.append(block.add(made.counted(place), length))
+            rows = batch_of(piece.num_rows, {
+                "block": blocks, "slot": slots, "doc_id": piece.column("doc_id"),
+                **made.figures, "groups": made.groups,
+            })
+            yield from slices(rows, "groups", SENT_BYTES)
         yield from block.rows()
 
     keep_batches_small(documents.sparkSession)

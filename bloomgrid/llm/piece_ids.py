@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from bloomgrid.llm import wordbpe
+from bloomgrid.llm.kept import KEYS, Generation, joined, known, string_buffers, upto
 
 #: Pieces whose ids a process keeps, in each of two generations; as many words.
 KEPT_PIECES = 500_000
@@ -32,7 +33,7 @@ NONE = np.int32(1 << 30)
 TABLE_BITS = 18
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SEPARATED_UNITS = re.compile(wordbpe.SIMPLE_UNITS.pattern + r"|\n")
-KEYS, IDS = pa.large_string(), pa.large_list(pa.int32())
+IDS = pa.large_list(pa.int32())
 
 
 class Merges:
@@ -147,45 +148,10 @@ class Merges:
         return ids.take(pa.array(back))
 
 
-def upto(counts: np.ndarray) -> np.ndarray:
-    """Borders of stretches of these lengths."""
-    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-
-
-def string_buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Borders and bytes of an array of large strings without NULL."""
-    _, borders, data = strings.buffers()
-    borders = np.frombuffer(borders, np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    return borders, np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
-
-
-def joined_lines(strings: pa.Array) -> str:
-    whole = pa.ListArray.from_arrays(pa.array([0, len(strings)], pa.int32()), strings)
-    return pc.binary_join(whole, pa.scalar("\n", KEYS))[0].as_py()
-
-
 def list_of(found: list[list[int]]) -> pa.Array:
     return pa.array(found, IDS)
 
 
-class Generation:
-    """Strings and their ids."""
-
-    def __init__(self):
-        self.keys, self.ids = pa.array([], KEYS), pa.array([], IDS)
-
-    def __len__(self) -> int:
-        return len(self.keys)
-
-    def add(self, keys: pa.Array, ids: pa.Array) -> None:
-        self.keys = pa.concat_arrays([self.keys, keys])
-        self.ids = pa.concat_arrays([self.ids, ids])
-
-    def find(self, keys: pa.Array) -> np.ndarray:
-        """Where each of these strings stands; below 0 if nowhere."""
-        return pc.index_in(keys, self.keys).fill_null(-1).to_numpy().astype(np.int64)
-
-
 @lru_cache(maxsize=2)
 def merges(path: str) -> Merges:
     return Merges(path)
@@ -197,8 +163,8 @@ class Pieces:
     def __init__(self, path: str):
         self.path = path
         self.special = wordbpe.special_strings(path)
-        self.pieces, self.older = Generation(), Generation()
-        self.words, self.older_words = Generation(), Generation()
+        self.pieces, self.older = Generation(IDS), Generation(IDS)
+        self.words, self.older_words = Generation(IDS), Generation(IDS)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text, given as UTF-8."""
@@ -211,19 +177,19 @@ class Pieces:
         split = pc.ascii_split_whitespace(texts.fill_null("").cast(KEYS))
         told = split.flatten().dictionary_encode()
         if len(self.pieces) > KEPT_PIECES:
-            self.pieces, self.older = Generation(), self.pieces
+            self.pieces, self.older = Generation(IDS), self.pieces
         if len(self.words) > KEPT_PIECES:
-            self.words, self.older_words = Generation(), self.words
+            self.words, self.older_words = Generation(IDS), self.words
         places = known(self.pieces, self.older, told.dictionary, self.learned)
-        ids = self.pieces.ids.take(pa.array(places[told.indices.to_numpy()]))
+        ids = self.pieces.found.take(pa.array(places[told.indices.to_numpy()]))
         pieces = np.asarray(split.offsets) - np.asarray(split.offsets)[:1]
         borders = np.asarray(ids.offsets)[pieces]
         return np.asarray(ids.flatten()), borders - borders[:1]
 
     def learned(self, new: pa.Array) -> pa.Array:
         """The ids of pieces."""
-        joined, odd = joined_lines(new), []
-        if not wordbpe.SIMPLE.fullmatch(joined) or any(x in joined for x in self.special):
+        text, odd = joined(new, "\n"), []
+        if not wordbpe.SIMPLE.fullmatch(text) or any(x in text for x in self.special):
             pieces = new.to_pylist()
             odd = [place for place, piece in enumerate(pieces) if self.is_odd(piece)]
             library = wordbpe.load(self.path)
@@ -232,12 +198,12 @@ class Pieces:
             ])
             for place in odd:
                 pieces[place] = ""
-            joined = "\n".join(pieces)
+            text = "\n".join(pieces)
         # cut as the tokenizer cuts them; a line feed is a unit without ids between two pieces
-        units = pa.array(["\n", *SEPARATED_UNITS.findall(joined.lower())], KEYS).dictionary_encode()
+        units = pa.array(["\n", *SEPARATED_UNITS.findall(text.lower())], KEYS).dictionary_encode()
         places = known(self.words, self.older_words, units.dictionary, self.learned_words)
         codes = units.indices.to_numpy()
-        ids = self.words.ids.take(pa.array(places[codes]))
+        ids = self.words.found.take(pa.array(places[codes]))
         starts = np.flatnonzero(codes == codes[0])
         borders = np.append(np.asarray(ids.offsets)[starts], ids.offsets[-1].as_py())
         found = pa.LargeListArray.from_arrays(borders - borders[0], ids.flatten())
@@ -267,23 +233,6 @@ class Pieces:
         return pa.concat_arrays([made, list_of(by_library)]).take(pa.array(order))
 
 
-def known(own: Generation, older: Generation, keys: pa.Array, learned) -> np.ndarray:
-    """Where these distinct strings stand in `own`, to which the missing ones are added."""
-    places = own.find(keys)
-    missing = np.flatnonzero(places < 0)
-    if not len(missing):
-        return places
-    places[missing] = len(own) + np.arange(len(missing))
-    keys = keys.take(pa.array(missing))
-    before = older.find(keys) if len(older) else np.full(len(missing), -1)
-    new = np.flatnonzero(before < 0)
-    order = before.copy()
-    order[new] = len(older) + np.arange(len(new))
-    ids = pa.concat_arrays([older.ids, learned(keys.take(pa.array(new)))])
-    own.add(keys, ids.take(pa.array(order)))
-    return places
-
-
 @lru_cache(maxsize=1)
 def pieces(path: str) -> Pieces:
     return Pieces(path)

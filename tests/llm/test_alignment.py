@@ -1,9 +1,12 @@
 """Alignment of two tokenizers beside whole-text encoding and plain counting."""
 
 import hashlib
+import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +119,68 @@ def test_containers():
             assert alignment.opened(body, size).tolist() == slots.tolist()
 
 
+def test_cuts_are_at_blanks_and_feeds_behind_other_characters(whole):
+    rng = random.Random(3)
+    signs = "abé ß\n\t\x1c\x85\xa0\u2003\u3000日 x \n"
+    texts = [None, "", *ODD, *["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(500)]]
+    segments, of = whole.cut(pa.array(texts, pa.string()))
+    found = defaultdict(list)
+    for segment, text in zip(segments.to_pylist(), of.tolist(), strict=True):
+        found[text].append(segment)
+    pattern = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+    for place, text in enumerate(texts):
+        assert found[place] == (pattern.findall(" " + text) if text else [])
+
+
+def test_texts_of_a_slice_beside_plain_counting(whole, corpus):
+    texts = [t for _, t, _ in corpus] + ODD
+    made = whole.texts(pa.array(texts, pa.string()))
+    for place, text in enumerate(texts):
+        a, b, groups = plain(whole, text)
+        links = Counter((x, y) for g in groups for x in g[0] for y in g[1])
+        told = Counter()
+        for pair, times in zip(*(x.tolist() for x in made.counted(place)), strict=True):
+            told[pair >> 32, pair & 0xFFFFFFFF] += times
+        figures = [int(made.figures[name][place]) for name in alignment.FIGURES]
+        assert told == links and figures == [len(a), len(b), len(groups), links.total()]
+
+
+def test_small_batches_are_aligned_together(documents, monkeypatch):
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():  # noqa: N802
+            return 3
+
+    class Frame:
+        sparkSession = documents.sparkSession  # noqa: N815
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    asked, texts = [], alignment.Aligner.texts
+    monkeypatch.setattr(alignment, "TaskContext", Task)
+    monkeypatch.setattr(alignment.Aligner, "texts", lambda self, x: asked.append(1) or texts(self, x))
+    batches = [pa.record_batch({"doc_id": [i], "text": [f"text {i}"]}) for i in range(50)]
+    rows = [r for b in alignment.align(Frame())(iter(batches)) for r in b.to_pylist()]
+    assert sum(r["slot"] is not None for r in rows) == 50
+    assert len(asked) == 1
+
+
+def test_sorted_with_values_of_any_size():
+    for most in (3, 1 << 40):
+        keys, values = np.array([5 << 30, 1, 5 << 30, 2]), np.array([most, 1, most, 0])
+        ordered, beside = alignment.sorted_with(keys, values)
+        assert ordered.tolist() == [1, 2, 5 << 30, 5 << 30]
+        assert beside.tolist() == [1, 0, most, most]
+
+
 def test_long_text_without_blanks(spark, whole):
     text = "ab日" * 30_000
     frame = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
