@@ -244,3 +244,21 @@ def test_degree_days_list_days_without_sorting_them_in_a_window(spark, plants):
         (None, 0), (99.99, 0), (None, 0), (100.01, 1), (100.02, 2), (None, 0), (199.02, 3), (None, 0)]
     for frame in (table, gd.searched_years(daily, plants)):
         assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_catalogue_windows_do_not_write_days_once_per_base(spark):
+    many = spark.createDataFrame(
+        [(f"p{k}", "n", "l", k / 4.0, 20.0 + k, 40.0 + k, None) for k in range(60)], PLANT_SCHEMA)
+    rows = [r for s in "AB" for r in [(s, d, t) for _, d, t in run(D(2024, 1, 1), [9.0 + ord(s) % 3] * 30)]]
+    daily = days(spark, rows)
+    expected = gd.latest_windows(gd.yearly_windows(gd.growing_degree_days(daily, many)))
+    found = gd.searched_windows(daily, many)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.select(*found.columns).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = gd.searched_windows(daily, many)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(base_temp_c" not in plan and "CartesianProduct" in plan
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.select(*found.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
