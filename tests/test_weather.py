@@ -262,3 +262,18 @@ def test_catalogue_windows_do_not_write_days_once_per_base(spark):
         assert sorted(map(str, found.collect())) == sorted(map(str, expected.select(*found.columns).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_plantings_of_a_station_share_lists_however_large_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(gd, "PLANTS_PER_BLOCK", 7)
+    many = spark.createDataFrame(
+        [(f"p{k}", "n", "l", k / 4.0, 1.0 + k, 2.0 + k, None) for k in range(50)], PLANT_SCHEMA)
+    plantings = spark.createDataFrame(
+        [("A", f"p{k}") for k in range(5, 11)] + [("B", f"p{k}") for k in range(20)],
+        "station_id STRING, plant_id STRING")
+    lists = gd._wanted(many, plantings).select("station_id", F.size("plants").alias("n")).collect()
+    assert sorted((r["station_id"], r["n"]) for r in lists) == [("A", 6), ("B", 6), ("B", 7), ("B", 7)]
+    daily = days(spark, run(D(2024, 1, 1), [15.0, None, 12.0, 14.0]))
+    expected = gd.yearly_windows(gd.growing_degree_days(daily, many, plantings))
+    found = gd.searched_years(daily, many, plantings)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.select(*found.columns).collect()))
