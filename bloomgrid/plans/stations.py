@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from bloomgrid.functions import labels as L
 from bloomgrid.operators import layers
-from bloomgrid.operators.gdd import monthly_totals, plant_terms, requested_degree_days
+from bloomgrid.operators.gdd import (
+    asked_days,
+    day_lists,
+    monthly_totals,
+    plant_terms,
+    requested_degree_days,
+)
 from bloomgrid.operators.weather import monthly_precipitation, precipitation_by_year
 from bloomgrid.quality import check_year
 
@@ -110,12 +116,30 @@ def summary_rows(summaries: DataFrame) -> DataFrame:
     )
 
 
+def _with_rain(daily: DataFrame, precipitation: DataFrame) -> DataFrame:
+    """Daily rows with the list of their precipitation entries, which have the same keys."""
+    entries = F.collect_list(F.struct("precip_mm")).alias("rain")
+    rain = precipitation.groupBy("station_id", "date").agg(entries)
+    dated = daily if "year" in daily.columns else daily.withColumn("year", F.year("date"))
+    dated = dated.select("station_id", "date", "year", "t_min", "t_max", "t_mean")
+    return dated.join(rain, ["station_id", "date"], "left")
+
+
 def daily_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame, precipitation: DataFrame,
                plants: DataFrame | None = None, gdd: DataFrame | None = None) -> DataFrame:
-    """One row per request and day with readings; a day without precipitation entry has NULL."""
-    days = _days(daily, requests, zones, plants, gdd)
-    rain = precipitation.select("station_id", "date", "precip_mm")
-    return days.join(rain, ["station_id", "date"], "left").select(
+    """One row per request and day with readings; a day without precipitation entry has NULL.
+
+    Precipitation is joined before the days are listed, and requests meet the lists, so that no row
+    per request and day is shuffled.
+    """
+    if gdd is None:
+        lists = day_lists(_with_rain(daily, precipitation))
+        days = asked_days(lists, plants, _known_requests(requests, zones))
+        days = days.select("*", F.inline_outer("rain"))
+    else:
+        rain = precipitation.select("station_id", "date", "precip_mm")
+        days = _days(daily, requests, zones, plants, gdd).join(rain, ["station_id", "date"], "left")
+    return days.select(
         "station_id", "station_name", "year", "plant_id", "date",
         "t_min", "t_max", "t_mean", "gdd_daily", "gdd_cumulative", "precip_mm",
     )

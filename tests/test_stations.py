@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bloomgrid import quality, schemas
 from bloomgrid.operators import layers
-from bloomgrid.operators.gdd import gdd_table
+from bloomgrid.operators.gdd import gdd_table, requested_degree_days
 from bloomgrid.plans import stations as plans
 
 D = dt.date
@@ -157,3 +157,26 @@ def test_quality_rules(spark, data):
     empty = quality.all_missing(data["daily"], ("station_id",), "t_mean")
     assert {r["station_id"]: r["all_missing"] for r in empty.collect()} == {"A": False, "X": False}
     assert quality.check_year(2000) == 2000
+
+
+def test_series_shuffle_no_row_per_request_and_day(spark, data):
+    daily = spark.createDataFrame(
+        [("A", D(2024, 1, 1) + dt.timedelta(days=k), 1.0, 2.0, (None, 7.25, 9.5, -3.0)[k % 4]) for k in range(40)]
+        + [("B", D(2024, 1, 1), 1.0, 2.0, 8.0)], schemas.DAILY)
+    plants = data["plants"].unionByName(data["plants"]).unionByName(
+        data["plants"].selectExpr("'q' AS id", *(f"{c}" for c in data["plants"].columns if c != "id")))
+    rain = data["rain"].unionByName(data["rain"].withColumn("precip_mm", F.lit(None).cast("double")))
+    requests = spark.createDataFrame(
+        [("A", 2024, p) for p in ("p", "q", "unknown", None)] + [("A", 2023, "p"), ("B", 2024, "q")],
+        "station_id STRING, year INT, plant_id STRING")
+    windows = requested_degree_days(daily, plants, requests.join(layers.first_zone(data["zones"]), "station_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = plans.daily_rows(daily, requests, data["zones"], rain, plants=plants)
+        expected = windows.join(rain, ["station_id", "date"], "left").select(*rows.columns)
+        assert sorted(map(str, rows.collect())) == sorted(map(str, expected.collect()))
+        plan = plans.daily_series(rows)._jdf.queryExecution().executedPlan().toString()
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert shuffled and not any("station_name" in line for line in shuffled)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
