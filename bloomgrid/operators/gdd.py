@@ -85,10 +85,11 @@ def growing_degree_days(daily: DataFrame, plants: DataFrame, plantings: DataFram
                         ) -> DataFrame:
     """Daily and cumulative GDD, bloom day and phase per station, plant and day.
 
-    Daily rows are shuffled once, by station and year, and listed before they are unfolded per
-    plant; where the plants are few enough to be sent to the tasks, rows stay in that partitioning.
+    Daily rows are shuffled once, by station, and listed before they are unfolded per plant; where
+    the plants are few enough to be sent to the tasks, rows stay in that partitioning, which also
+    the columns of the stored table tell.
     """
-    return degree_days(with_plants(day_lists(daily), plants, plantings))
+    return degree_days(with_plants(day_lists(daily.repartition("station_id")), plants, plantings))
 
 
 def running_sums(values: Column, length: Column) -> Column:
@@ -222,6 +223,75 @@ def asked_days(lists: DataFrame, plants: DataFrame, requests: DataFrame) -> Data
     return rows.withColumn("gdd_cumulative", cumulative).drop("unknown", "total", "base_temp_c")
 
 
+MATCHES = T.StructType([
+    T.StructField("left", T.ArrayType(T.IntegerType())), T.StructField("right", T.ArrayType(T.IntegerType())),
+])
+
+
+@F.arrow_udf(MATCHES)
+def matching_days(days: pa.Array, others: pa.Array) -> pa.Array:
+    """Left join of two lists of days: places of each pair, -1 where a day is in the first only."""
+
+    def keyed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(_places(lists))
+        values = lists.flatten().cast(pa.int32()).fill_null(-(2**31)).to_numpy().astype(np.int64)
+        return np.repeat(np.arange(len(sizes)), sizes) * 2**32 + values, sizes
+
+    (own, own_sizes), (other, other_sizes) = keyed(days), keyed(others)
+    order = np.argsort(other, kind="stable")
+    first = np.searchsorted(other[order], own, "left")
+    count = np.searchsorted(other[order], own, "right") - first
+    times = np.maximum(count, 1)
+    ends = np.append(0, np.cumsum(times))
+    at = np.repeat(np.arange(len(own)), times)
+    to = np.repeat(first, times) + np.arange(ends[-1]) - np.repeat(ends[:-1], times)
+    right = np.full(len(at), -1)
+    found = np.repeat(count > 0, times)
+    before = lambda sizes: np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(own_sizes)), own_sizes)[at]
+    right[found] = order[to[found]] - before(other_sizes)[row[found]]
+    left = at - before(own_sizes)[row]
+    rows = pa.array(ends[np.append(0, np.cumsum(own_sizes))], pa.int32())
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(rows, pa.array(x, pa.int32())) for x in (left, right)], ["left", "right"])
+
+
+def stored_days(lists: DataFrame, gdd: DataFrame, requests: DataFrame) -> DataFrame:
+    """Days of every request with the stored GDD of its plant where there is one.
+
+    `lists`: `day_lists`. All sides meet by station, the partitioning that a computed table has, so
+    that its rows and the days of the requests are not shuffled; year and plant are compared by two
+    bounds each, which leaves them out of the join key. What meets has a row per station and year.
+    """
+    totals = gdd if "year" in gdd.columns else gdd.withColumn("year", F.year("date"))
+    entry = F.collect_list(F.struct("date", "gdd_daily", "gdd_cumulative")).alias("stored")
+    totals = totals.groupBy("station_id", "year", "plant_id").agg(entry).groupBy("station_id", "year").agg(
+        F.collect_list(F.struct("plant_id", "stored")).alias("totals"))
+    asked = [c for c in requests.columns if c not in ("station_id", "year")]
+    wanted = requests.repartition("station_id").groupBy("station_id", "year").agg(
+        F.collect_list(F.struct(*asked)).alias("asked"))
+
+    def met(one: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        other = other.withColumnsRenamed({"station_id": "_station", "year": "_year"})
+        same = (F.col("station_id") == F.col("_station")) & (F.col("year") >= F.col("_year")) & (
+            F.col("year") <= F.col("_year"))
+        return one.join(other, same, how).drop("_station", "_year")
+
+    rows = met(met(lists, wanted, "inner"), totals, "left").select(
+        "station_id", "year", "days", "totals", F.explode("asked").alias("ask"))
+    own = F.filter(F.coalesce("totals", F.array()), lambda total: total["plant_id"] == F.col("ask")["plant_id"])
+    rows = rows.withColumn("stored", F.coalesce(F.get(own, F.lit(0))["stored"], F.array())).drop("totals")
+    pairs = matching_days(F.col("days")["date"], F.col("stored")["date"])
+    rows = rows.withColumn("pairs", pairs).select(
+        "station_id", "year", "ask", "days", "stored", "pairs", F.posexplode("pairs.left").alias("n", "at"))
+    right = F.get(F.col("pairs")["right"], F.col("n"))
+    found = F.when(right >= 0, F.get("stored", right))
+    return rows.select(
+        "station_id", "year", "ask.*", F.get("days", F.col("at")).alias("day"),
+        found["gdd_daily"].alias("gdd_daily"), found["gdd_cumulative"].alias("gdd_cumulative"),
+    ).select("*", "day.*").drop("day", "unknown")
+
+
 GDD_COLUMNS = (
     "station_id", "plant_id", "date", "t_min", "t_max", "t_mean",
     "gdd_daily", "gdd_cumulative", "bloom_day", "bloom_phase",

@@ -16,6 +16,7 @@ from bloomgrid.operators.gdd import (
     monthly_totals,
     plant_terms,
     requested_degree_days,
+    stored_days,
 )
 from bloomgrid.operators.weather import monthly_precipitation, precipitation_by_year
 from bloomgrid.quality import check_year
@@ -132,13 +133,12 @@ def daily_rows(daily: DataFrame, requests: DataFrame, zones: DataFrame, precipit
     Precipitation is joined before the days are listed, and requests meet the lists, so that no row
     per request and day is shuffled.
     """
+    rainy, wanted = _with_rain(daily, precipitation), _known_requests(requests, zones)
     if gdd is None:
-        lists = day_lists(_with_rain(daily, precipitation))
-        days = asked_days(lists, plants, _known_requests(requests, zones))
-        days = days.select("*", F.inline_outer("rain"))
+        days = asked_days(day_lists(rainy), plants, wanted)
     else:
-        rain = precipitation.select("station_id", "date", "precip_mm")
-        days = _days(daily, requests, zones, plants, gdd).join(rain, ["station_id", "date"], "left")
+        days = stored_days(day_lists(rainy.repartition("station_id")), gdd, wanted)
+    days = days.select("*", F.inline_outer("rain"))
     return days.select(
         "station_id", "station_name", "year", "plant_id", "date",
         "t_min", "t_max", "t_mean", "gdd_daily", "gdd_cumulative", "precip_mm",

@@ -180,3 +180,31 @@ def test_series_shuffle_no_row_per_request_and_day(spark, data):
         assert shuffled and not any("station_name" in line for line in shuffled)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stored_totals_meet_the_requests_without_a_row_per_day_shuffled(spark, data):
+    daily = spark.createDataFrame(
+        [("A", D(2023, 12, 30) + dt.timedelta(days=k), 1.0, 2.0, (None, 7.25, 9.5, -3.0)[k % 4]) for k in range(40)]
+        + [("B", D(2024, 1, 1), 1.0, 2.0, 8.0)], schemas.DAILY)
+    plants = data["plants"].unionByName(data["plants"]).unionByName(
+        data["plants"].selectExpr("'q' AS id", *(f"{c}" for c in data["plants"].columns if c != "id")))
+    gdd = gdd_table(daily, F.broadcast(plants))
+    rain = data["rain"].unionByName(data["rain"].withColumn("precip_mm", F.lit(None).cast("double")))
+    requests = spark.createDataFrame(
+        [("A", y, p) for y in (2023, 2024) for p in ("p", "q", "unknown", None)] + [("B", 2024, "q"), ("B", 2020, "q")],
+        "station_id STRING, year INT, plant_id STRING")
+    asked = daily.withColumn("year", F.year("date")).join(
+        requests.join(layers.first_zone(data["zones"]), "station_id"), ["station_id", "year"])
+    totals = gdd.select("station_id", "plant_id", "date", "gdd_daily", "gdd_cumulative").where("date <> '2024-01-05'")
+    expected = asked.join(totals, ["station_id", "plant_id", "date"], "left").join(
+        rain, ["station_id", "date"], "left")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = plans.daily_rows(
+            daily, requests, data["zones"], rain, gdd=gdd.where("date <> '2024-01-05'"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert sum("plant_id" in line.split("ENSURE")[0] for line in shuffled) == 1  # distinct requests
+        assert sorted(map(str, rows.collect())) == sorted(map(str, expected.select(*rows.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
